@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from structex.llm import mixing, packing, quality_rules
+from structex.llm import line_dedup, mixing, packing, quality_rules
 from structex.llm.common import table
 
 
@@ -18,13 +19,20 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cleaned.select(
+        "doc_id", "text", F.col("_lines").alias("n_lines"), F.col("_removed").alias("n_removed"), F.col("_spans").alias("spans")
+    )
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op10_quality_rules, op2_best_fit_packing, op7_source_mixing)}
+    return {f.__name__: f for f in (op10_quality_rules, op2_best_fit_packing, op6_line_dedup, op7_source_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
