@@ -18,6 +18,7 @@ documents of their own and come in the order of their sizes; other columns are i
 
 from __future__ import annotations
 
+import json
 from collections import defaultdict, deque
 from fractions import Fraction
 
@@ -104,8 +105,18 @@ def route(patterns: dict[tuple, int], quotas: dict, max_repeat: int = MAX_REPEAT
     return {k: v for k, v in flow.items() if v}
 
 
-def _bucket(level: int) -> Column:
-    return F.shiftrightunsigned(F.shiftleft(F.col("h"), BITS * level), 64 - BITS)
+def _bucket(level: int, h: str = "h") -> Column:
+    return F.shiftrightunsigned(F.shiftleft(F.col(h), BITS * level), 64 - BITS)
+
+
+def _upto(h: str, key: Column) -> Column:
+    """Whether a place is not after its pattern's mark; null where there is no mark."""
+    b1, b2 = _bucket(0, h), _bucket(1, h)
+    return (
+        (b1 < F.col("b1"))
+        | ((b1 == F.col("b1")) & (b2 < F.col("b2")))
+        | ((b1 == F.col("b1")) & (b2 == F.col("b2")) & (key <= F.col("mark")))
+    )
 
 
 def _boundary(sums: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -119,37 +130,26 @@ def _boundary(sums: DataFrame, wanted: DataFrame) -> DataFrame:
     )
 
 
-def mix(
-    docs: DataFrame,
-    members: Column | None = None,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    seed: int = SEED,
-    weights: tuple[int, ...] = WEIGHTS,
-    max_repeat: int = MAX_REPEAT,
-    max_patterns: int = MAX_PATTERNS,
-) -> DataFrame:
-    """Per document: id, size, members, copies, taken and, by source, source_size and target.
-
-    members gives the array of a document's sources; by default its column source alone. Weights
-    repeat over the sources in code point order, null last.
-    """
-    spark = docs.sparkSession
-    members = F.array(F.col("source").cast("string")) if members is None else members
+def _placed(docs: DataFrame, members: Column, id_col: str, text_col: str, seed: int, extra: list[Column]) -> DataFrame:
+    """extra, and each row's id, size, pattern and seeded place h."""
     # a null source becomes a mark of its own, so that patterns can be joined
     marked = F.transform(members, lambda m: F.when(m.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), m)))
-    rows = docs.select(
-        F.col(f"`{id_col}`").alias("doc_id"),
-        n_words(F.col(f"`{text_col}`")).alias("size"),
-        F.to_json(F.array_sort(F.array_distinct(marked))).alias("pattern"),
-    ).withColumn("h", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size")))
-    rows = durable(rows)
+    return docs.select(
+        *extra,
+        F.col(f"`{id_col}`").alias("_id"),
+        n_words(F.col(f"`{text_col}`")).alias("_size"),
+        F.to_json(F.array_sort(F.array_distinct(marked))).alias("_pattern"),
+    ).withColumn("_h", F.xxhash64(F.lit(seed), F.col("_id"), F.col("_size")))
+
+
+def plan_mix(rows: DataFrame, weights: tuple[int, ...], max_repeat: int, max_patterns: int) -> DataFrame:
+    """By pattern: what decides how often each of its documents is taken, source_size and target."""
+    spark = rows.sparkSession
+    rows = durable(rows.select(F.col("_id").alias("doc_id"), F.col("_size").alias("size"), F.col("_pattern").alias("pattern"), F.col("_h").alias("h")))
 
     summed = rows.groupBy("pattern").agg(F.sum("size").alias("words")).limit(max_patterns + 1).collect()
     if len(summed) > max_patterns:
         raise ValueError(f"more than {max_patterns} membership patterns: raise max_patterns or group the sources")
-    import json
-
     patterns = {tuple(json.loads(r["pattern"])): int(r["words"] or 0) for r in summed}
     sizes: dict[str, int] = defaultdict(int)
     for p, words in patterns.items():
@@ -215,13 +215,7 @@ def mix(
         .join(last, "pattern", "left")
     )
     marked_rows = rows.join(marks, "pattern")
-    b1, b2 = _bucket(0), _bucket(1)
-    upto = (
-        (b1 < F.col("b1"))
-        | ((b1 == F.col("b1")) & (b2 < F.col("b2")))
-        | ((b1 == F.col("b1")) & (b2 == F.col("b2")) & (key <= F.col("mark")))
-    )
-    dealt = marked_rows.withColumn("upto", F.coalesce(upto, F.lit(False)))
+    dealt = marked_rows.withColumn("upto", F.coalesce(_upto("h", key), F.lit(False)))
     # of the documents left out, the one that comes nearest to filling the gap
     miss = F.abs(F.col("gap") - F.col("size"))
     filler = (
@@ -230,8 +224,49 @@ def mix(
         .agg(F.min(F.struct(miss.alias("miss"), "h", "doc_id", "size")).alias("x"))
         .select("pattern", F.struct("x.h", "x.doc_id", "x.size").alias("filler"))
     )
-    chosen = F.col("upto") | F.coalesce(key == F.col("filler"), F.lit(False))
-    out = dealt.join(filler, "pattern", "left").select(
-        "doc_id", "size", "pattern", "source_size", "target", (F.col("whole") + chosen.cast("long")).alias("copies")
+    return durable(marks.join(filler, "pattern", "left")).withColumnsRenamed({"pattern": "_pattern", "source_size": "_source_size", "target": "_target"})
+
+
+def _copies() -> Column:
+    """How often a row is taken, from its place and its pattern's plan."""
+    key = F.struct(F.col("_h").alias("h"), F.col("_id").alias("doc_id"), F.col("_size").alias("size"))
+    chosen = F.coalesce(_upto("_h", key), F.lit(False)) | F.coalesce(key == F.col("filler"), F.lit(False))
+    return F.col("whole") + chosen.cast("long")
+
+
+def mix(
+    docs: DataFrame,
+    members: Column | None = None,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    seed: int = SEED,
+    weights: tuple[int, ...] = WEIGHTS,
+    max_repeat: int = MAX_REPEAT,
+    max_patterns: int = MAX_PATTERNS,
+    repeat_rows: bool = False,
+) -> DataFrame:
+    """Per document: id, size, source_size, target, copies and taken; or the documents themselves.
+
+    members gives the array of a document's sources; by default its column source alone. Weights
+    repeat over the sources in code point order, null last. With repeat_rows the result is the
+    documents' own rows, each as often as it is taken.
+    """
+    members = F.array(F.col("source").cast("string")) if members is None else members
+    plan = plan_mix(_placed(docs, members, id_col, text_col, seed, []), weights, max_repeat, max_patterns)
+    if repeat_rows:
+        row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+        taken = _placed(docs, members, id_col, text_col, seed, [row]).join(plan, "_pattern").withColumn("_copies", _copies())
+        once = F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int")))
+        return taken.select("_row", once.alias("_n")).select("_row.*")
+    return (
+        _placed(docs, members, id_col, text_col, seed, [])
+        .join(plan, "_pattern")
+        .select(
+            F.col("_id").alias(id_col),
+            F.col("_size").alias("size"),
+            F.col("_source_size").alias("source_size"),
+            F.col("_target").alias("target"),
+            _copies().alias("copies"),
+        )
+        .withColumn("taken", F.col("size") * F.col("copies"))
     )
-    return out.withColumn("taken", F.col("size") * F.col("copies"))

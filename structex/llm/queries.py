@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from structex.llm import line_dedup, mixing, packing, quality_rules
+from structex.llm import line_dedup, mixing, packing, quality_rules, similarity_join
 from structex.llm.common import table
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes = similarity_join.jaccard_classes(table(spark, sf_dir, "documents"))
+    return classes.select("doc_id", "class_id", "n_links")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.assess(table(spark, sf_dir, "documents"))
 
@@ -32,7 +37,7 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op10_quality_rules, op2_best_fit_packing, op6_line_dedup, op7_source_mixing)}
+    return {f.__name__: f for f in (op10_quality_rules, op2_best_fit_packing, op6_line_dedup, op7_source_mixing, op9_ngram_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
