@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from structex.llm import line_dedup, mixing, packing, quality_rules, similarity_join
+from structex.llm import attention_lm, line_dedup, mixing, packing, quality_rules, similarity_join
 from structex.llm.common import table
 
 
@@ -24,6 +24,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op3_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attention_lm.score(table(spark, sf_dir, "documents"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return cleaned.select(
@@ -37,7 +41,7 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op10_quality_rules, op2_best_fit_packing, op6_line_dedup, op7_source_mixing, op9_ngram_jaccard_join)}
+    return {f.__name__: f for f in (op10_quality_rules, op2_best_fit_packing, op3_attention_lm, op6_line_dedup, op7_source_mixing, op9_ngram_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
