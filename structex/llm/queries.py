@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from structex.llm import attention_lm, line_dedup, mixing, packing, quality_rules, similarity_join
+from structex.llm import attention_lm, line_dedup, media, mixing, packing, quality_model, quality_rules, similarity_join
 from structex.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.assess(table(spark, sf_dir, "documents"))
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -28,6 +32,10 @@ def op3_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attention_lm.score(table(spark, sf_dir, "documents"))
 
 
+def op5_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digest(media.store(table(spark, sf_dir, "documents")))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return cleaned.select(
@@ -40,8 +48,20 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+QUERIES = (
+    op1_quality_classifier,
+    op2_best_fit_packing,
+    op3_attention_lm,
+    op5_lossless_webp,
+    op6_line_dedup,
+    op7_source_mixing,
+    op9_ngram_jaccard_join,
+    op10_quality_rules,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op10_quality_rules, op2_best_fit_packing, op3_attention_lm, op6_line_dedup, op7_source_mixing, op9_ngram_jaccard_join)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
