@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from structex.llm import attention_lm, line_dedup, media, mixing, packing, quality_model, quality_rules, similarity_join
+from structex.llm import attention_lm, license_scan, line_dedup, media, mixing, packing, quality_model, quality_rules, role_repair, similarity_join
 from structex.llm.common import table
 
 
+def op8_chat_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return role_repair.format_chats(table(spark, sf_dir, "conversations"))
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes = similarity_join.jaccard_classes(table(spark, sf_dir, "documents"))
     return classes.select("doc_id", "class_id", "n_links")
@@ -32,6 +36,10 @@ def op3_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attention_lm.score(table(spark, sf_dir, "documents"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest(media.store(table(spark, sf_dir, "documents")))
 
@@ -52,9 +60,11 @@ QUERIES = (
     op1_quality_classifier,
     op2_best_fit_packing,
     op3_attention_lm,
+    op4_license_scan,
     op5_lossless_webp,
     op6_line_dedup,
     op7_source_mixing,
+    op8_chat_role_repair,
     op9_ngram_jaccard_join,
     op10_quality_rules,
 )
