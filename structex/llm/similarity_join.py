@@ -41,6 +41,8 @@ MAX_HASHES = 160
 #: Hashes of a signature that buckets compare, and deviations of the estimate that they allow for.
 SKETCH, DEVIATIONS = 64, 6
 BLOCK_SIZE = 2048
+#: Columns of one matrix product, and up to how many sets an n-gram is counted pair by pair.
+WIDTH, FEW = 2048, 6
 
 
 def choose_bands(threshold: float, recall: float, max_hashes: int) -> tuple[int, int]:
@@ -110,15 +112,25 @@ def _common(sets: list[np.ndarray]) -> np.ndarray:
     start = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
     size = np.diff(np.concatenate((start, [len(every)])))
     shared = size > 1  # an n-gram of one set alone is common to no pair
+    # n-grams of few sets are counted pair by pair, which is cheaper than a column of the product
+    pairs = np.zeros((n, n), np.float32)
+    for k in np.unique(size[shared & (size <= FEW)]):
+        members = owner[start[size == k][:, None] + np.arange(k)[None, :]]
+        for i in range(k):
+            for j in range(i):
+                np.add.at(pairs, (members[:, i], members[:, j]), 1)
+    pairs += pairs.T
+    shared &= size > FEW
     column = np.repeat(np.cumsum(shared) - 1, size)
     keep = np.repeat(shared, size)
     owner, column = owner[keep], column[keep]
-    out = np.zeros((n, n), np.float32)
-    width = 4096
-    edges = np.searchsorted(column, np.arange(0, int(shared.sum()) + width, width))
-    for chunk, (a, b) in enumerate(zip(edges, edges[1:])):
+    out = pairs
+    columns = int(shared.sum())
+    for first in range(0, columns, WIDTH):
+        width = min(WIDTH, columns - first)
+        a, b = np.searchsorted(column, (first, first + width))
         block = np.zeros((n, width), np.float32)
-        block[owner[a:b], column[a:b] - chunk * width] = 1
+        block[owner[a:b], column[a:b] - first] = 1
         out += block @ block.T
     return out
 
