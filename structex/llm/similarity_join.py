@@ -81,23 +81,60 @@ def _sign(ngram: int, bands: int, rows: int):
     return run
 
 
-def _tree(least: int):
+def _tree(nodes: np.ndarray, sketches: np.ndarray, least: int) -> tuple[list[int], list[int]]:
     """Tree edges of the graph of sketches that agree in at least least places."""
+    rest, us, vs = np.arange(len(nodes)), [], []
+    while len(rest) > 1:
+        queue, rest = [rest[0]], rest[1:]
+        while queue and len(rest):
+            at = queue.pop()
+            near = (sketches[rest] == sketches[at]).sum(axis=1) >= least
+            found, rest = rest[near], rest[~near]
+            us += [int(nodes[at])] * len(found)
+            vs += nodes[found].tolist()
+            queue += found.tolist()
+    return us, vs
+
+
+def _trees(least: int):
+    """Rows sorted by bucket (key, lo, hi) to the tree edges of each bucket.
+
+    Most buckets have two texts: those of a batch are compared at once. A bucket is at most
+    2 * block_size rows, and only the last one of a batch waits for the next batch.
+    """
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        nodes = frame["node"].to_numpy()
-        sketches = np.frombuffer(b"".join(frame["sketch"]), "<u4").reshape(len(nodes), -1)
-        rest, us, vs = np.arange(len(nodes)), [], []
-        while len(rest) > 1:
-            queue, rest = [rest[0]], rest[1:]
-            while queue and len(rest):
-                at = queue.pop()
-                near = (sketches[rest] == sketches[at]).sum(axis=1) >= least
-                found, rest = rest[near], rest[~near]
-                us += [nodes[at]] * len(found)
-                vs += nodes[found].tolist()
-                queue += found.tolist()
-        return pd.DataFrame({"u": us, "v": vs}, dtype="int64")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
+
+        def edges(groups: np.ndarray, nodes: np.ndarray, sketches: np.ndarray) -> pa.RecordBatch:
+            start = np.flatnonzero(np.concatenate(([True], (groups[1:] != groups[:-1]).any(axis=1)))) if len(groups) else np.empty(0, int)
+            sizes = np.diff(np.append(start, len(groups)))
+            two = start[sizes == 2]
+            near = two[(sketches[two] == sketches[two + 1]).sum(axis=1) >= least]
+            us, vs = nodes[near].tolist(), nodes[near + 1].tolist()
+            for a, n in zip(start[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
+                u, v = _tree(nodes[a : a + n], sketches[a : a + n], least)
+                us += u
+                vs += v
+            return pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = [
+                np.stack([batch.column(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("key", "lo", "hi")], axis=1),
+                batch.column("node").to_numpy(),
+                np.frombuffer(b"".join(batch.column("sketch").to_pylist()), "<u4").reshape(batch.num_rows, -1),
+            ]
+            if held is not None:
+                new = [np.concatenate(pair) for pair in zip(held, new, strict=True)]
+            groups = new[0]
+            # the last bucket may go on in the next batch
+            last = int(np.flatnonzero((groups != groups[-1]).any(axis=1))[-1]) + 1 if (groups != groups[-1]).any() else 0
+            held = [x[last:] for x in new]
+            yield edges(*[x[:last] for x in new])
+        if held is not None:
+            yield edges(*held)
 
     return run
 
@@ -215,7 +252,9 @@ def jaccard_classes(
     exploded = signed.select(F.explode("keys").alias("key"), "node")
     met = exploded.groupBy("key").agg(F.count("*").alias("count")).filter("count > 1")
     members = exploded.join(met, "key").join(signed.select("node", "sketch"), "node")
-    trees = _blocks(members, "key", "count", 2 * block_size).groupBy("key", "lo", "hi").applyInPandas(_tree(least), "u long, v long")
+    bucket = ["key", "lo", "hi"]
+    dealt = _blocks(members, "key", "count", 2 * block_size).select(*bucket, "node", "sketch")
+    trees = dealt.repartition(*bucket).sortWithinPartitions(*bucket).mapInArrow(_trees(least), "u long, v long")
     clusters = components(trees)
 
     sized = clusters.join(clusters.groupBy("label").agg(F.count("*").alias("count")), "label")
