@@ -8,11 +8,12 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from structex.functions.jsonx import trim_text
 
 QUOTE_LENGTH = 120
-SPANS = "array<struct<start:int,end:int>>"
+SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 _SPACE = re.compile(r"[\s﻿]+")
 
 

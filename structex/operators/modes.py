@@ -11,6 +11,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from structex.functions.jsonx import at, is_blank, items_at, kind_of, last_span, strict_json, text_at
 from structex.functions.schema import Schema, dumps, strict_check
@@ -239,7 +240,7 @@ def _parse_json_schema(v: Column) -> Column:
     return _parsed(strict_json(text), F.when(text.isNull(), F.lit(_NO_CONTENT)).otherwise(F.lit(_NOT_JSON)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _last_json_span(texts: pd.Series) -> pd.Series:
     """A bracket stack isn't regular, so this one scan is Python; batches come through Arrow."""
     return texts.map(last_span, na_action="ignore")

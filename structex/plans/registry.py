@@ -6,20 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from structex.plans import queries_documents
 
-def _modules() -> list:
-    return []
+MODULES = (queries_documents,)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found: dict = {}
-    for module in _modules():
+    for module in MODULES:
         found |= module.QUERIES
     return found
 
 
 def oracle_sql() -> dict[str, str]:
     found: dict = {}
-    for module in _modules():
+    for module in MODULES:
         found |= module.SQL
     return found
