@@ -7,6 +7,7 @@ Missing, null and present are told apart: a missing field is SQL null, a JSON nu
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column
@@ -183,3 +184,22 @@ def reask_text(issues_col: Column, parse_failed: Column) -> Column:
     )
     broken = F.lit("The previous output was not valid JSON.\nReturn a single JSON object that matches the schema.")
     return F.when(parse_failed, broken).otherwise(invalid)
+
+
+def plain_json(schema: Schema, value: Column) -> Column:
+    """A valid value as JSON text: undeclared keys gone, defaults filled in, null and missing kept apart."""
+    match schema.kind:
+        case "object":
+            fields = [
+                F.concat(F.to_json(F.lit(k).cast("variant")), F.lit(":"), plain_json(f, at(value, f"$.{k}"))) for k, f in schema.fields
+            ]
+            out = F.concat(F.lit("{"), F.concat_ws(",", *fields), F.lit("}"))
+        case "array":
+            items = F.try_variant_get(value, "$", "array<variant>")
+            out = F.concat(F.lit("["), F.array_join(F.transform(items, lambda v: plain_json(schema.element, v)), ","), F.lit("]"))
+        case _:
+            out = F.to_json(value)
+    if schema.is_nullable:
+        out = F.when(F.is_variant_null(value), F.lit("null")).otherwise(out)
+    default = F.lit(json.dumps(schema.default_value)) if schema.has_default else F.lit(None).cast("string")
+    return F.when(value.isNull(), default).otherwise(out)

@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from structex.functions import account
 from structex.functions.jsonx import at
 from structex.functions.schema import Schema
-from structex.functions.validate import coerce, issues, reask_text, unwrap_items
+from structex.functions.validate import coerce, issues, plain_json, reask_text, unwrap_items
 from structex.operators import chunk, merge, modes, retry
+from structex.plans.durable import durable
 from structex.sources.clients import ModelClient
 
 
@@ -67,7 +68,7 @@ def read_replies(replies: DataFrame, schema: Schema, mode: str, raw: str = "raw"
     return rows.withColumn("status", status).withColumn("data", F.when(F.col("status") == "ok", coerce(schema, F.col("value"))))
 
 
-def extract(calls: DataFrame, schema: Schema, client: ModelClient, durable, mode: str | None = None, max_retries: int = retry.MAX_RETRIES, token_budget: int | None = None) -> DataFrame:
+def extract(calls: DataFrame, schema: Schema, client: ModelClient, mode: str | None = None, max_retries: int = retry.MAX_RETRIES, token_budget: int | None = None) -> DataFrame:
     """Live retry loop over calls (call_id, model, messages): every attempt, with outcome."""
     account.check_max_retries(max_retries)
     account.check_token_budget(token_budget)
@@ -150,11 +151,12 @@ def extract_documents(
     requests = chunks.withColumn("body", modes.encode(mode, tolerant, F.lit(model), F.array(modes.text_message("user", prompt))))
     read = read_replies(client.ask(requests), tolerant, mode)
     # what the merge sees is the validated value: defaults filled, undeclared keys gone
-    plain = F.when(F.col("status") == "ok", F.parse_json(F.to_json("data")))
+    plain = F.when(F.col("status") == "ok", F.parse_json(plain_json(tolerant, F.col("value"))))
     outcomes = read.select(
         "doc_id", "chunk_index", "start_index", "end_index", plain.alias("value"), "status", F.col("usage.total_tokens").alias("tokens")
     )
-    return merge_outcomes(outcomes, schema, options)
+    # replies are paid for once, and the merge reads the outcomes several times
+    return merge_outcomes(durable(outcomes), schema, options)
 
 
 def attempt_events(attempts: DataFrame) -> DataFrame:

@@ -170,7 +170,7 @@ WORDS_SCHEMA = S.obj(items=S.array(S.string()), size=S.integer())
 ITEMS_SQL = f"""
 {CHUNKS_SQL}, items AS (
   SELECT doc_id, chunk_index, start_index, end_index, unnest(w) AS key, unnest(generate_series(0, len(w) - 1)) AS pos
-  FROM (SELECT *, list_transform(regexp_extract_all(substr(text, CAST(start_index + 1 AS BIGINT), CAST(end_index - start_index AS BIGINT)), '{WORD}'), x -> lower(x)) AS w FROM chunks)),
+  FROM (SELECT *, list_transform(regexp_extract_all(substr(text, CAST(start_index + 1 AS BIGINT), CAST(end_index - start_index AS BIGINT)), '{WORD}'), lambda x: lower(x)) AS w FROM chunks)),
 counts AS (SELECT doc_id, key, chunk_index, count(*) AS n FROM items GROUP BY ALL),
 ranked AS (SELECT i.*, row_number() OVER (PARTITION BY i.doc_id, i.key, i.chunk_index ORDER BY pos) AS r, coalesce(c.n, 0) AS before
   FROM items i LEFT JOIN counts c ON i.doc_id = c.doc_id AND i.key = c.key AND c.chunk_index = i.chunk_index - 1)"""
@@ -247,10 +247,10 @@ SELECT doc_id, CAST(i AS INT) AS quote,
 
 
 def cited_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quotes with other white space and upper case: found where the plain words stand first."""
+    """Quotes with other white space and in lower case: found where the plain words stand first."""
     docs = _docs(spark, sf_dir).filter(F.length("text") > 120)
     part = F.substring("text", 41, 60)
-    mangled = F.upper(F.regexp_replace(part, " ", " \n "))
+    mangled = F.lower(F.regexp_replace(part, " ", " \n "))
     q = docs.select("doc_id", "text", F.array(mangled, F.lit("ABSENT WORDS")).alias("quotes"))
     q = q.withColumn("s", cite.spans(F.col("quotes"), F.col("text")))
     issues = cite.citation_issues(F.col("quotes"), F.col("s"))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from structex.plans import queries_documents
+from structex.plans import queries_documents, queries_replies
 
-MODULES = (queries_documents,)
+MODULES = (queries_documents, queries_replies)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
