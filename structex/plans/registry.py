@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from structex.plans import queries_documents, queries_replies
+from structex.plans import queries_documents, queries_replies, queries_streams
 
-MODULES = (queries_documents, queries_replies)
+MODULES = (queries_documents, queries_replies, queries_streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

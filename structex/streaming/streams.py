@@ -79,7 +79,7 @@ def _seen(state: dict[str, Any], schema: Schema, items: bool) -> Iterator[str]:
         yield _dumps(item)
 
 
-def _stream(deltas: DataFrame, schema: Schema, items: bool) -> DataFrame:
+def _stream(deltas: DataFrame, schema: Schema, items: bool, ttl_ms: int | None) -> DataFrame:
     def step(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         columns = [c.split()[0] for c in OUT_SCHEMA.split(", ")]
         if held.hasTimedOut:
@@ -96,26 +96,27 @@ def _stream(deltas: DataFrame, schema: Schema, items: bool) -> DataFrame:
                 held.remove()
         else:
             held.update((json.dumps(state),))
-            held.setTimeoutDuration(TTL_MS)
+            if ttl_ms is not None:
+                held.setTimeoutDuration(ttl_ms)
         if said:
             out = pd.DataFrame(said).reindex(columns=columns)
             out["stream_id"] = key[0]
             whole = {c: "Int64" for c in ("input_tokens", "output_tokens", "total_tokens")} | {"attempts": "Int32"}
             yield out.astype(whole)
 
-    return deltas.groupBy("stream_id").applyInPandasWithState(
-        step, OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.ProcessingTimeTimeout
-    )
+    # a run that ends when its input does (availableNow) must not wait for timers
+    timeout = GroupStateTimeout.NoTimeout if ttl_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return deltas.groupBy("stream_id").applyInPandasWithState(step, OUT_SCHEMA, STATE_SCHEMA, "append", timeout)
 
 
-def partial_objects(deltas: DataFrame, schema: Schema) -> DataFrame:
+def partial_objects(deltas: DataFrame, schema: Schema, ttl_ms: int | None = TTL_MS) -> DataFrame:
     """Snapshots of each stream's object, one whenever it changes."""
-    return _stream(deltas, schema, items=False)
+    return _stream(deltas, schema, False, ttl_ms)
 
 
-def list_items(deltas: DataFrame, item_schema: Schema) -> DataFrame:
+def list_items(deltas: DataFrame, item_schema: Schema, ttl_ms: int | None = TTL_MS) -> DataFrame:
     """The items of each stream's list, in order, each as soon as it is whole and valid."""
-    return _stream(deltas, item_schema, items=True)
+    return _stream(deltas, item_schema, True, ttl_ms)
 
 
 def replay(deltas: DataFrame, schema: Schema, items: bool) -> DataFrame:
