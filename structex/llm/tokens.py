@@ -14,7 +14,7 @@ import base64
 from functools import lru_cache
 
 #: Units remembered by one worker process, and the longest of them in characters.
-MAX_UNITS, MAX_UNIT_CHARS = 400_000, 48
+MAX_UNITS, MAX_UNIT_CHARS = 600_000, 48
 
 
 class _Irregular(Exception):
