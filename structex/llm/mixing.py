@@ -214,7 +214,8 @@ def plan_mix(rows: DataFrame, weights: tuple[int, ...], max_repeat: int, max_pat
         .join(edge2.select("pattern", "b2"), "pattern", "left")
         .join(last, "pattern", "left")
     )
-    marked_rows = rows.join(marks, "pattern")
+    # at most max_patterns rows, so the broadcast has a proven bound, and no row is shuffled
+    marked_rows = rows.join(F.broadcast(marks), "pattern")
     dealt = marked_rows.withColumn("upto", F.coalesce(_upto("h", key), F.lit(False)))
     # of the documents left out, the one that comes nearest to filling the gap
     miss = F.abs(F.col("gap") - F.col("size"))
@@ -255,12 +256,12 @@ def mix(
     plan = plan_mix(_placed(docs, members, id_col, text_col, seed, []), weights, max_repeat, max_patterns)
     if repeat_rows:
         row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-        taken = _placed(docs, members, id_col, text_col, seed, [row]).join(plan, "_pattern").withColumn("_copies", _copies())
+        taken = _placed(docs, members, id_col, text_col, seed, [row]).join(F.broadcast(plan), "_pattern").withColumn("_copies", _copies())
         once = F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int")))
         return taken.select("_row", once.alias("_n")).select("_row.*")
     return (
         _placed(docs, members, id_col, text_col, seed, [])
-        .join(plan, "_pattern")
+        .join(F.broadcast(plan), "_pattern")
         .select(
             F.col("_id").alias(id_col),
             F.col("_size").alias("size"),
