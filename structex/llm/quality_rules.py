@@ -181,21 +181,19 @@ def plan_cascade(docs: DataFrame, rules: list[Rule], text_col: str = "text", sam
 
     The sample only orders the rules, so its bound never changes a verdict.
     """
-    sample = docs.select(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("t")).limit(sample_rows)
-    sample = sample.withColumn("w", words_of(F.col("t"))).persist()
-    try:
-        f = _getter(F.col("t"), F.col("w"))
-        n = sample.count()
-        measured = {}
-        for rule in rules:
-            query = sample.agg(F.sum(rule.reject(f).cast("int")).alias("r"))
-            query.first()  # compiles
-            began = time.perf_counter()
-            rejected = query.first()["r"] or 0
-            cost = max(time.perf_counter() - began, 1e-4)
-            measured[rule.name] = (rejected / max(n, 1), cost, rejected / max(n, 1) / cost)
-    finally:
-        sample.unpersist()
+    # take() reads as few parts of the input as it needs; a limit inside a plan would read them all
+    taken = docs.select(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("t")).take(sample_rows)
+    sample = docs.sparkSession.createDataFrame([(r["t"],) for r in taken], "t string").withColumn("w", words_of(F.col("t")))
+    f = _getter(F.col("t"), F.col("w"))
+    measured = {}
+    for rule in rules:
+        query = sample.agg(F.sum(rule.reject(f).cast("int")).alias("r"))
+        query.first()  # compiles
+        began = time.perf_counter()
+        rejected = query.first()["r"] or 0
+        cost = max(time.perf_counter() - began, 1e-4)
+        share = rejected / max(len(taken), 1)
+        measured[rule.name] = (share, cost, share / cost)
     # a rule that rejected nothing still has to run: the cheaper such rules come first
     order = sorted(rules, key=lambda r: (-measured[r.name][2], measured[r.name][1]))
     return Plan(order, measured)
