@@ -74,5 +74,39 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in QUERIES}
 
 
+#: Words of a text, and their number; the thresholds are those of quality_rules and similarity_join.
+_WORDS = r"""w AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents)"""
+
+QUALITY_SQL = f"""
+WITH {_WORDS},
+t AS (SELECT doc_id, k, words[k] || ' ' || words[k + 1] || ' ' || words[k + 2] AS g FROM (SELECT doc_id, words, unnest(generate_series(1, len(words) - 2)) AS k FROM w)),
+r AS (SELECT doc_id, k FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS n FROM t) WHERE n > 1),
+c AS (SELECT doc_id, count(DISTINCT k + j) AS covered FROM r, (SELECT unnest([0, 1, 2]) AS j) GROUP BY doc_id),
+l AS (SELECT doc_id, len(x) - len(list_distinct(x)) AS dup FROM (
+  SELECT doc_id, list_filter(string_split(text, chr(10)), lambda v: regexp_matches(v, '[^\\x20\\x09-\\x0D]')) AS x FROM w)),
+f AS (SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+  CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(dup AS BIGINT) AS n_dup_lines, CAST(coalesce(covered, 0) AS BIGINT) AS n_repeat_words,
+  len(string_split(text, chr(10))) AS n_lines, len(regexp_extract_all(text, '\\p{{Lu}}')) AS n_upper, len(regexp_extract_all(text, '!')) AS n_exclaim,
+  len(list_filter(generate_series(2, len(words)), lambda k: words[k] = words[k - 1])) AS n_adjacent
+  FROM w JOIN l ON w.doc_id = l.doc_id LEFT JOIN c ON w.doc_id = c.doc_id),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR 100 * n_symbols > 10 * n_words OR word_chars < 2 * n_words OR word_chars > 14 * n_words OR 100 * n_dup_lines > 40 * n_lines
+    OR 100 * n_upper > 40 * word_chars OR 100 * n_exclaim > 25 * n_words OR 100 * n_adjacent > 25 * n_words) AS kept FROM b"""
+
+JACCARD_SQL = f"""
+WITH RECURSIVE {_WORDS},
+g AS (SELECT DISTINCT doc_id, CASE WHEN len(words) < 5 THEN array_to_string(words, ' ')
+    ELSE array_to_string(words[k:k + 4], ' ') END AS g
+  FROM (SELECT doc_id, words, unnest(generate_series(1, greatest(len(words) - 4, 1))) AS k FROM w WHERE len(words) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT u, v FROM p JOIN n x ON u = x.doc_id JOIN n y ON v = y.doc_id WHERE 5 * c >= 4 * (x.n + y.n - c)),
+reach AS (SELECT doc_id AS u, doc_id AS v FROM w UNION SELECT reach.u, e.v FROM reach JOIN e ON reach.v = e.u)
+SELECT u AS doc_id, min(v) AS class_id, (SELECT count(*) FROM e WHERE e.u = reach.u) AS n_links FROM reach GROUP BY u"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others have no SQL form (trained models, codecs, packings, seeded choices): tests hold
+    them against brute force, round trips and held-out labels."""
+    return {"op9_ngram_jaccard_join": JACCARD_SQL, "op10_quality_rules": QUALITY_SQL}
