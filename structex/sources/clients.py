@@ -8,9 +8,10 @@ Errors of a provider are never retried here.
 from __future__ import annotations
 
 import json
+import time
 import urllib.request
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any, Protocol
 
 import pandas as pd
@@ -18,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from structex.functions import account
 from structex.operators import modes
 
 # Gateways that speak the same protocol, and the mode to begin with.
@@ -83,15 +85,20 @@ class CallClient:
     make: Callable[[], Callable[[dict], Any]]
     default_mode: str = modes.TOOLS
     defaults: dict[str, Any] = field(default_factory=dict)
+    #: Wall-clock time (time.time()) after which no further call starts: one deadline for all.
+    deadline: float | None = None
 
     def ask(self, requests: DataFrame) -> DataFrame:
-        make, names = self.make, requests.columns
+        make, names, deadline, defaults = self.make, requests.columns, self.deadline, self.defaults
         schema = T.StructType([*requests.schema.fields, T.StructField("raw", T.StringType()), T.StructField("error", T.StringType())])
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             send = make()
             for frame in frames:
-                replies = [_sdk_call(json.loads(body), send) for body in frame["body"]]
+                replies = []
+                for body in frame["body"]:
+                    late = deadline is not None and time.time() >= deadline
+                    replies.append((None, "timeout") if late else _sdk_call(defaults | json.loads(body), send))
                 out = frame.copy()
                 out["raw"], out["error"] = [r[0] for r in replies], [r[1] for r in replies]
                 yield out[[*names, "raw", "error"]]
@@ -120,6 +127,13 @@ class HttpSender:
 # -- SDK objects ----------------------------------------------------------------
 
 
+def with_timeout(client: CallClient, timeout_ms: int | None, signal_at: float | None = None) -> CallClient:
+    """The earlier of a timeout from now and a caller's own deadline, for the whole run."""
+    account.check_timeout(timeout_ms)
+    ends = [t for t in (signal_at, None if timeout_ms is None else time.time() + timeout_ms / 1000) if t is not None]
+    return replace(client, deadline=min(ends)) if ends else client
+
+
 def _has(obj: Any, path: str) -> bool:
     for name in path.split("."):
         obj = getattr(obj, name, None)

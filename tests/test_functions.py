@@ -155,6 +155,33 @@ def test_clients():
         clients.to_client(object())
 
 
+def test_deadline_stops_calls(spark):
+    client = clients.with_timeout(clients.CallClient(lambda: lambda body: {"said": body["x"]}), None, signal_at=1.0)
+    got = client.ask(spark.createDataFrame([(1, '{"x": 2}')], "call_id long, body string")).first()
+    assert (got.raw, got.error) == (None, "timeout")
+    live = clients.with_timeout(client, 60_000)
+    assert live.ask(spark.createDataFrame([(1, '{"x": 2}')], "call_id long, body string")).first().raw == '{"said": 2}'
+
+
+def test_errors_and_hooks(spark):
+    from structex.plans import errors, hooks
+
+    one = lambda status: spark.createDataFrame([(status, 5)], "status string, data int")
+    assert errors.collect_one(one("merged")) == 5
+    for status, kind in (("conflict", errors.DocumentConflictError), ("exceeded", errors.TokenBudgetError), ("truncated", errors.OutputTruncatedError)):
+        with pytest.raises(kind):
+            errors.collect_one(one(status))
+    seen = []
+
+    def broken(_):
+        raise RuntimeError("no")
+
+    both = hooks.combine({"request": broken, "usage": broken}, {"usage": seen.append})
+    with pytest.warns(UserWarning, match="no"):
+        hooks.replay(both, [{"call_id": 1, "attempt": 1, "event_seq": i, "event": e} for i, e in enumerate(("request", "usage"))])
+    assert len(seen) == 1
+
+
 def test_live_loop_asks_again(spark):
     from structex.plans.pipeline import extract
 
