@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 ROW = 576
 #: Images are handled in parts of a batch with about so many bytes, so that memory stays bounded.
-PART_BYTES = 24_000_000
+PART_BYTES = 10_000_000
 
 
 def payload_of(text: str | None) -> bytes:
