@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,13 @@ SPACE_CHARS = " \t\n\x0b\x0c\r"
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 
 
+def in_parts(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Batches of at most so many rows, so that a task holds few texts as Python objects."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A parquet table of the input folder; the path may be any store that Spark reads."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -31,10 +40,6 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def text_or_empty(column: str = "text") -> Column:
-    return F.coalesce(F.col(column), F.lit(""))
-
-
 def let(value: Column, body) -> Column:
     """body(value) with value computed once, even where body uses it inside lambdas."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -49,8 +54,3 @@ def words_of(text: Column) -> Column:
     for space in SPACE_CHARS[1:]:
         flat = F.replace(flat, F.lit(space), F.lit(" "))
     return F.array_remove(F.split(flat, " "), "")
-
-
-def null_safe_documents(docs: DataFrame, *columns: str) -> DataFrame:
-    """The named columns alone, so that clashing extra columns can't be mistaken for ours."""
-    return docs.select(*[F.col(f"`{c}`") for c in columns])

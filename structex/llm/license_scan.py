@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from structex.llm.common import in_parts
 from structex.llm.license_templates import MARKERS, TEMPLATES
 
 #: Templates that are confirmed, by rank; the least share of a block's bytes that they save; and
@@ -113,7 +114,7 @@ def _scan(templates: dict[str, str]):
         scanner = Scanner(templates)
         kinds = [pa.int64(), pa.string(), *[pa.int64()] * 4, pa.int32(), pa.int32(), pa.string()]
         names = [f.split()[0] for f in SCHEMA.split(", ")]
-        for batch in batches:
+        for batch in in_parts(batches):
             rows = [
                 (doc_id, *finding)
                 for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)

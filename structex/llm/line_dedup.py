@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from structex.llm.common import SPACE_CHARS, durable
+from structex.llm.common import SPACE_CHARS, durable, in_parts
 
 MIN_WORDS = 50
 _SPACE = SPACE_CHARS.encode()
@@ -67,7 +67,7 @@ def _fingerprints(min_words: int):
     digest64, digest128 = xxhash.xxh3_64_intdigest, xxhash.xxh3_128_digest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches):
             rows: tuple[list, ...] = tuple([] for _ in range(7))
             ids, hashes, texts = (batch.column(i).to_pylist() for i in range(3))
             for doc_id, th, text in zip(ids, hashes, texts, strict=True):

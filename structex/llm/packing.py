@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from structex.llm.common import durable
+from structex.llm.common import durable, in_parts
 
 CAPACITY = 2048
 #: A bin with at most so many free places is emitted before the last round.
@@ -51,7 +51,7 @@ def _tokenise(capacity: int, rank_file: str | None):
         from structex.llm.tokens import encoder
 
         packed = encoder(rank_file).packed
-        for batch in batches:
+        for batch in in_parts(batches):
             rows: tuple[list, ...] = ([], [], [], [], [])
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = packed(text or "") + CLOSING_ID

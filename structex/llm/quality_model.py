@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from structex.llm.common import in_parts
 from structex.llm.ngrams import slices, word_hashes
 
 #: The bound on labelled rows that the model is fitted on.
@@ -121,7 +122,7 @@ class Machine:
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in in_parts(batches):
         texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(0).to_pylist()]
         for a, b in slices(texts):
             index, value, numbers = features(texts[a:b])
@@ -139,7 +140,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _apply(model: Machine):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches):
             texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(2).to_pylist()]
             for a, b in slices(texts):
                 score = 1 / (1 + np.exp(-model.margin(*features(texts[a:b])).astype(np.float64)))

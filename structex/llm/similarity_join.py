@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from structex.llm.common import durable
+from structex.llm.common import durable, in_parts
 from structex.llm.components import components
 from structex.llm.ngrams import MinHash, mix, shingles, slices
 
@@ -60,7 +60,7 @@ def _sign(ngram: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = MinHash(max(bands * rows, SKETCH))
         place = mix(np.arange(1, bands * rows + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-        for batch in batches:
+        for batch in in_parts(batches):
             nodes = batch.column(0)
             texts = [t.encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
             for a, b in slices(texts):
@@ -202,7 +202,7 @@ def _verify(threshold: Fraction):
 
 def _gather(ngram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches):
             texts = [t.encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
             rest = batch.drop_columns(["text"])
             for a, b in slices(texts):

@@ -13,8 +13,8 @@ from __future__ import annotations
 import base64
 from functools import lru_cache
 
-#: Units remembered by one worker process, and the longest of them in characters.
-MAX_UNITS, MAX_UNIT_CHARS = 600_000, 48
+#: Units remembered by one encoder (about 200 bytes each), and the longest of them in characters.
+MAX_UNITS, MAX_UNIT_CHARS = 250_000, 48
 
 
 class _Irregular(Exception):
@@ -24,15 +24,15 @@ class _Irregular(Exception):
 class _Units(dict):
     """Unit to little-endian 32-bit ids; lead is the character before each unit."""
 
-    def __init__(self, encode, lead: str):
+    def __init__(self, encode, lead: str, most: int):
         super().__init__()
-        self.encode, self.lead = encode, lead
+        self.encode, self.lead, self.most = encode, lead, most
 
     def __missing__(self, unit: str) -> bytes:
         if not unit or unit[0].isspace() or unit[-1].isspace():
             raise _Irregular
         ids = _packed(self.encode(self.lead + unit))
-        if len(self) < MAX_UNITS and len(unit) <= MAX_UNIT_CHARS:
+        if len(self) < self.most and len(unit) <= MAX_UNIT_CHARS:
             self[unit] = ids
         return ids
 
@@ -48,7 +48,7 @@ def _packed(ids: list[int]) -> bytes:
 
 
 class Encoder:
-    def __init__(self, rank_file: str, pattern: str):
+    def __init__(self, rank_file: str, pattern: str, max_units: int):
         import tiktoken
 
         with open(rank_file, "rb") as lines:
@@ -56,7 +56,7 @@ class Encoder:
         self._encode = tiktoken.Encoding(
             "ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}
         ).encode_ordinary
-        self._first, self._later = _Units(self._encode, ""), _Units(self._encode, " ")
+        self._first, self._later = _Units(self._encode, "", max_units // 16), _Units(self._encode, " ", max_units)
 
     def packed(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers."""
@@ -70,8 +70,8 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(rank_file: str | None = None) -> Encoder:
+def encoder(rank_file: str | None = None, max_units: int = MAX_UNITS) -> Encoder:
     """One encoder per worker process; by default the public 50k vocabulary."""
     import public_tokenizers
 
-    return Encoder(rank_file or public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return Encoder(rank_file or public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, max_units)
