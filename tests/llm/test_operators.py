@@ -253,6 +253,37 @@ def test_lm_edges(edge, empty):
     assert attention_lm.score(empty).count() == 0
 
 
+def _scores(frame):
+    return {r.doc_id: r.score for r in attention_lm.score(frame).collect()}
+
+
+def test_lm_scores_do_not_depend_on_what_tasks_remember(docs, monkeypatch):
+    some = docs.filter("doc_id % 4 = 0").cache()
+    whole = _scores(some)
+    monkeypatch.setattr(attention_lm, "MAX_MEMORY", 50)
+    few = _scores(some)
+    assert whole.keys() == few.keys() and all(math.isclose(whole[i], few[i], rel_tol=1e-6) for i in whole)
+
+
+def test_lm_trigrams_equal_the_plain_form(spark):
+    x, one, two, _ = attention_lm._flat([attention_lm.normal(t) for t in ("the cat sat on the mat and the cat ran", "a dog sat on a mat")])
+    keys, n = np.unique((two << 32) | (one << 16) | x, return_counts=True)
+    pairs, pair_n = np.unique((one << 16) | x, return_counts=True)
+    unigrams = np.bincount(x, minlength=attention_lm.N_IDS).astype(float)
+    memory = attention_lm.Memory(keys, n, pairs, pair_n, unigrams)
+    # three that no training row has: a known head, a known pair under an unknown head, nothing known
+    a, b, c = int(keys[-1]), int(pairs[0]), (7 << 32) | (8 << 16) | 9
+    unseen = [k for k in ((a >> 16 << 16) | 11, (12 << 32) | b, c) if k not in set(keys.tolist())]
+    assert len(unseen) == 3
+    every = [*((int(k), int(m), int(m)) for k, m in zip(keys, n)), *((k, 0, 1) for k in unseen)]
+    triples = spark.createDataFrame(every, "key long, n long, m long")
+    both = triples.groupBy(F.col("key").bitwiseAND(0xFFFFFFFF).alias("key")).agg(F.sum("n").alias("n"))
+    got = {r.key: r.p for r in attention_lm.trigram_probabilities(triples, both, unigrams).collect()}
+    all_keys = np.array([k for k, *_ in every])
+    expected = memory.probability(all_keys & 0xFFFF, all_keys >> 16 & 0xFFFF, all_keys >> 32)
+    assert len(got) == len(all_keys) and all(math.isclose(got[k], p, rel_tol=1e-9) for k, p in zip(all_keys.tolist(), expected))
+
+
 def test_license_templates_find_themselves(spark, empty):
     texts = [(i, f"Some prose first.\n{t}\nAnd more prose.") for i, t in enumerate(TEMPLATES.values())] + [(99, None), (98, "no marks"), (97, "a license to drive is needed")]
     got = license_scan.scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()
