@@ -284,6 +284,30 @@ def test_lm_trigrams_equal_the_plain_form(spark):
     assert len(got) == len(all_keys) and all(math.isclose(got[k], p, rel_tol=1e-9) for k, p in zip(all_keys.tolist(), expected))
 
 
+def test_lm_sample_grows_and_keeps_long_documents(spark, monkeypatch):
+    monkeypatch.setattr(attention_lm, "PART_DOCS", 20)
+    monkeypatch.setattr(attention_lm, "SAMPLE_EACH", 4)
+    sizes, parts = [], []
+    for n in (400, 4_000):
+        train = spark.range(n).select(F.concat(F.lit("text "), F.col("id")).alias("text"), F.col("id").alias("doc_id"))
+        sample, p = attention_lm.sample_of(train, n)
+        sizes.append(sample.count())
+        parts.append(p)
+        assert sample.select("part").distinct().count() == p
+    assert 60 < sizes[0] < 140 and 850 < sizes[1] < 1_150 and parts == [5, 50]
+    # one very long document: the others are trained on too, and it is whole
+    seen = []
+    monkeypatch.setattr(attention_lm.Attention, "train", lambda self, x, one, numbers, **k: seen.append(numbers))
+    pairs = np.array([1], np.int64)
+    model = attention_lm.Attention(pairs, pairs, np.ones(attention_lm.N_IDS))
+    import pyarrow as pa
+
+    texts = ["word " * 500_000, "a b c", "d e"]
+    attention_lm._train_part(model, 0.1)(pa.table({"text": texts, "place": [1, 2, 3], "part": pa.array([0] * 3, pa.int32())}))
+    assert len(seen[0]) == 3 and seen[0][0] > 500_000
+    assert attention_lm.ATTENTION_SHARE > 0.5 and attention_lm.CONTEXT >= 24
+
+
 def test_license_templates_find_themselves(spark, empty):
     texts = [(i, f"Some prose first.\n{t}\nAnd more prose.") for i, t in enumerate(TEMPLATES.values())] + [(99, None), (98, "no marks"), (97, "a license to drive is needed")]
     got = license_scan.scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()
