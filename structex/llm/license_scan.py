@@ -1,7 +1,8 @@
 """License scans by conditional compression.
 
 Texts with a marker word are split into candidate blocks: each sentence and line with a marker,
-and each paragraph around one. A block is compressed alone and with every template as zstandard raw
+each paragraph around one, and each span, over lines and paragraphs or inside longer ones, where the
+words of a template stand (found by the places of word trigrams). A block is compressed alone and with every template as zstandard raw
 dictionary; the bytes that a template saves say how much of the block it explains. Templates are
 ranked by that saving; the best few are confirmed by the exact differences in wording, and the one
 with the fewest wins. Of overlapping blocks the one with the longest confirmed template stays.
@@ -16,6 +17,7 @@ table gives no rows; ties go to the template first by name; other columns are ig
 from __future__ import annotations
 
 import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
@@ -32,6 +34,7 @@ from structex.llm.license_templates import MARKERS, TEMPLATES
 CANDIDATES, MIN_SAVING, MAX_DIFFERENCE = 4, 0.25, 0.15
 _MARKED = re.compile("|".join(map(re.escape, MARKERS)), re.IGNORECASE)
 _WORD = re.compile(r"[\w.'/:-]*\w")
+_CLOSE = re.compile(r"[^\w\s]*")
 _SENTENCE = re.compile(r"[^\s].*?(?:[.!?](?=\s|$)|$)", re.DOTALL)
 
 SCHEMA = (
@@ -65,6 +68,12 @@ class Scanner:
         import zstandard as zstd
 
         self.words = {k: words(v) for k, v in sorted(templates.items())}
+        self.bags = {k: Counter(v) for k, v in self.words.items()}
+        # a block within the differences allowed shares at least one of these with its template
+        self.places: dict[tuple, list[tuple[str, int]]] = defaultdict(list)
+        for k, v in self.words.items():
+            for at, three in enumerate(zip(v, v[1:], v[2:], strict=False)):
+                self.places[three].append((k, at))
         self.plain = zstd.ZstdCompressor(level=level)
         # the dictionary ends with the template, where matches are cheapest
         self.given = {
@@ -95,10 +104,41 @@ class Scanner:
                 best = row if best is None or row < best else best
         return best[2:] if best else None
 
+    def spans(self, text: str) -> set[tuple[int, int]]:
+        """Bounds of the stretches that have enough of a template's words, in its order."""
+        at = [m.span() for m in _WORD.finditer(text)]
+        own = [text[a:b].lower() for a, b in at]
+        starts: dict[str, Counter] = defaultdict(Counter)
+        for i, three in enumerate(zip(own, own[1:], own[2:], strict=False)):
+            for name, k in self.places.get(three, ()):
+                starts[name][i - k] += 1
+        found = set()
+        for name, counted in starts.items():
+            goal, covered = self.words[name], set()
+            slack = int(MAX_DIFFERENCE * len(goal))
+            for start, _ in sorted(counted.items(), key=lambda x: (-x[1], x[0])):
+                if start + len(goal) // 2 in covered:
+                    continue
+                low = max(0, start - slack)
+                part = own[low : start + len(goal) + slack]
+                if (Counter(part) & self.bags[name]).total() < len(goal) - slack:
+                    continue
+                runs = [r for r in SequenceMatcher(None, goal, part, autojunk=False).get_matching_blocks() if r.size]
+                # words that match by chance outside the wording are farther from it than they are long
+                while len(runs) > 1 and runs[1].b - runs[0].b - runs[0].size > runs[0].size:
+                    runs.pop(0)
+                while len(runs) > 1 and runs[-1].b - runs[-2].b - runs[-2].size > runs[-1].size:
+                    runs.pop()
+                a, b = low + runs[0].b, low + runs[-1].b + runs[-1].size
+                covered.update(range(a, b))
+                end = at[b - 1][1]
+                found.add((at[a][0], end + len(_CLOSE.match(text, end)[0])))
+        return found
+
     def scan(self, text: str) -> list[tuple]:
         """(license, start, end, plain, saved, missing, extra, differences), without overlaps."""
         found = []
-        for a, b in blocks(text):
+        for a, b in sorted({*blocks(text), *self.spans(text)}):
             judged = self.known(text[a:b]) if b - a < 4096 else self._judge(text[a:b])
             if judged:
                 found.append((-len(self.words[judged[0]]), judged[3] + judged[4], a, b, judged))

@@ -321,6 +321,36 @@ def test_license_templates_find_themselves(spark, empty):
     assert license_scan.scan(empty).count() == 0
 
 
+def test_license_published_forms(spark):
+    split = {
+        "MIT": " subject to the following conditions: ",
+        "Apache-2.0": " Unless required",
+        "GPL-3.0": " This program is distributed",
+        "BSD-3-Clause": " 2. Redistributions",
+    }
+    prose = "The river rose in spring and the fields were under water for weeks "
+    texts, expected = [], {}
+    for name, mark in split.items():
+        a, b = TEMPLATES[name].split(mark)
+        wrapped = "\n".join(re.findall(r".{1,60}(?:\s|$)", TEMPLATES[name]))
+        forms = [
+            f"{a}{mark.rstrip()}\n\n{b}" if name == "MIT" else f"{a}\n\n{mark.strip()}{b}",
+            f"{prose * 5}{TEMPLATES[name]} {prose * 5}",
+            f"Copyright (c) 2001 Some One\n{wrapped}\nTHE SOFTWARE IS PROVIDED AS IS, and the authors are not liable for {prose * 4}",
+            "\n".join(f" * {line}" for line in wrapped.split("\n")),
+        ]
+        for form in forms:
+            expected[len(texts)] = name
+            texts.append((len(texts), form))
+    found = defaultdict(list)
+    for r in license_scan.scan(spark.createDataFrame(texts, "doc_id long, text string")).collect():
+        found[r.doc_id].append(r)
+    for i, name in expected.items():
+        (r,) = [r for r in found[i] if r.license == name]
+        assert (r.missing_words, r.extra_words) == (0, 0), (name, i)
+        assert license_scan.words(texts[i][1][r.start : r.end]) == license_scan.words(TEMPLATES[name])
+
+
 def test_license_differences(spark):
     text = TEMPLATES["GPL-3.0-notice"].replace("work", "book")
     r = license_scan.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
