@@ -234,7 +234,10 @@ def jaccard_classes(
     max_hashes: int = MAX_HASHES,
     block_size: int = BLOCK_SIZE,
 ) -> DataFrame:
-    """Per document: id, class_id, n_links (other documents at the threshold or above) and th."""
+    """Per document: id, class_id, n_links (other documents at the threshold or above), th and label.
+
+    label names the class even where ids repeat or are null; it is null for texts without words.
+    """
     bands, rows = choose_bands(threshold, recall, max_hashes)
     share = Fraction(threshold).limit_denominator(10_000)
     sd = math.sqrt(threshold * (1 - threshold) / SKETCH)
@@ -274,20 +277,33 @@ def jaccard_classes(
     named = texts.join(classes, "node", "left").join(links, "node", "left")
     named = named.select("node", "copies", "least", F.coalesce("label", "node").alias("label"), F.coalesce("links", F.lit(0)).alias("links"))
     least_id = named.groupBy("label").agg(F.min("least").alias("class_id"))
-    by_text = named.join(least_id, "label").select("node", "class_id", (F.col("copies") - 1 + F.col("links")).alias("n_links"))
+    by_text = named.join(least_id, "label").select("node", "label", "class_id", (F.col("copies") - 1 + F.col("links")).alias("n_links"))
     return ids.join(by_text, "node", "left").select(
         F.col("id").alias(id_col),
         F.coalesce("class_id", "id").alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.col("node").alias("th"),
+        "label",
     )
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents that carry their class's id, with their columns as they were."""
+    """One document of each class, one that carries its id, with its columns as they were.
+
+    Of texts without words, which are in no class, one stays of those that repeat id and text.
+    """
     classes = jaccard_classes(docs, id_col, text_col, **options)
     first = classes.filter(F.col(id_col).eqNullSafe(F.col("class_id")))
-    first = first.select(F.col(id_col).alias("_id"), F.coalesce("th", F.lit(0)).alias("_th")).distinct()
+    first = first.select(F.col(id_col).alias("_id"), F.coalesce("th", F.lit(0)).alias("_th"), "label")
+    # ids that repeat with near copies: the text of the least hash
+    first = durable(first.groupBy("label", "_id").agg(F.min("_th").alias("_th"), F.count("*").alias("_rows")))
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     th = F.when(text.rlike(r"[^\x20\x09-\x0D]"), F.xxhash64(text)).otherwise(F.lit(0))
-    return docs.join(first, F.col(f"`{id_col}`").eqNullSafe(F.col("_id")) & (th == F.col("_th")), "left_semi")
+    here = F.col(f"`{id_col}`").eqNullSafe(F.col("_id")) & (th == F.col("_th"))
+    again = first.filter("_rows > 1")
+    if again.isEmpty():
+        return docs.join(first, here, "left_semi")
+    # texts are only shuffled where rows repeat
+    repeated = docs.join(again, here).withColumn("_text", F.when(F.col("_th") == 0, text))
+    repeated = repeated.dropDuplicates(["_id", "_th", "_text"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.join(first.filter("_rows = 1"), here, "left_semi").unionByName(repeated)

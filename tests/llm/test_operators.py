@@ -696,6 +696,20 @@ def test_join_edges(edge, empty):
     assert similarity_join.keep_one(edge).columns == edge.columns
 
 
+def test_keep_one_counts_rows(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    near = text + " end"
+    rows = [
+        *[(1, text)] * 5, (2, near),  # one class, its least id repeated
+        *[(None, "no id " + near[::-1])] * 3,  # null ids, one text
+        (7, "other " + text.upper()), (7, "other " + text.upper() + " END"),  # one id, near copies
+        (8, "first of two texts under an id"), (8, "quite another text with the same number"),  # two classes
+        *[(9, "")] * 2, (10, ""), (11, None),  # in no class
+    ]
+    kept = similarity_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(r.doc_id for r in kept) == {1: 1, None: 1, 7: 1, 8: 2, 9: 1, 10: 1, 11: 1}
+
+
 def test_pipeline_stages(spark, docs):
     import corpus_pipeline
 
