@@ -67,3 +67,23 @@ def test_fold_equals_a_plain_matching(spark):
             pool.append((r.chunk_index, r.start_index, r.end_index))
     got = {r.doc_id: r.n_items for r in QUERIES["dedupe_fold"](spark, DATA).collect()}
     assert {d: len(s["kept"]) for d, s in by_doc.items()} == {d: got[d] for d in by_doc}
+
+
+def test_streams_carry_all_events(spark):
+    """Every item adds at least one snapshot, the last one has them all, and usage is of the whole text."""
+    from pyspark.sql import functions as F
+
+    from structex.functions import schema as S
+    from structex.plans import queries_streams as q
+    from structex.streaming import streams
+
+    sources = {r.stream_id: r["items"] for r in q._sources(spark, DATA).collect()}
+    shown = {r.stream_id: r.snapshots for r in QUERIES["stream_complete"](spark, DATA).collect()}
+    assert shown.keys() == sources.keys() and all(shown[s] >= len(items) for s, items in sources.items())
+    texts = q._sources(spark, DATA).select("stream_id", F.to_json(F.struct("items")).alias("text")).cache()
+    whole = {r.stream_id: r.text for r in texts.collect()}
+    said = streams.replay(q._deltas(texts, F.col("text")), S.obj(items=S.array(S.obj(id=S.integer(), kind=S.string()))), items=False).cache()
+    last = said.filter("kind = 'partial'").groupBy("stream_id").agg(F.max_by("body", "seq").alias("body")).collect()
+    assert {r.stream_id: r.body for r in last} == whole
+    usage = {r.stream_id: r.output_tokens for r in said.filter("kind = 'usage'").collect()}
+    assert usage == {s: -(-len(t) // q.PIECE) for s, t in whole.items()}
