@@ -33,11 +33,16 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def word_hashes(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words `[^\\x20\\x09-\\x0D]+`, and each text's number of words."""
+    return word_places(texts, lower)[:2]
+
+
+def word_places(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """word_hashes, and where each word begins and ends in all texts joined."""
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
     data = np.frombuffer(b"".join(texts), np.uint8)
     n = len(data)
     if n == 0:
-        return np.empty(0, np.uint64), np.zeros(len(texts), np.int64)
+        return np.empty(0, np.uint64), np.zeros(len(texts), np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
     if lower:
         data = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
     inside = ~_SPACES[data]
@@ -54,7 +59,7 @@ def word_hashes(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np
     np.cumsum(_BYTE[data] * up[:n], out=prefix[1:])
     hashes = mix((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(np.uint64))
     counts = np.searchsorted(starts, bounds[1:]) - np.searchsorted(starts, bounds[:-1])
-    return hashes, counts
+    return hashes, counts, starts, ends
 
 
 def shingles(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:

@@ -53,10 +53,10 @@ class Encoder:
 
         with open(rank_file, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self._encode = tiktoken.Encoding(
+        self.encode = tiktoken.Encoding(
             "ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}
         ).encode_ordinary
-        self._first, self._later = _Units(self._encode, "", max_units // 16), _Units(self._encode, " ", max_units)
+        self._first, self._later = _Units(self.encode, "", max_units // 16), _Units(self.encode, " ", max_units)
 
     def packed(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers."""
@@ -66,7 +66,7 @@ class Encoder:
         try:
             return self._first[first] + b"".join(map(self._later.__getitem__, later))
         except _Irregular:
-            return _packed(self._encode(text))
+            return _packed(self.encode(text))
 
 
 @lru_cache(maxsize=2)

@@ -162,7 +162,7 @@ def test_unit_cache_equals_the_encoder(text):
     from structex.llm.tokens import encoder
 
     e = encoder()
-    assert e.packed(text) == np.array(e._encode(text), "<u4").tobytes()
+    assert e.packed(text) == np.array(e.encode(text), "<u4").tobytes()
 
 
 @settings(max_examples=100, deadline=None)
@@ -199,113 +199,146 @@ def test_lm_base_and_normalisation(spark, rows):
         assert math.isclose(g.base_score, base, rel_tol=1e-9) and g.score < 0
 
 
-def test_lm_parts_are_distributions():
-    rng = np.random.default_rng(0)
-    x, one, two, numbers = attention_lm._flat([attention_lm.normal("the cat sat on the mat and the cat ran " * 5)])
-    keys, n = np.unique((two << 32) | (one << 16) | x, return_counts=True)
-    pairs, pair_n = np.unique((one << 16) | x, return_counts=True)
+def _flat(texts):
+    x, numbers, _, _ = attention_lm.ids_of([attention_lm.normal(t) for t in texts], attention_lm.Units())
+    return x.astype(np.int64), numbers
+
+
+def _fitted(x, numbers):
     unigrams = np.bincount(x, minlength=attention_lm.N_IDS).astype(float)
-    model, memory = attention_lm.Attention(pairs, pair_n, unigrams), attention_lm.Memory(keys, n, pairs, pair_n, unigrams)
-    losses = model.train(x, one, numbers, epochs=20)
-    assert losses[-1] < losses[0]
-    every = np.arange(attention_lm.N_IDS)
+    known, size = attention_lm.known_of(unigrams), attention_lm.KNOWN
+    pairs = np.zeros((3, size * size))
+    for k, cells in attention_lm.count_pairs(known[x], *(known[h] for h in attention_lm.before(x, numbers)), numbers):
+        pairs[k] += np.bincount(cells, minlength=size * size)
+    model = attention_lm.Attention(pairs.reshape(3, size, size), unigrams)
+    rng = np.random.default_rng(2)
+    model.w["oc"] += rng.normal(0, 0.3, model.w["oc"].shape).astype(np.float32)
+    model.w["om"] += rng.normal(0, 0.3, model.w["om"].shape).astype(np.float32)
+    return model
+
+
+def test_lm_ids_equal_the_tokenizer(rows):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [attention_lm.normal(t) for _, t in rows[:60]] + [b"", b" \n ", b"one"]
+    x, numbers, _, _ = attention_lm.ids_of(texts, attention_lm.Units(most=5))
+    for own, t in zip(np.split(x, np.cumsum(numbers)[:-1]), texts, strict=True):
+        plain = "".join(" " + w for w in re.findall(r"[^\x20\x09-\x0D]+", t.decode()))
+        assert own.tolist() == [*tokenizer.encode(plain, add_special_tokens=False).ids, attention_lm.END]
+
+
+def test_lm_is_a_distribution_and_causal():
+    x, numbers = _flat(["The cat sat on the mat and the cat ran " * 5])
+    scorer = _fitted(x, numbers).scorer()
     place = 7
-    total = memory.probability(every, np.full(len(every), one[place]), np.full(len(every), two[place])).sum()
-    assert math.isclose(total, 1, rel_tol=1e-6)
-    # every id after the same ids: a text per candidate would be long, so the last place is swapped
-    candidates = rng.choice(attention_lm.N_IDS, 50, replace=False)
-    heads = np.tile(x[: place + 1], (50, 1))
-    heads[:, -1] = candidates
-    before = np.tile(one[: place + 1], (50, 1))
-    got = model.log_probability(heads.ravel(), before.ravel(), np.full(50, place + 1)).reshape(50, -1)
-    assert np.allclose(got[:, :-1], got[0, :-1], atol=1e-5)  # causal: the last id changes nothing before it
+    # every id after the same ids: its probabilities sum to 1
+    every = np.arange(attention_lm.N_IDS)
+    heads = np.tile(x[: place + 1], (len(every), 1))
+    heads[:, -1] = every
+    got = scorer.log_probability(heads.ravel(), np.full(len(every), place + 1)).reshape(len(every), -1)
+    assert math.isclose(np.exp(got[:, -1]).sum(), 1, rel_tol=1e-4)
+    assert np.allclose(got[:, :-1], got[0, :-1], atol=1e-4)  # the last id changes nothing before it
+
+
+def test_lm_scores_equal_a_plain_loop():
+    """Window by window and place by place, without batches, masks, classes sorted or tables."""
+    x, numbers = _flat(["a dog sat on a mat, and a cat " * 12, "", "one", "the end of the road " * 9])
+    model = _fitted(x, numbers)
+    got, w = model.scorer().log_probability(x, numbers), model.w
+    soft = lambda z: np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+    at = 0
+    for n in numbers:
+        ids = [attention_lm.END, attention_lm.END, *x[at : at + n]]
+        e = model.known[ids]
+        for t in range(n):
+            windows = 0 if t < attention_lm.LENGTH else 1 + (t - attention_lm.LENGTH) // attention_lm.STRIDE
+            begin = windows * attention_lm.STRIDE
+            seen = [(w["e"][e[j + 1]], w["e"][e[j]], t - j) for j in range(begin, t + 1)]
+            q = seen[-1][0] @ w["q"]
+            a = soft(np.array([q @ (s @ w["k"] + s2 @ w["k2"]) / math.sqrt(attention_lm.KEY) + w["d"][g] for s, s2, g in seen]))
+            h = np.tanh(seen[-1][0] @ w["r"] + seen[-1][1] @ w["r2"] + sum(p * (s @ w["v"]) for p, (s, _, _) in zip(a, seen)))
+            one, two, (c, m) = e[t + 1], e[t], divmod(e[t + 2], attention_lm.MEMBERS)
+            pc = soft(h @ w["oc"] + model.class1[one] + w["gc"] * model.class2[two])
+            pm = soft(h @ w["om"][c] + model.member1[one * 64 + c] + w["gm"][c] * model.member2[two * 64 + c])
+            assert math.isclose(got[at + t], math.log(pc[c] * pm[m]) + model.within[ids[t + 2]], rel_tol=1e-3, abs_tol=1e-3)
+        at += n
 
 
 def test_lm_gradient():
     rng = np.random.default_rng(1)
     x = rng.integers(0, 50, 40)
-    one = np.concatenate(([attention_lm.END], x[:-1]))
-    pairs, pair_n = np.unique((one << 16) | x, return_counts=True)
-    model = attention_lm.Attention(pairs, pair_n, np.bincount(x, minlength=attention_lm.N_IDS).astype(float))
+    model = _fitted(x, np.array([40]))
     model.w = {k: v.astype(np.float64) for k, v in model.w.items()}
-    rows, valid = attention_lm.windows_of(np.array([40]))
-    seen, goal = model.inner[one][rows], model.outer[x][rows]
-    _, g = model.step(seen, seen, goal, valid)
-    for k in ("q", "k", "v", "r", "o", "d"):
-        at = np.unravel_index(3 % model.w[k].size, model.w[k].shape)
+    one, two = attention_lm.before(x, np.array([40]))
+    windows = [model.known[v][None, :] for v in (one, two, x)]
+    windows[2][0, 3] = -1
+    _, g = model.step(*windows)
+    for k in model.w:
+        at = np.unravel_index(np.abs(g[k]).argmax(), g[k].shape)
         keep, e = model.w[k][at], 1e-4
         model.w[k][at] = keep + e
-        up = model.step(seen, seen, goal, valid)[0]
+        up = model.step(*windows)[0]
         model.w[k][at] = keep - e
-        down = model.step(seen, seen, goal, valid)[0]
+        down = model.step(*windows)[0]
         model.w[k][at] = keep
-        assert math.isclose((up - down) / (2 * e), float(g[k][at]), rel_tol=2e-2, abs_tol=1e-5)
+        assert math.isclose((up - down) / (2 * e), float(g[k][at]), rel_tol=2e-2, abs_tol=1e-5), k
 
 
 def test_lm_windows_score_each_id_once():
-    rows, valid = attention_lm.windows_of(np.array([1, 31, 32, 33, 200]))
-    assert np.array_equal(np.bincount(rows[valid]), np.ones(297, int))
+    numbers = np.array([1, 31, 64, 65, 104, 105, 300])
+    count = np.zeros(numbers.sum(), int)
+    for start, size, skip in attention_lm.windows_of(numbers):
+        for a, n in zip(start, size):
+            count[a + skip : a + n] += 1
+    assert (count == 1).all()
 
 
-def test_lm_edges(edge, empty):
+def test_lm_every_row_is_trained_on(spark, monkeypatch):
+    rng = np.random.default_rng(0)
+    for n in (1, 64, 65, 64 * 31, 64 * 500 + 3):
+        ids = rng.integers(0, 1000, n).astype("<u2")
+        chosen = attention_lm.chosen_windows(ids.tobytes(), attention_lm.SHARE)
+        total = -(-n // attention_lm.LENGTH)
+        assert 1 <= len(chosen) and abs(len(chosen) - total / attention_lm.SHARE) <= 1
+        for w, part in chosen:
+            head = np.concatenate(([attention_lm.END] * 2, ids))[w * 64 : w * 64 + 66]
+            assert np.frombuffer(part, "<u2").tolist() == head.tolist()
+    # equal rows don't end up in one part, and the mean of the copies is what the model becomes
+    monkeypatch.setattr(attention_lm, "PART_WINDOWS", 40)
+    one = rng.integers(0, 1000, 60).astype("<u2").tobytes()
+    train = spark.createDataFrame([(bytearray(one),)] * 400, "ids binary")
+    x = np.frombuffer(one, "<u2").astype(np.int64)
+    model = _fitted(x, np.array([60]))
+    before = {k: v.copy() for k, v in model.w.items()}
+    attention_lm.train_attention(model, train)
+    assert any((model.w[k] != before[k]).any() for k in before) and all(np.isfinite(v).all() for v in model.w.values())
+
+
+def test_lm_beats_the_base_on_held_out_rows(spark):
+    got = [r for r in queries.op3_attention_lm(spark, "/root/testdata/sf0.1").collect() if r.held_out]
+    assert sum(r.score for r in got) > 0.95 * sum(r.base_score for r in got)
+
+
+def test_lm_edges(spark, edge, empty):
     got = {r.doc_id: r for r in attention_lm.score(edge).collect()}
-    assert got[1].n_tokens == got[2].n_tokens == 1
+    assert got[1].n_tokens == got[2].n_tokens == got[6].n_tokens == 1 and got[1].score == got[2].score == got[6].score
     assert attention_lm.score(empty).count() == 0
+    same = [r for r in attention_lm.score(edge).collect() if r.doc_id == 3]
+    assert len(same) == 2 and same[0] == same[1]
+    # nothing to learn from: all ids are equally likely
+    (r,) = attention_lm.score(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), held_out=F.lit(True)).collect()
+    assert math.isclose(r.score, -3 * math.log10(attention_lm.N_IDS), rel_tol=1e-4) and r.n_known == 0
 
 
-def _scores(frame):
-    return {r.doc_id: r.score for r in attention_lm.score(frame).collect()}
-
-
-def test_lm_scores_do_not_depend_on_what_tasks_remember(docs, monkeypatch):
+def test_lm_base_does_not_depend_on_what_tasks_remember(docs, monkeypatch):
     some = docs.filter("doc_id % 4 = 0").cache()
-    whole = _scores(some)
-    monkeypatch.setattr(attention_lm, "MAX_MEMORY", 50)
-    few = _scores(some)
-    assert whole.keys() == few.keys() and all(math.isclose(whole[i], few[i], rel_tol=1e-6) for i in whole)
-
-
-def test_lm_trigrams_equal_the_plain_form(spark):
-    x, one, two, _ = attention_lm._flat([attention_lm.normal(t) for t in ("the cat sat on the mat and the cat ran", "a dog sat on a mat")])
-    keys, n = np.unique((two << 32) | (one << 16) | x, return_counts=True)
-    pairs, pair_n = np.unique((one << 16) | x, return_counts=True)
-    unigrams = np.bincount(x, minlength=attention_lm.N_IDS).astype(float)
-    memory = attention_lm.Memory(keys, n, pairs, pair_n, unigrams)
-    # three that no training row has: a known head, a known pair under an unknown head, nothing known
-    a, b, c = int(keys[-1]), int(pairs[0]), (7 << 32) | (8 << 16) | 9
-    unseen = [k for k in ((a >> 16 << 16) | 11, (12 << 32) | b, c) if k not in set(keys.tolist())]
-    assert len(unseen) == 3
-    every = [*((int(k), int(m), int(m)) for k, m in zip(keys, n)), *((k, 0, 1) for k in unseen)]
-    triples = spark.createDataFrame(every, "key long, n long, m long")
-    both = triples.groupBy(F.col("key").bitwiseAND(0xFFFFFFFF).alias("key")).agg(F.sum("n").alias("n"))
-    got = {r.key: r.p for r in attention_lm.trigram_probabilities(triples, both, unigrams).collect()}
-    all_keys = np.array([k for k, *_ in every])
-    expected = memory.probability(all_keys & 0xFFFF, all_keys >> 16 & 0xFFFF, all_keys >> 32)
-    assert len(got) == len(all_keys) and all(math.isclose(got[k], p, rel_tol=1e-9) for k, p in zip(all_keys.tolist(), expected))
-
-
-def test_lm_sample_grows_and_keeps_long_documents(spark, monkeypatch):
-    monkeypatch.setattr(attention_lm, "PART_DOCS", 20)
-    monkeypatch.setattr(attention_lm, "SAMPLE_EACH", 4)
-    sizes, parts = [], []
-    for n in (400, 4_000):
-        train = spark.range(n).select(F.concat(F.lit("text "), F.col("id")).alias("text"), F.col("id").alias("doc_id"))
-        sample, p = attention_lm.sample_of(train, n)
-        sizes.append(sample.count())
-        parts.append(p)
-        assert sample.select("part").distinct().count() == p
-    assert 60 < sizes[0] < 140 and 850 < sizes[1] < 1_150 and parts == [5, 50]
-    # one very long document: the others are trained on too, and it is whole
-    seen = []
-    monkeypatch.setattr(attention_lm.Attention, "train", lambda self, x, one, numbers, **k: seen.append(numbers))
-    pairs = np.array([1], np.int64)
-    model = attention_lm.Attention(pairs, pairs, np.ones(attention_lm.N_IDS))
-    import pyarrow as pa
-
-    texts = ["word " * 500_000, "a b c", "d e"]
-    attention_lm._train_part(model, 0.1)(pa.table({"text": texts, "place": [1, 2, 3], "part": pa.array([0] * 3, pa.int32())}))
-    assert len(seen[0]) == 3 and seen[0][0] > 500_000
-    assert attention_lm.ATTENTION_SHARE > 0.5 and attention_lm.CONTEXT >= 24
+    whole = {r.doc_id: (r.base_score, r.n_known) for r in attention_lm.score(some).collect()}
+    monkeypatch.setattr(attention_lm, "MAX_WORDS", 50)
+    few = {r.doc_id: (r.base_score, r.n_known) for r in attention_lm.score(some).collect()}
+    assert whole.keys() == few.keys()
+    assert all(math.isclose(whole[i][0], few[i][0], rel_tol=1e-9) and whole[i][1] == few[i][1] for i in whole)
 
 
 def test_license_templates_find_themselves(spark, empty):
