@@ -3,9 +3,12 @@
 Texts become ids and a closing id; sequences longer than the capacity are cut from their end into
 full pieces, so only the first piece may be shorter. Full pieces are bins of their own. The others
 are dealt evenly over tasks and packed best fit, longest first. Bins that are nearly full are
-emitted; what is underfull goes on as one item of its total length to a round with fewer tasks,
-until one task holds all that is left. Rows carry lengths and checksums, never ids, so a row has
-a few dozen bytes and a task's share is bounded by items_per_task.
+emitted, and so are bins that even the smallest open one doesn't fit; what is underfull goes on as
+one item of its total length to the next round, until one task holds all that is left or a round
+hardly joins anything any more. Rows carry lengths and checksums, never ids, so a row has a few
+dozen bytes, and in every round, the last one too, a task's share is bounded by items_per_task.
+
+An added token's string in a text is that token, as the tokenizer's file has it.
 
 Defined cases: a null or empty text is one piece with the closing id alone; repeated rows and
 equal ids are packed each on its own; an empty table gives no rows; other columns are ignored.
@@ -26,14 +29,14 @@ from structex.llm.common import durable, in_parts
 CAPACITY = 2048
 #: A bin with at most so many free places is emitted before the last round.
 SLACK = 8
-#: Items of one task, and by how much tasks shrink at most from round to round.
-ITEMS_PER_TASK, FAN_IN = 100_000, 16
+#: Items of one task; and the share of a round's items that are left behind it at which rounds end.
+ITEMS_PER_TASK, STALE = 100_000, 0.95
 CLOSING_ID = b"\0\0\0\0"
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 BIN_FIELDS = ["doc_id", "piece", "start", "length", "ids_crc32", "offset"]
 BIN_SCHEMA = (
-    "bin long, closed boolean, total long, doc_id array<long>, piece array<int>, start array<long>, "
+    "bin long, total long, doc_id array<long>, piece array<int>, start array<long>, "
     "length array<long>, ids_crc32 array<long>, offset array<long>"
 )
 
@@ -95,7 +98,7 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def _pack(capacity: int, slack: int, level: int, last: bool):
+def _pack(capacity: int, level: int):
     """Bins (or, at first, pieces as bins of one) to bins."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,7 +111,7 @@ def _pack(capacity: int, slack: int, level: int, last: bool):
             return
         items.sort(key=lambda x: (-x[0], [(d is None, d or 0) for d in x[1]], x[2]))
         base = (level << 56) | (TaskContext.get().partitionId() << 28)
-        out: list[list] = [[] for _ in range(9)]
+        out: list[list] = [[] for _ in range(8)]
         for number, places in enumerate(best_fit([x[0] for x in items], capacity)):
             total, columns = 0, [[] for _ in BIN_FIELDS]
             for place in places:
@@ -117,10 +120,10 @@ def _pack(capacity: int, slack: int, level: int, last: bool):
                     column += values
                 columns[5] += [total + o for o in item[6]]
                 total += item[0]
-            for column, value in zip(out, (base | number, last or total >= capacity - slack, total, *columns), strict=True):
+            for column, value in zip(out, (base | number, total, *columns), strict=True):
                 column.append(value)
-        kinds = [pa.int64(), pa.bool_(), pa.int64(), *(pa.list_(k) for k in (pa.int64(), pa.int32(), *[pa.int64()] * 4))]
-        names = ["bin", "closed", "total", *BIN_FIELDS]
+        kinds = [pa.int64(), pa.int64(), *(pa.list_(k) for k in (pa.int64(), pa.int32(), *[pa.int64()] * 4))]
+        names = ["bin", "total", *BIN_FIELDS]
         for at in range(0, len(out[0]), 10_000):
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c[at : at + 10_000], k) for c, k in zip(out, kinds, strict=True)], names=names
@@ -145,8 +148,9 @@ def pack(
     rank_file: str | None = None,
     slack: int = SLACK,
     items_per_task: int = ITEMS_PER_TASK,
+    rounds: list[tuple[int, int]] | None = None,
 ) -> DataFrame:
-    """One row per piece with sequence_id and offset."""
+    """One row per piece with sequence_id and offset; rounds, if given, gets (items, tasks) of each."""
     pieces = durable(pieces_of(docs, id_col, text_col, capacity, rank_file))
     full = pieces.filter(F.col("length") == capacity).select(
         "*", (F.lit(1 << 62) + F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
@@ -155,18 +159,27 @@ def pack(
     items = pieces.filter(F.col("length") < capacity).select(
         F.col("length").alias("total"), *single, F.array(F.lit(0).cast("long")).alias("offset")
     )
-    tasks, level, done = math.inf, 0, [full]
-    while tasks > 1:
-        needed = math.ceil(items.count() / items_per_task)
-        # fewer tasks in each round, so that the loop ends even if no bin can be joined
-        tasks = max(1, needed if level == 0 else min(needed, math.ceil(tasks / FAN_IN)))
-        bins = durable(items.repartition(tasks).mapInArrow(_pack(capacity, slack, level, tasks == 1), BIN_SCHEMA))
+    level, done, n = 0, [full], items.count()
+    while n:
+        tasks = math.ceil(n / items_per_task)
+        if rounds is not None:
+            rounds.append((n, tasks))
+        bins = durable(items.repartition(tasks).mapInArrow(_pack(capacity, level), BIN_SCHEMA))
+        free = capacity - slack
+        open_ = F.col("total") < free
+        if tasks > 1:
+            # a bin that the smallest open one doesn't fit can't be joined with any
+            least = bins.filter(open_).agg(F.min("total")).first()[0]
+            open_ &= F.col("total") <= capacity - (least or 0)
+        left = bins.filter(open_).count() if tasks > 1 else 0
+        if left > STALE * n or not left:
+            open_, left = F.lit(False), 0
         done.append(
-            bins.filter("closed")
+            bins.filter(~open_)
             .select("bin", F.inline(F.arrays_zip(*BIN_FIELDS)))
             .select(*BIN_FIELDS[:5], F.col("bin").alias("sequence_id"), "offset")
         )
-        items = bins.filter("not closed").select("total", *BIN_FIELDS)
+        items, n = bins.filter(open_).select("total", *BIN_FIELDS), left
         level += 1
     result = done[0]
     for part in done[1:]:

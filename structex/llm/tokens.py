@@ -1,77 +1,65 @@
-"""Ids of the public byte-level BPE, fast on running text.
+"""Ids of the public byte-level BPE, as the tokenizer's JSON file gives them.
 
-White space starts every pre-token that contains it, so a text cut before single spaces can be
-encoded unit by unit: a unit is a space and the characters up to the next one, and begins and
-ends with a character that isn't white space. Ids of units are remembered per worker process (up
-to a bound), and a text is joined from them. Texts with any other unit (two spaces in a row, a
-space beside a line break, white space at an end) are encoded in one piece. The rank file holds
-the same vocabulary as the JSON file; tests compare the ids of both.
+The rank file holds the same vocabulary and is faster to read; tests compare the ids of both. The
+string of the one added token has an id of its own wherever it stands in a text, and the stretches
+between are encoded apart.
 """
 
 from __future__ import annotations
 
+import array
 import base64
+import re
+import sys
 from functools import lru_cache
 
-#: Units remembered by one encoder (about 200 bytes each), and the longest of them in characters.
-MAX_UNITS, MAX_UNIT_CHARS = 250_000, 48
+#: Fixed values of the vocabulary: its added token and that token's id.
+ADDED, ADDED_ID = "<|endoftext|>", 50_256
 
 
-class _Irregular(Exception):
-    pass
-
-
-class _Units(dict):
-    """Unit to little-endian 32-bit ids; lead is the character before each unit."""
-
-    def __init__(self, encode, lead: str, most: int):
-        super().__init__()
-        self.encode, self.lead, self.most = encode, lead, most
-
-    def __missing__(self, unit: str) -> bytes:
-        if not unit or unit[0].isspace() or unit[-1].isspace():
-            raise _Irregular
-        ids = _packed(self.encode(self.lead + unit))
-        if len(self) < self.most and len(unit) <= MAX_UNIT_CHARS:
-            self[unit] = ids
-        return ids
-
-
-def _packed(ids: list[int]) -> bytes:
-    import array
-    import sys
-
-    packed = array.array("I", ids)
-    if sys.byteorder == "big":
-        packed.byteswap()
-    return packed.tobytes()
+#: Runs of white space that the encoder's pattern can't take in (it fails from about a million on),
+#: looked for in texts of so many characters.
+LONG = 50_000
+_RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % LONG)
 
 
 class Encoder:
-    def __init__(self, rank_file: str, pattern: str, max_units: int):
+    def __init__(self, rank_file: str, pattern: str):
         import tiktoken
 
         with open(rank_file, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.encode = tiktoken.Encoding(
-            "ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}
-        ).encode_ordinary
-        self._first, self._later = _Units(self.encode, "", max_units // 16), _Units(self.encode, " ", max_units)
+        self._encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, text: str) -> list[int]:
+        """Ids of a text in which the added token is ordinary text."""
+        if len(text) < LONG:
+            return self._encoding.encode_ordinary(text)
+        ids, at = [], 0
+        for run in _RUN.finditer(text):
+            # a run is one piece but for its last character, which goes with what follows
+            end = run.end() - (run.end() < len(text))
+            ids += self._encoding.encode_ordinary(text[at : run.start()])
+            ids += self._encoding._encode_single_piece(text[run.start() : end])
+            at = end
+        return ids + self._encoding.encode_ordinary(text[at:])
 
     def packed(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        first, *later = text.split(" ")
-        try:
-            return self._first[first] + b"".join(map(self._later.__getitem__, later))
-        except _Irregular:
-            return _packed(self.encode(text))
+        ids = array.array("I")
+        first, *later = text.split(ADDED)
+        ids.extend(self.encode(first))
+        for part in later:
+            ids.append(ADDED_ID)
+            ids.extend(self.encode(part))
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
 
 @lru_cache(maxsize=2)
-def encoder(rank_file: str | None = None, max_units: int = MAX_UNITS) -> Encoder:
+def encoder(rank_file: str | None = None) -> Encoder:
     """One encoder per worker process; by default the public 50k vocabulary."""
     import public_tokenizers
 
-    return Encoder(rank_file or public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, max_units)
+    return Encoder(rank_file or public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)

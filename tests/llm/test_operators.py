@@ -135,7 +135,6 @@ def test_packing_ids_and_places(spark, rows):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     got = queries.op2_best_fit_packing(spark, DATA).collect()
     by_doc, by_bin = defaultdict(list), defaultdict(list)
     for r in got:
@@ -156,13 +155,20 @@ def test_packing_ids_and_places(spark, rows):
     assert len(by_bin) <= math.ceil(sum(r.length for r in got) / 2048) + 2
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.text(alphabet="ab 'sß\n\t 1.,", max_size=40))
-def test_unit_cache_equals_the_encoder(text):
+@pytest.fixture(scope="module")
+def tokenizer():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.text(alphabet="ab 'sß\n\t 1.,<|>endoftx", max_size=12), st.just("<|endoftext|>"), st.text(max_size=4)), max_size=8).map("".join))
+def test_ids_equal_the_tokenizer(tokenizer, text):
     from structex.llm.tokens import encoder
 
-    e = encoder()
-    assert e.packed(text) == np.array(e.encode(text), "<u4").tobytes()
+    assert encoder().packed(text) == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 @settings(max_examples=100, deadline=None)
@@ -173,6 +179,33 @@ def test_best_fit(lengths):
     assert all(sum(lengths[p] for p in b) <= 64 for b in bins)
 
 
+def test_ids_of_very_long_texts(tokenizer, monkeypatch):
+    from structex.llm import tokens
+
+    e = tokens.encoder()
+    texts = ["a" + " " * 60 + "b \n" + "\n" * 55 + "c", " " * 70, "\t" * 51 + "x" * 80, "word " * 40]
+    plain = [e.packed(t) for t in texts]
+    monkeypatch.setattr(tokens, "LONG", 50)
+    monkeypatch.setattr(tokens, "_RUN", re.compile(tokens._RUN.pattern.replace("50000", "50")))
+    assert [e.packed(t) for t in texts] == plain
+    monkeypatch.undo()
+    assert len(e.packed(" " * 1_500_000 + "x")) > 0 and len(e.packed("x" * 400_000)) > 0
+
+
+def test_packing_tasks_stay_bounded(spark):
+    """Lengths of which no two fit together, and one that fits any: no round gathers them."""
+    for lengths in ([1200] * 900, [1200] * 900 + [5], [700, 900, 1100] * 300, [1] * 2000):
+        docs = spark.createDataFrame([(i, "a " * (n - 2) + "a") for i, n in enumerate(lengths)], "doc_id long, text string")
+        rounds: list = []
+        got = packing.pack(docs, items_per_task=50, rounds=rounds).collect()
+        assert Counter(r.length for r in got) == Counter(lengths if lengths[0] > 1 else [2] * 2000)
+        assert all(n <= 50 * tasks for n, tasks in rounds) and len(rounds) < 12
+        totals = Counter()
+        for r in got:
+            totals[r.sequence_id] += r.length
+        assert max(totals.values()) <= 2048 and len(totals) <= math.ceil(sum(totals.values()) / 2048) * (1.75 if lengths[0] == 1200 else 1.25) + 3
+
+
 def test_packing_rounds_and_edges(edge, empty, docs):
     many = packing.pack(docs, items_per_task=20).collect()
     assert sum(r.length for r in many) == sum(r.length for r in packing.pieces_of(docs).collect())
