@@ -619,9 +619,78 @@ def test_mix_targets_and_caps(spark, docs):
     assert sorted(got) == sorted(queries.op7_source_mixing(spark, "/root/testdata/sf0.01").collect())
 
 
-def test_mix_targets_by_hand():
-    got = mixing.targets({"a": 1, "b": 100, "c": 100}, {"a": 1, "b": 2, "c": 3})
-    assert {k: float(v) for k, v in got.items()} == {"a": 3.0, "b": 79.2, "c": 118.8}
+def test_mix_targets_by_hand(spark):
+    rows = [("a", 1, 1), ("b", 100, 2), ("c", 100, 3)]
+    got = mixing.targets(spark.createDataFrame(rows, "source string, size long, weight long")).collect()
+    assert {r.source: round(r.goal, 9) for r in got} == {"a": 3.0, "b": 79.2, "c": 118.8}
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 2), st.booleans(), st.integers(0, 4)), min_size=1, max_size=3), st.lists(st.integers(0, 7), min_size=2, max_size=2))
+def test_flow_equals_every_flow_tried(raw, quota):
+    """Most words, then least cost, over all whole-numbered flows of small networks."""
+    patterns = {}
+    for s, both, n in raw:
+        patterns[("a", "b") if both else (("a",), ("b",), ("a", "b"))[s]] = n
+    quotas = dict(zip("ab", quota))
+    names = sorted(patterns)
+    best = None
+
+    def go(i, need, cost, sent):
+        nonlocal best
+        if i == len(names):
+            if best is None or (-sent, cost) < best:
+                best = (-sent, cost)
+            return
+        n = patterns[names[i]]
+        for x in range(min(need["a"], 3 * n) + 1 if "a" in names[i] else 1):
+            for y in range(min(need["b"], 3 * n - x) + 1 if "b" in names[i] else 1):
+                go(i + 1, {"a": need["a"] - x, "b": need["b"] - y}, cost + max(0, x + y - n) + max(0, x + y - 2 * n), sent + x + y)
+
+    go(0, quotas, 0, 0)
+    flow = mixing.route(patterns, quotas)
+    by_pattern, by_source = Counter(), Counter()
+    for (p, s), v in flow.items():
+        assert s in p and v > 0
+        by_pattern[p] += v
+        by_source[s] += v
+    assert all(v <= quotas[s] for s, v in by_source.items()) and all(v <= 3 * patterns[p] for p, v in by_pattern.items())
+    cost = sum(max(0, v - patterns[p]) + max(0, v - 2 * patterns[p]) for p, v in by_pattern.items())
+    assert (-sum(by_pattern.values()), cost) == best
+
+
+def test_mix_rows_that_repeat(spark):
+    """Rows of one id and size, over several tasks: within a document of each target, either way."""
+    rows = [(7, "w " * 10, s) for s in ("a", "b", "c") for _ in range(100)] + [(8, "w " * 3, "b")] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7)
+    got = mixing.mix(docs.withColumn("n", F.lit(1)))
+    taken = Counter()
+    rows_out = mixing.mix(docs, repeat_rows=True).collect()
+    for r in rows_out:
+        taken[r.source] += len(words(r.text))
+    total = 3015
+    for s, w in zip("abc", (1, 2, 3)):
+        assert abs(taken[s] - total * w / 6) <= 10, (s, taken)
+    assert got.agg(F.sum("taken")).first()[0] == sum(taken.values())
+    again = mixing.mix(docs.repartition(3), repeat_rows=True).collect()
+    assert Counter(tuple(r) for r in again) == Counter(tuple(r) for r in rows_out)
+
+
+def test_mix_many_sources_and_overlap(spark):
+    """More sources than a broadcast takes, and overlapping ones, give what the plain rules give."""
+    rng = random.Random(1)
+    rows = [(i, "w " * rng.randint(1, 9), [f"s{j}" for j in sorted(rng.sample(range(40), rng.choice((1, 1, 2))))]) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, sources array<string>")
+    got = {r.doc_id: r for r in mixing.mix(docs, members=F.col("sources")).collect()}
+    assert len(got) == 900 and all(r.taken <= 3 * r.size for r in got.values())
+    total = sum(r.size for r in got.values())
+    assert abs(sum(r.taken for r in got.values()) - total) <= 0.1 * total
+    before = mixing.MAX_BROADCAST
+    try:
+        mixing.MAX_BROADCAST = 3
+        assert {r.doc_id: r for r in mixing.mix(docs, members=F.col("sources")).collect()} == got
+    finally:
+        mixing.MAX_BROADCAST = before
 
 
 def test_flow_repeats_as_little_as_it_can():
