@@ -40,6 +40,21 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def join_counted(rows: DataFrame, table: DataFrame, keys: list[str], most: int = 200_000) -> DataFrame:
+    """rows joined with table, whose column n says how many rows have each of its keys.
+
+    Keys that more than a most-th of these rows have, so fewer than most keys, are broadcast: no
+    task gets all rows of such a key. The others meet by a shuffle.
+    """
+    total = table.agg(F.sum("n")).first()[0] or 0
+    limit = max(1_000, total // most)
+    hot = table.filter(F.col("n") > limit)
+    if hot.isEmpty():
+        return rows.join(table, keys)
+    rare = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(table.filter(F.col("n") <= limit), keys)
+    return rows.join(F.broadcast(hot), keys).unionByName(rare)
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once, even where body uses it inside lambdas."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -3,17 +3,19 @@
 A run of consecutive lines with min_words words or more that equals a run at an earlier place is
 deleted. Places are ordered by doc_id, then by line. The steps:
 
-1. Winnowing. From every line the shortest window on that reaches min_words words is taken, and
-   to every line the shortest one back. The line with the least hash in a window (the first of
-   equals) is its fingerprint. Windows depend on their own lines only, so two equal runs of
-   min_words words contain equal windows and share their fingerprints: that is the guarantee.
-2. Positions of a fingerprint are joined, together with the 128-bit hash of the window that
-   selected it, with the first position of the same. A key that a third of all documents has
-   costs one row per position, never pairs of positions.
-3. Matches extend both ways: a matched window continues in the matched windows that overlap or
-   adjoin it, forward and backward ones, to maximal runs. That covers exactly the lines that any
-   equal earlier run covers: inside a repeated run a line lies in the forward window of the run's
-   first line or else ends a backward window within the run.
+1. Winnowing. From every line the shortest window on that reaches min_words words is looked at,
+   and to every line the shortest one back. The line with the least hash in a window (the first of
+   equals) is its fingerprint. Neighbouring windows mostly share theirs, so fewer places than lines
+   are selected. Windows depend on their own lines only, so two equal runs of min_words words
+   contain equal windows and share their fingerprints: that is the guarantee.
+2. Positions of fingerprints are joined: those whose hash was selected once only are done with.
+3. Matches extend both ways: around each position that is left, the lines of the windows that
+   selected it are compared outward, by a 128-bit hash of all lines from one end of a window to
+   the other, with the first place that has the same. A run that a third of all documents has
+   costs a few rows per position, never pairs of positions; keys that many rows have meet their
+   first place by a broadcast. Windows that equal earlier ones are joined to maximal runs. That
+   covers exactly the lines that any equal earlier run covers: inside a repeated run a line lies in
+   the forward window of the run's first line or else ends a backward window within the run.
 4. Later runs are cut out of the texts.
 
 Defined cases: null texts stay null and have no lines; lines without a word are in no run by
@@ -33,11 +35,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from structex.llm.common import SPACE_CHARS, durable, in_parts
+from structex.llm.common import SPACE_CHARS, durable, in_parts, join_counted
 
 MIN_WORDS = 50
 _SPACE = SPACE_CHARS.encode()
-WINDOW_SCHEMA = "id long, th long, fp long, w1 long, w2 long, a int, b int"
+#: A selected place: its hash, its number among the lines around it, and those lines (hash, words, place).
+PLACE_SCHEMA = "id long, th long, fp long, at int, around binary"
+WINDOW_SCHEMA = "id long, th long, w1 long, w2 long, a int, b int"
+LINE = "<QII"
 
 
 def windows(words: list[int], min_words: int) -> list[tuple[int, int]]:
@@ -61,38 +66,73 @@ def windows(words: list[int], min_words: int) -> list[tuple[int, int]]:
     return sorted(found)
 
 
-def _fingerprints(min_words: int):
+def winnow(hashes: list[int], words: list[int], min_words: int) -> dict[int, tuple[int, int]]:
+    """By selected line: the bounds of all windows that select it, together."""
+    found: dict[int, tuple[int, int]] = {}
+    for a, b in windows(words, min_words):
+        at = min(range(a, b + 1), key=hashes.__getitem__)
+        low, high = found.get(at, (a, b))
+        found[at] = (min(a, low), max(b, high))
+    return found
+
+
+def lines_of(text: str) -> tuple[list[int], list[int], list[int]]:
+    """Hash, words and place of each line that has words."""
     import xxhash
 
-    digest64, digest128 = xxhash.xxh3_64_intdigest, xxhash.xxh3_128_digest
+    hashes, words, places = [], [], []
+    for place, line in enumerate(text.encode("utf-8", "surrogatepass").split(b"\n")):
+        line = line.strip(_SPACE)
+        if line:
+            hashes.append(xxhash.xxh3_64_intdigest(line))
+            words.append(len(line.split()))
+            places.append(place)
+    return hashes, words, places
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    fields = [f.split() for f in schema.split(", ")]
+    columns = list(zip(*rows, strict=True)) or [[] for _ in fields]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
 
+
+def _fingerprints(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_parts(batches):
-            rows: tuple[list, ...] = tuple([] for _ in range(7))
-            ids, hashes, texts = (batch.column(i).to_pylist() for i in range(3))
-            for doc_id, th, text in zip(ids, hashes, texts, strict=True):
+            rows: list[tuple] = []
+            ids, texts_hashes, texts = (batch.column(i).to_pylist() for i in range(3))
+            for doc_id, th, text in zip(ids, texts_hashes, texts, strict=True):
                 if not text:
                     continue
-                places, words, lines = [], [], []
-                for place, line in enumerate(text.encode("utf-8", "surrogatepass").split(b"\n")):
-                    line = line.strip(_SPACE)
-                    if line:
-                        places.append(place)
-                        words.append(len(line.split()))
-                        lines.append(digest64(line))
+                hashes, words, places = lines_of(text)
                 if sum(words) < min_words:
                     continue
-                for a, b in windows(words, min_words):
-                    part = lines[a : b + 1]
-                    w1, w2 = struct.unpack(">qq", digest128(struct.pack(f">{len(part)}Q", *part)))
-                    fp = min(part)
-                    values = (doc_id, th, fp - (1 << 63), w1, w2, places[a], places[b])
-                    for column, value in zip(rows, values, strict=True):
-                        column.append(value)
-            kinds = [pa.int64()] * 5 + [pa.int32()] * 2
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names=["id", "th", "fp", "w1", "w2", "a", "b"]
-            )
+                packed = [struct.pack(LINE, *line) for line in zip(hashes, words, places, strict=True)]
+                for at, (a, b) in winnow(hashes, words, min_words).items():
+                    rows.append((doc_id, th, hashes[at] - (1 << 63), at - a, b"".join(packed[a : b + 1])))
+                if len(rows) > 20_000:
+                    yield _batch(rows, PLACE_SCHEMA)
+                    rows = []
+            yield _batch(rows, PLACE_SCHEMA)
+
+    return run
+
+
+def _extend(min_words: int):
+    """The windows around each place that select it."""
+    import xxhash
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in in_parts(batches):
+            rows: list[tuple] = []
+            for doc_id, th, at, around in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                hashes, words, places = zip(*struct.iter_unpack(LINE, around), strict=True)
+                for a, b in windows(list(words), min_words):
+                    if a <= at <= b and min(range(a, b + 1), key=hashes.__getitem__) == at:
+                        whole = xxhash.xxh3_128_digest(struct.pack(f">{b + 1 - a}Q", *hashes[a : b + 1]))
+                        rows.append((doc_id, th, *struct.unpack(">qq", whole), places[a], places[b]))
+            yield _batch(rows, WINDOW_SCHEMA)
 
     return run
 
@@ -102,11 +142,14 @@ def repeated_runs(docs: DataFrame, id_col: str, text_col: str, min_words: int =
     source = docs.select(
         F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("th"), F.col(f"`{text_col}`").alias("t")
     )
-    found = durable(source.mapInArrow(_fingerprints(min_words), WINDOW_SCHEMA))
-    key = ["fp", "w1", "w2"]
-    place = F.struct("id", "th", "a")
-    first = found.groupBy(*key).agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first < last")
-    later = found.join(first.select(*key, "first"), key).filter(place > F.col("first")).select("id", "th", "a", "b")
+    found = durable(source.mapInArrow(_fingerprints(min_words), PLACE_SCHEMA))
+    shared = durable(found.groupBy("fp").agg(F.count("*").alias("n")).filter("n > 1"))
+    matched = join_counted(found, shared, ["fp"]).select("id", "th", "at", "around")
+    extended = durable(matched.mapInArrow(_extend(min_words), WINDOW_SCHEMA))
+    key, place = ["w1", "w2"], F.struct("id", "th", "a")
+    first = extended.groupBy(*key).agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n"))
+    first = durable(first.filter("first < last").select(*key, "first", "n"))
+    later = join_counted(extended, first, key).filter(place > F.col("first")).select("id", "th", "a", "b")
     before = Window.partitionBy("id", "th").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1)
     runs = (
         later.distinct()
@@ -119,22 +162,27 @@ def repeated_runs(docs: DataFrame, id_col: str, text_col: str, min_words: int =
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """The documents with later runs cut out; _lines, _removed (lines) and _spans say what went."""
-    spans = repeated_runs(docs, id_col, text_col, min_words).select(
-        F.col("id").alias("_id"), F.col("th").alias("_th"), F.col("spans").alias("_spans")
-    )
-    text = F.col(f"`{text_col}`")
-    joined = docs.join(
-        spans, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_th")), "left"
-    )
-    kept = F.filter(
-        F.split(text, "\n"), lambda _, i: ~F.exists(F.col("_spans"), lambda s: (i >= s["a"]) & (i <= s["b"]))
+    """The documents with later runs cut out; _lines, _removed (lines) and _spans say what went.
+
+    Where docs has columns of these names, they stay, and more underscores precede the new ones.
+    """
+    spans = repeated_runs(docs, id_col, text_col, min_words)
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.col(f"`{id_col}`").cast("long").alias("own_id"),
+        F.xxhash64(F.col(f"`{text_col}`")).alias("own_th"),
+        F.col(f"`{text_col}`").alias("text"),
     )
-    cleaned = F.when(F.col("_spans").isNull(), text).otherwise(F.array_join(kept, "\n"))
-    removed = F.aggregate("_spans", F.lit(0), lambda n, s: n + s["b"] - s["a"] + 1)
+    joined = rows.join(spans, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_th") == F.col("th")), "left")
+    kept = F.filter(F.split("text", "\n"), lambda _, i: ~F.exists("spans", lambda s: (i >= s["a"]) & (i <= s["b"])))
+    cleaned = F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    removed = F.aggregate("spans", F.lit(0), lambda n, s: n + s["b"] - s["a"] + 1)
+    ahead = "_"
+    while any(c in {ahead + "lines", ahead + "removed", ahead + "spans"} for c in docs.columns):
+        ahead += "_"
     return joined.select(
-        *[(cleaned.alias(c) if c == text_col else F.col(f"`{c}`")) for c in docs.columns],
-        F.coalesce(F.size(F.split(text, "\n")), F.lit(0)).alias("_lines"),
-        F.coalesce(removed, F.lit(0)).alias("_removed"),
-        F.coalesce(F.col("_spans"), F.array().cast("array<struct<a:int,b:int>>")).alias("_spans"),
+        *[(cleaned if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns],
+        F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).alias(ahead + "lines"),
+        F.coalesce(removed, F.lit(0)).alias(ahead + "removed"),
+        F.coalesce(F.col("spans"), F.array().cast("array<struct<a:int,b:int>>")).alias(ahead + "spans"),
     )

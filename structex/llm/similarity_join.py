@@ -257,7 +257,8 @@ def jaccard_classes(
     members = exploded.join(met, "key").join(signed.select("node", "sketch"), "node")
     bucket = ["key", "lo", "hi"]
     dealt = _blocks(members, "key", "count", 2 * block_size).select(*bucket, "node", "sketch")
-    trees = dealt.repartition(*bucket).sortWithinPartitions(*bucket).mapInArrow(_trees(least), "u long, v long")
+    # sorted by node, so that the buckets of a group of near copies mostly begin their trees at the same node
+    trees = dealt.repartition(*bucket).sortWithinPartitions(*bucket, "node").mapInArrow(_trees(least), "u long, v long")
     clusters = components(trees)
 
     sized = clusters.join(clusters.groupBy("label").agg(F.count("*").alias("count")), "label")
@@ -294,16 +295,21 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     """
     classes = jaccard_classes(docs, id_col, text_col, **options)
     first = classes.filter(F.col(id_col).eqNullSafe(F.col("class_id")))
-    first = first.select(F.col(id_col).alias("_id"), F.coalesce("th", F.lit(0)).alias("_th"), "label")
+    first = first.select(F.col(id_col).alias("first_id"), F.coalesce("th", F.lit(0)).alias("first_th"), "label")
     # ids that repeat with near copies: the text of the least hash
-    first = durable(first.groupBy("label", "_id").agg(F.min("_th").alias("_th"), F.count("*").alias("_rows")))
+    first = durable(first.groupBy("label", "first_id").agg(F.min("first_th").alias("first_th"), F.count("*").alias("n")))
+    # rows go in a struct, so that their columns may have any names
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    th = F.when(text.rlike(r"[^\x20\x09-\x0D]"), F.xxhash64(text)).otherwise(F.lit(0))
-    here = F.col(f"`{id_col}`").eqNullSafe(F.col("_id")) & (th == F.col("_th"))
-    again = first.filter("_rows > 1")
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.col(f"`{id_col}`").alias("own_id"),
+        F.when(text.rlike(r"[^\x20\x09-\x0D]"), F.xxhash64(text)).otherwise(F.lit(0)).alias("own_th"),
+    )
+    here = F.col("own_id").eqNullSafe(F.col("first_id")) & (F.col("own_th") == F.col("first_th"))
+    again = first.filter("n > 1")
     if again.isEmpty():
-        return docs.join(first, here, "left_semi")
+        return rows.join(first, here, "left_semi").select("row.*")
     # texts are only shuffled where rows repeat
-    repeated = docs.join(again, here).withColumn("_text", F.when(F.col("_th") == 0, text))
-    repeated = repeated.dropDuplicates(["_id", "_th", "_text"]).select(*[F.col(f"`{c}`") for c in docs.columns])
-    return docs.join(first.filter("_rows = 1"), here, "left_semi").unionByName(repeated)
+    blank = F.when(F.col("own_th") == 0, F.coalesce(F.col("row").getField(text_col), F.lit("")))
+    repeated = rows.join(again, here).withColumn("blank", blank).dropDuplicates(["own_id", "own_th", "blank"]).select("row")
+    return rows.join(first.filter("n = 1"), here, "left_semi").select("row").unionByName(repeated).select("row.*")

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 
@@ -598,6 +599,49 @@ def test_windows_are_shortest(sizes, least):
     assert got == expected
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 5), st.integers(1, 9)), min_size=1, max_size=40), st.integers(1, 25))
+def test_winnowing_selects_for_every_window(lines, least):
+    """Each window's least line is selected, once for all windows that share it, and windows are found again around it."""
+    import pyarrow as pa
+
+    hashes, sizes = [h for h, _ in lines], [w for _, w in lines]
+    found = line_dedup.winnow(hashes, sizes, least)
+    assert len(found) <= len(lines)
+    rows = []
+    for at, (a, b) in found.items():
+        around = b"".join(struct.pack(line_dedup.LINE, hashes[i], sizes[i], i) for i in range(a, b + 1))
+        rows.append((1, 2, at - a, around))
+    names = ["id", "th", "at", "around"]
+    batch = pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows]) if rows else None
+    got = [(r["a"], r["b"]) for out in line_dedup._extend(least)(iter([batch])) for r in out.to_pylist()] if batch else []
+    assert sorted(got) == line_dedup.windows(sizes, least)
+
+
+def test_winnowing_thins(rows):
+    n_lines = n_selected = 0
+    for _, text in rows:
+        hashes, sizes, _ = line_dedup.lines_of(text)
+        n_lines += len(hashes)
+        n_selected += len(line_dedup.winnow(hashes, sizes, 50))
+    assert n_selected < 0.7 * n_lines
+
+
+def test_lines_hot_runs_and_any_names(spark):
+    """A run that very many documents share, and columns with the names that are used inside."""
+    run = "\n".join(f"line {k} of the shared part has some words in it" for k in range(7))
+    docs = spark.range(3_000).select(
+        F.col("id").alias("doc_id"), F.concat(F.lit("own "), F.col("id"), F.lit("\n" + run + "\nend "), F.col("id")).alias("text"),
+        *[F.lit(i).alias(c) for i, c in enumerate(("_id", "_th", "_spans", "_lines", "_removed", "id", "th", "row", "own_id", "spans", "n"))],
+    )
+    got = line_dedup.dedup_lines(docs)
+    assert got.columns == [*docs.columns, "__lines", "__removed", "__spans"]
+    assert got.filter("__removed = 7 and _removed = 4 and th = 6").count() == 2_999
+    assert got.filter("__removed = 0").select("doc_id").collect()[0][0] == 0
+    kept = similarity_join.keep_one(docs.filter("doc_id < 3"))
+    assert kept.columns == docs.columns and kept.count() >= 1
+
+
 def test_lines_edges(edge, empty):
     got = line_dedup.dedup_lines(edge)
     assert got.count() == len(EDGE) and got.columns[:7] == edge.columns
