@@ -26,7 +26,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later repeated runs of lines go, and documents of which nothing else was left."""
-    cleaned = line_dedup.dedup_lines(docs)
+    cleaned = line_dedup.dedup_lines(docs.select(*COLUMNS))
     left = (F.col("_removed") == 0) | F.col("text").rlike(_HAS_WORD)
     n_chars = F.when(F.col("_removed") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long"))
     return cleaned.filter(left).withColumn("n_chars", n_chars).select(*COLUMNS)
