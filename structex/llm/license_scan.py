@@ -2,13 +2,16 @@
 
 Texts with a marker word are split into candidate blocks: each sentence and line with a marker,
 each paragraph around one, and each span, over lines and paragraphs or inside longer ones, where the
-words of a template stand (found by the places of word trigrams). A block is compressed alone and with every template as zstandard raw
-dictionary; the bytes that a template saves say how much of the block it explains. Templates are
-ranked by that saving; the best few are confirmed by the exact differences in wording, and the one
-with the fewest wins. Of overlapping blocks the one with the longest confirmed template stays.
+words of a template stand (found by the places of its word pairs or trigrams). A block is compressed
+alone and with every template as zstandard raw dictionary; the bytes that a template saves say how
+much of the block it explains. Templates are ranked by that saving and confirmed in this order by
+the exact differences in wording; the one with the fewest wins. A template that lacks too many of
+the block's words, or the block of its, in whatever order, can't be confirmed and isn't aligned; no
+other is left out. Of overlapping blocks the one with the longest confirmed template stays.
 
 The scan is narrow: a row never leaves its task. Texts without a marker are left out by a native
-filter before Python; blocks that recur are looked up.
+filter before Python; markers are chosen from the templates so that no block within the differences
+allowed is without one (see markers_of). Blocks that recur are looked up.
 
 Defined cases: null and empty texts have no findings; repeated rows are reported each; an empty
 table gives no rows; ties go to the template first by name; other columns are ignored.
@@ -20,19 +23,18 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from difflib import SequenceMatcher
-from functools import lru_cache
+from functools import lru_cache, reduce
+from operator import or_
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from structex.llm.common import in_parts
-from structex.llm.license_templates import MARKERS, TEMPLATES
+from structex.llm.license_templates import TEMPLATES
 
-#: Templates that are confirmed, by rank; the least share of a block's bytes that they save; and
-#: the differences allowed, as a share of the template's words.
-CANDIDATES, MIN_SAVING, MAX_DIFFERENCE = 4, 0.25, 0.15
-_MARKED = re.compile("|".join(map(re.escape, MARKERS)), re.IGNORECASE)
+#: The words that may be missing, and those that may be added, as a share of the template's words.
+MAX_DIFFERENCE = 0.15
 _WORD = re.compile(r"[\w.'/:-]*\w")
 _CLOSE = re.compile(r"[^\w\s]*")
 _SENTENCE = re.compile(r"[^\s].*?(?:[.!?](?=\s|$)|$)", re.DOTALL)
@@ -47,18 +49,41 @@ def words(text: str) -> list[str]:
     return [w.lower() for w in _WORD.findall(text)]
 
 
-def blocks(text: str) -> list[tuple[int, int]]:
+def slack(n: int) -> int:
+    """How many of a template's n words may be missing, and as many added."""
+    return int(MAX_DIFFERENCE * n)
+
+
+def markers_of(templates: dict[str, str]) -> list[str]:
+    """Words such that more of each template's words are markers than may be missing.
+
+    So every block that can be confirmed has a marker. Chosen one by one: the word that makes up
+    most of what the templates still lack, the longest of equals.
+    """
+    bags = {k: Counter(words(v)) for k, v in sorted(templates.items())}
+    lack = {k: slack(b.total()) + 1 for k, b in bags.items()}
+    chosen: list[str] = []
+    every = sorted({w for b in bags.values() for w in b})
+    while any(n > 0 for n in lack.values()):
+        gain = {w: sum(min(n, bags[k][w]) for k, n in lack.items() if n > 0) * min(len(w), 6) for w in every if w not in chosen}
+        best = max(gain, key=lambda w: (gain[w], len(w), w))
+        chosen.append(best)
+        lack = {k: n - bags[k][best] for k, n in lack.items()}
+    return chosen
+
+
+def blocks(text: str, marked: re.Pattern) -> list[tuple[int, int]]:
     """Bounds of the sentences, lines and paragraphs that have a marker."""
     found, at = set(), 0
     for line in text.split("\n"):
-        if _MARKED.search(line):
+        if marked.search(line.lower()):
             found.add((at, at + len(line)))
             for m in _SENTENCE.finditer(line):
-                if _MARKED.search(m[0]):
+                if marked.search(m[0].lower()):
                     found.add((at + m.start(), at + m.end()))
         at += len(line) + 1
     for m in re.finditer(r"(?:[^\n]*\S[^\n]*\n?)+", text):
-        if "\n" in m[0].rstrip("\n") and _MARKED.search(m[0]):
+        if "\n" in m[0].rstrip("\n") and marked.search(m[0].lower()):
             found.add((m.start(), m.start() + len(m[0].rstrip("\n"))))
     return sorted(found)
 
@@ -69,11 +94,15 @@ class Scanner:
 
         self.words = {k: words(v) for k, v in sorted(templates.items())}
         self.bags = {k: Counter(v) for k, v in self.words.items()}
-        # a block within the differences allowed shares at least one of these with its template
+        self.marked = re.compile("|".join(map(re.escape, markers_of(templates))))
+        # a block within the differences allowed shares one of these with its template: a missing
+        # word breaks as many as a tuple is long, an added one fewer, and so few don't break all
         self.places: dict[tuple, list[tuple[str, int]]] = defaultdict(list)
         for k, v in self.words.items():
-            for at, three in enumerate(zip(v, v[1:], v[2:], strict=False)):
-                self.places[three].append((k, at))
+            for at in range(len(v)):
+                part = tuple(v[at : at + (3 if len(v) >= 20 else 2)])
+                if len(part) == (3 if len(v) >= 20 else 2):
+                    self.places[part].append((k, at))
         self.plain = zstd.ZstdCompressor(level=level)
         # the dictionary ends with the template, where matches are cheapest
         self.given = {
@@ -88,17 +117,16 @@ class Scanner:
         data = block.encode("utf-8", "surrogatepass")
         size = len(self.plain.compress(data))
         savings = sorted(((size - len(c.compress(data)), k) for k, c in self.given.items()), key=lambda x: (-x[0], x[1]))
-        best = None
-        for saved, name in savings[:CANDIDATES]:
-            if saved < MIN_SAVING * size:
-                break
+        best, bag = None, Counter(own)
+        for saved, name in savings:
             goal = self.words[name]
-            # far longer blocks can't be confirmed and needn't be aligned
-            if len(own) > (1 + MAX_DIFFERENCE) * len(goal) or len(own) < (1 - MAX_DIFFERENCE) * len(goal):
+            # what is common in any order bounds what is common in order
+            common = (bag & self.bags[name]).total()
+            if max(len(goal), len(own)) - common > slack(len(goal)):
                 continue
             parts = [o for o in SequenceMatcher(None, goal, own, autojunk=False).get_opcodes() if o[0] != "equal"]
             missing, extra = sum(o[2] - o[1] for o in parts), sum(o[4] - o[3] for o in parts)
-            if max(missing, extra) <= MAX_DIFFERENCE * len(goal):
+            if max(missing, extra) <= slack(len(goal)):
                 said = "; ".join(f"-{' '.join(goal[o[1]:o[2]])} +{' '.join(own[o[3]:o[4]])}" for o in parts)
                 row = (missing + extra, -saved, name, size, saved, missing, extra, said)
                 best = row if best is None or row < best else best
@@ -109,19 +137,20 @@ class Scanner:
         at = [m.span() for m in _WORD.finditer(text)]
         own = [text[a:b].lower() for a, b in at]
         starts: dict[str, Counter] = defaultdict(Counter)
-        for i, three in enumerate(zip(own, own[1:], own[2:], strict=False)):
-            for name, k in self.places.get(three, ()):
-                starts[name][i - k] += 1
+        for i in range(len(own)):
+            for size in (2, 3):
+                for name, k in self.places.get(tuple(own[i : i + size]), ()):
+                    starts[name][i - k] += 1
         found = set()
         for name, counted in starts.items():
             goal, covered = self.words[name], set()
-            slack = int(MAX_DIFFERENCE * len(goal))
+            apart = slack(len(goal))
             for start, _ in sorted(counted.items(), key=lambda x: (-x[1], x[0])):
                 if start + len(goal) // 2 in covered:
                     continue
-                low = max(0, start - slack)
-                part = own[low : start + len(goal) + slack]
-                if (Counter(part) & self.bags[name]).total() < len(goal) - slack:
+                low = max(0, start - apart)
+                part = own[low : start + len(goal) + apart]
+                if (Counter(part) & self.bags[name]).total() < len(goal) - apart:
                     continue
                 runs = [r for r in SequenceMatcher(None, goal, part, autojunk=False).get_matching_blocks() if r.size]
                 # words that match by chance outside the wording are farther from it than they are long
@@ -138,7 +167,7 @@ class Scanner:
     def scan(self, text: str) -> list[tuple]:
         """(license, start, end, plain, saved, missing, extra, differences), without overlaps."""
         found = []
-        for a, b in sorted({*blocks(text), *self.spans(text)}):
+        for a, b in sorted({*blocks(text, self.marked), *self.spans(text)}):
             judged = self.known(text[a:b]) if b - a < 4096 else self._judge(text[a:b])
             if judged:
                 found.append((-len(self.words[judged[0]]), judged[3] + judged[4], a, b, judged))
@@ -169,5 +198,7 @@ def _scan(templates: dict[str, str]):
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None) -> DataFrame:
     """One row per confirmed licence: its place (code points) and how its wording differs."""
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    marked = rows.filter(F.col("text").rlike("(?i)" + "|".join(MARKERS)))
-    return marked.mapInArrow(_scan(templates or TEMPLATES), SCHEMA)
+    templates = templates or TEMPLATES
+    low = F.lower("text")
+    marked = rows.filter(reduce(or_, (F.contains(low, F.lit(m)) for m in markers_of(templates)), F.lit(False)))
+    return marked.mapInArrow(_scan(templates), SCHEMA)

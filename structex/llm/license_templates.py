@@ -57,6 +57,3 @@ TEMPLATES: dict[str, str] = {
     "Unlicense": "This is free and unencumbered software released into the public domain.",
     "All-rights-reserved": "All rights reserved.",
 }
-
-#: A block without any of these can't match a template; lower case.
-MARKERS = ("licen", "copyright", "rights reserved", "permission", "redistribut", "public domain", "free software", "cc by")
