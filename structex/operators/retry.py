@@ -63,9 +63,25 @@ def document_budget(chunks: DataFrame, budget: int, doc_col: str = "doc_id") ->
     before = Window.partitionBy(doc_col).orderBy("chunk_index").rowsBetween(Window.unboundedPreceding, -1)
     spent = F.coalesce(F.sum(F.coalesce("tokens", F.lit(0))).over(before), F.lit(0))
     accounted = F.coalesce(F.min(F.col("tokens").isNotNull()).over(before), F.lit(True))
-    marked = chunks.withColumns({"spent_before": spent, "_stop": (spent >= budget) | ~accounted})
+    why = F.when(~accounted, F.lit("usage-unavailable")).when(spent >= budget, F.lit("token-budget"))
+    marked = chunks.withColumns({"spent_before": spent, "stop_reason": why})
     upto = Window.partitionBy(doc_col).orderBy("chunk_index").rowsBetween(Window.unboundedPreceding, 0)
-    return marked.withColumn("stopped", F.max("_stop").over(upto)).drop("_stop")
+    return marked.withColumn("stopped", F.max(F.col("stop_reason").isNotNull()).over(upto))
+
+
+def stop_from(chunks: DataFrame, at: Column, reason: str, doc_col: str = "doc_id") -> DataFrame:
+    """Also stop each document at its first chunk for which at holds; chunks has stopped and stop_reason."""
+    upto = Window.partitionBy(doc_col).orderBy("chunk_index").rowsBetween(Window.unboundedPreceding, 0)
+    here = ~F.col("stopped") & at
+    marked = chunks.withColumn("_here", here).withColumn("stop_reason", F.when(F.col("_here"), F.lit(reason)).otherwise(F.col("stop_reason")))
+    return marked.withColumn("stopped", F.col("stopped") | F.max("_here").over(upto)).drop("_here")
+
+
+def stop_after(chunks: DataFrame, at: Column, doc_col: str = "doc_id") -> DataFrame:
+    """Also stop each document behind its first chunk for which at holds."""
+    before = Window.partitionBy(doc_col).orderBy("chunk_index").rowsBetween(Window.unboundedPreceding, -1)
+    marked = chunks.withColumn("_here", ~F.col("stopped") & at)
+    return marked.withColumn("stopped", F.col("stopped") | F.coalesce(F.max("_here").over(before), F.lit(False))).drop("_here")
 
 
 def run_waves(

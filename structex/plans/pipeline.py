@@ -15,9 +15,9 @@ from structex.functions import account
 from structex.functions.jsonx import at
 from structex.functions.schema import Schema
 from structex.functions.validate import coerce, issues, plain_json, reask_text, unwrap_items
-from structex.operators import chunk, merge, modes, retry
+from structex.operators import chunk, cite, merge, modes, retry
 from structex.plans.durable import durable
-from structex.sources.clients import ModelClient
+from structex.sources.clients import CallClient, ModelClient, with_timeout
 
 
 @dataclass(frozen=True)
@@ -48,16 +48,24 @@ class Options:
             raise ValueError("dedupe is 'overlap' or 'none', on_conflict 'first' or 'error'")
 
 
-def read_replies(replies: DataFrame, schema: Schema, mode: str, raw: str = "raw", error: str = "error") -> DataFrame:
+def read_replies(replies: DataFrame, schema: Schema, mode: str, raw: str = "raw", error: str = "error", context: Column | None = None) -> DataFrame:
     """Add value, issues, parse_error, usage, truncated, status and data to replies.
 
-    status: ok, provider_error, truncated, JsonParseError or SchemaValidationError.
+    status: ok, provider_error, truncated, JsonParseError or SchemaValidationError. context is the
+    source text: quotes of a cited schema that don't stand in it are issues, and those that do
+    become the source's own words.
     """
     v = F.try_parse_json(F.col(raw))
     parsed = replies.withColumn("_p", modes.parse(mode, F.col(raw)))
     value = unwrap_items(F.col("_p.value")) if schema.root_kind() == "array" else F.col("_p.value")
     rows = parsed.withColumns({"value": value, "parse_error": F.col("_p.error"), "usage": account.usage(v), "truncated": account.truncation_reason(v)}).drop("_p")
     rows = rows.withColumn("issues", F.when(F.col("value").isNotNull(), issues(schema, F.col("value"))))
+    quoted = schema.quoted and context is not None
+    if quoted:
+        quotes = F.try_variant_get(F.col("value"), "$.substring_quotes", "array<string>")
+        rows = rows.withColumn("_spans", cite.spans(quotes, context))
+        wrong = F.coalesce(cite.citation_issues(quotes, F.col("_spans")), F.array().cast("array<struct<path:string,message:string>>"))
+        rows = rows.withColumn("issues", F.concat("issues", wrong))
     status = (
         F.when(F.col(error).isNotNull(), F.lit("provider_error"))
         .when(F.size("issues") == 0, F.lit("ok"))
@@ -65,21 +73,44 @@ def read_replies(replies: DataFrame, schema: Schema, mode: str, raw: str = "raw"
         .when(F.col("parse_error").isNotNull(), F.lit("JsonParseError"))
         .otherwise(F.lit("SchemaValidationError"))
     )
-    return rows.withColumn("status", status).withColumn("data", F.when(F.col("status") == "ok", coerce(schema, F.col("value"))))
+    rows = rows.withColumn("status", status).withColumn("data", F.when(F.col("status") == "ok", coerce(schema, F.col("value"))))
+    if quoted:
+        own = F.col("data").withField("substring_quotes", cite.rewritten(F.col("_spans"), context))
+        rows = rows.withColumn("data", F.when(F.col("status") == "ok", own)).drop("_spans")
+    return rows
 
 
-def extract(calls: DataFrame, schema: Schema, client: ModelClient, mode: str | None = None, max_retries: int = retry.MAX_RETRIES, token_budget: int | None = None) -> DataFrame:
-    """Live retry loop over calls (call_id, model, messages): every attempt, with outcome."""
+def extract(
+    calls: DataFrame,
+    schema: Schema,
+    client: ModelClient,
+    mode: str | None = None,
+    max_retries: int = retry.MAX_RETRIES,
+    token_budget: int | None = None,
+    sampling: dict[str, Column] | None = None,
+    context: Column | None = None,
+    timeout: int | None = None,
+    carry: Sequence[str] = (),
+) -> DataFrame:
+    """Live retry loop over calls (call_id, model, messages): every attempt, with outcome.
+
+    outcome is success, provider_error, truncated, exhausted, exceeded or unavailable (the budget),
+    or continue, where another attempt follows; is_last_attempt says which one a call ended with.
+    carry: other columns of calls that come along.
+    """
     account.check_max_retries(max_retries)
     account.check_token_budget(token_budget)
+    account.check_timeout(timeout)
     mode = mode or client.default_mode
+    if timeout is not None and isinstance(client, CallClient):
+        client = with_timeout(client, timeout, client.deadline)
 
     def ask(open_: DataFrame, attempt: int) -> DataFrame:
-        body = modes.encode(mode, schema, F.col("model"), F.col("messages"))
+        body = modes.encode(mode, schema, F.col("model"), F.col("messages"), sampling)
         had = F.col("spent") if "spent" in open_.columns else F.lit(0)
         known = F.col("accounted") if "accounted" in open_.columns else F.lit(True)
-        requests = open_.select("call_id", "model", "messages", had.cast("long").alias("spent"), known.alias("accounted")).withColumn("body", body)
-        read = read_replies(client.ask(requests.withColumn("attempt", F.lit(attempt))).drop("attempt"), schema, mode)
+        requests = open_.select("call_id", "model", "messages", *carry, had.cast("long").alias("spent"), known.alias("accounted")).withColumn("body", body)
+        read = read_replies(client.ask(requests.withColumn("attempt", F.lit(attempt))).drop("attempt"), schema, mode, context=context)
         read = read.withColumns(
             {
                 "spent": F.col("spent") + F.coalesce("usage.total_tokens", F.lit(0)),
@@ -89,74 +120,149 @@ def extract(calls: DataFrame, schema: Schema, client: ModelClient, mode: str | N
         left = F.lit(attempt <= max_retries)
         state = account.budget_state(F.col("spent"), F.col("accounted"), F.lit(token_budget).cast("long"))
         outcome = (
-            F.when(F.col("status").isin("ok", "provider_error", "truncated"), F.col("status"))
+            F.when(F.col("status") == "ok", F.lit("success"))
+            .when(F.col("status").isin("provider_error", "truncated"), F.col("status"))
             .when(~left, F.lit("exhausted"))
             .when(state != "ok", state)
             .otherwise(F.lit("continue"))
         )
         text = reask_text(F.col("issues"), F.col("value").isNull())
         grown = modes.reask(mode, F.col("messages"), F.col("raw"), text)
-        return read.withColumn("outcome", outcome).withColumn("messages", F.when(F.col("outcome") == "continue", grown).otherwise(F.col("messages")))
+        read = read.withColumn("outcome", outcome).withColumn("is_last_attempt", F.col("outcome") != "continue")
+        return read.withColumn("messages", F.when(F.col("outcome") == "continue", grown).otherwise(F.col("messages")))
 
-    return retry.run_waves(calls.select("call_id", "model", "messages"), ask, durable, max_retries)
+    return retry.run_waves(calls.select("call_id", "model", "messages", *carry), ask, durable, max_retries)
 
 
 def document_chunks(docs: DataFrame, options: Options) -> DataFrame:
     return chunk.chunk_documents(docs, options.chunk_size, options.overlap, options.chunker)
 
 
-def merge_outcomes(outcomes: DataFrame, schema: Schema, options: Options, doc_col: str = "doc_id") -> DataFrame:
-    """Chunk outcomes (doc, chunk_index, start_index, end_index, value, status, tokens) to one row per
-    document: status, data, partial, issues, conflicts, chunks, failed, tokens, usage_available.
+def merge_outcomes(outcomes: DataFrame, schema: Schema, options: Options, doc_col: str = "doc_id", docs: DataFrame | None = None) -> DataFrame:
+    """Chunk outcomes (doc, chunk_index, start_index, end_index, value, status, tokens and, if there
+    is one, error) to one row per document: status, reason, data, partial, issues, conflicts, chunks,
+    failed, chunk_errors, tokens, usage_available. With docs, documents without chunks have a row too.
 
-    status: merged, conflict, invalid, no_data, interrupted (the budget ran out before the last
-    chunk), chunk_error (a chunk failed and the policy is abort).
+    status: merged, conflict, invalid, no_data (reason empty-document or all-chunks-failed),
+    interrupted (reason token-budget, usage-unavailable or timeout), chunk_error (a chunk failed and
+    the policy is abort). Chunks behind the one that a document stopped at count for nothing.
     """
     rows = outcomes
     if options.token_budget is not None:
         rows = retry.document_budget(rows, options.token_budget, doc_col)
     else:
-        rows = rows.withColumn("stopped", F.lit(False))
+        rows = rows.withColumns({"stopped": F.lit(False), "stop_reason": F.lit(None).cast("string")})
+    if "error" in outcomes.columns:
+        rows = retry.stop_from(rows, F.col("error").eqNullSafe("timeout"), "timeout", doc_col)
+    if options.on_chunk_error == "abort":
+        rows = retry.stop_after(rows, F.col("status") != "ok", doc_col)
     ran = ~F.col("stopped")
     failed = ran & (F.col("status") != "ok")
+    error = F.struct("chunk_index", "start_index", "end_index", F.col("status").alias("cause"), "tokens")
     totals = rows.groupBy(doc_col).agg(
         F.count(F.when(ran, 1)).alias("chunks"),
         F.count(F.when(failed, 1)).alias("failed"),
+        F.sort_array(F.collect_list(F.when(failed, error))).alias("chunk_errors"),
         F.min(F.when(failed, F.col("chunk_index"))).alias("first_failed"),
         F.coalesce(F.sum(F.when(ran, F.col("tokens"))), F.lit(0)).alias("tokens"),
         F.coalesce(F.bool_and(F.when(ran, F.col("tokens").isNotNull())), F.lit(True)).alias("usage_available"),
-        F.bool_or("stopped").alias("stopped"),
+        F.min_by("stop_reason", F.when(F.col("stop_reason").isNotNull(), F.col("chunk_index"))).alias("stop_reason"),
     )
     good = rows.filter(ran & (F.col("status") == "ok")).select(doc_col, "chunk_index", "start_index", "end_index", "value")
     merged = merge.merge_into(good, schema, dedupe=options.dedupe, dedupe_by=options.dedupe_by, on_conflict=options.on_conflict, doc_col=doc_col)
     out = totals.join(merged.withColumnRenamed("status", "_merged"), doc_col, "left")
-    status = F.when(F.col("stopped"), F.lit("interrupted"))
+    if docs is not None:
+        out = docs.select(doc_col).distinct().join(out, doc_col, "left").withColumns(
+            {
+                "chunks": F.coalesce("chunks", F.lit(0)),
+                "failed": F.coalesce("failed", F.lit(0)),
+                "tokens": F.coalesce("tokens", F.lit(0)),
+                "usage_available": F.coalesce("usage_available", F.lit(True)),
+            }
+        )
+    status = F.when(F.col("stop_reason").isNotNull(), F.lit("interrupted"))
     if options.on_chunk_error == "abort":
-        status = F.when(F.col("failed") > 0, F.lit("chunk_error")).when(F.col("stopped"), F.lit("interrupted"))
+        status = F.when(F.col("failed") > 0, F.lit("chunk_error")).when(F.col("stop_reason").isNotNull(), F.lit("interrupted"))
     status = status.when(F.col("_merged").isNull(), F.lit("no_data")).otherwise(F.col("_merged"))
+    reason = F.when(F.col("status") == "interrupted", F.col("stop_reason")).when(
+        F.col("status") == "no_data", F.when(F.col("chunks") == 0, F.lit("empty-document")).otherwise(F.lit("all-chunks-failed"))
+    )
     data = F.when(F.col("status") == "merged", F.col("data"))
-    return out.withColumn("status", status).withColumn("data", data).drop("_merged", "stopped")
+    return out.withColumn("status", status).withColumn("reason", reason).withColumn("data", data).drop("_merged", "stop_reason")
+
+
+OUTCOME_COLUMNS = ("doc_id", "chunk_index", "start_index", "end_index", "value", "status", "tokens", "error")
+
+
+def run_chunks(
+    chunks: DataFrame, schema: Schema, client: ModelClient, instruction: str, options: Options, model: str = "", sampling: dict[str, Column] | None = None
+) -> DataFrame:
+    """The outcome of each chunk, OUTCOME_COLUMNS; every chunk is a call with its own retries and budget.
+
+    Chunks run side by side. Where a document may have to stop (a token budget, or abort on a
+    failed chunk) they go in waves: the n-th chunks of all documents that are still open. Chunks
+    that were never asked come back as not_asked.
+    """
+    mode = options.mode or client.default_mode
+    if options.timeout is not None and isinstance(client, CallClient):
+        client = with_timeout(client, options.timeout, client.deadline)
+    windows = ("doc_id", "chunk_index", "start_index", "end_index", "chunk_text")
+
+    def ask(part: DataFrame) -> DataFrame:
+        prompt = modes.chunk_prompt(instruction, F.col("chunk_text"))
+        calls = part.select(
+            F.concat_ws(":", "doc_id", "chunk_index").alias("call_id"), F.lit(model).alias("model"), F.array(modes.text_message("user", prompt)).alias("messages"), *windows
+        )
+        attempts = extract(
+            calls, schema, client, mode, options.max_retries, options.chunk_token_budget, sampling, F.col("chunk_text") if schema.quoted else None, carry=windows
+        )
+        # what the merge sees is the validated value: defaults filled, undeclared keys gone
+        plain = F.parse_json(plain_json(schema, F.col("value")))
+        if schema.quoted:
+            plain = F.to_variant_object("data")
+        last = attempts.filter("is_last_attempt").withColumn("tokens", F.when(F.col("accounted"), F.col("spent")))
+        return last.withColumn("value", F.when(F.col("status") == "ok", plain)).select(*OUTCOME_COLUMNS)
+
+    if options.token_budget is None and options.on_chunk_error == "skip":
+        return ask(chunks)
+    chunks = durable(chunks.select(*windows))
+    open_ = chunks.select("doc_id").distinct()
+    last = chunks.agg(F.max("chunk_index")).first()[0]
+    done: DataFrame | None = None
+    for number in range(0 if last is None else last + 1):
+        wave = durable(ask(chunks.filter(F.col("chunk_index") == number).join(open_, "doc_id")))
+        done = wave if done is None else done.unionByName(wave)
+        stops = F.lit(False)
+        if options.on_chunk_error == "abort":
+            stops |= F.bool_or(F.col("status") != "ok")
+        if options.token_budget is not None:
+            stops |= (F.coalesce(F.sum("tokens"), F.lit(0)) >= options.token_budget) | ~F.bool_and(F.col("tokens").isNotNull())
+        open_ = durable(done.groupBy("doc_id").agg(stops.alias("stops"), F.max("chunk_index").alias("at")).filter(~F.col("stops") & (F.col("at") == number)).select("doc_id"))
+        if open_.isEmpty():
+            break
+    if done is None:
+        return ask(chunks)
+    rest = chunks.join(done.select("doc_id", "chunk_index"), ["doc_id", "chunk_index"], "left_anti")
+    kinds = {f.name: f.dataType for f in done.schema.fields}
+    missing = {"value": None, "status": "not_asked", "tokens": None, "error": None}
+    return done.unionByName(rest.select(*windows[:4], *[F.lit(v).cast(kinds[c]).alias(c) for c, v in missing.items()]))
 
 
 def extract_documents(
-    docs: DataFrame, schema: Schema, client: ModelClient, instruction: str, chunk_schema: Schema | None = None, options: Options = Options(), model: str = ""
+    docs: DataFrame,
+    schema: Schema,
+    client: ModelClient,
+    instruction: str,
+    chunk_schema: Schema | None = None,
+    options: Options = Options(),
+    model: str = "",
+    sampling: dict[str, Column] | None = None,
 ) -> DataFrame:
-    """Chunk, ask, validate each chunk tolerantly, merge, validate strictly: one row per document
-    that isn't blank. Chunks run in parallel; one attempt each (extract() has the retry loop)."""
+    """Chunk, ask, validate each chunk tolerantly, merge, validate strictly: one row per document."""
     options.check()
-    mode = options.mode or client.default_mode
-    tolerant = chunk_schema or schema
-    chunks = document_chunks(docs, options)
-    prompt = modes.chunk_prompt(instruction, F.col("chunk_text"))
-    requests = chunks.withColumn("body", modes.encode(mode, tolerant, F.lit(model), F.array(modes.text_message("user", prompt))))
-    read = read_replies(client.ask(requests), tolerant, mode)
-    # what the merge sees is the validated value: defaults filled, undeclared keys gone
-    plain = F.when(F.col("status") == "ok", F.parse_json(plain_json(tolerant, F.col("value"))))
-    outcomes = read.select(
-        "doc_id", "chunk_index", "start_index", "end_index", plain.alias("value"), "status", F.col("usage.total_tokens").alias("tokens")
-    )
+    outcomes = run_chunks(document_chunks(docs, options), chunk_schema or schema, client, instruction, options, model, sampling)
     # replies are paid for once, and the merge reads the outcomes several times
-    return merge_outcomes(durable(outcomes), schema, options)
+    return merge_outcomes(durable(outcomes), schema, options, docs=docs)
 
 
 def attempt_events(attempts: DataFrame) -> DataFrame:

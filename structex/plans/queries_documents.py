@@ -336,8 +336,9 @@ def chunk_abort(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CHUNK_ABORT_SQL = f"""
-WITH {OUTCOMES_SQL}, g AS (SELECT doc_id, count(*) FILTER (bad) AS failed, count(*) AS chunks, min_by(size, chunk_index) FILTER (NOT bad) AS size,
-  CAST(coalesce(sum(tokens), 0) AS BIGINT) AS tokens, bool_and(tokens IS NOT NULL) AS usage_available FROM o GROUP BY doc_id)
+WITH {OUTCOMES_SQL}, asked AS (SELECT * FROM (SELECT *, coalesce(bool_or(bad) OVER (PARTITION BY doc_id ORDER BY chunk_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS over FROM o) WHERE NOT over),
+g AS (SELECT doc_id, count(*) FILTER (bad) AS failed, count(*) AS chunks, min_by(size, chunk_index) FILTER (NOT bad) AS size,
+  CAST(coalesce(sum(tokens), 0) AS BIGINT) AS tokens, bool_and(tokens IS NOT NULL) AS usage_available FROM asked GROUP BY doc_id)
 SELECT doc_id, CASE WHEN failed > 0 THEN 'chunk_error' ELSE 'merged' END AS status, CAST(CASE WHEN failed = 0 THEN size END AS BIGINT) AS size,
   chunks, failed, tokens, usage_available FROM g"""
 
@@ -345,21 +346,23 @@ SELECT doc_id, CASE WHEN failed > 0 THEN 'chunk_error' ELSE 'merged' END AS stat
 def partial_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The budget interrupts documents: what was completed before is merged as partial."""
     rows = pipeline.merge_outcomes(_outcomes(spark, sf_dir), TOTALS_SCHEMA, pipeline.Options(token_budget=BUDGET))
-    return rows.select("doc_id", "status", F.try_variant_get("partial", "$.size", "long").alias("partial_size"), "chunks", "failed")
+    return rows.select("doc_id", "status", "reason", F.try_variant_get("partial", "$.size", "long").alias("partial_size"), "chunks", "failed")
 
 
 PARTIAL_MERGE_SQL = f"""
-WITH {OUTCOMES_SQL}, g AS (SELECT doc_id, bool_or(stopped) AS stopped, count(*) FILTER (NOT stopped) AS chunks, count(*) FILTER (NOT stopped AND bad) AS failed,
+WITH {OUTCOMES_SQL}, g AS (SELECT doc_id, bool_or(stopped) AS stopped, min_by(known, chunk_index) FILTER (stopped) AS known, count(*) FILTER (NOT stopped) AS chunks, count(*) FILTER (NOT stopped AND bad) AS failed,
   min_by(size, chunk_index) FILTER (NOT stopped AND NOT bad) AS size FROM o GROUP BY doc_id)
 SELECT doc_id, CASE WHEN stopped THEN 'interrupted' WHEN size IS NULL THEN 'no_data' ELSE 'merged' END AS status,
+  CASE WHEN stopped THEN CASE WHEN known THEN 'token-budget' ELSE 'usage-unavailable' END WHEN size IS NULL THEN 'all-chunks-failed' END AS reason,
   CAST(size AS BIGINT) AS partial_size, chunks, failed FROM g"""
 
 
 def no_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = pipeline.merge_outcomes(_outcomes(spark, sf_dir), TOTALS_SCHEMA, pipeline.Options()).filter("status = 'no_data'").select("doc_id", F.lit("all-chunks-failed").alias("reason"))
+    """Documents of which no chunk was good, and blank ones, which have none."""
     docs = _docs(spark, sf_dir)
-    blanks = docs.select((-F.col("doc_id") - 1).alias("doc_id"), F.lit(" \n").alias("text"))
-    return rows.union(blanks.filter(is_blank(F.col("text"))).select("doc_id", F.lit("empty-document")))
+    docs = docs.select("doc_id", "text").union(docs.select(-F.col("doc_id") - 1, F.lit(" \n")))
+    rows = pipeline.merge_outcomes(_outcomes(spark, sf_dir), TOTALS_SCHEMA, pipeline.Options(), docs=docs)
+    return rows.filter("status = 'no_data'").select("doc_id", "reason")
 
 
 NO_DATA_SQL = f"""
@@ -423,7 +426,8 @@ WITH {CHUNKS_SQL}, c AS (SELECT *, substr(text, CAST(start_index + 1 AS BIGINT),
 h AS (SELECT doc_id, count(*) AS chunks, CAST(sum(length(t) + 10) AS BIGINT) AS tokens,
   min_by(nullif(regexp_extract(t, '([A-Za-z]{{12,}})', 1), ''), chunk_index) FILTER (regexp_extract(t, '([A-Za-z]{{12,}})', 1) <> '') AS hint FROM c GROUP BY doc_id)
 SELECT h.doc_id, 'merged' AS status, chunks, tokens, hint, coalesce(ips, '') AS ips, coalesce(numbers, '') AS numbers
-FROM h LEFT JOIN ips ON h.doc_id = ips.doc_id LEFT JOIN numbers ON h.doc_id = numbers.doc_id"""
+FROM h LEFT JOIN ips ON h.doc_id = ips.doc_id LEFT JOIN numbers ON h.doc_id = numbers.doc_id
+UNION ALL SELECT doc_id, 'no_data', 0, 0, NULL, NULL, NULL FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM h)"""
 
 
 QUERIES = {

@@ -72,8 +72,15 @@ class Invalid(ValueError):
 def check(schema: Schema, value: Any) -> Any:
     """The validated value in Python (unknown keys dropped, defaults filled), or Invalid.
 
-    Column predicates can't run on single Python values; streamed values are checked for shape.
+    Refinements run in their plain form; a value with one that has none is not valid here.
     """
+    value = _shaped(schema, value)
+    if value is not MISSING and value is not None and not all(c.plain is not None and c.plain(value) for c in schema.checks):
+        raise Invalid
+    return value
+
+
+def _shaped(schema: Schema, value: Any) -> Any:
     if value is MISSING:
         if schema.has_default:
             return schema.default_value
