@@ -234,3 +234,104 @@ def test_long_document_scores(spark):
     planted = spark.createDataFrame([(i, p.sku, p.amount) for i, p in enumerate(doc.planted)], "ord int, sku string, amount double")
     assert score.recall(planted, items).first().recall == 1.0
     assert score.duplicate_rate(items).first().duplicate_rate < 0.05
+
+
+def _reply(text):
+    """A content reply of 10 tokens that says text."""
+    message = F.array(F.struct(F.struct(text.alias("content")).alias("message")))
+    usage = F.struct(F.lit(6).alias("prompt_tokens"), F.lit(4).alias("completion_tokens"))
+    return F.to_json(F.struct(message.alias("choices"), usage.alias("usage")))
+
+
+def _documents(spark, options, text, client_fails=None):
+    """A run over 3 documents of 5 chunks and a blank one; what was asked, and the rows."""
+    from structex.plans.pipeline import extract_documents
+
+    asked = spark.sparkContext.accumulator(0)
+
+    class Counting:
+        default_mode = modes.JSON_SCHEMA
+
+        def ask(self, requests):
+            nonlocal asked
+            asked += requests.count()
+            bad = F.lit(False) if client_fails is None else client_fails
+            error = F.when(bad, F.lit("down"))
+            return requests.withColumns({"raw": F.when(~bad, _reply(text)), "error": error})
+
+    docs = spark.createDataFrame([(i, "x" * 50) for i in range(3)] + [(9, " \n")], "doc_id long, text string")
+    schema = S.obj(n=S.array(S.integer()))
+    rows = {r.doc_id: r for r in extract_documents(docs, schema, Counting(), "go", options=options).collect()}
+    return asked.value, rows
+
+
+def test_a_budget_stops_calls(spark):
+    from structex.plans.pipeline import Options
+
+    base = {"chunk_size": 10, "overlap": 0, "chunker": chunk.fixed}
+    asked, rows = _documents(spark, Options(**base), F.lit('{"n":[1]}'))
+    assert asked == 15 and rows[0].status == "merged" and rows[0].chunks == 5
+    assert (rows[9].status, rows[9].reason, rows[9].chunks) == ("no_data", "empty-document", 0)
+    asked, rows = _documents(spark, Options(**base, token_budget=20), F.lit('{"n":[1]}'))
+    assert asked == 6 and (rows[1].status, rows[1].reason, rows[1].chunks, rows[1].tokens) == ("interrupted", "token-budget", 2, 20)
+
+
+def test_abort_stops_calls_and_tells_what_failed(spark):
+    from structex.plans.pipeline import Options
+
+    options = Options(chunk_size=10, overlap=0, chunker=chunk.fixed, on_chunk_error="abort")
+    asked, rows = _documents(spark, options, F.lit('{"n":[1]}'), client_fails=(F.col("doc_id") == 1) & (F.col("chunk_index") == 2))
+    assert asked == 5 + 3 + 5 and rows[0].status == "merged"
+    assert (rows[1].status, rows[1].chunks, rows[1].failed) == ("chunk_error", 3, 1)
+    (error,) = rows[1].chunk_errors
+    assert (error.chunk_index, error.start_index, error.end_index, error.cause) == (2, 20, 30, "provider_error")
+
+
+def test_chunks_retry_and_have_budgets_of_their_own(spark):
+    from structex.plans.pipeline import Options
+
+    base = {"chunk_size": 25, "overlap": 0, "chunker": chunk.fixed}
+    asked, rows = _documents(spark, Options(**base, max_retries=2), F.lit('{"n":["x"]}'))
+    assert asked == 6 * 3 and (rows[0].status, rows[0].reason) == ("no_data", "all-chunks-failed") and rows[0].tokens == 2 * 3 * 10
+    asked, rows = _documents(spark, Options(**base, max_retries=2, chunk_token_budget=20), F.lit('{"n":["x"]}'))
+    assert asked == 6 * 2 and rows[0].tokens == 2 * 2 * 10
+
+
+def test_citations_are_part_of_validation(spark):
+    from structex.plans.pipeline import read_replies
+
+    schema = S.cited(S.obj(statement=S.string()))
+    said = [
+        (1, '{"statement":"s","substring_quotes":["THE  sky"]}'),
+        (2, '{"statement":"s","substring_quotes":["the sea"]}'),
+        (3, '{"statement":1,"substring_quotes":["the sea"]}'),
+        (4, '{"statement":"s"}'),
+    ]
+    rows = spark.createDataFrame(said, "id long, text string").withColumns({"raw": _reply(F.col("text")), "error": F.lit(None).cast("string"), "source": F.lit("Above was the sky.")})
+    got = {r.id: r for r in read_replies(rows, schema, modes.JSON_SCHEMA, context=F.col("source")).collect()}
+    assert got[1].status == "ok" and got[1].data.substring_quotes == ["the sky"]
+    assert got[2].status == "SchemaValidationError" and [i.path for i in got[2].issues] == ["substring_quotes[0]"]
+    assert [i.path for i in got[3].issues] == ["statement", "substring_quotes[0]"] and got[4].status == "SchemaValidationError"
+
+
+def test_a_lost_verdict_is_no_consent(spark):
+    from structex.operators import judge
+
+    rows = spark.createDataFrame([(1, "good"), (2, "bad"), (3, "lost"), (4, "failed")], "id long, v string")
+
+    def verdicts(calls):
+        said = F.try_variant_get(F.parse_json(F.try_variant_get(calls["messages"][1]["content"], "$", "string")), "$.candidate_value", "string")
+        kept = calls.withColumn("said", said).filter("said <> 'lost'")
+        valid = F.when(F.col("said") != "failed", F.col("said") == "good")
+        return kept.select("k", valid.alias("is_valid"), F.lit(None).cast("string").alias("reason"), F.lit("better").alias("fixed_value"))
+
+    got = {r.id: r for r in judge.judge(rows, "k", F.col("v"), "be good", verdicts).collect()}
+    assert got[1].issue is None and "be good" in got[2].issue and got[2].suggestion == "better"
+    assert "No verdict" in got[3].issue and "No verdict" in got[4].issue
+
+
+def test_streams_run_refinements_or_show_nothing():
+    adult = lambda plain: S.obj(name=S.string(), age=S.integer()).refine(lambda c: c["age"] >= 18, "too young", plain=plain)
+    text = ['[{"name":"a","age":20},', '{"name":"b","age":3},', '{"name":"c","age":40}]']
+    bodies = lambda plain: [s["body"] for s in feed(text, adult(plain), items=True) if s["kind"] == "item"]
+    assert bodies(lambda v: v["age"] >= 18) == ['{"name":"a","age":20}'] and bodies(None) == []
