@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from structex.plans.durable import durable, ensure_checkpoint_dir
+
+__all__ = ["SPACE_CHARS", "SPACE_CLASS", "durable", "ensure_checkpoint_dir", "in_parts", "join_counted", "let", "table", "words_of"]
+
 #: White space that separates words everywhere in this subpackage: space, tab to carriage return.
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -26,20 +29,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder of spark.checkpoint.dir; only where it is unset (tests) make a local one."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        configured = sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="structex-checkpoint-"))
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage through files that every executor can read; they go when the frame goes."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def join_counted(rows: DataFrame, table: DataFrame, keys: list[str], most: int = 200_000) -> DataFrame:
     """rows joined with table, whose column n says how many rows have each of its keys.
 

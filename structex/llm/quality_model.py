@@ -10,7 +10,7 @@ a fixed size. Everything else is one pass over the documents without a shuffle.
 Never an input: labels (beyond training), lang, source, doc_id.
 
 Defined cases: a null text is an empty text, which has a score like any other; several labels of
-a document count as their mean; without labelled rows the score is 0.5; equal texts get equal
+a document count as their mean, and of rows that repeat a labelled id one is learned from; without labelled rows the score is 0.5; equal texts get equal
 scores; an empty table gives no rows; other columns are ignored.
 """
 
@@ -168,8 +168,11 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mac
         .limit(max_train)
     )
     # at most max_train rows of three numbers, so the broadcast has a proven bound
-    joined = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "order", "y")
-    rows = joined.mapInArrow(_extract, "order long, y double, index binary, value binary").collect()
+    joined = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "order", "y")
+    # rows that repeat an id: the text of the least hash, so that the bound holds for documents too
+    place = F.struct(F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), F.coalesce("text", F.lit("")).alias("text"))
+    once = joined.groupBy("doc_id", "order", "y").agg(F.min(place).alias("p")).select("p.text", "order", "y")
+    rows = once.mapInArrow(_extract, "order long, y double, index binary, value binary").collect()
     rows.sort(key=lambda r: (r["order"], r["index"]))
     vectors = [(np.frombuffer(r["index"], "<i4").astype(np.int64), np.frombuffer(r["value"], "<f4")) for r in rows]
     return Machine().fit(vectors, np.array([r["y"] for r in rows], np.float32))

@@ -5,7 +5,8 @@ beginning with the user. Dynamic programming over this automaton chooses for eac
 to merge it into the turn before (role kept or changed), to relabel it, or to insert empty turns
 before it, at least total cost; of equal costs the fewest turns, then the order of the choices.
 The repaired sequence is rendered piece by piece: the pieces of a conversation, in order, are the
-formatted text.
+formatted text. Markers of the format inside a text are escaped (escaped()), so that no text can
+end its turn or forge another.
 
 Conversations aren't gathered. Turns are dealt to tasks in ranges of (conversation, turn). A task
 sums up each conversation's stretch as a matrix of least costs from state to state, in constant
@@ -20,6 +21,7 @@ conversation id is one conversation; an empty table gives no rows; other columns
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -34,6 +36,8 @@ ROLES = ("", "system", "user", "assistant")
 NEXT = {START: (SYSTEM, USER), SYSTEM: (USER,), USER: (ASSISTANT,), ASSISTANT: (USER,)}
 MERGE, INSERT, RELABEL = 1, 2, 3
 FAR = (10**15, 0)
+#: Turns of a task at most, about.
+TASK_TURNS = 200_000
 SCHEMA = "conv_id long, place long, part int, turn long, role string, action string, source_turn long, piece string"
 
 
@@ -163,6 +167,48 @@ def chain(stretches: list[tuple]) -> dict[tuple, tuple[int, int | None, int, int
     return found
 
 
+#: Fixed values of the format: what opens and closes a turn. In a text "<|" becomes "<\\|", and a
+#: backslash between the two is doubled, so no text can open or close one and all can be read back.
+_MARK = re.compile(r"<(\\*)\|")
+
+
+def escaped(text: str | None) -> str:
+    return _MARK.sub(lambda m: "<" + m[1] * 2 + "\\|", text or "")
+
+
+def unescaped(piece: str) -> str:
+    return re.sub(r"<((?:\\\\)*)\\\|", lambda m: "<" + m[1][: len(m[1]) // 2] + "|", piece)
+
+
+#: Turns of a stretch whose paths are held at once.
+PATH_TURNS = 4_096
+
+
+def paths(roles: list[int | None], start: int, end: int | None) -> Iterator[tuple[int, tuple]]:
+    """(state, actions) by turn of the cheapest path: repair() with the memory of a part at a time.
+
+    Parts' matrices fix the states at the bounds; then each part is repaired between its bounds.
+    """
+    parts = [roles[a : a + PATH_TURNS] for a in range(0, len(roles), PATH_TURNS)]
+    if len(parts) == 1:
+        yield from repair(roles, start, end)[0]
+        return
+    row = [(0, 0) if s == start else FAR for s in range(4)]
+    came = []
+    for part in parts:
+        cells = summary(part)
+        reached = [min(((row[a][0] + cells[a][b][0], row[a][1] + cells[a][b][1], a) for a in range(4) if row[a] < FAR and cells[a][b] < FAR), default=(*FAR, START)) for b in range(4)]
+        came.append([r[2] for r in reached])
+        row = [r[:2] for r in reached]
+    state = end if end is not None else min(range(4), key=lambda s: (row[s], s))
+    bounds = [state]
+    for before in reversed(came):
+        bounds.append(before[bounds[-1]])
+    bounds.reverse()
+    for part, a, b in zip(parts, bounds[:-1], bounds[1:], strict=True):
+        yield from repair(part, a, b)[0]
+
+
 def _render(known: dict):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from itertools import groupby
@@ -178,8 +224,7 @@ def _render(known: dict):
         for (task, conv), rows in groupby(_runs(batches), key=lambda r: (r[4], r[0])):
             turns = list(rows)  # a stretch is at most a task's share
             start, end, place, turn, last = known.get((task, conv), (START, None, 0, 0, True))
-            path, _ = repair([_code(r[2]) for r in turns], start, end)
-            for i, ((state, (inserted, action)), row) in enumerate(zip(path, turns, strict=True)):
+            for i, ((state, (inserted, action)), row) in enumerate(zip(paths([_code(r[2]) for r in turns], start, end), turns, strict=True)):
                 part = 0
                 for role in inserted:
                     opening = ("<|end|>\n" if turn else "") + f"<|{ROLES[role]}|>\n"
@@ -191,10 +236,10 @@ def _render(known: dict):
                     opening = ("<|end|>\n" if turn else "") + f"<|{ROLES[state]}|>\n"
                     turn += 1
                 closing = "<|end|>\n" if last and i == len(turns) - 1 else ""
-                out.append((conv, place + i, part, turn - 1, ROLES[state], action, row[1], opening + (row[3] or "") + closing))
-            if len(out) > 20_000:
-                yield flush(out)
-                out = []
+                out.append((conv, place + i, part, turn - 1, ROLES[state], action, row[1], opening + escaped(row[3]) + closing))
+                if len(out) > 20_000:
+                    yield flush(out)
+                    out = []
         yield flush(out)
 
     return run
@@ -203,7 +248,8 @@ def _render(known: dict):
 def format_chats(turns: DataFrame, tasks: int | None = None) -> DataFrame:
     """One row per piece of a repaired conversation; ordered by (place, part) they are its text."""
     spark = turns.sparkSession
-    tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # a task's share doesn't grow with the table
+    tasks = tasks or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-turns.count() // TASK_TURNS))
     rows = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
     order = ["conv_id", "turn", "role", "text", "tie"]
     dealt = rows.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange(tasks, *order).sortWithinPartitions(*order)
