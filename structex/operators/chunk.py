@@ -80,6 +80,51 @@ def recursive(docs: DataFrame, size: int = CHUNK_SIZE) -> DataFrame:
     return cut.select(*docs.columns, "chunk_index", "b.start_index", "b.end_index")
 
 
+def fixed_windows(docs: DataFrame, size: int, overlap: int) -> DataFrame:
+    """widen(fixed(docs, size), overlap) without the text on every row.
+
+    A text is cut once, from its beginning to its end; a chunk's margins come from the pieces
+    beside it. So the time is linear in the text's length, and rows carry their own chunk only.
+    """
+    near = -(-overlap // size)
+
+    def window(pieces: Column, i: Column) -> Column:
+        first = F.greatest(i - near, F.lit(0))
+        start = F.greatest(i * size - overlap, F.lit(0))
+        last = F.size(pieces) - 1
+        whole = last * size + F.length(F.element_at(pieces, -1))
+        end = F.least(F.least((i + 1) * size, whole) + overlap, whole)
+        text = F.array_join(F.slice(pieces, first + 1, i - first + 1 + near), "")
+        return F.struct(
+            i.alias("chunk_index"),
+            start.alias("start_index"),
+            end.alias("end_index"),
+            F.substring(text, start - first * size + 1, end - start).alias("chunk_text"),
+        )
+
+    cut = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+    # an array of one, so that the pieces are made once for all windows
+    windows = F.flatten(F.transform(F.array(cut), lambda pieces: F.transform(pieces, lambda _, i: window(pieces, i))))
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    return docs.select(*others, F.inline(windows))
+
+
+def recursive_windows(docs: DataFrame, size: int, overlap: int) -> DataFrame:
+    """widen(recursive(docs, size), overlap) without the text on every row."""
+
+    @F.pandas_udf("array<struct<chunk_index:int,start_index:int,end_index:int,chunk_text:string>>")
+    def windows(texts: pd.Series) -> pd.Series:
+        def of(text: str | None) -> list[dict]:
+            text = text or ""
+            found = [(max(0, a - overlap), min(len(text), b + overlap)) for a, b in split_recursive(text, size)]
+            return [{"chunk_index": i, "start_index": a, "end_index": b, "chunk_text": text[a:b]} for i, (a, b) in enumerate(found)]
+
+        return texts.map(of)
+
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    return docs.select(*others, F.inline(windows("text")))
+
+
 def widen(chunks: DataFrame, overlap: int = OVERLAP) -> DataFrame:
     """Extend each chunk by overlap on both sides and take its text from the original."""
     start, end = F.col("start_index"), F.col("end_index")
@@ -92,7 +137,10 @@ def widen(chunks: DataFrame, overlap: int = OVERLAP) -> DataFrame:
 
 def chunk_documents(docs: DataFrame, chunk_size: int = CHUNK_SIZE, overlap: int = OVERLAP, chunker: Chunker | None = None) -> DataFrame:
     """(…, chunk_index, start_index, end_index, chunk_text) of all documents that aren't blank."""
-    return widen((chunker or recursive)(not_blank(docs), chunk_size), overlap).drop("text")
+    own = {None: recursive_windows, recursive: recursive_windows, fixed: fixed_windows}.get(chunker)
+    if own is not None:
+        return own(not_blank(docs), chunk_size, overlap)
+    return widen(chunker(not_blank(docs), chunk_size), overlap).drop("text")
 
 
 def overlaps(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:

@@ -161,12 +161,16 @@ def fold_entities(marked: DataFrame, fields: Sequence[str], doc_col: str = "doc_
     entity = F.col("key").startswith("entity:")
     source = F.col("_first") | ~F.col("kept")
     whole = Window.partitionBy(doc_col, "key")
-    out = first
+    # most keys occur once: nothing is printed or parsed for them
+    out = first.withColumn("_n", F.count("*").over(whole))
+    several = entity & (F.col("_n") > 1)
     for name in fields:
         own = at(F.col("item"), f"$.{name}")
-        usable = source & own.isNotNull() & ~F.coalesce(F.is_variant_null(own), F.lit(True))
-        filled = F.parse_json(F.min_by(F.to_json(own), F.when(usable, order)).over(whole))
-        out = out.withColumn(f"_f_{name}", F.when(F.col("_first") & entity, F.coalesce(filled, own)).otherwise(own))
+        usable = several & source & own.isNotNull() & ~F.coalesce(F.is_variant_null(own), F.lit(True))
+        out = out.withColumn(f"_t_{name}", F.min_by(F.when(usable, F.to_json(own)), F.when(usable, order)).over(whole))
+    for name in fields:
+        own, filled = at(F.col("item"), f"$.{name}"), F.col(f"_t_{name}")
+        out = out.withColumn(f"_f_{name}", F.when(F.col("_first") & filled.isNotNull(), F.parse_json(filled)).otherwise(own))
     return out.filter("kept")
 
 

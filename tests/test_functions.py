@@ -335,3 +335,16 @@ def test_streams_run_refinements_or_show_nothing():
     text = ['[{"name":"a","age":20},', '{"name":"b","age":3},', '{"name":"c","age":40}]']
     bodies = lambda plain: [s["body"] for s in feed(text, adult(plain), items=True) if s["kind"] == "item"]
     assert bodies(lambda v: v["age"] >= 18) == ['{"name":"a","age":20}'] and bodies(None) == []
+
+
+def test_windows_equal_the_plain_form(spark):
+    """Chunks cut in one pass, against cutting each from its document; code points beyond the BMP too."""
+    texts = [(1, "ab🙂\ncd" * 40), (2, "x" * 10), (3, "x" * 20), (4, "one two. three\n\nfour " * 9), (5, " "), (6, None)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    for chunker in (chunk.fixed, chunk.recursive):
+        for size, overlap in ((10, 0), (10, 3), (10, 10), (10, 25), (300, 50)):
+            got = chunk.chunk_documents(docs, size, overlap, chunker)
+            plain = chunk.widen(chunker(chunk.not_blank(docs), size), overlap).drop("text")
+            assert got.columns == plain.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect()))
+    explained = chunk.chunk_documents(docs, 10, 3, lambda d, n: chunk.fixed(d, n)).count()
+    assert explained == chunk.chunk_documents(docs, 10, 3, chunk.fixed).count()
