@@ -54,7 +54,7 @@ def _streamed(spark: SparkSession, deltas: DataFrame, make) -> DataFrame:
 
 def stream_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last snapshot of each stream's object, through Structured Streaming."""
-    texts = _sources(spark, sf_dir).select("stream_id", F.to_json(F.struct(F.slice("items", 1, 5).alias("items"))).alias("text"))
+    texts = _sources(spark, sf_dir).select("stream_id", F.to_json(F.struct("items")).alias("text"))
     said = _streamed(spark, _deltas(texts, F.col("text")), lambda s: streams.partial_objects(s, S.obj(items=S.array(S.obj(id=S.integer(), kind=S.string()))), None))
     last = said.filter("kind = 'partial'").groupBy("stream_id").agg(F.max_by("body", "seq").alias("body"))
     return last.select("stream_id", "body")
@@ -63,7 +63,7 @@ def stream_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 _STREAM_SQL = """s AS (SELECT user_id AS stream_id, list(event_id ORDER BY event_id) AS ids, list(event_type ORDER BY event_id) AS kinds FROM events GROUP BY user_id),
 i AS (SELECT stream_id, unnest(ids) AS id, unnest(kinds) AS kind, unnest(generate_series(1, len(ids))) AS ord, len(ids) AS n FROM s)"""
 STREAM_SNAPSHOTS_SQL = f"""WITH {_STREAM_SQL} SELECT stream_id, '{{"items":[' || string_agg('{{"id":' || id || ',"kind":"' || kind || '"}}', ',' ORDER BY ord) || ']}}' AS body
-FROM i WHERE ord <= 5 GROUP BY stream_id"""
+FROM i GROUP BY stream_id"""
 
 
 def stream_items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,13 +81,13 @@ STREAM_ITEMS_SQL = f"WITH {_STREAM_SQL} SELECT stream_id, id FROM i WHERE NOT (s
 
 def stream_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The highest usage of each side, once at the end."""
-    texts = _sources(spark, sf_dir).select("stream_id", F.to_json(F.struct(F.slice("items", 1, 2).alias("items"))).alias("text"))
-    said = streams.replay(_deltas(texts, F.col("text")), S.obj(items=S.array(S.obj(id=S.integer()))), items=False)
+    texts = _sources(spark, sf_dir).select("stream_id", F.to_json(F.struct("items")).alias("text"))
+    said = streams.replay(_deltas(texts, F.col("text")), S.obj(items=S.array(S.obj(id=S.integer()))), items=None)
     return said.filter("kind = 'usage'").select("stream_id", "input_tokens", "output_tokens", "total_tokens", "attempts")
 
 
 STREAM_USAGE_SQL = f"""WITH {_STREAM_SQL}, t AS (SELECT stream_id, '{{"items":[' || string_agg('{{"id":' || id || ',"kind":"' || kind || '"}}', ',' ORDER BY ord) || ']}}' AS body
-FROM i WHERE ord <= 2 GROUP BY stream_id)
+FROM i GROUP BY stream_id)
 SELECT stream_id, 7::BIGINT AS input_tokens, CAST(ceil(length(body) / {PIECE}) AS BIGINT) AS output_tokens, CAST(7 + ceil(length(body) / {PIECE}) AS BIGINT) AS total_tokens, 1 AS attempts FROM t"""
 
 

@@ -32,8 +32,11 @@ def _dumps(value: Any) -> str:
     return json.dumps(value, separators=(",", ":"), ensure_ascii=False)
 
 
-def feed(state: dict[str, Any], rows: list[dict[str, Any]], schema: Schema, items: bool) -> list[dict[str, Any]]:
-    """Take rows in sequence and say what a reader sees: snapshots or items, then usage and end."""
+def feed(state: dict[str, Any], rows: list[dict[str, Any]], schema: Schema, items: bool | None) -> list[dict[str, Any]]:
+    """Take rows in sequence and say what a reader sees: snapshots or items, then usage and end.
+
+    With items None only usage and end are said, and the text is read once, at its end.
+    """
     out: list[dict[str, Any]] = []
     for row in rows:
         state["parked"].setdefault(str(row["seq"]), row)
@@ -45,8 +48,11 @@ def feed(state: dict[str, Any], rows: list[dict[str, Any]], schema: Schema, item
                 state[side] = max(state[side] or 0, int(row[name]))
         if row["delta"]:
             state["buffer"] += row["delta"]
-            out += [{"seq": seq, "kind": "item" if items else "partial", "body": b} for b in _seen(state, schema, items)]
+            if items is not None:
+                out += [{"seq": seq, "kind": "item" if items else "partial", "body": b} for b in _seen(state, schema, items)]
         if row["eos"]:
+            if items is None:
+                any(_seen(state, schema, False))
             if state["in"] is not None or state["out"] is not None:
                 a, b = state["in"] or 0, state["out"] or 0
                 out.append({"seq": seq, "kind": "usage", "body": None, "input_tokens": a, "output_tokens": b, "total_tokens": a + b, "attempts": 1})
@@ -119,8 +125,9 @@ def list_items(deltas: DataFrame, item_schema: Schema, ttl_ms: int | None = TTL_
     return _stream(deltas, item_schema, True, ttl_ms)
 
 
-def replay(deltas: DataFrame, schema: Schema, items: bool) -> DataFrame:
-    """The same over a finished table; a stream's rows come together, as its buffer must."""
+def replay(deltas: DataFrame, schema: Schema, items: bool | None) -> DataFrame:
+    """The same over a finished table (items None: usage and end only); a stream's rows come
+    together, as its buffer must."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         columns = [c.split()[0] for c in OUT_SCHEMA.split(", ")]
