@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from structex.functions import schema as S
@@ -221,14 +221,15 @@ def merge_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- citations --------------------------------------------------------------------
 
 
+def _part(share: str, length: int) -> Column:
+    """A stretch of the text that begins at a share of its length."""
+    return F.expr(f"substring(text, CAST(floor(length(text) * {share}) AS INT) + 1, {length})")
+
+
 def _quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A true quote of each document, one that isn't there, and one re-cased and re-spaced."""
-    docs = _docs(spark, sf_dir).filter(F.length("text") > 120)
-    return docs.select(
-        "doc_id",
-        "text",
-        F.array(F.substring("text", 21, 40), F.lit("no such words stand here"), F.substring("text", 61, 30)).alias("quotes"),
-    )
+    """Two true quotes of each document, from a quarter and from three quarters on, and one that isn't there."""
+    docs = _docs(spark, sf_dir).filter("text is not null")
+    return docs.select("doc_id", "text", F.array(_part("0.25", 40), F.lit("no such words stand here"), _part("0.75", 30)).alias("quotes"))
 
 
 def cited_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -238,8 +239,8 @@ def cited_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CITED_EXACT_SQL = """
-WITH q AS (SELECT doc_id, text, unnest([substr(text, 21, 40), 'no such words stand here', substr(text, 61, 30)]) AS quote, unnest([0, 1, 2]) AS i
-  FROM documents WHERE length(text) > 120),
+WITH q AS (SELECT doc_id, text, unnest([substr(text, CAST(floor(length(text) * 0.25) AS BIGINT) + 1, 40), 'no such words stand here',
+    substr(text, CAST(floor(length(text) * 0.75) AS BIGINT) + 1, 30)]) AS quote, unnest([0, 1, 2]) AS i FROM documents WHERE text IS NOT NULL),
 t AS (SELECT doc_id, text, i, regexp_replace(quote, '^\\s+|\\s+$', '', 'g') AS quote FROM q)
 SELECT doc_id, CAST(i AS INT) AS quote,
   CAST(CASE WHEN quote <> '' AND strpos(text, quote) > 0 THEN strpos(text, quote) - 1 END AS INT) AS start_index,
@@ -247,19 +248,34 @@ SELECT doc_id, CAST(i AS INT) AS quote,
 
 
 def cited_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quotes with other white space and in lower case: found where the plain words stand first."""
-    docs = _docs(spark, sf_dir).filter(F.length("text") > 120)
-    part = F.substring("text", 41, 60)
-    mangled = F.lower(F.regexp_replace(part, " ", " \n "))
+    """A quote with other white space and in lower case, from the middle of each document: the places
+    of its span are told by the characters before and inside that aren't white space."""
+    docs = _docs(spark, sf_dir).filter("text is not null")
+    mangled = F.lower(F.regexp_replace(_part("0.5", 60), " ", " \n "))
     q = docs.select("doc_id", "text", F.array(mangled, F.lit("ABSENT WORDS")).alias("quotes"))
     q = q.withColumn("s", cite.spans(F.col("quotes"), F.col("text")))
     issues = cite.citation_issues(F.col("quotes"), F.col("s"))
-    own = F.element_at(cite.rewritten(F.col("s"), F.col("text")), 1)
-    plain = lambda c: F.lower(F.regexp_replace(F.regexp_replace(c, r"\s+", " "), "^ | $", ""))
-    return q.select("doc_id", (plain(own) == plain(part)).alias("same"), F.size(issues).alias("n_issues"), F.element_at(issues, 1)["path"].alias("path"))
+    solid = lambda c: F.length(F.regexp_replace(c, r"\s+", ""))
+    span = F.element_at("s", 1)
+    return q.select(
+        "doc_id",
+        F.when(span.isNotNull(), solid(F.substring("text", F.lit(1), span["start"]))).alias("n_before"),
+        solid(F.element_at(cite.rewritten(F.col("s"), F.col("text")), 1)).alias("n_inside"),
+        F.size(issues).alias("n_issues"),
+        F.element_at(issues, 1)["path"].alias("path"),
+    )
 
 
-CITED_NORM_SQL = "SELECT doc_id, true AS same, CAST(1 AS INT) AS n_issues, 'substring_quotes[1]' AS path FROM documents WHERE length(text) > 120"
+CITED_NORM_SQL = """
+WITH q AS (SELECT doc_id, text, lower(regexp_replace(text, '\\s+', ' ', 'g')) AS flat, substr(text, CAST(floor(length(text) * 0.5) AS BIGINT) + 1, 60) AS part
+  FROM documents WHERE text IS NOT NULL),
+t AS (SELECT *, regexp_replace(lower(replace(part, ' ', ' ' || chr(10) || ' ')), '^\\s+|\\s+$', '', 'g') AS said,
+  regexp_replace(lower(regexp_replace(part, '\\s+', ' ', 'g')), '^\\s+|\\s+$', '', 'g') AS quote FROM q),
+u AS (SELECT doc_id, quote, CASE WHEN quote = '' THEN NULL WHEN strpos(text, said) > 0 THEN substr(text, 1, strpos(text, said) - 1)
+  ELSE substr(flat, 1, strpos(flat, quote) - 1) END AS before FROM t)
+SELECT doc_id, CAST(length(regexp_replace(before, '\\s+', '', 'g')) AS INT) AS n_before,
+  CAST(CASE WHEN quote <> '' THEN length(regexp_replace(quote, '\\s+', '', 'g')) END AS INT) AS n_inside,
+  CAST(CASE WHEN quote = '' THEN 2 ELSE 1 END AS INT) AS n_issues, CASE WHEN quote = '' THEN 'substring_quotes[0]' ELSE 'substring_quotes[1]' END AS path FROM u"""
 
 
 # -- budgets and outcomes -----------------------------------------------------------
