@@ -348,3 +348,29 @@ def test_windows_equal_the_plain_form(spark):
             assert got.columns == plain.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect()))
     explained = chunk.chunk_documents(docs, 10, 3, lambda d, n: chunk.fixed(d, n)).count()
     assert explained == chunk.chunk_documents(docs, 10, 3, chunk.fixed).count()
+
+
+def test_reask_in_every_mode(spark):
+    """What the next attempt is told, message by message."""
+    choice = lambda message: json.dumps({"choices": [{"message": message}]})
+    call = {"id": "c1", "type": "function", "function": {"name": "extract", "arguments": '{"n":"x"}'}}
+    use = {"type": "tool_use", "id": "u1", "name": "extract", "input": {"n": "x"}}
+    said = {"role": "assistant"}
+    cases = [
+        (modes.TOOLS, choice({"content": None, "tool_calls": [call]}), [said | {"content": None, "tool_calls": [call]}, {"role": "tool", "content": "wrong", "tool_call_id": "c1"}]),
+        (modes.TOOLS, choice({"content": "hm"}), [said | {"content": "hm"}, {"role": "user", "content": "wrong"}]),
+        (modes.JSON_SCHEMA, choice({"content": '{"n":"x"}'}), [said | {"content": '{"n":"x"}'}, {"role": "user", "content": "wrong"}]),
+        (modes.MD_JSON, choice({"content": "```json\n1\n```"}), [said | {"content": "```json\n1\n```"}, {"role": "user", "content": "wrong"}]),
+        (
+            modes.ANTHROPIC_TOOLS,
+            json.dumps({"content": [{"type": "text", "text": "so"}, use, {"type": "thinking"}]}),
+            [said | {"content": [{"type": "text", "text": "so"}, use]}, {"role": "user", "content": [{"type": "tool_result", "tool_use_id": "u1", "content": "wrong", "is_error": True}]}],
+        ),
+        (modes.ANTHROPIC_TOOLS, json.dumps({"content": [{"type": "text", "text": "so"}]}), [said | {"content": [{"type": "text", "text": "so"}]}, {"role": "user", "content": "wrong"}]),
+        (modes.GEMINI_JSON, json.dumps({"candidates": [{"content": {"parts": [{"text": "{}"}]}}]}), [said | {"content": "{}"}, {"role": "user", "content": "wrong"}]),
+    ]
+    first = F.array(modes.text_message("user", F.lit("go")))
+    for mode, raw, expected in cases:
+        (row,) = spark.range(1).select(F.transform(modes.reask(mode, first, F.lit(raw), F.lit("wrong")), lambda m: F.to_json(m)).alias("m")).collect()
+        got = [{k: v for k, v in json.loads(m).items() if v is not None or k == "content"} for m in row.m]
+        assert got[0] == {"role": "user", "content": "go"} and got[1:] == expected, (mode, got)
