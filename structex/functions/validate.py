@@ -37,9 +37,13 @@ def _all(parts: list[Column]) -> Column:
 
 
 def _date(value: Column) -> Column:
-    text = F.try_variant_get(value, "$", "string")
+    """The instant of a text or of milliseconds; a text without a zone is of UTC, whatever the session's."""
+    text = F.trim(F.try_variant_get(value, "$", "string"))
     number = F.try_variant_get(value, "$", "double")
-    return F.when(kind_of(value) == "string", F.try_to_timestamp(text)).when(
+    in_utc = F.coalesce(F.try_to_timestamp(F.concat(text, F.when(text.contains(":"), F.lit("Z")).otherwise(F.lit("T00:00:00Z")))), F.try_to_timestamp(text))
+    zoned = text.contains(":") & text.rlike(r"(?i)(z|utc|gmt|[+-]\d{1,2}(:?\d{2})?)$")
+    parsed = F.when(zoned, F.try_to_timestamp(text)).otherwise(in_utc)
+    return F.when(kind_of(value) == "string", parsed).when(
         kind_of(value) == "number", F.timestamp_millis(number.cast("long"))
     )
 

@@ -113,10 +113,12 @@ class HttpSender:
     url: str
     headers: tuple[tuple[str, str], ...] = ()
     timeout_s: float = 600.0
+    #: What the interface wants in place of the body of a call.
+    shape: Callable[[dict], dict] = dict
 
     def __call__(self) -> Callable[[dict], Any]:
         def send(body: dict) -> Any:
-            data = json.dumps(body).encode()
+            data = json.dumps(self.shape(body)).encode()
             request = urllib.request.Request(self.url, data, {"Content-Type": "application/json", **dict(self.headers)})
             with urllib.request.urlopen(request, timeout=self.timeout_s) as reply:
                 return json.loads(reply.read())
@@ -161,11 +163,19 @@ def from_openai(make_sdk: Callable[[], Any], stream: bool = False) -> CallClient
 
 
 def from_anthropic(make_sdk: Callable[[], Any]) -> CallClient:
-    return CallClient(lambda: lambda body: make_sdk().messages.create(**body), modes.ANTHROPIC_TOOLS)
+    def make() -> Callable[[dict], Any]:
+        create = make_sdk().messages.create
+        return lambda body: create(**body)
+
+    return CallClient(make, modes.ANTHROPIC_TOOLS)
 
 
 def from_gemini(make_sdk: Callable[[], Any]) -> CallClient:
-    return CallClient(lambda: lambda body: make_sdk().models.generate_content(**body), modes.GEMINI_JSON)
+    def make() -> Callable[[dict], Any]:
+        create = make_sdk().models.generate_content
+        return lambda body: create(**body)
+
+    return CallClient(make, modes.GEMINI_JSON)
 
 
 def to_client(client: Any) -> ModelClient:
@@ -191,6 +201,15 @@ def route(name: str) -> dict[str, str]:
     return {"vendor": vendor, **table[vendor]}
 
 
+def gemini_rest(body: dict) -> dict:
+    """The body as the REST interface takes it: the model is in the address, config is generationConfig."""
+    camel = lambda k: "".join(p if i == 0 else p.capitalize() for i, p in enumerate(k.split("_")))
+    rest = {k: v for k, v in body.items() if k not in ("model", "config")}
+    if config := body.get("config"):
+        rest["generationConfig"] = {camel(k): v for k, v in config.items()}
+    return rest
+
+
 def from_provider(name: str, api_key: str | None = None, base_url: str | None = None, mode: str | None = None) -> CallClient:
     """A live client by name. It needs no SDK: requests go to the vendor's HTTP interface."""
     to = route(name)
@@ -200,6 +219,7 @@ def from_provider(name: str, api_key: str | None = None, base_url: str | None =
         url, headers = f"{base}/v1/messages", (("x-api-key", api_key or ""), ("anthropic-version", "2023-06-01"))
     elif to["vendor"] == "google":
         url, headers = f"{base}/v1beta/models/{model}:generateContent", (("x-goog-api-key", api_key or ""),)
+        return CallClient(HttpSender(url, headers, shape=gemini_rest), mode or to["mode"])
     else:
         url, headers = f"{base}/chat/completions", (("Authorization", f"Bearer {api_key or ''}"),)
     return CallClient(HttpSender(url, headers), mode or to["mode"])

@@ -374,3 +374,40 @@ def test_reask_in_every_mode(spark):
         (row,) = spark.range(1).select(F.transform(modes.reask(mode, first, F.lit(raw), F.lit("wrong")), lambda m: F.to_json(m)).alias("m")).collect()
         got = [{k: v for k, v in json.loads(m).items() if v is not None or k == "content"} for m in row.m]
         assert got[0] == {"role": "user", "content": "go"} and got[1:] == expected, (mode, got)
+
+
+def test_dates_do_not_follow_the_session_zone(spark):
+    texts = ["2024-03-01", "2024-03-01T12:30:00", "2024-03-01 12:30:00.5", "2024-03-01T12:30:00Z", "2024-03-01T12:30:00+02:00", "no date"]
+    rows = spark.createDataFrame([(json.dumps(t),) for t in texts], "j string")
+
+    def micros():
+        return [r.m for r in rows.select(F.unix_micros(coerce(S.date(), F.parse_json("j"))).alias("m")).collect()]
+
+    day, half = 1_709_251_200_000_000, 45_000_000_000
+    expected = [day, day + half, day + half + 500_000, day + half, day + half - 7_200_000_000, None]
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone in ("UTC", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            assert micros() == expected, zone
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_clients_build_their_sdk_once_and_google_gets_its_shape():
+    class Sdk:
+        built = 0
+
+        def __init__(self):
+            Sdk.built += 1
+            self.messages = self.models = self
+            self.create = self.generate_content = lambda **body: body
+
+    for adapter in (clients.from_anthropic, clients.from_gemini):
+        Sdk.built = 0
+        send = adapter(Sdk).make()
+        assert [send({"a": i}) for i in range(3)] == [{"a": i} for i in range(3)] and Sdk.built == 1
+    body = {"model": "m", "contents": [1], "config": {"max_output_tokens": 5, "responseMimeType": "application/json"}, "systemInstruction": {"parts": []}}
+    shaped = clients.gemini_rest(body)
+    assert shaped == {"contents": [1], "systemInstruction": {"parts": []}, "generationConfig": {"maxOutputTokens": 5, "responseMimeType": "application/json"}}
+    assert clients.from_provider("google/g").make.shape is clients.gemini_rest
