@@ -643,8 +643,8 @@ def _copies(samples: bytes) -> list[tuple[int, int, int]]:
     return out
 
 
-def _put_pixels(w: Writer, samples: bytes, width: int, main: bool) -> None:
-    """Green samples as an entropy-coded image without colour cache."""
+def _put_pixels(w: Writer, samples: bytes, width: int, main: bool, alpha: int = 255) -> None:
+    """Green samples as an entropy-coded image without colour cache; all other channels are fixed."""
     w.put(0, 2 if main else 1)
     array = np.frombuffer(samples, np.uint8)
     copies = _copies(samples) if main else []
@@ -665,7 +665,7 @@ def _put_pixels(w: Writer, samples: bytes, width: int, main: bool) -> None:
         counts[1 if counts[0] else 0] += 1
     lengths, far_lengths = code_lengths(counts), code_lengths(far)
     put_code(w, lengths)
-    for fixed in (0, 0, 255):
+    for fixed in (0, 0, alpha):
         one = np.zeros(256, np.int64)
         one[fixed] = 1
         put_code(w, one)
@@ -708,8 +708,29 @@ def shape(n: int, row: int) -> tuple[int, int]:
     return width, n // width
 
 
+def _entropy(samples: np.ndarray) -> float:
+    """Bits of a sample, coded one by one."""
+    share = np.bincount(samples, minlength=256) / max(1, len(samples))
+    share = share[share > 0]
+    return float(-(share * np.log2(share)).sum())
+
+
+def _put_left_predictor(w: Writer) -> None:
+    """The predictor transform with one mode for all blocks, the sample to the left."""
+    w.put(1 | (0 << 1) | (7 << 3), 6)
+    w.put(0, 1)
+    for symbol, size in ((1, N_LITERALS + N_LENGTHS), (0, 256), (0, 256), (255, 256), (0, N_DISTANCES)):
+        one = np.zeros(size, np.int64)
+        one[symbol] = 1
+        put_code(w, one)
+
+
 def encode(samples: bytes, row: int) -> bytes:
-    """Samples as the green channel of a lossless WebP image."""
+    """Samples as the green channel of a lossless WebP image.
+
+    Few distinct samples become a palette of bundled indices; others are predicted from the left
+    where what is left to say takes fewer bits.
+    """
     width, height = shape(len(samples), row)
     w = Writer()
     w.put(width - 1, 14)
@@ -727,8 +748,19 @@ def encode(samples: bytes, row: int) -> bytes:
         rows[:, :width] = index[np.frombuffer(samples, np.uint8)].reshape(height, width)
         packed = (rows.reshape(height, coded, -1) << (each * np.arange(1 << bundle))).sum(axis=2)
         samples, width = packed.astype(np.uint8).tobytes(), coded
+        alpha = 255
+    else:
+        image = np.frombuffer(samples, np.uint8).reshape(height, width)
+        rest = image.copy()
+        rest[:, 1:] -= image[:, :-1]
+        rest[1:, 0] -= image[:-1, 0]
+        alpha = 255
+        if _entropy(rest.ravel()) < 0.9 * _entropy(image.ravel()):
+            _put_left_predictor(w)
+            # the first prediction is opaque black, so nothing is left of the other channels
+            samples, alpha = rest.tobytes(), 0
     w.put(0, 1)
-    _put_pixels(w, samples, width, True)
+    _put_pixels(w, samples, width, True, alpha)
     stream = b"\x2f" + w.bytes()
     pad = b"\0" * (len(stream) & 1)
     return b"RIFF" + struct.pack("<I", 12 + len(stream) + len(pad)) + b"WEBPVP8L" + struct.pack("<I", len(stream)) + stream + pad
