@@ -7,29 +7,38 @@ from pyspark.sql import functions as F
 
 from structex.llm.common import durable
 
+#: A task takes about so many edges; a graph has at least so many tasks.
+EDGES_PER_TASK, LEAST_TASKS = 200_000, 8
+
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for the nodes of edges (u, v); the label is the least node of a component.
 
     Each round takes the least label of the neighbours (summed up before the shuffle, so a node
     with very many neighbours is no hot spot) and then the label's own label, so that long chains
-    shrink by half. Rounds end when no label changes.
+    shrink by half. Rounds end when no label changes. A round has as many tasks as the graph is
+    large, not as the session's shuffles are wide: rounds are many and most graphs small, and what
+    the driver keeps of each task adds up.
     """
     both = durable(edges.select("u", "v").union(edges.select("v", "u")).filter("u != v").distinct().toDF("u", "v"))
-    labels = durable(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label")))
+    tasks = max(LEAST_TASKS, both.count() // EDGES_PER_TASK)
+    both = both.coalesce(tasks)  # never more than there are
+    labels = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label"))
+    labels = durable(labels.coalesce(tasks))
     while True:
         near = (
             both.join(labels.withColumnRenamed("node", "v"), "v")
+            .coalesce(tasks)
             .groupBy(F.col("u").alias("node"))
             .agg(F.min("label").alias("m"))
+            .coalesce(tasks)
         )
-        stepped = labels.join(near, "node").select("node", "label", F.least("label", "m").alias("next"))
+        stepped = labels.join(near, "node").select("node", "label", F.least("label", "m").alias("next")).coalesce(tasks)
         jump = labels.select(F.col("node").alias("next"), F.col("label").alias("far"))
-        moved = durable(
-            stepped.join(jump, "next", "left").select(
-                "node", F.least("next", F.coalesce("far", "next")).alias("new"), F.col("label").alias("old")
-            )
+        moved = stepped.join(jump, "next", "left").select(
+            "node", F.least("next", F.coalesce("far", "next")).alias("new"), F.col("label").alias("old")
         )
+        moved = durable(moved.coalesce(tasks))
         labels = moved.select("node", F.col("new").alias("label"))
         if moved.filter("new != old").isEmpty():
             return labels
