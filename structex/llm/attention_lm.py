@@ -14,11 +14,10 @@ tables counted over all training rows. A third table counts which entries occur
 its principal parts are what embeddings, values and outputs begin with, so that attention over a
 window tells from the start what kind of text it is in.
 
-Attention, embeddings, gates and outputs are trained by Adam. Every training row gives at least one
-of its windows, and longer ones one of SHARE; the windows are dealt evenly into parts, each
-part trains a copy over its windows of a round, and the copies' mean, summed up in a tree of tasks,
-starts the next round. So what is learned grows with the input and no task or driver holds more
-than a part or a few models.
+Attention, embeddings, gates and outputs are trained by Adam, once over every window of every
+training row, however many there are. The windows are dealt evenly into parts, each part trains a
+copy over its windows of a round, and the copies' mean, summed up in a tree of tasks, starts the
+next round. So no task or driver holds more than a part or a few models.
 
 Overlapping windows of context + stride ids are scored with batched masked attention: each window
 scores its last stride ids only (a text's first window: all), so each id is scored once and sees
@@ -47,7 +46,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from structex.llm.common import durable, in_parts
-from structex.llm.ngrams import slices, word_hashes, word_places
+from structex.llm.ngrams import mix, slices, word_hashes, word_places
 
 N_IDS, END = 50_257, 50_256
 #: Hash that stands for the end among words.
@@ -61,9 +60,8 @@ LENGTH = CONTEXT + STRIDE
 MAX_WORDS = 1 << 20
 #: Words whose ids a worker remembers (about 200 bytes each).
 MAX_UNITS = 300_000
-#: Of a training row's windows one of SHARE is trained on, and one at least (more, and again and again,
-#: where that would be less than about LEAST_WINDOWS in all); windows of a part.
-SHARE, LEAST_WINDOWS, PART_WINDOWS, ROUNDS, RATE, BATCH = 24, 32_768, 8_192, 2, 0.02, 32
+#: Of a training row's windows one of SHARE is trained on (1: all); windows of a part.
+SHARE, PART_WINDOWS, ROUNDS, RATE, BATCH = 1, 8_192, 2, 0.02, 32
 #: Distances whose counts the third table adds up.
 FAR = (3, 6, 12, 24)
 #: Bytes of texts and numbers of ids that are handled at once.
@@ -351,7 +349,7 @@ class Attention:
         loss, p = soft(h @ w["oc"] + self.class1[b1] + far * w["gc"], c)
         grad = {"oc": h.T @ p, "gc": (p * far).sum(axis=0), "om": np.zeros_like(w["om"]), "gm": np.zeros_like(w["gm"])}
         dh = p @ w["oc"].T
-        order = np.argsort(c, kind="stable")
+        order = np.argsort(c.astype(np.uint8), kind="stable")  # few classes: sorted by counting
         bounds = np.searchsorted(c[order], np.arange(CLASSES + 1))
         for j in np.unique(c):
             r = order[bounds[j] : bounds[j + 1]]
@@ -376,7 +374,7 @@ class Attention:
         dx = dz @ w["r"].T + dq @ w["q"].T + dk @ w["k"].T + dv @ w["v"].T
         dy = dz @ w["r2"].T + dk @ w["k2"].T
         entries, slopes = np.concatenate((one.ravel(), two.ravel())), np.concatenate((flat(dx), flat(dy)))
-        order = np.argsort(entries, kind="stable")
+        order = np.argsort(entries.astype(np.uint16), kind="stable")
         entries = entries[order]
         start = np.flatnonzero(np.concatenate(([True], entries[1:] != entries[:-1])))
         grad["e"] = np.zeros_like(w["e"])
@@ -512,11 +510,22 @@ def chosen_windows(ids: bytes, share: int) -> list[tuple[int, bytes]]:
     return [(w, padded[w * LENGTH : (w + 1) * LENGTH + 2].tobytes()) for w in range(begin, n, share)]
 
 
-def _choose(share: int):
+def _deal(at: int, parts: int):
+    """(part, place, ids) of a round's windows, from (row, ids); equal windows are dealt apart."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_parts(batches):
-            found = [w for ids in batch.column(0).to_pylist() for _, w in chosen_windows(ids, share)]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], names=["ids"])
+            rows, found = [], []
+            for row, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                chosen = chosen_windows(ids, SHARE)
+                rows += [(row, w) for w, _ in chosen]
+                found += [own for _, own in chosen]
+            row, window = np.array(rows, np.uint64).reshape(-1, 2).T
+            place = mix(mix(row + np.uint64(1)) + window)
+            own = np.flatnonzero(place % np.uint64(ROUNDS) == at)
+            part = mix(place[own]) % np.uint64(parts)
+            columns = [pa.array(part.astype(np.int32)), pa.array(place[own].view(np.int64)), pa.array([found[i] for i in own], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["part", "place", "ids"])
 
     return run
 
@@ -525,7 +534,7 @@ def _packed(w: dict[str, np.ndarray]) -> np.ndarray:
     return np.concatenate([w[k].ravel() for k in sorted(w)])
 
 
-def _train_part(model: Attention, rate: float, epochs: int = 1):
+def _train_part(model: Attention, rate: float):
     """The weights of a copy of the model after its pass over a part, and the part's ids."""
 
     def run(part: pa.Table) -> pa.Table:
@@ -535,7 +544,7 @@ def _train_part(model: Attention, rate: float, epochs: int = 1):
         windows = np.full((len(rows), LENGTH + 2), -1, np.int64)
         for line, ids in zip(windows, rows, strict=True):
             line[: len(ids) // 2] = model.known[np.frombuffer(ids, "<u2")]
-        own.train(windows, rate, epochs=epochs)
+        own.train(windows, rate)
         n = int((windows[:, 2:] >= 0).sum())
         w = _packed(own.w).astype(np.float64) * n
         return pa.table({"part": part.column("part")[:1], "ids": pa.array([n], pa.int64()), "w": pa.array([w.astype("<f8").tobytes()], pa.binary())})
@@ -556,20 +565,16 @@ def _sum_models(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train_attention(model: Attention, train: DataFrame) -> None:
     """Rounds of copies trained by part and their means; train has the ids of the training rows."""
-    windows = train.agg(F.sum(F.ceil(F.octet_length("ids") / (2 * LENGTH))).alias("n")).first()["n"] or 0
-    share = max(1, min(SHARE, windows // LEAST_WINDOWS))
-    chosen = durable(train.select("ids").mapInArrow(_choose(share), "ids binary"))
-    n = chosen.count()
+    n = train.agg(F.sum(F.ceil(F.octet_length("ids") / (2 * LENGTH))).alias("n")).first()["n"]
     if not n:
         return
-    parts, epochs = max(1, round(n / ROUNDS / PART_WINDOWS)), max(1, min(8, round(LEAST_WINDOWS / n)))
-    place = F.xxhash64("ids", F.monotonically_increasing_id())  # equal windows are dealt apart
-    dealt = chosen.select("ids", place.alias("place"))
-    dealt = dealt.select("*", F.pmod("place", F.lit(ROUNDS)).alias("round"), F.pmod(F.xxhash64("place"), F.lit(parts)).cast("int").alias("part"))
+    parts = max(1, round(n / ROUNDS / PART_WINDOWS))
+    numbered = train.select(F.monotonically_increasing_id().alias("row"), "ids")
     schema = "part int, ids long, w binary"
     sums = math.isqrt(parts)
     for at in range(ROUNDS):
-        own = dealt.filter(F.col("round") == at).repartition(parts, "part").groupBy("part").applyInArrow(_train_part(model, RATE * (1 - at / ROUNDS), epochs), schema)
+        dealt = numbered.mapInArrow(_deal(at, parts), "part int, place long, ids binary")
+        own = dealt.repartition(parts, "part").groupBy("part").applyInArrow(_train_part(model, RATE * (1 - at / ROUNDS)), schema)
         if sums > 1:
             own = durable(own).repartition(sums, "part").sortWithinPartitions("part").mapInArrow(_sum_models, schema)
         total, ids = None, 0

@@ -370,6 +370,28 @@ def test_lm_every_row_is_trained_on(spark, monkeypatch):
     assert any((model.w[k] != before[k]).any() for k in before) and all(np.isfinite(v).all() for v in model.w.values())
 
 
+@pytest.mark.parametrize("rows", [3, 1100])
+def test_lm_trains_once_on_every_window_at_every_size(spark, monkeypatch, rows):
+    class Counting:
+        """Counts the windows of its passes instead of learning, and adds up their first entries."""
+
+        known = np.arange(attention_lm.N_IDS)
+
+        def __init__(self):
+            self.w = {"sum": np.zeros(1), "windows": np.zeros(1)}
+
+        def train(self, windows, rate, batch=1, epochs=1):
+            self.w["windows"] = self.w["windows"] + epochs * len(windows)
+            self.w["sum"] = self.w["sum"] + epochs * windows[:, 2].sum()
+
+    monkeypatch.setattr(attention_lm, "PART_WINDOWS", 1 << 30)  # one part: its copy is the mean
+    ids = [np.arange(64 * 70 - 5) // 64 % 2 + i % 2 for i in range(rows)]  # 1,100 rows: 77,000 windows
+    train = spark.createDataFrame([(bytearray(x.astype("<u2").tobytes()),) for x in ids], "ids binary")
+    model = Counting()
+    attention_lm.train_attention(model, train)
+    assert (model.w["windows"][0], model.w["sum"][0]) == (70 * rows, sum(int(x[::64].sum()) for x in ids))
+
+
 def test_lm_beats_the_base_on_held_out_rows(spark):
     got = [r for r in queries.op3_attention_lm(spark, "/root/testdata/sf0.1").collect() if r.held_out]
     assert sum(r.score for r in got) > 0.95 * sum(r.base_score for r in got)
