@@ -2,12 +2,12 @@
 
 Texts with a marker word are split into candidate blocks: each sentence and line with a marker,
 each paragraph around one, and each span, over lines and paragraphs or inside longer ones, where the
-words of a template stand (found by the places of its word pairs or trigrams). A block is compressed
-alone and with every template as zstandard raw dictionary; the bytes that a template saves say how
-much of the block it explains. Templates are ranked by that saving and confirmed in this order by
-the exact differences in wording; the one with the fewest wins. A template that lacks too many of
-the block's words, or the block of its, in whatever order, can't be confirmed and isn't aligned; no
-other is left out. Of overlapping blocks the one with the longest confirmed template stays.
+words of a template stand (found by the places of its word pairs or trigrams). A template that lacks
+too many of the block's words, or the block of its, in whatever order, can't be confirmed; no other
+is left out. A block is compressed alone and with every template left as zstandard raw dictionary;
+the bytes that a template saves say how much of the block it explains. Templates are ranked by that
+saving and confirmed in this order by the exact differences in wording; the one with the fewest
+wins. Of overlapping blocks the one with the longest confirmed template stays.
 
 The scan is narrow: a row never leaves its task. Texts without a marker are left out by a native
 filter before Python; markers are chosen from the templates so that no block within the differences
@@ -103,6 +103,7 @@ class Scanner:
                 part = tuple(v[at : at + (3 if len(v) >= 20 else 2)])
                 if len(part) == (3 if len(v) >= 20 else 2):
                     self.places[part].append((k, at))
+        self.heads = {part[0] for part in self.places}
         self.plain = zstd.ZstdCompressor(level=level)
         # the dictionary ends with the template, where matches are cheapest
         self.given = {
@@ -111,19 +112,32 @@ class Scanner:
         }
         self.known = lru_cache(maxsize=4096)(self._judge)
 
+    def _near(self, own: list[str]) -> list[str]:
+        """The templates that a block of these words can be confirmed as.
+
+        What is common in any order bounds what is common in order, and the shorter of the two bounds that.
+        """
+        near, bag = [], None
+        for name, goal in self.bags.items():
+            n = len(self.words[name])
+            if abs(n - len(own)) <= slack(n):
+                bag = bag or Counter(own)
+                common = sum(min(k, bag[w]) for w, k in goal.items() if w in bag)
+                if max(n, len(own)) - common <= slack(n):
+                    near.append(name)
+        return near
+
     def _judge(self, block: str) -> tuple | None:
         """(license, plain bytes, saved bytes, missing, extra, differences) of the winner."""
         own = words(block)
+        near = self._near(own)
+        if not near:
+            return None
         data = block.encode("utf-8", "surrogatepass")
         size = len(self.plain.compress(data))
-        savings = sorted(((size - len(c.compress(data)), k) for k, c in self.given.items()), key=lambda x: (-x[0], x[1]))
-        best, bag = None, Counter(own)
-        for saved, name in savings:
+        best = None
+        for saved, name in sorted(((size - len(self.given[k].compress(data)), k) for k in near), key=lambda x: (-x[0], x[1])):
             goal = self.words[name]
-            # what is common in any order bounds what is common in order
-            common = (bag & self.bags[name]).total()
-            if max(len(goal), len(own)) - common > slack(len(goal)):
-                continue
             parts = [o for o in SequenceMatcher(None, goal, own, autojunk=False).get_opcodes() if o[0] != "equal"]
             missing, extra = sum(o[2] - o[1] for o in parts), sum(o[4] - o[3] for o in parts)
             if max(missing, extra) <= slack(len(goal)):
@@ -138,6 +152,8 @@ class Scanner:
         own = [text[a:b].lower() for a, b in at]
         starts: dict[str, Counter] = defaultdict(Counter)
         for i in range(len(own)):
+            if own[i] not in self.heads:
+                continue
             for size in (2, 3):
                 for name, k in self.places.get(tuple(own[i : i + size]), ()):
                     starts[name][i - k] += 1

@@ -576,6 +576,28 @@ def test_license_blocks_equal_every_template_tried(name, rng, changes):
         assert license_scan.Scanner(TEMPLATES).scan("Some prose. " + block + "\nmore of it")
 
 
+def test_license_blocks_that_cannot_be_confirmed_are_not_compressed(monkeypatch):
+    scanner = license_scan.Scanner(TEMPLATES)
+    prose = "The license of this software, the river said, is reserved for the one under the bridge.\n" * 30
+    text = f"{prose}All rights reserved.\n{prose}"
+    want = license_scan.Scanner(TEMPLATES).scan(text)
+    used = []
+
+    class Counting:
+        def __init__(self, name, own):
+            self.name, self.own = name, own
+
+        def compress(self, data):
+            used.append((self.name, data))
+            return self.own.compress(data)
+
+    scanner.given = {k: Counting(k, c) for k, c in scanner.given.items()}
+    scanner.plain = Counting(None, scanner.plain)
+    assert [r[0] for r in want] == ["All-rights-reserved"] and scanner.scan(text) == want
+    assert used and all(license_scan.words(data.decode()) == ["all", "rights", "reserved"] for _, data in used)
+    assert {name for name, _ in used} == {None, "All-rights-reserved"}
+
+
 def test_license_differences(spark):
     text = TEMPLATES["GPL-3.0-notice"].replace("work", "book")
     r = license_scan.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
