@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from structex.llm import (
     attention_lm,
+    components,
     license_scan,
     line_dedup,
     media,
@@ -1116,6 +1118,62 @@ def links_by_brute_force(rows, n=5):
     return {i: (find(i), links[i]) for i in sets}
 
 
+def _graph(kind: str) -> list[tuple[int, int]]:
+    rng = random.Random(4)
+    if kind == "random":  # some large components, many small ones, loops and repeated edges
+        return [(rng.randrange(-900, 900), rng.randrange(-900, 900)) for _ in range(900)] + [(5, 5), (7, 8), (8, 7), (5000, 5000)]
+    if kind == "chain":
+        order = rng.sample(range(3000), 3000)
+        return list(zip(order, order[1:], strict=False))
+    return [(-(1 << 63), n) for n in range(1, 500)] + [((1 << 63) - 1, 1000)]
+
+
+def _plain_components(edges: list[tuple[int, int]]) -> dict[int, int]:
+    parts: dict[int, set[int]] = {}
+    for u, v in edges:
+        if u != v:
+            both = parts.get(u, {u}) | parts.get(v, {v})
+            parts |= dict.fromkeys(both, both)
+    return {n: min(part) for n, part in parts.items()}
+
+
+@pytest.mark.parametrize("kind", ["random", "chain", "star"])
+def test_components_equal_plain_ones(spark, kind):
+    edges = spark.createDataFrame(_graph(kind), "u long, v long").repartition(7)
+    want = _plain_components(_graph(kind))
+    spark.sparkContext.setJobGroup(f"components-{kind}", "")
+    found = [(r["node"], r["label"]) for r in components.components(edges).collect()]
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup(f"components-{kind}")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(found) == len(want) and dict(found) == want
+    assert len(jobs) <= 8  # not a few for each round: the driver keeps something of each
+
+@pytest.mark.parametrize("kind", ["random", "star"])
+def test_components_by_rounds_equal_plain_ones(spark, monkeypatch, kind):
+    monkeypatch.setattr(components, "ALONE", 0)
+    edges = _graph(kind)[-40:]
+    found = [(r["node"], r["label"]) for r in components.components(spark.createDataFrame(edges, "u long, v long").repartition(7)).collect()]
+    want = _plain_components(edges)
+    assert len(found) == len(want) and dict(found) == want
+
+
+@pytest.mark.parametrize("held", [1, 50, 5000])
+def test_forests_hold_few_edges_and_keep_components(monkeypatch, held):
+    monkeypatch.setattr(components, "HELD", held)
+    edges = _graph("random") + _graph("chain")
+    edges = [(u, v) for u, v in edges if u != v]
+    batches = [pa.RecordBatch.from_pylist([{"u": u, "v": v} for u, v in edges[a : a + 40]]) for a in range(0, len(edges), 40)]
+    forest = [(r["u"], r["v"]) for batch in components._forest(iter(batches)) for r in batch.to_pylist()]
+    assert _plain_components(forest) == _plain_components(edges)
+    assert held < 5000 or len(forest) < len(_plain_components(edges))
+
+
+@pytest.mark.parametrize("alone", [0, 1 << 20])
+def test_components_of_no_edges(spark, monkeypatch, alone):
+    monkeypatch.setattr(components, "ALONE", alone)
+    assert components.components(spark.createDataFrame([(1, 1)], "u long, v long")).count() == 0
+
+
 def test_join_equals_brute_force(spark, rows):
     got = {r.doc_id: (r.class_id, r.n_links) for r in queries.op9_ngram_jaccard_join(spark, DATA).collect()}
     assert got == links_by_brute_force(rows)
