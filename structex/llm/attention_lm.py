@@ -62,6 +62,8 @@ MAX_WORDS = 1 << 20
 MAX_UNITS = 300_000
 #: Of a training row's windows one of SHARE is trained on (1: all); windows of a part.
 SHARE, PART_WINDOWS, ROUNDS, RATE, BATCH = 1, 8_192, 2, 0.02, 32
+#: Sums of powers whose exponents are smaller than this are exact without their greatest being taken off.
+LARGE = 60
 #: Distances whose counts the third table adds up.
 FAR = (3, 6, 12, 24)
 #: Bytes of texts and numbers of ids that are handled at once.
@@ -322,70 +324,86 @@ class Attention:
     def step(self, one: np.ndarray, two: np.ndarray, goal: np.ndarray) -> tuple[float, dict]:
         """Mean loss and gradient over windows of entries; goal is -1 where a place doesn't count."""
         w, length = self.w, one.shape[1]
-        x, y = w["e"][one], w["e"][two]
-        q, k, v = x @ w["q"], x @ w["k"] + y @ w["k2"], x @ w["v"]
+        x, y = w["e"].take(one, axis=0), w["e"].take(two, axis=0)
+        flat = lambda z: z.reshape(-1, z.shape[-1])
+        of_x, of_y = np.concatenate([w[i] for i in ("q", "k", "v", "r")], axis=1), np.concatenate((w["k2"], w["r2"]), axis=1)
+        asked = (flat(x) @ of_x).reshape(*one.shape, -1)  # what each place asks, offers, gives and keeps
+        asked_two = (flat(y) @ of_y).reshape(*one.shape, -1)
+        asked[..., KEY : 2 * KEY] += asked_two[..., :KEY]
+        asked[..., -DIM:] += asked_two[..., KEY:]
+        q, k, v, kept = np.split(asked, (KEY, 2 * KEY, 2 * KEY + DIM), axis=2)
         a = np.matmul(q, k.transpose(0, 2, 1)) * np.float32(KEY**-0.5)
         a += w["d"][np.maximum(self.gap[:length, :length], 0)] + self.mask[:length, :length]
-        a -= a.max(axis=2, keepdims=True)
+        if not (a.max() < LARGE and np.einsum("bii->bi", a).min() > -LARGE):
+            a -= a.max(axis=2, keepdims=True)
         np.exp(a, out=a)
-        a /= a.sum(axis=2, keepdims=True)
-        hidden = np.tanh(x @ w["r"] + y @ w["r2"] + np.matmul(a, v))
+        a /= np.matmul(a, np.ones((length, 1), np.float32))
+        given = np.matmul(a, v)
+        hidden = np.tanh(kept + given)
         ok = goal >= 0
-        h, b1, b2, g = hidden[ok], one[ok], two[ok], goal[ok]
-        n, at = len(g), np.arange(len(g))
-        c, m = g // MEMBERS, g % MEMBERS
-
-        def soft(logits: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            """Loss by row, and the gradient of the mean loss by logit."""
-            logits -= logits.max(axis=1, keepdims=True)
+        c = goal[ok] // MEMBERS
+        order = np.argsort(c.astype(np.uint8), kind="stable")  # few classes: sorted by counting
+        at = np.flatnonzero(ok)[order]  # all places that count, class by class
+        h, b1, b2, c, m = hidden.reshape(-1, DIM)[at], one.ravel()[at], two.ravel()[at], c[order], goal.ravel()[at] % MEMBERS
+        n, rows, bounds = len(at), np.arange(len(at)), np.searchsorted(c, np.arange(CLASSES + 1))
+        own = [(j, slice(bounds[j], bounds[j + 1])) for j in range(CLASSES) if bounds[j] < bounds[j + 1]]
+
+        def soft(logits: np.ndarray, y: np.ndarray) -> np.ndarray:
+            """Loss by row; logits become the gradient of the mean loss."""
+            if not (logits.max() < LARGE and logits.min() > -LARGE):
+                logits -= logits.max(axis=1, keepdims=True)
             np.exp(logits, out=logits)
-            logits /= logits.sum(axis=1, keepdims=True)
-            rows = np.arange(len(y))
+            logits /= logits @ np.ones((logits.shape[1], 1), np.float32)
             lost = -np.log(logits[rows, y] + 1e-30)
             logits[rows, y] -= 1
-            return lost, logits / np.float32(n)
-
-        far = self.class2[b2]
-        loss, p = soft(h @ w["oc"] + self.class1[b1] + far * w["gc"], c)
-        grad = {"oc": h.T @ p, "gc": (p * far).sum(axis=0), "om": np.zeros_like(w["om"]), "gm": np.zeros_like(w["gm"])}
+            logits /= np.float32(n)
+            return lost
+
+        far, p = self.class2.take(b2, axis=0), self.class1.take(b1, axis=0)
+        p += h @ w["oc"]
+        p += far * w["gc"]
+        loss = soft(p, c)
+        far *= p
+        grad = {"oc": h.T @ p, "gc": far.sum(axis=0), "om": np.zeros_like(w["om"]), "gm": np.zeros_like(w["gm"])}
         dh = p @ w["oc"].T
-        order = np.argsort(c.astype(np.uint8), kind="stable")  # few classes: sorted by counting
-        bounds = np.searchsorted(c[order], np.arange(CLASSES + 1))
-        for j in np.unique(c):
-            r = order[bounds[j] : bounds[j + 1]]
-            far = self.member2[b2[r] * CLASSES + j]
-            lost, p = soft(h[r] @ w["om"][j] + self.member1[b1[r] * CLASSES + j] + far * w["gm"][j], m[r])
-            loss[r] += lost
-            grad["om"][j], grad["gm"][j] = h[r].T @ p, (p * far).sum()
-            dh[r] += p @ w["om"][j].T
+        far, p = self.member2.take(b2 * CLASSES + c, axis=0), self.member1.take(b1 * CLASSES + c, axis=0)
+        p += far * w["gm"][c][:, None]
+        for j, r in own:
+            p[r] += h[r] @ w["om"][j]
+        loss += soft(p, m)
+        far *= p
+        for j, r in own:
+            grad["om"][j], grad["gm"][j] = h[r].T @ p[r], far[r].sum()
+            dh[r] += p[r] @ w["om"][j].T
         dz = np.zeros_like(hidden)
-        dz[ok] = dh
+        dz.reshape(-1, DIM)[at] = dh
         dz *= 1 - hidden * hidden
-        flat = lambda z: z.reshape(-1, z.shape[-1])
         dv = np.matmul(a.transpose(0, 2, 1), dz)
-        da = np.matmul(dz, v.transpose(0, 2, 1))
-        ds = a * (da - (da * a).sum(axis=2, keepdims=True))
+        ds = np.matmul(dz, v.transpose(0, 2, 1))
+        ds -= (dz * given).sum(axis=2, keepdims=True)  # the mean of this by the weights
+        ds *= a
         lower = self.gap[:length, :length] >= 0
         grad["d"] = np.bincount(self.gap[:length, :length][lower], ds.sum(axis=0)[lower], LENGTH).astype(np.float32)
         ds *= np.float32(KEY**-0.5)
         dq, dk = np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q)
-        for name, source, d in (("r", x, dz), ("r2", y, dz), ("q", x, dq), ("k", x, dk), ("k2", y, dk), ("v", x, dv)):
-            grad[name] = flat(source).T @ flat(d)
-        dx = dz @ w["r"].T + dq @ w["q"].T + dk @ w["k"].T + dv @ w["v"].T
-        dy = dz @ w["r2"].T + dk @ w["k2"].T
-        entries, slopes = np.concatenate((one.ravel(), two.ravel())), np.concatenate((flat(dx), flat(dy)))
+        d = flat(np.concatenate((dq, dk, dv, dz), axis=2))
+        grad["q"], grad["k"], grad["v"], grad["r"] = np.split(flat(x).T @ d, (KEY, 2 * KEY, 2 * KEY + DIM), axis=1)
+        d_two = flat(np.concatenate((dk, dz), axis=2))
+        grad["k2"], grad["r2"] = np.split(flat(y).T @ d_two, (KEY,), axis=1)
+        entries, slopes = np.concatenate((one.ravel(), two.ravel())), np.concatenate((d @ of_x.T, d_two @ of_y.T))
         order = np.argsort(entries.astype(np.uint16), kind="stable")
         entries = entries[order]
         start = np.flatnonzero(np.concatenate(([True], entries[1:] != entries[:-1])))
         grad["e"] = np.zeros_like(w["e"])
-        grad["e"][entries[start]] = np.add.reduceat(slopes[order], start, axis=0)
+        grad["e"][entries[start]] = np.add.reduceat(slopes.take(order, axis=0), start, axis=0)
         return float(loss.mean()), grad
 
     def train(self, windows: np.ndarray, rate: float = RATE, batch: int = BATCH, epochs: int = 1) -> list[float]:
         """Adam over windows: rows of entries, two before the first goal; -1 behind the last."""
         rng = np.random.Generator(np.random.PCG64(11))
-        mean = {k: np.zeros_like(v) for k, v in self.w.items()}
-        square = {k: np.zeros_like(v) for k, v in self.w.items()}
+        every = _packed(self.w)  # one row, of which the weights become parts
+        self.w = _unpacked(every, self.w)
+        mean, square = np.zeros_like(every), np.zeros_like(every)
         losses, t, total = [], 0, epochs * -(-len(windows) // batch)
         for _ in range(epochs):
             order = rng.permutation(len(windows))
@@ -395,10 +413,10 @@ class Attention:
                 losses.append(loss)
                 t += 1
                 now = np.float32(rate * min(1, t / 10) * (1 - 0.9 * t / total))
-                for k in self.w:
-                    mean[k] += np.float32(0.1) * (g[k] - mean[k])
-                    square[k] += np.float32(0.01) * (g[k] ** 2 - square[k])
-                    self.w[k] -= now * (mean[k] / np.float32(1 - 0.9**t)) / (np.sqrt(square[k] / np.float32(1 - 0.99**t)) + np.float32(1e-8))
+                slope = _packed(g)
+                mean += np.float32(0.1) * (slope - mean)
+                square += np.float32(0.01) * (slope * slope - square)
+                every -= now * (mean / np.float32(1 - 0.9**t)) / (np.sqrt(square / np.float32(1 - 0.99**t)) + np.float32(1e-8))
         return losses
 
     def scorer(self) -> Scorer:
@@ -424,16 +442,16 @@ class Scorer:
     def _outputs(self, h: np.ndarray, one: np.ndarray, two: np.ndarray, goal: np.ndarray) -> np.ndarray:
         at, c, m = np.arange(len(goal)), goal // MEMBERS, goal % MEMBERS
         logits = h @ self.oc
-        logits += self.class1[one]
-        logits += self.class2[two]
+        logits += self.class1.take(one, axis=0)
+        logits += self.class2.take(two, axis=0)
         out = logits[at, c].astype(np.float64)
         np.exp(logits, out=logits)
         out -= np.log(logits @ self.ones[:CLASSES])
         order = np.argsort(c.astype(np.uint8), kind="stable")  # few classes: sorted by counting
         own = c[order]
         bounds = np.searchsorted(own, np.arange(CLASSES + 1))
-        logits = self.member1[one[order] * CLASSES + own]
-        logits += self.member2[two[order] * CLASSES + own]
+        logits = self.member1.take(one[order] * CLASSES + own, axis=0)
+        logits += self.member2.take(two[order] * CLASSES + own, axis=0)
         h = h[order]
         for j in range(CLASSES):
             a, b = bounds[j], bounds[j + 1]
@@ -451,8 +469,8 @@ class Scorer:
         # what each place asks, offers and gives, once; windows are stretches of these
         tail = np.zeros(LENGTH, np.int64)
         head, head2 = np.concatenate((one, tail)), np.concatenate((two, tail))
-        q, k, v = self.q[head], self.k[head], self.v[head]
-        k += self.k2[head2]
+        q, k, v = (rows.take(head, axis=0) for rows in (self.q, self.k, self.v))
+        k += self.k2.take(head2, axis=0)
         mixed = np.empty((len(x), DIM + 1), np.float32)
         for start, size, skip in windows_of(numbers):
             for a in range(0, len(start), batch):
@@ -468,8 +486,8 @@ class Scorer:
         for a in range(0, len(x), chunk):
             at = slice(a, a + chunk)
             h = mixed[at, :-1] / mixed[at, -1:]
-            h += self.r[one[at]]
-            h += self.r2[two[at]]
+            h += self.r.take(one[at], axis=0)
+            h += self.r2.take(two[at], axis=0)
             np.tanh(h, out=h)
             out[at] = self._outputs(h, one[at], two[at], goal[at])
         return out + self.within[x]
@@ -534,6 +552,12 @@ def _packed(w: dict[str, np.ndarray]) -> np.ndarray:
     return np.concatenate([w[k].ravel() for k in sorted(w)])
 
 
+def _unpacked(row: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Parts of a row of weights, by name."""
+    ends = np.cumsum([like[k].size for k in sorted(like)])
+    return {k: part.reshape(like[k].shape) for k, part in zip(sorted(like), np.split(row, ends[:-1]), strict=True)}
+
+
 def _train_part(model: Attention, rate: float):
     """The weights of a copy of the model after its pass over a part, and the part's ids."""
 
@@ -583,10 +607,7 @@ def train_attention(model: Attention, train: DataFrame) -> None:
             total, ids = (w.copy() if total is None else total + w), ids + r["ids"]
         if not ids:
             continue
-        mean = (total / ids).astype(np.float32)
-        for k in sorted(model.w):
-            size = model.w[k].size
-            model.w[k], mean = mean[:size].reshape(model.w[k].shape).copy(), mean[size:]
+        model.w = _unpacked((total / ids).astype(np.float32), model.w)
 
 
 def _score(scorer: Scorer):

@@ -342,6 +342,50 @@ def test_lm_gradient():
         assert math.isclose((up - down) / (2 * e), float(g[k][at]), rel_tol=2e-2, abs_tol=1e-5), k
 
 
+def _some_windows(seed=2, rows=6):
+    rng = np.random.default_rng(seed)
+    x = rng.integers(0, attention_lm.KNOWN, 4000)
+    model = _fitted(x, np.array([4000]))
+    windows = [rng.integers(0, attention_lm.KNOWN, (rows, attention_lm.LENGTH)) for _ in range(3)]
+    windows[2][0, 9:] = -1
+    return model, windows
+
+
+def test_lm_step_takes_powers_of_all_classes_at_once(monkeypatch):
+    model, windows = _some_windows()
+    assert len(np.unique(windows[2] // attention_lm.MEMBERS)) > attention_lm.CLASSES
+    calls, power = [], np.exp
+    monkeypatch.setattr(np, "exp", lambda *a, **k: calls.append(1) or power(*a, **k))
+    model.step(*windows)
+    assert len(calls) == 3  # weights, classes, members
+
+
+def test_lm_step_with_large_exponents(monkeypatch):
+    model, windows = _some_windows()
+    model.w["oc"][:] = np.linspace(-200, 200, model.w["oc"].size).reshape(model.w["oc"].shape)
+    model.w["q"] *= 300
+    loss, g = model.step(*windows)
+    monkeypatch.setattr(attention_lm, "LARGE", -1)  # the greatest is always taken off
+    plain_loss, plain = model.step(*windows)
+    assert math.isfinite(loss) and math.isclose(loss, plain_loss, rel_tol=1e-5)
+    assert all(np.isfinite(v).all() and np.allclose(v, plain[k], atol=1e-5) for k, v in g.items())
+    model, windows = _some_windows()
+    plain_loss, plain = model.step(*windows)
+    monkeypatch.undo()
+    loss, g = model.step(*windows)
+    assert math.isclose(loss, plain_loss, rel_tol=1e-5)
+    assert all(np.allclose(v, plain[k], atol=1e-5) for k, v in g.items())
+
+
+def test_lm_weights_in_a_row():
+    model, _ = _some_windows()
+    row = attention_lm._packed(model.w)
+    parts = attention_lm._unpacked(row, model.w)
+    assert all((parts[k] == v).all() and parts[k].shape == v.shape for k, v in model.w.items())
+    row += 1  # the weights are parts of the row, not copies
+    assert all((parts[k] == v + 1).all() for k, v in model.w.items())
+
+
 def test_lm_windows_score_each_id_once():
     numbers = np.array([1, 31, 64, 65, 104, 105, 300])
     count = np.zeros(numbers.sum(), int)
