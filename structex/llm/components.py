@@ -82,11 +82,12 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _by_rounds(edges: DataFrame, tasks: int) -> DataFrame:
-    """Minimum labels with pointer jumping.
+    """Minimum labels with hooks and pointer jumping.
 
     Each round takes the least label of the neighbours (summed up before the shuffle, so a node
-    with very many neighbours is no hot spot) and then the label's own label, so that long chains
-    shrink by half. Rounds end when no label changes. A round has as many tasks as the graph is
+    with very many neighbours is no hot spot), for a node that others have as their label the
+    least that any of them got as well, and then the label's own label, so that long chains take
+    few rounds. Rounds end when no label changes. A round has as many tasks as the graph is
     large, not as the session's shuffles are wide.
     """
     both = durable(edges.select("u", "v").union(edges.select("v", "u")).distinct().toDF("u", "v"))
@@ -101,7 +102,9 @@ def _by_rounds(edges: DataFrame, tasks: int) -> DataFrame:
             .agg(F.min("label").alias("m"))
             .coalesce(tasks)
         )
-        stepped = labels.join(near, "node").select("node", "label", F.least("label", "m").alias("next")).coalesce(tasks)
+        got = durable(labels.join(near, "node").select("node", "label", F.least("label", "m").alias("own")).coalesce(tasks))
+        hooks = got.filter("own < label").groupBy(F.col("label").alias("node")).agg(F.min("own").alias("hook"))
+        stepped = got.join(hooks, "node", "left").select("node", "label", F.least("own", F.coalesce("hook", "own")).alias("next")).coalesce(tasks)
         jump = labels.select(F.col("node").alias("next"), F.col("label").alias("far"))
         moved = stepped.join(jump, "next", "left").select(
             "node", F.least("next", F.coalesce("far", "next")).alias("new"), F.col("label").alias("old")

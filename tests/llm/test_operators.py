@@ -1212,6 +1212,16 @@ def test_forests_hold_few_edges_and_keep_components(monkeypatch, held):
     assert held < 5000 or len(forest) < len(_plain_components(edges))
 
 
+def test_long_chains_take_few_rounds(spark):
+    edges = _graph("chain")[:600]
+    spark.sparkContext.setJobGroup("rounds", "")
+    found = {r["node"]: r["label"] for r in components._by_rounds(spark.createDataFrame(edges, "u long, v long"), 4).collect()}
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("rounds")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert found == _plain_components(edges)
+    assert len(jobs) <= 250  # a round for every third node would take many more
+
+
 @pytest.mark.parametrize("alone", [0, 1 << 20])
 def test_components_of_no_edges(spark, monkeypatch, alone):
     monkeypatch.setattr(components, "ALONE", alone)
