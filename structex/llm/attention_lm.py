@@ -36,6 +36,7 @@ from __future__ import annotations
 
 import array
 import copy
+import itertools
 import math
 import zlib
 from collections.abc import Iterator
@@ -58,8 +59,8 @@ DIM, KEY = 16, 8
 CONTEXT, STRIDE = 24, 40
 LENGTH = CONTEXT + STRIDE
 MAX_WORDS = 1 << 20
-#: Words whose ids a worker remembers (about 200 bytes each).
-MAX_UNITS = 300_000
+#: Words whose ids a worker remembers (about 200 bytes each), and words encoded at once.
+MAX_UNITS, ROW_WORDS = 300_000, 1_000
 #: Of a training row's windows one of SHARE is trained on (1: all); windows of a part.
 SHARE, PART_WINDOWS, ROUNDS, RATE, BATCH = 1, 8_192, 2, 0.02, 32
 #: Sums of powers whose exponents are smaller than this are exact without their greatest being taken off.
@@ -68,6 +69,8 @@ LARGE = 60
 FAR = (3, 6, 12, 24)
 #: Bytes of texts and numbers of ids that are handled at once.
 TEXT_BYTES, MANY_IDS = 1 << 21, 1 << 18
+#: What stands before a text's ids, as they are kept.
+_HEAD = np.array([END, END], "<u2").tobytes()
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -75,6 +78,15 @@ def normal(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass").translate(_LOWER)
 
 
+def _without_spaces(word: bytes) -> bool:
+    """Whether a word has no white space of Unicode and no lone surrogate."""
+    try:
+        text = word.decode()
+    except UnicodeDecodeError:
+        return False
+    return text.split() == [text]
+
+
 class Units(dict):
     """Ids of a word behind a space, as 16-bit numbers."""
 
@@ -83,6 +95,8 @@ class Units(dict):
         from structex.llm.tokens import encoder
 
         self.encode, self.most = encoder().encode, most
+        #: Ids that begin with a space: of an encoded row of words, the first of each word.
+        self.begins = np.array([t[:1] == b" " for t in encoder().strings()])
 
     def __missing__(self, word: bytes) -> bytes:
         ids = array.array("H", self.encode(" " + word.decode("utf-8", "surrogatepass"))).tobytes()
@@ -90,16 +104,44 @@ class Units(dict):
             self[word] = ids
         return ids
 
+    def of(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word; short words that aren't remembered are encoded as rows of words.
+
+        Where single spaces between words are the only white space, a piece that the encoder cuts
+        holds a space only as its first character, so a row has the ids of its words one by one.
+        """
+        found = [*map(self.get, words)]
+        new = [i for i, ids in enumerate(found) if ids is None]
+        plain = [i for i in new if len(words[i]) <= 48 and (words[i].isascii() or _without_spaces(words[i]))]
+        for a in range(0, len(plain), ROW_WORDS):
+            row = plain[a : a + ROW_WORDS]
+            ids = np.array(self.encode(" " + b" ".join([words[i] for i in row]).decode()), np.uint16)
+            data, cuts = ids.tobytes(), (2 * np.flatnonzero(self.begins[ids])).tolist()
+            for i, p, q in zip(row, cuts, [*cuts[1:], len(data)], strict=True):
+                found[i] = data[p:q]
+        for i in plain[: max(0, self.most - len(self))]:
+            self[words[i]] = found[i]
+        for i in new:
+            if found[i] is None:
+                found[i] = self[words[i]]
+        return found
+
 
 def ids_of(texts: list[bytes], units: Units) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """All ids of the texts in a row, each text's number of ids, word hashes and numbers of words.
+    """All ids of the texts in a row, each text's number of ids, word hashes and numbers of words."""
+    x, numbers, different, back, n_words = ids_and_words(texts, units)
+    return x, numbers, different[back], n_words
+
+
+def ids_and_words(texts: list[bytes], units: Units) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """ids_of with hashes of the different words, in order, and each word's place among them.
 
     Each different word is encoded once; the ids of its other places are copied.
     """
     hashes, n_words, starts, ends = word_places(texts)
     joined = b"".join(texts)
-    _, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-    packed = [units[joined[a:b]] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+    different, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+    packed = units.of([joined[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)])
     sizes = np.fromiter(map(len, packed), np.int64, len(packed)) >> 1
     all_ids = np.frombuffer(b"".join(packed), np.uint16)
     n = sizes[back]
@@ -109,7 +151,7 @@ def ids_of(texts: list[bytes], units: Units) -> tuple[np.ndarray, np.ndarray, np
     by_text = np.diff(upto[bounds])
     out = np.full(len(at) + len(texts), END, np.uint16)
     out[np.arange(len(at)) + np.repeat(np.arange(len(texts)), by_text)] = all_ids[at]
-    return out, by_text + 1, hashes, n_words
+    return out, by_text + 1, different, back, n_words
 
 
 def before(x: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -146,11 +188,12 @@ def _read(words: np.ndarray, counts: np.ndarray, n_train: int, v: int):
         for batch in in_parts(batches):
             texts = [normal(t) for t in batch.column(2).to_pylist()]
             for a, b in slices(texts, TEXT_BYTES):
-                x, numbers, hashes, n_words = ids_of(texts[a:b], units)
+                x, numbers, different, back, n_words = ids_and_words(texts[a:b], units)
                 owner = np.repeat(np.arange(b - a), n_words)
-                at = np.minimum(np.searchsorted(words, hashes), max(0, len(words) - 1))
-                found = words[at] == hashes if len(words) else np.zeros(len(hashes), bool)
-                base = np.bincount(owner[found], logs[at[found]] if len(words) else None, b - a)
+                at = np.minimum(np.searchsorted(words, different), max(0, len(words) - 1))
+                known = words[at] == different if len(words) else np.zeros(len(different), bool)
+                log = np.where(known, logs[at], 0.0) if len(words) else np.zeros(len(different))
+                found, base = known[back], np.bincount(owner, log[back], b - a)
                 rare = np.bincount(owner[~found], minlength=b - a)
                 data, ends = x.astype("<u2").tobytes(), np.cumsum(numbers) * 2
                 yield pa.RecordBatch.from_arrays(
@@ -161,7 +204,7 @@ def _read(words: np.ndarray, counts: np.ndarray, n_train: int, v: int):
                         pa.array(np.bincount(owner[found], minlength=b - a)),
                         pa.array(base - (n_words + 1) * log_all),
                         pa.ListArray.from_arrays(
-                            pa.array(np.concatenate(([0], np.cumsum(rare))).astype(np.int32)), pa.array(hashes[~found].view(np.int64))
+                            pa.array(np.concatenate(([0], np.cumsum(rare))).astype(np.int32)), pa.array(different[back[~found]].view(np.int64))
                         ),
                         pa.array([data[p:q] for p, q in zip((ends - numbers * 2).tolist(), ends.tolist(), strict=True)], pa.binary()),
                     ],
@@ -211,8 +254,7 @@ def count_pairs(goal: np.ndarray, one: np.ndarray, two: np.ndarray, numbers: np.
     yield 1, two * KNOWN + goal
     place = np.arange(len(goal)) - np.repeat(np.cumsum(numbers) - numbers, numbers)
     for distance in FAR:
-        at = np.flatnonzero(place >= distance)
-        yield 2, goal[at - distance] * KNOWN + goal[at]
+        yield 2, (goal[:-distance] * KNOWN + goal[distance:])[place[distance:] >= distance]
 
 
 def _count_pairs(known: np.ndarray):
@@ -297,7 +339,7 @@ class Attention:
             self._begin(pairs[2], p.ravel())
         reach = np.arange(LENGTH)
         self.gap = reach[:, None] - reach[None, :]
-        self.mask = np.where(self.gap >= 0, 0, -1e9).astype(np.float32)
+        self.back, self.mask = np.maximum(self.gap, 0), np.where(self.gap >= 0, 0, -1e9).astype(np.float32)
 
     def _begin(self, far: np.ndarray, p: np.ndarray) -> None:
         """Embeddings and outputs from the principal parts of how much likelier entries get far behind others."""
@@ -323,79 +365,97 @@ class Attention:
 
     def step(self, one: np.ndarray, two: np.ndarray, goal: np.ndarray) -> tuple[float, dict]:
         """Mean loss and gradient over windows of entries; goal is -1 where a place doesn't count."""
-        w, length = self.w, one.shape[1]
-        x, y = w["e"].take(one, axis=0), w["e"].take(two, axis=0)
-        flat = lambda z: z.reshape(-1, z.shape[-1])
-        of_x, of_y = np.concatenate([w[i] for i in ("q", "k", "v", "r")], axis=1), np.concatenate((w["k2"], w["r2"]), axis=1)
-        asked = (flat(x) @ of_x).reshape(*one.shape, -1)  # what each place asks, offers, gives and keeps
-        asked_two = (flat(y) @ of_y).reshape(*one.shape, -1)
-        asked[..., KEY : 2 * KEY] += asked_two[..., :KEY]
-        asked[..., -DIM:] += asked_two[..., KEY:]
-        q, k, v, kept = np.split(asked, (KEY, 2 * KEY, 2 * KEY + DIM), axis=2)
-        a = np.matmul(q, k.transpose(0, 2, 1)) * np.float32(KEY**-0.5)
-        a += w["d"][np.maximum(self.gap[:length, :length], 0)] + self.mask[:length, :length]
+        w, length, scale = self.w, one.shape[1], np.float32(KEY**-0.5)
+        entries = np.stack((one, two), axis=2).ravel()
+        xy = w["e"].take(entries, axis=0).reshape(-1, 2 * DIM)  # both entries of a place side by side
+        of = np.zeros((2 * DIM, 2 * KEY + 2 * DIM), xy.dtype)
+        of[:DIM] = np.concatenate((w["q"] * scale, w["k"], w["v"], w["r"]), axis=1)
+        of[DIM:, KEY : 2 * KEY], of[DIM:, -DIM:] = w["k2"], w["r2"]
+        asked = (xy @ of).reshape(*one.shape, -1)  # what each place asks, offers, gives and keeps
+        q, k, kept = asked[..., :KEY], asked[..., KEY : 2 * KEY], asked[..., -DIM:]
+        # a column of ones makes the product with the weights carry their sum
+        v = np.ones((*one.shape, DIM + 1), xy.dtype)
+        v[..., :DIM] = asked[..., 2 * KEY : -DIM]
+        a = np.matmul(q, k.transpose(0, 2, 1))
+        a += w["d"][self.back[:length, :length]] + self.mask[:length, :length]
         if not (a.max() < LARGE and np.einsum("bii->bi", a).min() > -LARGE):
             a -= a.max(axis=2, keepdims=True)
         np.exp(a, out=a)
-        a /= np.matmul(a, np.ones((length, 1), np.float32))
         given = np.matmul(a, v)
-        hidden = np.tanh(kept + given)
-        ok = goal >= 0
-        c = goal[ok] // MEMBERS
-        order = np.argsort(c.astype(np.uint8), kind="stable")  # few classes: sorted by counting
-        at = np.flatnonzero(ok)[order]  # all places that count, class by class
-        h, b1, b2, c, m = hidden.reshape(-1, DIM)[at], one.ravel()[at], two.ravel()[at], c[order], goal.ravel()[at] % MEMBERS
-        n, rows, bounds = len(at), np.arange(len(at)), np.searchsorted(c, np.arange(CLASSES + 1))
-        own = [(j, slice(bounds[j], bounds[j + 1])) for j in range(CLASSES) if bounds[j] < bounds[j + 1]]
+        part = 1 / given[..., -1:]
+        given = given[..., :-1] * part
+        hidden = kept + given
+        np.tanh(hidden, out=hidden)
+        at = np.flatnonzero(goal.ravel() >= 0)
+        c = (goal.ravel()[at] // MEMBERS).astype(np.uint8)
+        order = np.argsort(c, kind="stable")  # few classes: sorted by counting
+        at, c = at[order], c[order].astype(np.int64)  # all places that count, class by class
+        h, b1, b2, m = hidden.reshape(-1, DIM).take(at, axis=0), one.ravel()[at], two.ravel()[at], goal.ravel()[at] % MEMBERS
+        n, bounds = len(at), np.searchsorted(c, np.arange(CLASSES + 1)).tolist()
+        own = [(j, r, s) for j, (r, s) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if r < s]
 
         def soft(logits: np.ndarray, y: np.ndarray) -> np.ndarray:
             """Loss by row; logits become the gradient of the mean loss."""
             if not (logits.max() < LARGE and logits.min() > -LARGE):
                 logits -= logits.max(axis=1, keepdims=True)
             np.exp(logits, out=logits)
-            logits /= logits @ np.ones((logits.shape[1], 1), np.float32)
-            lost = -np.log(logits[rows, y] + 1e-30)
-            logits[rows, y] -= 1
-            logits /= np.float32(n)
+            size = logits.shape[1]
+            shares = 1 / (logits @ np.ones((size, 1), np.float32))
+            cells, cell = logits.reshape(-1), np.arange(0, n * size, size) + y
+            lost = -np.log(cells[cell] * shares[:, 0] + 1e-30)
+            logits *= shares * np.float32(1 / n)
+            cells[cell] -= np.float32(1 / n)
             return lost
 
-        far, p = self.class2.take(b2, axis=0), self.class1.take(b1, axis=0)
-        p += h @ w["oc"]
+        grad = {"om": np.zeros_like(w["om"])}
+        far, p = self.class2.take(b2, axis=0), h @ w["oc"]
+        p += self.class1.take(b1, axis=0)
         p += far * w["gc"]
         loss = soft(p, c)
         far *= p
-        grad = {"oc": h.T @ p, "gc": far.sum(axis=0), "om": np.zeros_like(w["om"]), "gm": np.zeros_like(w["gm"])}
+        grad["oc"], grad["gc"] = h.T @ p, np.ones(n, np.float32) @ far
         dh = p @ w["oc"].T
-        far, p = self.member2.take(b2 * CLASSES + c, axis=0), self.member1.take(b1 * CLASSES + c, axis=0)
-        p += far * w["gm"][c][:, None]
-        for j, r in own:
-            p[r] += h[r] @ w["om"][j]
+        far, p, back = self.member2.take(b2 * CLASSES + c, axis=0), np.empty((n, MEMBERS), h.dtype), np.empty_like(h)
+        for j, r, s in own:
+            np.dot(h[r:s], w["om"][j], p[r:s])
+        p += self.member1.take(b1 * CLASSES + c, axis=0)
+        p += far * w["gm"].take(c)[:, None]
         loss += soft(p, m)
-        far *= p
-        for j, r in own:
-            grad["om"][j], grad["gm"][j] = h[r].T @ p[r], far[r].sum()
-            dh[r] += p[r] @ w["om"][j].T
+        for j, r, s in own:
+            rows = p[r:s]
+            np.dot(h[r:s].T, rows, grad["om"][j])
+            np.dot(rows, w["om"][j].T, back[r:s])
+        dh += back
+        grad["gm"] = np.bincount(c, np.einsum("ij,ij->i", far, p), CLASSES).astype(w["gm"].dtype)
+        d = np.zeros((*one.shape, 2 * KEY + 2 * DIM), xy.dtype)  # of what each place asks, offers, gives and keeps
         dz = np.zeros_like(hidden)
         dz.reshape(-1, DIM)[at] = dh
         dz *= 1 - hidden * hidden
-        dv = np.matmul(a.transpose(0, 2, 1), dz)
-        ds = np.matmul(dz, v.transpose(0, 2, 1))
-        ds -= (dz * given).sum(axis=2, keepdims=True)  # the mean of this by the weights
+        # the last column takes off the mean by the weights
+        slope = np.concatenate((dz, -np.einsum("bij,bij->bi", dz, given)[..., None]), axis=2)
+        slope *= part
+        ds = np.matmul(slope, v.transpose(0, 2, 1))
         ds *= a
-        lower = self.gap[:length, :length] >= 0
-        grad["d"] = np.bincount(self.gap[:length, :length][lower], ds.sum(axis=0)[lower], LENGTH).astype(np.float32)
-        ds *= np.float32(KEY**-0.5)
-        dq, dk = np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q)
-        d = flat(np.concatenate((dq, dk, dv, dz), axis=2))
-        grad["q"], grad["k"], grad["v"], grad["r"] = np.split(flat(x).T @ d, (KEY, 2 * KEY, 2 * KEY + DIM), axis=1)
-        d_two = flat(np.concatenate((dk, dz), axis=2))
-        grad["k2"], grad["r2"] = np.split(flat(y).T @ d_two, (KEY,), axis=1)
-        entries, slopes = np.concatenate((one.ravel(), two.ravel())), np.concatenate((d @ of_x.T, d_two @ of_y.T))
+        np.matmul(ds, k, out=d[..., :KEY])
+        np.matmul(ds.transpose(0, 2, 1), q, out=d[..., KEY : 2 * KEY])
+        np.matmul(a.transpose(0, 2, 1), slope[..., :-1], out=d[..., 2 * KEY : -DIM])
+        d[..., -DIM:] = dz
+        d = d.reshape(-1, d.shape[2])
+        of_gap = np.ones(len(ds), np.float32) @ ds.reshape(len(ds), -1)  # 0 ahead of a place
+        grad["d"] = np.bincount(self.back[:length, :length].ravel(), of_gap, LENGTH).astype(np.float32)
+        g = xy.T @ d
+        grad["q"], grad["k"], grad["v"], grad["r"] = np.split(g[:DIM], (KEY, 2 * KEY, 2 * KEY + DIM), axis=1)
+        grad["q"] = grad["q"] * scale
+        grad["k2"], grad["r2"] = g[DIM:, KEY : 2 * KEY], g[DIM:, -DIM:]
+        slopes = (d @ of.T).reshape(*one.shape, 2, DIM)
+        if (one[:, :-1] == two[:, 1:]).all():  # an entry in a window's middle is its next place's one before
+            slopes[:, 1:, 1] += slopes[:, :-1, 0]
+            entries, slopes = np.concatenate((two.ravel(), one[:, -1])), np.concatenate((slopes[:, :, 1].reshape(-1, DIM), slopes[:, -1, 0]))
         order = np.argsort(entries.astype(np.uint16), kind="stable")
         entries = entries[order]
         start = np.flatnonzero(np.concatenate(([True], entries[1:] != entries[:-1])))
         grad["e"] = np.zeros_like(w["e"])
-        grad["e"][entries[start]] = np.add.reduceat(slopes.take(order, axis=0), start, axis=0)
+        grad["e"][entries[start]] = np.add.reduceat(slopes.reshape(-1, DIM).take(order, axis=0), start, axis=0)
         return float(loss.mean()), grad
 
     def train(self, windows: np.ndarray, rate: float = RATE, batch: int = BATCH, epochs: int = 1) -> list[float]:
@@ -413,10 +473,18 @@ class Attention:
                 losses.append(loss)
                 t += 1
                 now = np.float32(rate * min(1, t / 10) * (1 - 0.9 * t / total))
-                slope = _packed(g)
-                mean += np.float32(0.1) * (slope - mean)
-                square += np.float32(0.01) * (slope * slope - square)
-                every -= now * (mean / np.float32(1 - 0.9**t)) / (np.sqrt(square / np.float32(1 - 0.99**t)) + np.float32(1e-8))
+                slope, root = _packed(g), math.sqrt(1 - 0.99**t)
+                mean *= np.float32(0.9)
+                mean += np.float32(0.1) * slope
+                slope *= slope
+                slope *= np.float32(0.01)
+                square *= np.float32(0.99)
+                square += slope
+                np.sqrt(square, out=slope)
+                slope += np.float32(1e-8 * root)
+                np.divide(mean, slope, out=slope)
+                slope *= np.float32(now * root / (1 - 0.9**t))
+                every -= slope
         return losses
 
     def scorer(self) -> Scorer:
@@ -440,24 +508,23 @@ class Scorer:
         self.ones = np.ones(max(CLASSES, MEMBERS), np.float32)
 
     def _outputs(self, h: np.ndarray, one: np.ndarray, two: np.ndarray, goal: np.ndarray) -> np.ndarray:
-        at, c, m = np.arange(len(goal)), goal // MEMBERS, goal % MEMBERS
+        c, m = goal // MEMBERS, goal % MEMBERS
         logits = h @ self.oc
         logits += self.class1.take(one, axis=0)
         logits += self.class2.take(two, axis=0)
-        out = logits[at, c].astype(np.float64)
+        out = logits.ravel().take(np.arange(0, logits.size, CLASSES) + c).astype(np.float64)
         np.exp(logits, out=logits)
         out -= np.log(logits @ self.ones[:CLASSES])
         order = np.argsort(c.astype(np.uint8), kind="stable")  # few classes: sorted by counting
         own = c[order]
-        bounds = np.searchsorted(own, np.arange(CLASSES + 1))
-        logits = self.member1.take(one[order] * CLASSES + own, axis=0)
-        logits += self.member2.take(two[order] * CLASSES + own, axis=0)
-        h = h[order]
-        for j in range(CLASSES):
-            a, b = bounds[j], bounds[j + 1]
+        bounds = np.searchsorted(own, np.arange(CLASSES + 1)).tolist()
+        logits, h = np.empty((len(goal), MEMBERS), np.float32), h.take(order, axis=0)
+        for j, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
             if b > a:
-                logits[a:b] += h[a:b] @ self.om[j]
-        found = logits[at, m[order]].astype(np.float64)
+                np.dot(h[a:b], self.om[j], logits[a:b])
+        logits += self.member1.take(one[order] * CLASSES + own, axis=0)
+        logits += self.member2.take(two[order] * CLASSES + own, axis=0)
+        found = logits.ravel().take(np.arange(0, logits.size, MEMBERS) + m[order]).astype(np.float64)
         np.exp(logits, out=logits)
         out[order] += found - np.log(logits @ self.ones[:MEMBERS])
         return out
@@ -479,9 +546,12 @@ class Scorer:
                 weights = np.matmul(_stretches(q, begin + skip, length - skip), _stretches(k, begin, length).transpose(0, 2, 1))
                 weights += self.near[skip:length, :length]
                 np.exp(weights, out=weights)
-                reach = np.arange(skip, length)
-                ok = reach < own[:, None]
-                mixed[(begin[:, None] + reach)[ok]] = np.matmul(weights, _stretches(v, begin, length))[ok]
+                reach, found = np.arange(skip, length), np.matmul(weights, _stretches(v, begin, length))
+                if own.min() == length:
+                    mixed[begin[:, None] + reach] = found
+                else:
+                    ok = reach < own[:, None]
+                    mixed[(begin[:, None] + reach)[ok]] = found[ok]
         out = np.empty(len(x))
         for a in range(0, len(x), chunk):
             at = slice(a, a + chunk)
@@ -511,9 +581,11 @@ def windows_of(numbers: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, int]]:
     later = np.maximum(0, -(-(numbers - LENGTH) // STRIDE))
     text = np.repeat(np.arange(len(numbers)), later)
     shift = STRIDE * (1 + np.arange(len(text)) - np.repeat(np.cumsum(later) - later, later))
+    size = np.minimum(numbers[text] - shift, LENGTH)
+    whole = np.argsort(size < LENGTH, kind="stable")  # those of full length together
     return [
         (first[order], np.minimum(numbers, LENGTH)[order], 0),
-        (first[text] + shift, np.minimum(numbers[text] - shift, LENGTH), CONTEXT),
+        ((first[text] + shift)[whole], size[whole], CONTEXT),
     ]
 
 
@@ -522,10 +594,13 @@ def chosen_windows(ids: bytes, share: int) -> list[tuple[int, bytes]]:
 
     Each has the two ids before its first (END before the text's beginning).
     """
-    padded = np.concatenate(([END, END], np.frombuffer(ids, "<u2"))).astype("<u2")
-    n = -(-(len(padded) - 2) // LENGTH)
-    begin = zlib.crc32(ids) % min(n, share)
-    return [(w, padded[w * LENGTH : (w + 1) * LENGTH + 2].tobytes()) for w in range(begin, n, share)]
+    padded = _HEAD + ids
+    return [(w, padded[2 * w * LENGTH : 2 * (w + 1) * LENGTH + 4]) for w in chosen_numbers(ids, share)]
+
+
+def chosen_numbers(ids: bytes, share: int) -> range:
+    n = -(-len(ids) // (2 * LENGTH))
+    return range(zlib.crc32(ids) % min(n, share) if share > 1 else 0, n, share)
 
 
 def _deal(at: int, parts: int):
@@ -533,16 +608,17 @@ def _deal(at: int, parts: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_parts(batches):
-            rows, found = [], []
-            for row, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                chosen = chosen_windows(ids, SHARE)
-                rows += [(row, w) for w, _ in chosen]
-                found += [own for _, own in chosen]
-            row, window = np.array(rows, np.uint64).reshape(-1, 2).T
+            values = batch.column(1).to_pylist()
+            numbers = [chosen_numbers(ids, SHARE) for ids in values]
+            n = np.fromiter(map(len, numbers), np.int64, len(numbers))
+            row = np.repeat(batch.column(0).to_numpy().astype(np.uint64), n)
+            window = np.fromiter(itertools.chain.from_iterable(numbers), np.uint64, len(row))
             place = mix(mix(row + np.uint64(1)) + window)
             own = np.flatnonzero(place % np.uint64(ROUNDS) == at)
             part = mix(place[own]) % np.uint64(parts)
-            columns = [pa.array(part.astype(np.int32)), pa.array(place[own].view(np.int64)), pa.array([found[i] for i in own], pa.binary())]
+            padded, begin = [_HEAD + ids for ids in values], window[own].astype(np.int64) * (2 * LENGTH)
+            found = [padded[i][a : a + 2 * LENGTH + 4] for i, a in zip(np.repeat(np.arange(len(n)), n)[own].tolist(), begin.tolist(), strict=True)]
+            columns = [pa.array(part.astype(np.int32)), pa.array(place[own].view(np.int64)), pa.array(found, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["part", "place", "ids"])
 
     return run

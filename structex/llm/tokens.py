@@ -28,8 +28,8 @@ class Encoder:
         import tiktoken
 
         with open(rank_file, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self._encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+            self._ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        self._encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=self._ranks, special_tokens={})
 
     def encode(self, text: str) -> list[int]:
         """Ids of a text in which the added token is ordinary text."""
@@ -44,6 +44,10 @@ class Encoder:
             at = end
         return ids + self._encoding.encode_ordinary(text[at:])
 
+    def strings(self) -> list[bytes]:
+        """The bytes of each id but the added token's."""
+        return sorted(self._ranks, key=self._ranks.__getitem__)
+
     def packed(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers."""
         ids = array.array("I")

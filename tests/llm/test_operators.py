@@ -285,6 +285,19 @@ def test_lm_ids_equal_the_tokenizer(rows):
         assert own.tolist() == [*tokenizer.encode(plain, add_special_tokens=False).ids, attention_lm.END]
 
 
+def test_lm_new_words_are_encoded_in_rows():
+    odd = ["a\xa0b", "\x85", "x\u3000", "\u2028y", "'s", "x'll", "'", "\x1c\x1f", "a\x1eb", "\x00", "<|endoftext|>", "é" * 24, "é" * 60, "w" * 99, "語", "\u200b", "12", "_", "\ud800"]
+    words = [w.encode("utf-8", "surrogatepass") for w in [f"w{i}é-{i * i}" if i % 3 else f"w{i}" for i in range(3000)] + odd]
+    alone = attention_lm.Units()
+    calls, encode = [], alone.encode
+    for most in (attention_lm.MAX_UNITS, 5):
+        units = attention_lm.Units(most)
+        units.encode = lambda text: calls.append(1) or encode(text)
+        assert units.of(words) == units.of(words) == [alone[w] for w in words] and len(units) <= most
+    # 4 rows, odd words one by one: the first time, and three times more by the one that remembers 5
+    assert len(calls) < 4 * (4 + len(odd))
+
+
 def test_lm_is_a_distribution_and_causal():
     x, numbers = _flat(["The cat sat on the mat and the cat ran " * 5])
     scorer = _fitted(x, numbers).scorer()
