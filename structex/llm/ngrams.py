@@ -36,8 +36,8 @@ def word_hashes(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np
     return word_places(texts, lower)[:2]
 
 
-def word_places(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """word_hashes, and where each word begins and ends in all texts joined."""
+def word_places(texts: list[bytes], lower: bool = False, spaces: np.ndarray = _SPACES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """word_hashes, and where each word begins and ends in all texts joined; spaces says of each byte if it parts words."""
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
     data = np.frombuffer(b"".join(texts), np.uint8)
     n = len(data)
@@ -45,7 +45,7 @@ def word_places(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np
         return np.empty(0, np.uint64), np.zeros(len(texts), np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
     if lower:
         data = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
-    inside = ~_SPACES[data]
+    inside = ~spaces[data]
     bounds = np.concatenate(([0], np.cumsum(lengths)))
     first = np.zeros(n + 1, bool)
     first[bounds] = True

@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from structex.llm import attention_lm, license_scan, line_dedup, media, mixing, packing, quality_model, quality_rules, role_repair, similarity_join
+from structex.llm import (
+    alignment,
+    attention_lm,
+    collocations,
+    license_scan,
+    line_dedup,
+    media,
+    mixing,
+    packing,
+    quality_model,
+    quality_rules,
+    role_repair,
+    similarity_join,
+    url_filter,
+)
 from structex.llm.common import table
 
 
@@ -56,6 +70,18 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.digest(alignment.aligned(table(spark, sf_dir, "documents")))
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = (
     op1_quality_classifier,
     op2_best_fit_packing,
@@ -67,6 +93,9 @@ QUERIES = (
     op8_chat_role_repair,
     op9_ngram_jaccard_join,
     op10_quality_rules,
+    op11_token_alignment,
+    op12_url_filter,
+    op13_phrase_collocations,
 )
 
 
@@ -106,7 +135,31 @@ reach AS (SELECT doc_id AS u, doc_id AS v FROM w UNION SELECT reach.u, e.v FROM
 SELECT u AS doc_id, min(v) AS class_id, (SELECT count(*) FROM e WHERE e.u = reach.u) AS n_links FROM reach GROUP BY u"""
 
 
+#: Phrases of 2 to 3 words, found 10 times, and the lowest-scoring cut of each; by language.
+COLLOCATION_SQL = r"""
+WITH t AS (SELECT row_number() OVER () AS doc, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM t),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM p),
+k AS (SELECT lang, words, unnest(generate_series(1, len(words))) AS k FROM w WHERE len(words) > 0),
+g AS (SELECT lang, 1 AS m, words[k] AS phrase FROM k UNION ALL SELECT lang, 2, words[k] || ' ' || words[k + 1] FROM k WHERE k < len(words)
+  UNION ALL SELECT lang, 3, words[k] || ' ' || words[k + 1] || ' ' || words[k + 2] FROM k WHERE k + 1 < len(words)),
+f AS MATERIALIZED (SELECT lang, m, phrase, count(*) AS f FROM g GROUP BY lang, m, phrase),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE m = 1 GROUP BY lang),
+c AS MATERIALIZED (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS words FROM f WHERE m > 1 AND f >= 10),
+parts AS MATERIALIZED (SELECT lang, phrase, f FROM f WHERE f >= 10 AND m < 3),
+cuts AS MATERIALIZED (SELECT lang, phrase, a, k, array_to_string(words[1:k], ' ') AS first, array_to_string(words[k + 1:], ' ') AS rest
+  FROM (SELECT *, unnest(generate_series(1, m - 1)) AS k FROM c)),
+cut AS (SELECT cuts.lang, cuts.phrase, a, k, l.f AS l, r.f AS r, CAST(CAST(a AS HUGEINT) * a * 1000000 // (CAST(l.f AS HUGEINT) * r.f) AS BIGINT) AS score
+  FROM cuts JOIN parts l ON l.lang = cuts.lang AND l.phrase = first JOIN parts r ON r.lang = cuts.lang AND r.phrase = rest),
+best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+longer AS (SELECT lang, phrase, max(a) AS a FROM (SELECT lang, a, array_to_string(words[s:s + 1], ' ') AS phrase
+  FROM (SELECT *, unnest([1, 2]) AS s FROM c WHERE m = 3)) GROUP BY lang, phrase),
+kept AS (SELECT best.* FROM best LEFT JOIN longer ON best.lang = longer.lang AND best.phrase = longer.phrase WHERE longer.a IS NULL OR 100 * longer.a < 50 * best.a)
+SELECT kept.lang, row_number() OVER (PARTITION BY kept.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept JOIN n ON kept.lang = n.lang QUALIFY rank <= 2000"""
+
+
 def oracle_sql() -> dict[str, str]:
     """The others have no SQL form (trained models, codecs, packings, seeded choices): tests hold
     them against brute force, round trips and held-out labels."""
-    return {"op9_ngram_jaccard_join": JACCARD_SQL, "op10_quality_rules": QUALITY_SQL}
+    return {"op9_ngram_jaccard_join": JACCARD_SQL, "op10_quality_rules": QUALITY_SQL, "op13_phrase_collocations": COLLOCATION_SQL}
