@@ -11,7 +11,6 @@ from structex.operators import modes
 from structex.streaming import streams
 
 PIECE = 9
-ITEM = S.obj(id=S.integer(), kind=S.enum("click", "view", "purchase", "signup", "other"))
 
 
 def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,18 +51,29 @@ def _streamed(spark: SparkSession, deltas: DataFrame, make) -> DataFrame:
     return spark.read.schema(streams.OUT_SCHEMA).parquet(f"{folder}/out")
 
 
+SHOWN = S.obj(items=S.array(S.obj(id=S.integer(), kind=S.string())))
+
+
 def stream_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last snapshot of each stream's object, through Structured Streaming."""
+    """Every snapshot of each stream's object, through Structured Streaming."""
     texts = _sources(spark, sf_dir).select("stream_id", F.to_json(F.struct("items")).alias("text"))
-    said = _streamed(spark, _deltas(texts, F.col("text")), lambda s: streams.partial_objects(s, S.obj(items=S.array(S.obj(id=S.integer(), kind=S.string()))), None))
-    last = said.filter("kind = 'partial'").groupBy("stream_id").agg(F.max_by("body", "seq").alias("body"))
-    return last.select("stream_id", "body")
+    said = _streamed(spark, _deltas(texts, F.col("text")), lambda s: streams.partial_objects(s, SHOWN, None))
+    return said.filter("kind = 'partial'").select("stream_id", "seq", F.length("body").cast("long").alias("length"), F.md5("body").alias("body_md5"))
 
 
 _STREAM_SQL = """s AS (SELECT user_id AS stream_id, list(event_id ORDER BY event_id) AS ids, list(event_type ORDER BY event_id) AS kinds FROM events GROUP BY user_id),
 i AS (SELECT stream_id, unnest(ids) AS id, unnest(kinds) AS kind, unnest(generate_series(1, len(ids))) AS ord, len(ids) AS n FROM s)"""
-STREAM_SNAPSHOTS_SQL = f"""WITH {_STREAM_SQL} SELECT stream_id, '{{"items":[' || string_agg('{{"id":' || id || ',"kind":"' || kind || '"}}', ',' ORDER BY ord) || ']}}' AS body
-FROM i GROUP BY stream_id"""
+# what came is closed: an open text gets its quote, a key without a value goes, brackets are closed
+_SNAPSHOT_SQL = f"""{_STREAM_SQL},
+t AS (SELECT stream_id, '{{"items":[' || string_agg('{{"id":' || id || ',"kind":"' || kind || '"}}', ',' ORDER BY ord) || ']}}' AS body FROM i GROUP BY stream_id),
+p AS (SELECT stream_id, k AS seq, left(body, CAST((k + 1) * {PIECE} AS INT)) AS p, (k + 1) * {PIECE} >= length(body) AS whole
+  FROM (SELECT *, unnest(generate_series(0, CAST(ceil(length(body) / {PIECE}) AS BIGINT) - 1)) AS k FROM t)),
+c AS (SELECT stream_id, seq, whole, CASE WHEN regexp_matches(p, '"kind":"[a-z]*$') THEN p || '"'
+  WHEN regexp_matches(p, '"kind":"[a-z]+"$') THEN p ELSE regexp_replace(regexp_replace(p, ',?"[a-z]*"?:?$', ''), ',$', '') END AS p FROM p),
+d AS (SELECT stream_id, seq, CASE WHEN whole THEN p WHEN contains(p, '[') THEN p || CASE WHEN regexp_matches(p, '\\{{[^}}]*$') AND NOT regexp_matches(p, '\\[$')
+  THEN '}}' ELSE '' END || CASE WHEN contains(p, ']') THEN '}}' ELSE ']}}' END ELSE p || '}}' END AS body FROM c),
+shown AS (SELECT * FROM d QUALIFY body IS DISTINCT FROM lag(body) OVER (PARTITION BY stream_id ORDER BY seq))"""
+STREAM_SNAPSHOTS_SQL = f"WITH {_SNAPSHOT_SQL} SELECT stream_id, seq, CAST(length(body) AS BIGINT) AS length, md5(body) AS body_md5 FROM shown"
 
 
 def stream_items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,8 +92,7 @@ STREAM_ITEMS_SQL = f"WITH {_STREAM_SQL} SELECT stream_id, id FROM i WHERE NOT (s
 def stream_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The highest usage of each side, once at the end."""
     texts = _sources(spark, sf_dir).select("stream_id", F.to_json(F.struct("items")).alias("text"))
-    said = streams.replay(_deltas(texts, F.col("text")), S.obj(items=S.array(S.obj(id=S.integer()))), items=None)
-    return said.filter("kind = 'usage'").select("stream_id", "input_tokens", "output_tokens", "total_tokens", "attempts")
+    return streams.usage(_deltas(texts, F.col("text")))
 
 
 STREAM_USAGE_SQL = f"""WITH {_STREAM_SQL}, t AS (SELECT stream_id, '{{"items":[' || string_agg('{{"id":' || id || ',"kind":"' || kind || '"}}', ',' ORDER BY ord) || ']}}' AS body
@@ -92,31 +101,41 @@ SELECT stream_id, 7::BIGINT AS input_tokens, CAST(ceil(length(body) / {PIECE}) A
 
 
 def stream_end(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Streams that never show anything end with an error: cut off, or no JSON."""
-    texts = _sources(spark, sf_dir).select("stream_id", F.lit("no answer today").alias("text"))
-    said = streams.replay(_deltas(texts, F.col("text")), ITEM, items=True)
-    return said.filter("kind like '%Error'").select("stream_id", "kind", F.col("body").alias("marker"))
+    """Streams that never show anything end with an error: cut off, or no JSON. Of three streams one
+    sends its kinds as prose, one a list whose first item is no item, one a list of items."""
+    k = F.col("stream_id") % 3
+    prose, listed = F.array_join("items.kind", " "), F.to_json("items")
+    text = F.when(k == 0, prose).when(k == 1, F.concat(F.lit("[0, "), F.substring(listed, 2, 1 << 30))).otherwise(listed)
+    texts = _sources(spark, sf_dir).select("stream_id", text.alias("text"))
+    said = streams.replay(_deltas(texts, F.col("text")), S.obj(id=S.integer(), kind=S.string()), items=True)
+    return said.filter("kind like '%Error'").select("stream_id", "seq", "kind", F.col("body").alias("marker"))
 
 
-STREAM_END_SQL = """SELECT DISTINCT user_id AS stream_id, CASE WHEN user_id % 4 = 0 THEN 'OutputTruncatedError' ELSE 'JsonParseError' END AS kind,
-  CASE WHEN user_id % 4 = 0 THEN 'length' END AS marker FROM events"""
+STREAM_END_SQL = f"""WITH {_STREAM_SQL}, t AS (SELECT stream_id, CASE WHEN stream_id % 3 = 0 THEN string_agg(kind, ' ')
+  ELSE '[0, ' || string_agg('{{"id":' || id || ',"kind":"' || kind || '"}}', ',') || ']' END AS text FROM i WHERE stream_id % 3 < 2 GROUP BY stream_id)
+SELECT stream_id, CAST(ceil(length(text) / {PIECE}) AS BIGINT) - 1 AS seq, CASE WHEN stream_id % 4 = 0 THEN 'OutputTruncatedError' ELSE 'JsonParseError' END AS kind,
+  CASE WHEN stream_id % 4 = 0 THEN 'length' END AS marker FROM t"""
 
 
 def stream_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many snapshots each stream shows: intermediate states, so rows only."""
+    """How many snapshots each stream shows, and how long they are together, by the batch form."""
     texts = _sources(spark, sf_dir).select("stream_id", F.to_json(F.struct("items")).alias("text"))
-    said = streams.replay(_deltas(texts, F.col("text")), S.obj(items=S.array(S.obj(id=S.integer(), kind=S.string()))), items=False)
-    return said.filter("kind = 'partial'").groupBy("stream_id").agg(F.count("*").alias("snapshots"))
+    said = streams.replay(_deltas(texts, F.col("text")), SHOWN, items=False).filter("kind = 'partial'")
+    return said.groupBy("stream_id").agg(F.count("*").alias("snapshots"), F.sum(F.length("body")).alias("characters"))
+
+
+STREAM_COMPLETE_SQL = f"WITH {_SNAPSHOT_SQL} SELECT stream_id, count(*) AS snapshots, CAST(sum(length(body)) AS BIGINT) AS characters FROM shown GROUP BY stream_id"
 
 
 def stream_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text that one provider chunk adds, in each wire format."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type")
-    text, k = F.col("event_type"), F.col("event_id") % 5
+    text, k = F.col("event_type"), F.col("event_id") % 6
     wrap = lambda a, b: F.concat(F.lit(a), F.to_json(text.cast("variant")), F.lit(b))
     raws = {
         modes.TOOLS: wrap('{"choices":[{"delta":{"tool_calls":[{"function":{"arguments":', "}}]}}]}"),
         modes.JSON_SCHEMA: wrap('{"choices":[{"delta":{"content":', "}}]}"),
+        modes.MD_JSON: wrap('{"choices":[{"index":0,"delta":{"role":"assistant","content":', "}}]}"),
         modes.ANTHROPIC_TOOLS: wrap('{"delta":{"partial_json":', "}}"),
         modes.GEMINI_JSON: wrap('{"candidates":[{"content":{"parts":[{"text":', "}]}}]}"),
     }
@@ -126,7 +145,7 @@ def stream_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", got.otherwise(modes.delta(modes.TOOLS, F.lit('{"choices":[]}'))).alias("delta"))
 
 
-STREAM_DELTA_SQL = "SELECT event_id, CASE WHEN event_id % 5 < 4 THEN event_type ELSE '' END AS delta FROM events"
+STREAM_DELTA_SQL = "SELECT event_id, CASE WHEN event_id % 6 < 5 THEN event_type ELSE '' END AS delta FROM events"
 
 
 def stream_running_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,6 +163,7 @@ SQL = {
     "stream_items": STREAM_ITEMS_SQL,
     "stream_usage": STREAM_USAGE_SQL,
     "stream_end": STREAM_END_SQL,
+    "stream_complete": STREAM_COMPLETE_SQL,
     "stream_delta": STREAM_DELTA_SQL,
     "stream_running_usage": STREAM_RUNNING_SQL,
 }
