@@ -89,7 +89,7 @@ def _batch(columns: tuple[list, ...], kinds: tuple, names: list[str]) -> pa.Reco
 
 
 def _events(side: int, file: str | None, window: int):
-    """Rows of end events: 4-byte offsets within the window and 4-byte ids, compressed."""
+    """Rows of end events: offsets as steps from the window's begin on, and ids, compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -116,8 +116,9 @@ def _events(side: int, file: str | None, window: int):
                     # the first window has a row even where no token ends in it
                     parts.insert(0, (0, 0, 0))
                 for number, begin, end in parts:
-                    events = np.concatenate((ends[begin:end] - number * window, ids[begin:end])).astype("<u4")
-                    # bytes of equal weight lie together, which compresses better
+                    steps = np.diff(ends[begin:end], prepend=number * window)
+                    events = np.concatenate((steps, ids[begin:end])).astype("<u4")
+                    # steps from end to end, and bytes of equal weight together, compress best
                     packed = pack(events.view(np.uint8).reshape(-1, 4).T.tobytes())
                     for column, value in zip(out, (doc_id, key, n, side, number, whole, packed), strict=True):
                         column.append(value)
@@ -151,9 +152,10 @@ class Sweep:
         self.window, self.base = window, 0
         self.waiting = [[np.empty(0, np.int64), np.empty(0, np.int64)] for _ in range(2)]
 
-    def add(self, side: int, number: int, ends: np.ndarray, ids: np.ndarray) -> None:
+    def add(self, side: int, number: int, steps: np.ndarray, ids: np.ndarray) -> None:
         kept = self.waiting[side]
-        kept[0], kept[1] = np.concatenate((kept[0], ends + number * self.window)), np.concatenate((kept[1], ids))
+        ends = np.cumsum(steps) + number * self.window
+        kept[0], kept[1] = np.concatenate((kept[0], ends)), np.concatenate((kept[1], ids))
 
     def links(self) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Base, and each new link's end, A id, B id and sides that end there (1 A, 2 B, 3 both)."""
@@ -162,10 +164,15 @@ class Sweep:
         if not len(a_ends) or not len(b_ends):
             return base, *[np.empty(0, np.int64)] * 4
         until = min(a_ends[-1], b_ends[-1])
-        at = np.union1d(a_ends, b_ends)
-        at = at[: np.searchsorted(at, until, "right")]
-        a, b = np.searchsorted(a_ends, at), np.searchsorted(b_ends, at)
-        sides = (a_ends[a] == at) + 2 * (b_ends[b] == at)
+        # a mark at each byte where a token of A (1), B (2) or both end; all waiting ends are beyond base
+        marks = np.zeros(until - base, np.uint8)
+        for side, ends in enumerate((a_ends, b_ends)):
+            marks[ends[: np.searchsorted(ends, until, "right")] - base - 1] |= 1 << side
+        at = np.flatnonzero(marks)
+        sides = marks[at]
+        # the token that reaches a place is the first one that doesn't end before it
+        a, b = np.cumsum(sides & 1, dtype=np.int64) - (sides & 1), np.cumsum(sides >> 1, dtype=np.int64) - (sides >> 1)
+        at += base + 1
         for kept in self.waiting:
             gone = np.searchsorted(kept[0], until, "right")
             kept[0], kept[1] = kept[0][gone:], kept[1][gone:]
@@ -328,8 +335,9 @@ class Digest:
         # numerals in the order of groups, A before B; a side's last one of a group has another mark
         a_last, b_last = np.diff(a_group, append=n_groups) > 0, np.diff(b_group, append=n_groups) > 0
         order = np.empty(a_done + b_done, np.int64)
-        order[np.arange(a_done) + np.searchsorted(b_group, a_group)] = a_ids + PAIR * a_last
-        order[np.arange(b_done) + np.searchsorted(a_group, b_group, "right")] = b_ids + 2 * PAIR * b_last
+        a_upto, b_upto = (np.cumsum(np.bincount(g, minlength=n_groups)) for g in (a_group, b_group))
+        order[np.arange(a_done) + (b_upto[a_group] - np.bincount(b_group, minlength=n_groups)[a_group])] = a_ids + PAIR * a_last
+        order[np.arange(b_done) + a_upto[b_group]] = b_ids + 2 * PAIR * b_last
         text = self.lead + "".join(map(_numerals().__getitem__, order.tolist()))
         self.sha.update(text[:-1].encode())
         self.lead = ";"
