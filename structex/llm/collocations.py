@@ -30,12 +30,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from structex.llm.common import durable, in_parts
+from structex.llm.common import durable, in_parts, written
 from structex.llm.ngrams import mix, slices, word_places
 
 MAX_WORDS, LEAST, INSIDE, TOP = 3, 10, 50, 2000
 #: Bits of a table and counters of a task, and the counters of one row.
-SLOTS, STRETCH = 1 << 24, 1 << 16
+SLOTS, STRETCH = 1 << 26, 1 << 16
 #: Phrases that a task holds before it sends their counts on.
 HELD = 400_000
 #: Bytes after which a text is cut at the next end of a piece.
@@ -241,14 +241,15 @@ def frequent_phrases(
     ).filter("text <> ''")
     levels, totals, frequent, buckets = [], None, None, None
     for m in range(1, max_words + 1):
-        counted = durable(source.mapInArrow(_pass(m, m == max_words, least, slots, held, frequent, buckets), _COUNT_SCHEMA))
+        counted, remove = written(source.mapInArrow(_pass(m, m == max_words, least, slots, held, frequent, buckets), _COUNT_SCHEMA))
         phrases = counted.filter("phrase is not null").groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
         levels.append(durable(phrases.filter(F.col("f") >= least)))
         if m == 1:
-            totals = counted.filter("phrase is not null").groupBy("lang").agg(F.sum("n").alias("n"))
+            totals = durable(counted.filter("phrase is not null").groupBy("lang").agg(F.sum("n").alias("n")))
         if m < max_words:
             frequent = _table(levels[-1].select("lang", "phrase").mapInArrow(_mark(m, least, slots), _COUNT_SCHEMA), least, slots)
             buckets = _table(counted, least, slots)
+        remove()
     return levels, totals
 
 

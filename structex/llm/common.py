@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from structex.plans.durable import durable, ensure_checkpoint_dir
 
-__all__ = ["SPACE_CHARS", "SPACE_CLASS", "durable", "ensure_checkpoint_dir", "in_parts", "join_counted", "let", "table", "words_of"]
+__all__ = ["SPACE_CHARS", "SPACE_CLASS", "durable", "ensure_checkpoint_dir", "in_parts", "join_counted", "let", "table", "words_of", "written"]
 
 #: White space that separates words everywhere in this subpackage: space, tab to carriage return.
 SPACE_CHARS = " \t\n\x0b\x0c\r"
@@ -29,6 +30,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def written(rows: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
+    """Rows as a compressed table in the shared folder, and how to remove it once nothing reads it any more."""
+    spark = rows.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/rows-{uuid.uuid4().hex}"
+    rows.write.option("compression", "zstd").parquet(path)
+
+    def remove() -> None:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+    return spark.read.schema(rows.schema).parquet(path), remove
+
+
 def join_counted(rows: DataFrame, table: DataFrame, keys: list[str], most: int = 200_000) -> DataFrame:
     """rows joined with table, whose column n says how many rows have each of its keys.
 
