@@ -190,20 +190,49 @@ def reask_text(issues_col: Column, parse_failed: Column) -> Column:
     return F.when(parse_failed, broken).otherwise(invalid)
 
 
-def plain_json(schema: Schema, value: Column) -> Column:
-    """A valid value as JSON text: undeclared keys gone, defaults filled in, null and missing kept apart."""
+def plain_json(schema: Schema, value: Column, own: Column | None = None, place: Column | None = None) -> Column:
+    """A valid value as JSON text: undeclared keys gone, defaults filled in, null and missing kept apart.
+
+    own: a map from places of quotes to the texts that stand there instead.
+    """
+    place = F.lit("") if place is None else place
     match schema.kind:
         case "object":
-            fields = [
-                F.concat(F.to_json(F.lit(k).cast("variant")), F.lit(":"), plain_json(f, at(value, f"$.{k}"))) for k, f in schema.fields
-            ]
+            fields = []
+            for k, f in schema.fields:
+                inner = _join(place, k)
+                if schema.quoted and k == "substring_quotes" and own is not None:
+                    text = _quotes_json(at(value, f"$.{k}"), own, inner)
+                else:
+                    text = plain_json(f, at(value, f"$.{k}"), own, inner)
+                fields.append(F.concat(F.to_json(F.lit(k).cast("variant")), F.lit(":"), text))
             out = F.concat(F.lit("{"), F.concat_ws(",", *fields), F.lit("}"))
         case "array":
             items = F.try_variant_get(value, "$", "array<variant>")
-            out = F.concat(F.lit("["), F.array_join(F.transform(items, lambda v: plain_json(schema.element, v)), ","), F.lit("]"))
+            each = F.transform(items, lambda v, i: plain_json(schema.element, v, own, F.concat(place, F.lit("["), i.cast("string"), F.lit("]"))))
+            out = F.concat(F.lit("["), F.array_join(each, ","), F.lit("]"))
+        case "record" if own is not None:
+            entries = F.map_entries(F.try_variant_get(value, "$", "map<string,variant>"))
+
+            def entry(e: Column) -> Column:
+                key = F.to_json(e["key"].cast("variant"))
+                inner = F.when(place == "", key).otherwise(F.concat(place, F.lit("."), key))
+                return F.concat(key, F.lit(":"), plain_json(schema.element, e["value"], own, inner))
+
+            out = F.concat(F.lit("{"), F.array_join(F.transform(entries, entry), ","), F.lit("}"))
+        case "union" if own is not None:
+            option, out = union_option(schema, value), F.to_json(value)
+            for k, one in enumerate(schema.options):
+                out = F.when(option == k, plain_json(one, value, own, place)).otherwise(out)
         case _:
             out = F.to_json(value)
     if schema.is_nullable:
         out = F.when(F.is_variant_null(value), F.lit("null")).otherwise(out)
     default = F.lit(json.dumps(schema.default_value)) if schema.has_default else F.lit(None).cast("string")
     return F.when(value.isNull(), default).otherwise(out)
+
+
+def _quotes_json(value: Column, own: Column, place: Column) -> Column:
+    items = F.try_variant_get(value, "$", "array<string>")
+    text = lambda q, i: F.coalesce(F.try_element_at(own, F.concat(place, F.lit("["), i.cast("string"), F.lit("]"))), q)
+    return F.concat(F.lit("["), F.array_join(F.transform(items, lambda q, i: F.to_json(text(q, i).cast("variant"))), ","), F.lit("]"))

@@ -10,7 +10,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from structex.functions.jsonx import trim_text
+from structex.functions.jsonx import items_at, kind_of, trim_text
+from structex.functions.schema import Schema
+from structex.operators import nested
 
 QUOTE_LENGTH = 120
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
@@ -82,18 +84,50 @@ def rewritten(spans_col: Column, source: Column) -> Column:
     return F.transform(spans_col, lambda s: F.substring(source, s["start"] + 1, s["end"] - s["start"]))
 
 
+def _not_found(quote: Column) -> Column:
+    short = F.when(F.length(quote) > QUOTE_LENGTH, F.concat(F.substring(quote, 1, QUOTE_LENGTH), F.lit("…"))).otherwise(quote)
+    return F.concat(F.lit('Quote not found in source: "'), short, F.lit('"'))
+
+
 def citation_issues(quotes: Column, spans_col: Column, field: str = "substring_quotes") -> Column:
     """An issue for each quote that isn't in the source; without a source nothing is checked."""
 
     def one(s: Column, i: Column) -> Column:
         quote = F.element_at(quotes, i + 1)
-        short = F.when(F.length(quote) > QUOTE_LENGTH, F.concat(F.substring(quote, 1, QUOTE_LENGTH), F.lit("…"))).otherwise(quote)
-        return F.when(
-            s.isNull(),
-            F.struct(
-                F.concat(F.lit(f"{field}["), i.cast("string"), F.lit("]")).alias("path"),
-                F.concat(F.lit('Quote not found in source: "'), short, F.lit('"')).alias("message"),
-            ),
-        )
+        path = F.concat(F.lit(f"{field}["), i.cast("string"), F.lit("]"))
+        return F.when(s.isNull(), F.struct(path.alias("path"), _not_found(quote).alias("message")))
 
     return F.filter(F.transform(spans_col, one), lambda x: x.isNotNull())
+
+
+QUOTES = "array<struct<path:string,place:string,quote:string>>"
+
+
+def is_cited(schema: Schema) -> bool:
+    """Whether an object with quotes lies anywhere in a schema."""
+    return nested.within(schema, lambda s: s.quoted)
+
+
+def quotes(schema: Schema, value: Column, field: str = "substring_quotes") -> Column:
+    """All quotes of a value, at any depth, with where they stand; what isn't a text is no quote."""
+
+    def own(_: Schema, node: Column, path: Column, place: Column) -> Column:
+        named = lambda p, i: F.concat(F.when(p == "", F.lit(field)).otherwise(F.concat(p, F.lit(f".{field}"))), F.lit("["), i.cast("string"), F.lit("]"))
+        text = lambda q: F.when(kind_of(q) == "string", F.try_variant_get(q, "$", "string"))
+        listed = F.transform(items_at(node, f"$.{field}"), lambda q, i: F.struct(named(path, i).alias("path"), named(place, i).alias("place"), text(q).alias("quote")))
+        return F.filter(listed, lambda q: q["quote"].isNotNull())
+
+    return nested.gather(schema, value, lambda s: s.quoted, own, QUOTES)
+
+
+def quote_issues(quotes_col: Column, spans_col: Column) -> Column:
+    """An issue at its path for each of the quotes that has no span."""
+    each = F.zip_with(quotes_col, spans_col, lambda q, s: F.when(s.isNull(), F.struct(q["path"].alias("path"), _not_found(q["quote"]).alias("message"))))
+    return F.filter(each, lambda x: x.isNotNull())
+
+
+def own_words(quotes_col: Column, spans_col: Column, source: Column) -> Column:
+    """Place of each quote that was found to the source's own words."""
+    text = lambda s: F.substring(source, s["start"] + 1, s["end"] - s["start"])
+    entries = F.zip_with(quotes_col, spans_col, lambda q, s: F.when(s.isNotNull(), F.struct(q["place"], text(s))))
+    return F.map_from_entries(F.filter(entries, lambda e: e.isNotNull()))

@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from structex.functions.jsonx import kind_of
+from structex.functions.schema import Judged, Schema
+from structex.operators import nested
 from structex.operators.modes import text_message
 
 SYSTEM_PROMPT = (
@@ -52,3 +55,62 @@ def judge(rows: DataFrame, key: str, candidate: Column, statement: str, verdicts
     )
     joined = rows.withColumn("_q", F.xxhash64(candidate)).join(said, "_q", "left")
     return joined.withColumn("issue", issue).drop("_q", "is_valid", "reason")
+
+
+CANDIDATES = "array<struct<path:string,rule:int,candidate:string>>"
+
+
+def rules(schema: Schema) -> list[Judged]:
+    """All judged rules of a schema, outer ones first; candidates name them by their place here."""
+    found: list[Judged] = []
+    for node in nested.nodes(schema):
+        found += [j for j in node.judges if not any(j is k for k in found)]
+    return found
+
+
+def candidates(schema: Schema, value: Column) -> Column:
+    """What of a value is to be judged by which rule: texts as they are, all else as JSON."""
+    known = rules(schema)
+
+    def own(node: Schema, part: Column, path: Column, _: Column) -> Column:
+        text = F.when(kind_of(part) == "string", F.try_variant_get(part, "$", "string")).otherwise(F.to_json(part))
+        numbers = [k for rule in node.judges for k, other in enumerate(known) if other is rule]
+        return F.array(*[F.struct(path.alias("path"), F.lit(k).alias("rule"), text.alias("candidate")) for k in numbers])
+
+    return nested.gather(schema, value, lambda s: bool(s.judges), own, CANDIDATES)
+
+
+def judge_values(rows: DataFrame, schema: Schema, ask: Callable[[Judged, DataFrame], DataFrame], key: str = "call_id") -> DataFrame:
+    """Rows (key, model, value, status, issues, data) whose status is ok, judged by their schema's rules.
+
+    ask puts calls (call_id, model, messages) before a rule's judge and returns (call_id, is_valid,
+    reason). Equal candidates of a rule and a model are asked about once. What breaks a rule is an
+    issue, so the row's status becomes SchemaValidationError; a verdict that is lost or failed can't
+    be mended by another answer and makes it judge_error.
+    """
+    known = rules(schema)
+    found = F.posexplode(candidates(schema, F.col("value"))).alias("at", "c")
+    flat = rows.filter("status = 'ok'").select(key, "model", found).select(key, "model", "at", "c.path", "c.rule", "c.candidate")
+    # the rule's own model, or that of the call
+    own = F.create_map(*[x for k, rule in enumerate(known) if rule.model for x in (F.lit(k), F.lit(rule.model))] or [F.lit(-1), F.lit("")])
+    flat = flat.withColumn("model", F.coalesce(F.try_element_at(own, F.col("rule")), F.col("model")))
+    flat = flat.withColumn("_q", F.md5(F.to_json(F.struct("rule", "model", "candidate"))))
+    unique = flat.groupBy("_q", "rule").agg(F.min("model").alias("model"), F.min("candidate").alias("candidate"))
+    said = None
+    for k, rule in enumerate(known):
+        calls = unique.filter(F.col("rule") == k).select(F.col("_q").alias("call_id"), "model", judge_messages(rule.statement, F.col("candidate")).alias("messages"))
+        answers = ask(rule, calls).select(F.col("call_id").alias("_q"), "is_valid", "reason")
+        said = answers if said is None else said.unionByName(answers)
+    statements = F.create_map(*[x for k, rule in enumerate(known) for x in (F.lit(k), F.lit(rule.statement))])
+    message = F.coalesce("reason", F.concat(F.lit("Value failed validation: "), statements[F.col("rule")]))
+    issue = F.when(~F.col("is_valid"), F.struct("at", F.struct("path", message.alias("message")).alias("issue")))
+    verdicts = (
+        flat.join(said, "_q", "left")
+        .groupBy(key)
+        .agg(F.array_sort(F.collect_list(issue)).alias("_broken"), F.bool_or(F.col("is_valid").isNull()).alias("_lost"))
+    )
+    joined = rows.join(verdicts, key, "left")
+    broken = F.coalesce(F.transform("_broken", lambda x: x["issue"]), F.array().cast("array<struct<path:string,message:string>>"))
+    status = F.when(F.col("_lost"), F.lit("judge_error")).when(F.size(broken) > 0, F.lit("SchemaValidationError")).otherwise(F.col("status"))
+    judged = joined.withColumns({"issues": F.concat("issues", broken), "status": status})
+    return judged.withColumn("data", F.when(F.col("status") == "ok", F.col("data"))).drop("_broken", "_lost")

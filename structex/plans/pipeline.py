@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from structex.functions import account
 from structex.functions.jsonx import at
-from structex.functions.schema import Schema
+from structex.functions.schema import VERDICT, Judged, Schema
 from structex.functions.validate import coerce, issues, plain_json, reask_text, unwrap_items
-from structex.operators import chunk, cite, merge, modes, retry
+from structex.operators import chunk, cite, judge, merge, modes, retry
 from structex.plans.durable import durable
 from structex.sources.clients import CallClient, ModelClient, with_timeout
 
@@ -52,20 +52,19 @@ def read_replies(replies: DataFrame, schema: Schema, mode: str, raw: str = "raw"
     """Add value, issues, parse_error, usage, truncated, status and data to replies.
 
     status: ok, provider_error, truncated, JsonParseError or SchemaValidationError. context is the
-    source text: quotes of a cited schema that don't stand in it are issues, and those that do
-    become the source's own words.
+    source text: quotes, at any depth of the schema, that don't stand in it are issues, and those
+    that do become the source's own words, in value and data.
     """
     v = F.try_parse_json(F.col(raw))
     parsed = replies.withColumn("_p", modes.parse(mode, F.col(raw)))
     value = unwrap_items(F.col("_p.value")) if schema.root_kind() == "array" else F.col("_p.value")
     rows = parsed.withColumns({"value": value, "parse_error": F.col("_p.error"), "usage": account.usage(v), "truncated": account.truncation_reason(v)}).drop("_p")
     rows = rows.withColumn("issues", F.when(F.col("value").isNotNull(), issues(schema, F.col("value"))))
-    quoted = schema.quoted and context is not None
+    quoted = context is not None and cite.is_cited(schema)
     if quoted:
-        quotes = F.try_variant_get(F.col("value"), "$.substring_quotes", "array<string>")
-        rows = rows.withColumn("_spans", cite.spans(quotes, context))
-        wrong = F.coalesce(cite.citation_issues(quotes, F.col("_spans")), F.array().cast("array<struct<path:string,message:string>>"))
-        rows = rows.withColumn("issues", F.concat("issues", wrong))
+        rows = rows.withColumn("_quotes", cite.quotes(schema, F.col("value")))
+        rows = rows.withColumn("_spans", cite.spans(F.transform("_quotes", lambda q: q["quote"]), context))
+        rows = rows.withColumn("issues", F.concat("issues", cite.quote_issues(F.col("_quotes"), F.col("_spans"))))
     status = (
         F.when(F.col(error).isNotNull(), F.lit("provider_error"))
         .when(F.size("issues") == 0, F.lit("ok"))
@@ -73,11 +72,11 @@ def read_replies(replies: DataFrame, schema: Schema, mode: str, raw: str = "raw"
         .when(F.col("parse_error").isNotNull(), F.lit("JsonParseError"))
         .otherwise(F.lit("SchemaValidationError"))
     )
-    rows = rows.withColumn("status", status).withColumn("data", F.when(F.col("status") == "ok", coerce(schema, F.col("value"))))
+    rows = rows.withColumn("status", status)
     if quoted:
-        own = F.col("data").withField("substring_quotes", cite.rewritten(F.col("_spans"), context))
-        rows = rows.withColumn("data", F.when(F.col("status") == "ok", own)).drop("_spans")
-    return rows
+        own = F.parse_json(plain_json(schema, F.col("value"), cite.own_words(F.col("_quotes"), F.col("_spans"), context)))
+        rows = rows.withColumn("value", F.when(F.col("status") == "ok", own).otherwise(F.col("value"))).drop("_quotes", "_spans")
+    return rows.withColumn("data", F.when(F.col("status") == "ok", coerce(schema, F.col("value"))))
 
 
 def extract(
@@ -94,8 +93,8 @@ def extract(
 ) -> DataFrame:
     """Live retry loop over calls (call_id, model, messages): every attempt, with outcome.
 
-    outcome is success, provider_error, truncated, exhausted, exceeded or unavailable (the budget),
-    or continue, where another attempt follows; is_last_attempt says which one a call ended with.
+    outcome is success, provider_error, truncated, judge_error, exhausted, exceeded or unavailable
+    (the budget), or continue, where another attempt follows; is_last_attempt says which one a call ended with.
     carry: other columns of calls that come along.
     """
     account.check_max_retries(max_retries)
@@ -105,12 +104,19 @@ def extract(
     if timeout is not None and isinstance(client, CallClient):
         client = with_timeout(client, timeout, client.deadline)
 
+    def verdicts(rule: Judged, asked: DataFrame) -> DataFrame:
+        judged = extract(asked, VERDICT, rule.client or client, max_retries=rule.max_retries).filter("is_last_attempt")
+        return judged.select("call_id", "data.is_valid", "data.reason")
+
     def ask(open_: DataFrame, attempt: int) -> DataFrame:
         body = modes.encode(mode, schema, F.col("model"), F.col("messages"), sampling)
         had = F.col("spent") if "spent" in open_.columns else F.lit(0)
         known = F.col("accounted") if "accounted" in open_.columns else F.lit(True)
         requests = open_.select("call_id", "model", "messages", *carry, had.cast("long").alias("spent"), known.alias("accounted")).withColumn("body", body)
         read = read_replies(client.ask(requests.withColumn("attempt", F.lit(attempt))).drop("attempt"), schema, mode, context=context)
+        if judge.rules(schema):
+            # what was answered is paid for: it is written before its values are judged
+            read = judge.judge_values(durable(read), schema, verdicts)
         read = read.withColumns(
             {
                 "spent": F.col("spent") + F.coalesce("usage.total_tokens", F.lit(0)),
@@ -121,7 +127,7 @@ def extract(
         state = account.budget_state(F.col("spent"), F.col("accounted"), F.lit(token_budget).cast("long"))
         outcome = (
             F.when(F.col("status") == "ok", F.lit("success"))
-            .when(F.col("status").isin("provider_error", "truncated"), F.col("status"))
+            .when(F.col("status").isin("provider_error", "truncated", "judge_error"), F.col("status"))
             .when(~left, F.lit("exhausted"))
             .when(state != "ok", state)
             .otherwise(F.lit("continue"))
@@ -214,12 +220,10 @@ def run_chunks(
             F.concat_ws(":", "doc_id", "chunk_index").alias("call_id"), F.lit(model).alias("model"), F.array(modes.text_message("user", prompt)).alias("messages"), *windows
         )
         attempts = extract(
-            calls, schema, client, mode, options.max_retries, options.chunk_token_budget, sampling, F.col("chunk_text") if schema.quoted else None, carry=windows
+            calls, schema, client, mode, options.max_retries, options.chunk_token_budget, sampling, F.col("chunk_text") if cite.is_cited(schema) else None, carry=windows
         )
         # what the merge sees is the validated value: defaults filled, undeclared keys gone
         plain = F.parse_json(plain_json(schema, F.col("value")))
-        if schema.quoted:
-            plain = F.to_variant_object("data")
         last = attempts.filter("is_last_attempt").withColumn("tokens", F.when(F.col("accounted"), F.col("spent")))
         return last.withColumn("value", F.when(F.col("status") == "ok", plain)).select(*OUTCOME_COLUMNS)
 

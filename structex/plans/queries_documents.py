@@ -247,6 +247,47 @@ SELECT doc_id, CAST(i AS INT) AS quote,
   CAST(CASE WHEN quote <> '' AND strpos(text, quote) > 0 THEN strpos(text, quote) - 1 + length(quote) END AS INT) AS end_index FROM t"""
 
 
+CITED_FACTS = S.obj(
+    facts=S.array(S.cited(S.obj(claim=S.string()))),
+    by_name=S.record(S.obj(note=S.cited(S.obj()).optional())),
+    main=S.union(S.integer(), S.cited(S.obj(title=S.string()))),
+)
+
+
+def cited_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quotes in a list, in a record and in a union. Of three documents one has a quote in the list that
+    isn't there, one has one in the record; all have one in upper case, which becomes the text's own."""
+    k, absent = F.col("doc_id") % 3, F.lit("no such words stand here")
+    docs = _docs(spark, sf_dir).filter("length(text) >= 40")
+    listed = F.array(
+        F.struct(F.lit("a").alias("claim"), F.array(_part("0.25", 20)).alias("substring_quotes")),
+        F.struct(F.lit("b").alias("claim"), F.array(F.translate(_part("0.5", 20), "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), F.when(k == 1, absent).otherwise(_part("0.1", 15))).alias("substring_quotes")),
+    )
+    note = F.struct(F.array(F.when(k == 2, absent).otherwise(_part("0.4", 12))).alias("substring_quotes"))
+    named = F.create_map(F.lit("x.y"), F.struct(note.alias("note")))
+    main = F.struct(F.lit("t").alias("title"), F.array(_part("0.3", 10)).alias("substring_quotes"))
+    answer = F.to_json(F.struct(listed.alias("facts"), named.alias("by_name"), main.alias("main")))
+    raw = F.to_json(F.struct(F.array(F.struct(F.struct(answer.alias("content")).alias("message"))).alias("choices")))
+    rows = docs.select("doc_id", "text", raw.alias("raw"), F.lit(None).cast("string").alias("error"))
+    read = pipeline.read_replies(rows, CITED_FACTS, modes.JSON_SCHEMA, context=F.col("text"))
+    flat = lambda q: F.lower(F.regexp_replace(q, r"\s+", ""))
+    return read.select(
+        "doc_id", "status", F.array_join("issues.path", ",").alias("paths"), flat(F.array_join(F.flatten("data.facts.substring_quotes"), "|")).alias("quotes")
+    )
+
+
+CITED_NESTED_SQL = """
+WITH d AS (SELECT doc_id, text, doc_id % 3 AS k FROM documents WHERE length(text) >= 40),
+q AS (SELECT doc_id, k, text, substr(text, CAST(floor(length(text) * 0.25) AS BIGINT) + 1, 20) AS a, substr(text, CAST(floor(length(text) * 0.5) AS BIGINT) + 1, 20) AS b,
+  substr(text, CAST(floor(length(text) * 0.1) AS BIGINT) + 1, 15) AS c, substr(text, CAST(floor(length(text) * 0.4) AS BIGINT) + 1, 12) AS n,
+  substr(text, CAST(floor(length(text) * 0.3) AS BIGINT) + 1, 10) AS m FROM d),
+i AS (SELECT *, CASE WHEN trim(a, E' \\t\\n\\r') = '' THEN ['facts[0].substring_quotes[0]'] ELSE [] END || CASE WHEN trim(b, E' \\t\\n\\r') = '' THEN ['facts[1].substring_quotes[0]'] ELSE [] END
+  || CASE WHEN k = 1 OR trim(c, E' \\t\\n\\r') = '' THEN ['facts[1].substring_quotes[1]'] ELSE [] END || CASE WHEN k = 2 OR trim(n, E' \\t\\n\\r') = '' THEN ['by_name.x.y.note.substring_quotes[0]'] ELSE [] END
+  || CASE WHEN trim(m, E' \\t\\n\\r') = '' THEN ['main.substring_quotes[0]'] ELSE [] END AS paths FROM q)
+SELECT doc_id, CASE WHEN len(paths) > 0 THEN 'SchemaValidationError' ELSE 'ok' END AS status, array_to_string(paths, ',') AS paths,
+  CASE WHEN len(paths) = 0 THEN lower(regexp_replace(a || '|' || b || '|' || c, '\\s+', '', 'g')) END AS quotes FROM i"""
+
+
 def cited_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A quote with other white space and in lower case, from the middle of each document: the places
     of its span are told by the characters before and inside that aren't white space."""
@@ -450,7 +491,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         chunk_fixed, chunk_widen, chunk_recursive, blank_docs, window_overlap, chunk_meta, chunk_prompt, join_pages, page_of_offset,
-        dedupe_overlap, dedupe_none, dedupe_fold, merge_concat, cited_exact, cited_norm, doc_budget, chunk_budget, chunk_skip, chunk_abort, partial_merge, no_data, doc_pipeline,
+        dedupe_overlap, dedupe_none, dedupe_fold, merge_concat, cited_exact, cited_nested, cited_norm, doc_budget, chunk_budget, chunk_skip, chunk_abort, partial_merge, no_data, doc_pipeline,
     )
 }
 SQL = {
@@ -467,6 +508,7 @@ SQL = {
     "dedupe_none": DEDUPE_NONE_SQL,
     "merge_concat": DEDUPE_NONE_SQL,
     "cited_exact": CITED_EXACT_SQL,
+    "cited_nested": CITED_NESTED_SQL,
     "cited_norm": CITED_NORM_SQL,
     "doc_budget": DOC_BUDGET_SQL,
     "chunk_budget": CHUNK_BUDGET_SQL,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,7 +14,7 @@ from structex.functions.jsonx import kind_of
 from structex.functions.validate import coerce, issues, reask_text, union_option, unwrap_items
 from structex.operators import judge, merge, modes, retry, score
 from structex.plans import pipeline
-from structex.sources.clients import COMPATIBLE, VENDORS, route_column
+from structex.sources.clients import COMPATIBLE, VENDORS, CallClient, RuleClient, route_column
 
 ORDER = S.obj(id=S.integer(), status=S.string(), total=S.number())
 
@@ -508,6 +510,46 @@ def judge_refine(spark: SparkSession, sf_dir: str) -> DataFrame:
 JUDGE_SQL = """SELECT conv_id, turn, CASE WHEN length(text) > 600 THEN 'too long: ' || length(text) WHEN length(text) > 300 THEN 'Value failed validation: at most 300 characters' END AS issue FROM conversations"""
 
 
+def _length_judge():
+    """A judge in the place of a live one: a candidate may have 300 characters."""
+
+    def send(body: dict) -> dict:
+        n = len(json.loads(body["messages"][1]["content"])["candidate_value"])
+        verdict = {"is_valid": n <= 300, "reason": f"it has {n} characters", "fixed_value": None}
+        return {"choices": [{"message": {"content": json.dumps(verdict)}}]}
+
+    return send
+
+
+def judged_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A judged rule in a schema: a turn that is quoted at more than 300 characters breaks it and is
+    asked for again, at most once; the second answer has the first 250 characters, or 400 in the third turns."""
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
+    message = F.array(modes.text_message("user", F.lit("Quote the turn.")))
+    calls = rows.groupBy("conv_id", "turn").agg(F.min("text").alias("text")).select(
+        F.concat_ws(":", "conv_id", "turn").alias("call_id"), F.lit("m").alias("model"), message.alias("messages"), "conv_id", "turn", "text"
+    )
+    answer = lambda text: F.to_json(F.struct(F.array(F.struct(F.struct(text.alias("content")).alias("message"))).alias("choices")))
+
+    def reply(asked: DataFrame) -> Column:
+        again = F.when(F.col("turn") == 2, F.substring("text", 1, 400)).otherwise(F.substring("text", 1, 250))
+        said = F.when(asked["attempt"] == 1, F.col("text")).otherwise(again)
+        return answer(F.to_json(F.struct(F.array(F.struct(said.alias("quote"))).alias("quotes"))))
+
+    judge_client = CallClient(_length_judge, modes.JSON_SCHEMA)
+    schema = S.obj(quotes=S.array(S.obj(quote=S.string().judged("at most 300 characters", client=judge_client))))
+    attempts = pipeline.extract(calls, schema, RuleClient(reply, modes.JSON_SCHEMA), max_retries=1, carry=("conv_id", "turn", "text"))
+    length = F.length(F.element_at("data.quotes.quote", 1))
+    return attempts.select("conv_id", "turn", "attempt", "outcome", length.alias("length"), F.array_join(F.transform("issues", lambda i: F.concat(i["path"], F.lit(": "), i["message"])), ";").alias("issues"))
+
+
+JUDGED_SQL = """WITH t AS (SELECT conv_id, turn, min(coalesce(text, '')) AS text FROM conversations GROUP BY ALL),
+a AS (SELECT conv_id, turn, 1 AS attempt, length(text) AS n, length(text) AS whole FROM t
+  UNION ALL SELECT conv_id, turn, 2, least(length(text), CASE WHEN turn = 2 THEN 400 ELSE 250 END), length(text) FROM t WHERE length(text) > 300)
+SELECT conv_id, turn, attempt, CASE WHEN n <= 300 THEN 'success' WHEN attempt = 2 THEN 'exhausted' ELSE 'continue' END AS outcome,
+  CAST(CASE WHEN n <= 300 THEN n END AS INT) AS length, CASE WHEN n > 300 THEN 'quotes[0].quote: it has ' || n || ' characters' ELSE '' END AS issues FROM a"""
+
+
 def _scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Line items as planted facts; the output lost some, changed some by half or two percent, doubled some."""
     rows = _lines(spark, sf_dir).select(F.concat_ws("-", "l_orderkey", "chunk_index").alias("sku"), F.col("l_extendedprice").alias("amount"), F.col("l_orderkey").alias("k"), F.col("chunk_index").alias("ord"))
@@ -716,6 +758,7 @@ QUERIES = {
     "usage_doc": usage_doc,
     "truncation_reason": truncation_reason,
     "judge_refine": judge_refine,
+    "judged_rule": judged_rule,
     "score_recall": score_recall,
     "score_dups": score_dups,
     "sampling_merge": sampling_merge,
@@ -754,6 +797,7 @@ SQL = {
     "usage_doc": USAGE_DOC_SQL,
     "truncation_reason": TRUNCATION_SQL,
     "judge_refine": JUDGE_SQL,
+    "judged_rule": JUDGED_SQL,
     "score_recall": SCORE_RECALL_SQL,
     "score_dups": SCORE_DUPS_SQL,
     "sampling_merge": SAMPLING_SQL,

@@ -314,6 +314,88 @@ def test_citations_are_part_of_validation(spark):
     assert [i.path for i in got[3].issues] == ["statement", "substring_quotes[0]"] and got[4].status == "SchemaValidationError"
 
 
+def _read_cited(spark, schema, said, source="Above was the sky, and below the deep sea."):
+    from structex.plans.pipeline import read_replies
+
+    rows = spark.createDataFrame(list(enumerate(said)), "id long, text string").withColumns(
+        {"raw": _reply(F.col("text")), "error": F.lit(None).cast("string"), "source": F.lit(source)}
+    )
+    return {r.id: r for r in read_replies(rows, schema, modes.JSON_SCHEMA, context=F.col("source")).withColumn("plain", F.to_json("value")).collect()}
+
+
+def test_citations_at_any_depth(spark):
+    fact = S.cited(S.obj(claim=S.string()))
+    schema = S.obj(
+        facts=S.array(fact), named=S.record(fact).optional(), either=S.union(S.integer(), fact).optional(), maybe=S.cited(S.obj(inner=fact)).nullable()
+    )
+    quoted = lambda *q: {"claim": "c", "substring_quotes": list(q)}
+    said = [
+        {"facts": [quoted("THE  sky"), quoted("the deep", "Sea.")], "maybe": None, "more": 1},
+        {"facts": [quoted(), quoted("the sky", "the moon")], "maybe": {"inner": quoted("a sun"), "substring_quotes": ["was", "is"]}},
+        {"facts": [], "named": {"a.b": quoted("BELOW"), "a": quoted("nowhere")}, "maybe": None},
+        {"facts": [], "named": {"a.b": quoted("BELOW")}, "either": quoted("above WAS"), "maybe": None},
+        {"facts": [], "either": quoted("no such"), "maybe": None},
+        {"facts": [{"claim": "c", "substring_quotes": ["the sky", 7]}], "either": 3, "maybe": None},
+        {"facts": [{"claim": "c"}], "maybe": None},
+    ]
+    got = _read_cited(spark, schema, [json.dumps(x) for x in said])
+    paths = {k: [i.path for i in r.issues] for k, r in got.items()}
+    assert got[0].status == "ok" and [list(f.substring_quotes) for f in got[0].data.facts] == [["the sky"], ["the deep", "sea."]]
+    assert paths[1] == ["facts[1].substring_quotes[1]", "maybe.substring_quotes[1]", "maybe.inner.substring_quotes[0]"]
+    assert paths[2] == ["named.a.substring_quotes[0]"]
+    assert got[3].status == "ok" and got[3].data.named["a.b"].substring_quotes == ["below"]
+    assert json.loads(got[3].plain)["either"]["substring_quotes"] == ["Above was"]
+    assert paths[4] == ["either.substring_quotes[0]"]
+    assert paths[5] == ["facts[0].substring_quotes[1]"] and paths[6] == ["facts[0].substring_quotes"]
+    assert all(r.status == ("ok" if k in (0, 3) else "SchemaValidationError") and (r.data is None) == (r.status != "ok") for k, r in got.items())
+
+
+def test_long_quotes_are_cut_in_issues(spark):
+    got = _read_cited(spark, S.array(S.cited(S.obj())), [json.dumps([{"substring_quotes": ["x" * 121, "y" * 120]}])])
+    assert [i.message for i in got[0].issues] == [f'Quote not found in source: "{"x" * 120}…"', f'Quote not found in source: "{"y" * 120}"']
+    assert [i.path for i in got[0].issues] == ["[0].substring_quotes[0]", "[0].substring_quotes[1]"]
+
+
+def test_judged_rules_lead_to_another_attempt(spark):
+    from structex.plans.pipeline import extract
+
+    def make():
+        """Rules say what they look for; what has it breaks them. Asked about lost, the judge fails."""
+
+        def send(body):
+            asked = json.loads(body["messages"][1]["content"])
+            if "lost" in asked["candidate_value"]:
+                raise RuntimeError("no verdict")
+            broken = asked["validation_rule"].split()[-1] in asked["candidate_value"]
+            verdict = {"is_valid": not broken, "reason": f"{body['model']} found it" if "m2" in body["model"] else None, "fixed_value": None}
+            return {"choices": [{"message": {"content": json.dumps(verdict)}}]}
+
+        return send
+
+    judge = clients.CallClient(make, modes.JSON_SCHEMA)
+    item = S.obj(word=S.string().judged("no bad", client=judge)).judged("no worse", model="m2", client=judge)
+    schema = S.obj(items=S.array(item), note=S.string().optional().judged("no bad", client=judge))
+    texts = {
+        1: ["good", "good"], 2: ["bad", "good"], 3: ["worse", "worse"], 4: ["lost", "good"], 5: [None, "bad"], 6: ["bad", "bad"],
+    }
+    rows = [(str(k), "m1", *v) for k, v in texts.items()]
+    calls = spark.createDataFrame(rows, "call_id string, model string, first string, second string")
+    calls = calls.withColumn("messages", F.array(modes.text_message("user", F.lit("?"))))
+    word = lambda asked: F.when(asked["attempt"] == 1, F.col("first")).otherwise(F.col("second"))
+    answer = lambda asked: _reply(F.to_json(F.struct(F.array(F.struct(word(asked).alias("word"))).alias("items"))))
+    got = extract(calls, schema, clients.RuleClient(answer, modes.MD_JSON), max_retries=1, carry=("first", "second")).withColumn("again", F.to_json(F.col("messages")[F.size("messages") - 1])).collect()
+    seen = {(r.call_id, r.attempt): (r.outcome, [(i.path, i.message) for i in r.issues or []]) for r in got}
+    broken = ("items[0].word", "Value failed validation: no bad")
+    assert seen["1", 1] == ("success", []) and ("1", 2) not in seen
+    assert seen["2", 1] == ("continue", [broken]) and seen["2", 2] == ("success", [])
+    assert seen["3", 1] == ("continue", [("items[0]", "m2 found it")]) and seen["3", 2][0] == "exhausted"
+    assert seen["4", 1][0] == "judge_error" and ("4", 2) not in seen
+    assert seen["5", 1][1] == [("items[0].word", "Required")] and seen["5", 2] == ("exhausted", [broken])
+    assert seen["6", 2] == ("exhausted", [broken])
+    asked_again = next(r for r in got if (r.call_id, r.attempt) == ("2", 1)).again
+    assert "items[0].word: Value failed validation: no bad" in asked_again
+
+
 def test_a_lost_verdict_is_no_consent(spark):
     from structex.operators import judge
 
