@@ -63,6 +63,8 @@ MAX_WORDS = 1 << 20
 MAX_UNITS, ROW_WORDS = 300_000, 1_000
 #: Of a training row's windows one of SHARE is trained on (1: all); windows of a part.
 SHARE, PART_WINDOWS, ROUNDS, RATE, BATCH = 1, 8_192, 2, 0.02, 32
+#: Models that a task of the tree, or the driver, adds up (more in a task whose parts meet by their hash).
+LEVEL = 64
 #: Sums of powers whose exponents are smaller than this are exact without their greatest being taken off.
 LARGE = 60
 #: Distances whose counts the third table adds up.
@@ -671,14 +673,15 @@ def train_attention(model: Attention, train: DataFrame) -> None:
     parts = max(1, round(n / ROUNDS / PART_WINDOWS))
     numbered = train.select(F.monotonically_increasing_id().alias("row"), "ids")
     schema = "part int, ids long, w binary"
-    sums = math.isqrt(parts)
     for at in range(ROUNDS):
         dealt = numbered.mapInArrow(_deal(at, parts), "part int, place long, ids binary")
         own = dealt.repartition(parts, "part").groupBy("part").applyInArrow(_train_part(model, RATE * (1 - at / ROUNDS)), schema)
-        if sums > 1:
-            own = durable(own).repartition(sums, "part").sortWithinPartitions("part").mapInArrow(_sum_models, schema)
+        sums = parts
+        while sums > LEVEL:
+            sums = -(-sums // LEVEL)
+            own = durable(own).repartition(sums, F.col("part") % sums).sortWithinPartitions("part").mapInArrow(_sum_models, schema)
         total, ids = None, 0
-        for r in sorted(own.collect(), key=lambda r: r["part"]):  # the root of the number of parts
+        for r in sorted(own.collect(), key=lambda r: r["part"]):  # at most LEVEL models
             w = np.frombuffer(r["w"], "<f8")
             total, ids = (w.copy() if total is None else total + w), ids + r["ids"]
         if not ids:

@@ -420,6 +420,7 @@ def test_lm_every_row_is_trained_on(spark, monkeypatch):
             assert np.frombuffer(part, "<u2").tolist() == head.tolist()
     # equal rows don't end up in one part, and the mean of the copies is what the model becomes
     monkeypatch.setattr(attention_lm, "PART_WINDOWS", 40)
+    monkeypatch.setattr(attention_lm, "LEVEL", 3)
     one = rng.integers(0, 1000, 60).astype("<u2").tobytes()
     train = spark.createDataFrame([(bytearray(one),)] * 400, "ids binary")
     x = np.frombuffer(one, "<u2").astype(np.int64)
