@@ -6,6 +6,8 @@ import hashlib
 from collections import Counter, defaultdict
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from structex.llm import alignment
@@ -27,13 +29,17 @@ EDGE = [
 ]
 
 
+_tokenizers = []
+
+
 def _sides(text):
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
-    a_ids = tokenizer.encode(" " + text, add_special_tokens=False).ids
+    if not _tokenizers:
+        _tokenizers.append(Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")))
+        _tokenizers[0].encode_special_tokens = True
+    a_ids = _tokenizers[0].encode(" " + text, add_special_tokens=False).ids
     strings = alignment.encoder().strings()
     model, pieces = alignment._pieces(None)
     b_ids = model.encode(text)
@@ -117,3 +123,21 @@ def test_alignment_of_nothing(spark):
     rows = alignment.aligned(_frame(spark, EDGE).limit(0))
     assert alignment.digest(rows).count() == 0
     assert alignment.groups(rows).count() == alignment.links(rows).count() == 0
+
+
+@settings(max_examples=300, deadline=None)
+@given(
+    st.lists(
+        st.sampled_from(["a", "don't", "  ", " ", "\n", "\n\n", "\t", "\xa0", "\u2003", "12", "é", "e\u0301", "日本", "🙂", "▁", "!?", "'s", "<|endoftext|>", "</s>", "\r\n", "\x1c", "ﬁ", "The"])
+        | st.text(max_size=4),
+        max_size=30,
+    )
+)
+def test_units_give_the_ids_of_whole_texts(parts):
+    text = "".join(parts) or "a"
+    for side, plain in enumerate(_sides(text)):
+        got = alignment._side(side, None).ids(" " + text)
+        if b"".join(s for _, s in plain) == (" " + text).encode():
+            assert got is not None and got.tolist() == [i for i, _ in plain]
+        else:
+            assert got is None
