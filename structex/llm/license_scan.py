@@ -5,9 +5,10 @@ each paragraph around one, and each span, over lines and paragraphs or inside lo
 words of a template stand (found by the places of its word pairs or trigrams). A block whose number of
 words is within the differences allowed of no template is no candidate.
 
-Every candidate, as its words with single spaces, is compressed alone and with each template as
-zstandard raw dictionary. The bytes that a template saves rank the templates; one that saves less
-than LEAST_SAVING of what it saves of itself has nothing to do with the block. In the order of savings
+Every candidate, as its words with single spaces, is compressed alone, with all templates as one
+zstandard raw dictionary, and then with each template as dictionary of its own. The bytes that a
+template saves rank the templates; one that saves less than LEAST_SAVING of what it saves of itself
+has nothing to do with the block, and isn't tried if all templates together save too little for it. In the order of savings
 the exact differences in wording confirm a template or not, and the first confirmed wins; among
 those whose savings are less than TIE bytes behind it, the one with the fewest differences. Of
 overlapping blocks the one with the longest confirmed template stays.
@@ -41,6 +42,9 @@ MAX_DIFFERENCE = 0.15
 #: What a template saves of a block at least, as a share of what it saves of itself. Wordings at the
 #: bound of differences were measured at 0.18 and more, most prose saves nothing.
 LEAST_SAVING = 0.1
+#: Bytes that a template alone may save beyond what all templates in one dictionary do, whose places
+#: take longer to name.
+NEARLY = 4
 #: Savings that differ by less, about a word, rank alike.
 TIE = 8
 _WORD = re.compile(r"[\w.'/:-]*\w")
@@ -129,6 +133,13 @@ class Scanner:
             own = zstd.ZstdCompressionDict(text * (1 + 16 // len(text)), dict_type=zstd.DICT_TYPE_RAWCONTENT)
             own.precompute_compress(compression_params=form)
             self.given[k] = zstd.ZstdCompressor(compression_params=form, dict_data=own)
+        texts = [_normal(v) for v in self.words.values()]
+        wide = zstd.ZstdCompressionParameters.from_level(
+            level, window_log=15, hash_log=14, chain_log=14, format=zstd.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_checksum=False, write_dict_id=False
+        )
+        every = zstd.ZstdCompressionDict(b" ".join(texts), dict_type=zstd.DICT_TYPE_RAWCONTENT)
+        every.precompute_compress(compression_params=wide)
+        self.every = zstd.ZstdCompressor(compression_params=wide, dict_data=every)
         self.most = {k: len(self.plain.compress(_normal(v))) - len(self.given[k].compress(_normal(v))) for k, v in self.words.items()}
         self.known = lru_cache(maxsize=4096)(self._ranked)
 
@@ -142,7 +153,10 @@ class Scanner:
 
     def _ranked(self, data: bytes) -> tuple | None:
         size = len(self.plain.compress(data))
-        savings = sorted(((size - len(c.compress(data)), k) for k, c in self.given.items()), key=lambda x: (-x[0], x[1]))
+        # no template saves much that all together don't
+        together = size - len(self.every.compress(data)) + NEARLY
+        near = [k for k, most in self.most.items() if together >= LEAST_SAVING * most]
+        savings = sorted(((size - len(self.given[k].compress(data)), k) for k in near), key=lambda x: (-x[0], x[1]))
         best, own = None, data.decode("utf-8", "surrogatepass").split(" ")
         for saved, name in savings:
             if best is not None and saved <= best[1] - TIE:
