@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from typing import Any
 
 from pyspark.sql import Column
@@ -81,43 +82,63 @@ def loads(text: str) -> Any:
 
 
 _CLOSER = {"{": "}", "[": "]"}
+_OPENER, _MARK = re.compile(r"[{\[]"), re.compile(r'[{}\[\]"]')
+_REST_OF_STRING = re.compile(r'[^"\\]*(?:\\.[^"\\]*)*', re.DOTALL)
 
 
 def spans(text: str) -> list[tuple[int, int]]:
     """Bounds of balanced bracket spans, left to right; spans don't nest in the result.
 
-    Brackets inside strings don't count. An opener that never closes is stepped over.
+    Brackets inside strings don't count. An opener that never closes is stepped over; what was
+    learned of the text behind it is kept, so that no mark is read on from twice.
     """
-    found, at_ = [], 0
-    while at_ < len(text):
-        if text[at_] in _CLOSER and (end := _match(text, at_)) is not None:
-            found.append((at_, end))
-            at_ = end
+    found, at_, ends, inside = [], 0, {}, {}
+    while (opener := _OPENER.search(text, at_)) is not None:
+        start = opener.start()
+        if start not in ends:
+            _close(text, start, ends, inside)
+        if ends[start] is None:
+            at_ = start + 1
         else:
-            at_ += 1
+            found.append((start, ends[start]))
+            at_ = ends[start]
     return found
 
 
-def _match(text: str, start: int) -> int | None:
-    stack, quoted, i = [], False, start
-    while i < len(text):
-        c = text[i]
-        if quoted:
-            if c == "\\":
-                i += 1
-            elif c == '"':
-                quoted = False
-        elif c == '"':
-            quoted = True
-        elif c in _CLOSER:
-            stack.append(_CLOSER[c])
-        elif c in "}]":
-            if not stack or stack.pop() != c:
-                return None
-            if not stack:
-                return i + 1
-        i += 1
-    return None
+def _close(text: str, start: int, ends: dict[int, int | None], inside: dict[int, int]) -> None:
+    """Where the opener at start closes, and all openers in it that aren't in strings; None if one doesn't.
+
+    inside: the opener around each quote and opener from which the text was read on before. What is
+    read from such a mark on ends where that opener does.
+    """
+    open_, at_ = [start], start + 1
+    while (mark := _MARK.search(text, at_)) is not None:
+        here, c = mark.start(), mark[0]
+        at_ = here + 1
+        if c in "}]":
+            if _CLOSER[text[open_[-1]]] != c:
+                break
+            ends[open_.pop()] = at_
+            if not open_:
+                return
+        elif here in inside:
+            around = ends[inside[here]]
+            if around is None:
+                break
+            at_ = around - 1
+        else:
+            inside[here] = open_[-1]
+            if c == '"':
+                at_ = _REST_OF_STRING.match(text, at_).end() + 1
+                if at_ > len(text) or text[at_ - 1] != '"':
+                    break
+            elif here not in ends:
+                open_.append(here)
+            elif ends[here] is None:  # what is around it can't close either
+                break
+            else:
+                at_ = ends[here]
+    ends.update(dict.fromkeys(open_))
 
 
 def last_span(text: str) -> str | None:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from structex.functions import account
 from structex.functions import schema as S
-from structex.functions.jsonx import last_span, loads_partial, strict_json
+from structex.functions.jsonx import last_span, loads_partial, spans, strict_json
 from structex.functions.validate import coerce, issues, plain_json
 from structex.operators import chunk, cite, modes, retry, score
 from structex.sources import clients, pdf, synth
@@ -99,6 +99,51 @@ def test_locate(quote, source, span):
     assert cite.locate(quote, source) == span
 
 
+def _spans_plainly(text):
+    """Each opener tried by itself, one character at a time."""
+
+    def close(start):
+        stack, quoted, i = [], False, start
+        while i < len(text):
+            c = text[i]
+            if quoted:
+                i += c == "\\"
+                quoted = c != '"'
+            elif c == '"':
+                quoted = True
+            elif c in "{[":
+                stack.append({"{": "}", "[": "]"}[c])
+            elif c in "}]":
+                if stack.pop() != c:
+                    return None
+                if not stack:
+                    return i + 1
+            i += 1
+        return None
+
+    found, at = [], 0
+    while at < len(text):
+        end = close(at) if text[at] in "{[" else None
+        found += [] if end is None else [(at, end)]
+        at = end or at + 1
+    return found
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.text(st.sampled_from('{}[]"\\a\n'), max_size=40))
+def test_spans_equal_each_opener_tried(text):
+    assert spans(text) == _spans_plainly(text)
+
+
+@pytest.mark.parametrize("text", ["[" * 1_000_000, '{"' * 500_000, '["\\"' * 200_000, "[{" * 300_000 + "}]" * 299_999, '{"a": [' * 100_000 + '"\\' * 100_000])
+def test_spans_take_linear_time(text):
+    import time
+
+    began = time.process_time()
+    spans(text)
+    assert time.process_time() - began < 4
+
+
 def feed(pieces, schema, items=False, marker=None):
     rows = [dict(seq=i, delta=p, marker=None, input_tokens=3, output_tokens=i, eos=False) for i, p in enumerate(pieces)]
     rows.append(dict(seq=len(pieces), delta=None, marker=marker, input_tokens=None, output_tokens=None, eos=True))
