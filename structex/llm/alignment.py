@@ -43,7 +43,7 @@ MAX_BROADCAST = 1 << 21
 #: Pairs that a task holds before it sends their counts on.
 HELD = 1 << 21
 #: Units of text whose ids a worker remembers.
-MAX_UNITS = 300_000
+MAX_UNITS = 50_000
 #: A pair of ids as one number: A's id times this, and B's id.
 PAIR = 1 << 17
 
@@ -139,7 +139,7 @@ def _events(side: int, file: str | None, window: int):
 
         pack = zstandard.ZstdCompressor(level=1).compress
         own = _side(side, file)
-        for batch in in_parts(batches, 512):
+        for batch in in_parts(batches, 256):
             copies: dict[tuple, int] = {}
             for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 copies[row] = copies.get(row, 0) + 1
@@ -165,7 +165,7 @@ def _events(side: int, file: str | None, window: int):
                     for column, value in zip(out, (doc_id, key, n, side, number, whole, packed), strict=True):
                         column.append(value)
                     held += len(packed)
-                if held > 1 << 22:
+                if held > 1 << 21:
                     yield _batch(out, _EVENT_KINDS, _EVENT_NAMES)
                     out, held = tuple([] for _ in _EVENT_NAMES), 0
             yield _batch(out, _EVENT_KINDS, _EVENT_NAMES)
@@ -261,7 +261,7 @@ def _sweep(window: int):
                         continue
                     values = np.frombuffer(unpack(packed), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64)
                     sweep.add(side, number, *np.split(values, 2))
-                if held > 1 << 22:
+                if held > 1 << 21:
                     yield _batch(out, _LINK_KINDS, _LINK_NAMES)
                     out, held = tuple([] for _ in _LINK_NAMES), 0
             if out[0]:
