@@ -42,8 +42,6 @@ WINDOW = 1 << 16
 MAX_BROADCAST = 1 << 21
 #: Pairs that a task holds before it sends their counts on.
 HELD = 1 << 21
-#: Units of text whose ids a worker remembers.
-MAX_UNITS = 50_000
 #: A pair of ids as one number: A's id times this, and B's id.
 PAIR = 1 << 17
 
@@ -73,52 +71,24 @@ def _pieces(model_file: str | None):
     return model, strings
 
 
-class Units(dict):
-    """Ids of stretches of text that a tokenizer reads alike wherever they stand, as 32-bit numbers;
-    None where the ids' bytes aren't the stretch's. Short ones are remembered, most of them at most."""
-
-    def __init__(self, encode, strings: list[bytes], most: int = MAX_UNITS):
-        super().__init__()
-        self.encode, self.strings, self.most = encode, strings, most
-
-    def __missing__(self, unit: str) -> bytes | None:
-        ids = self.encode(unit)
-        same = b"".join(map(self.strings.__getitem__, ids)) == unit.encode()
-        packed = np.array(ids, "<u4").tobytes() if same else None
-        if len(self) < self.most and len(unit) <= 64:
-            self[unit] = packed
-        return packed
-
-
-#: Side A cuts pieces only between what is no white space and white space, or within either by itself,
-#: so a run of white space and what follows it is a unit; texts with other white space are one.
-_A_UNITS = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-_A_OTHERS = re.compile(r"[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
-#: Side B's pieces hold a space only at their begin (checked), so spaces and what follows are a unit.
-_B_UNITS = re.compile(r" +[^ ]*")
-_INNER_SPACE = re.compile(r"[^▁]▁")
-
-
 class Side:
-    """How a side encodes a text behind a space, and its ids' lengths."""
+    """How a side encodes texts behind a space, and its ids' lengths."""
 
     def __init__(self, side: int, file: str | None):
         if side:
             model, self.strings = _pieces(file)
-            # the model adds a space to all but the empty text
-            self.encode = lambda text: model.encode(text[1:]) or [model.piece_to_id("▁")]
-            apart = not any(_INNER_SPACE.search(model.id_to_piece(i)) for i in range(model.get_piece_size()))
-            self.cut, self.whole = _B_UNITS.findall, (lambda text: not apart or "▁" in text)
+            self.encode = lambda texts: model.encode(texts, num_threads=1)
         else:
-            self.encode, self.strings = encoder(file).encode, encoder(file).strings()
-            self.cut, self.whole = _A_UNITS.findall, _A_OTHERS.search
-        self.units = Units(self.encode, self.strings)
+            own = encoder(file)
+            self.strings = own.strings()
+            self.encode = lambda texts: [own.encode(f" {text}") for text in texts]
         self.lengths = np.fromiter(map(len, self.strings), np.int64, len(self.strings))
 
-    def ids(self, text: str) -> np.ndarray | None:
-        """Ids of a text that begins with a space; None if their bytes aren't the text's."""
-        parts = [Units.__missing__(self.units, text)] if self.whole(text) else [*map(self.units.__getitem__, self.cut(text))]
-        return None if None in parts else np.frombuffer(b"".join(parts), "<u4").astype(np.int64)
+    def ids(self, texts: list[str]) -> Iterator[np.ndarray | None]:
+        """Ids of each text, which isn't empty; None if their bytes aren't those of a space and the text."""
+        for text, ids in zip(texts, self.encode(texts), strict=True):
+            same = b"".join(map(self.strings.__getitem__, ids)) == b" " + text.encode()
+            yield np.array(ids, np.int64) if same else None
 
 
 @lru_cache(maxsize=4)
@@ -145,9 +115,10 @@ def _events(side: int, file: str | None, window: int):
                 copies[row] = copies.get(row, 0) + 1
             out: tuple[list, ...] = tuple([] for _ in _EVENT_NAMES)
             held = 0
+            found = own.ids([text for _, text in copies if text])
             for (doc_id, text), n in copies.items():
                 key = xxhash.xxh3_128_digest(b"" if text is None else b"x" + text.encode())
-                ids = own.ids(" " + text) if text else None
+                ids = next(found) if text else None
                 whole = ids is not None
                 ids = ids if whole else np.empty(0, np.int64)
                 ends = np.cumsum(own.lengths[ids])
