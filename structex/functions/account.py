@@ -9,8 +9,8 @@ from structex.functions.jsonx import number_at, text_at
 
 # What providers write when the output was cut off.
 TRUNCATED = ("length", "max_tokens", "MAX_TOKENS")
-_PLACES = ("$.usage", "$.message.usage", "$.usageMetadata")
-_INPUT, _OUTPUT = ("prompt_tokens", "input_tokens", "promptTokenCount"), ("completion_tokens", "output_tokens", "candidatesTokenCount")
+PLACES = ("$.usage", "$.message.usage", "$.usageMetadata")
+INPUT, OUTPUT = ("prompt_tokens", "input_tokens", "promptTokenCount"), ("completion_tokens", "output_tokens", "candidatesTokenCount")
 MAX_TIMEOUT_MS = 2**31 - 1
 
 
@@ -18,9 +18,9 @@ def usage(v: Column) -> Column:
     """STRUCT<input_tokens, output_tokens, total_tokens>; null if a reply reports neither side."""
 
     def side(names: tuple[str, ...]) -> Column:
-        return F.coalesce(*[number_at(v, f"{p}.{n}") for p in _PLACES for n in names])
+        return F.coalesce(*[number_at(v, f"{p}.{n}") for p in PLACES for n in names])
 
-    got_in, got_out = side(_INPUT), side(_OUTPUT)
+    got_in, got_out = side(INPUT), side(OUTPUT)
     a, b = (F.coalesce(x, F.lit(0.0)).cast("long") for x in (got_in, got_out))
     return F.when(
         got_in.isNotNull() | got_out.isNotNull(),

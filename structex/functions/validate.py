@@ -74,7 +74,7 @@ def scalar(schema: Schema, value: Column) -> Column:
     raise ValueError(schema.kind)
 
 
-def _expected(schema: Schema) -> str:
+def expected(schema: Schema) -> str:
     return {
         "enum": "one of " + ", ".join(map(str, schema.values)),
         "int": "an integer",
@@ -91,7 +91,7 @@ def issues(schema: Schema, value: Column, path: Column | None = None) -> Column:
     """What is wrong with a value, in field order."""
     path = F.lit("") if path is None else path
     kind = kind_of(value)
-    wrong = F.concat(F.lit(f"Expected {_expected(schema)}, received "), kind)
+    wrong = F.concat(F.lit(f"Expected {expected(schema)}, received "), kind)
     match schema.kind:
         case "object":
             fields = [issues(f, at(value, f"$.{k}"), _join(path, k)) for k, f in schema.fields]
@@ -121,10 +121,11 @@ def issues(schema: Schema, value: Column, path: Column | None = None) -> Column:
         case _:
             checked = scalar(schema, value)
             body = F.when(checked.isNull(), _issue(path, wrong)).otherwise(_none())
-    for check in schema.checks:
-        where = reduce(_join, check.path, path)
-        failed = checked.isNotNull() & ~F.coalesce(check.predicate(checked), F.lit(False))
-        body = F.concat(body, F.when(failed, _issue(where, check.message)).otherwise(_none()))
+    if schema.checks:
+        # refinements see values of the right shape only
+        failed = lambda c: checked.isNotNull() & ~F.coalesce(c.predicate(checked), F.lit(False))
+        broken = _all([F.when(failed(c), _issue(reduce(_join, c.path, path), c.message)).otherwise(_none()) for c in schema.checks])
+        body = F.when(F.size(body) > 0, body).otherwise(broken)
     absent = _none() if schema.is_optional or schema.has_default else _issue(path, "Required")
     body = F.when(kind == "missing", absent).otherwise(body)
     return F.when(kind == "null", _none()).otherwise(body) if schema.is_nullable else body
@@ -174,20 +175,23 @@ def unwrap_items(value: Column) -> Column:
     return F.when(wrapped, inner).otherwise(value)
 
 
+# Fixed wording.
+INVALID, FIX = "The previous output failed schema validation:\n", "\nFix the JSON and try again."
+BROKEN = "The previous output was not valid JSON.\nReturn a single JSON object that matches the schema."
+
+
 def reask_text(issues_col: Column, parse_failed: Column) -> Column:
     """What a model is told about its last answer."""
-    # Fixed wording.
     lines = F.transform(
         issues_col,
         lambda i: F.concat(F.lit("- "), F.when(i["path"] == "", F.lit("(root)")).otherwise(i["path"]), F.lit(": "), i["message"]),
     )
     invalid = F.concat(
-        F.lit("The previous output failed schema validation:\n"),
+        F.lit(INVALID),
         F.array_join(lines, "\n"),
-        F.lit("\nFix the JSON and try again."),
+        F.lit(FIX),
     )
-    broken = F.lit("The previous output was not valid JSON.\nReturn a single JSON object that matches the schema.")
-    return F.when(parse_failed, broken).otherwise(invalid)
+    return F.when(parse_failed, F.lit(BROKEN)).otherwise(invalid)
 
 
 def plain_json(schema: Schema, value: Column, own: Column | None = None, place: Column | None = None) -> Column:

@@ -58,6 +58,10 @@ def _spans(quotes: pd.Series, sources: pd.Series) -> pd.Series:
     return pd.Series([None if q is None or s is None else one(q, s) for q, s in zip(quotes, sources, strict=True)])
 
 
+# evaluated once, in a step of its own
+_spans = _spans.asNondeterministic()
+
+
 def exact_spans(quotes: Column, source: Column) -> Column:
     """Spans of quotes that stand word for word in the source, else null; native."""
 
@@ -89,6 +93,11 @@ def _not_found(quote: Column) -> Column:
     return F.concat(F.lit('Quote not found in source: "'), short, F.lit('"'))
 
 
+def not_found(quote: str) -> str:
+    """The same of a Python text."""
+    return f'Quote not found in source: "{quote[:QUOTE_LENGTH]}{"…" if len(quote) > QUOTE_LENGTH else ""}"'
+
+
 def citation_issues(quotes: Column, spans_col: Column, field: str = "substring_quotes") -> Column:
     """An issue for each quote that isn't in the source; without a source nothing is checked."""
 

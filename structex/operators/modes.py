@@ -246,6 +246,10 @@ def _last_json_span(texts: pd.Series) -> pd.Series:
     return texts.map(last_span, na_action="ignore")
 
 
+# so that plans evaluate it once, in a step of its own, and don't copy it into every expression that uses the value
+_last_json_span = _last_json_span.asNondeterministic()
+
+
 def _parse_md_json(v: Column) -> Column:
     text = _content(v)
     span = _last_json_span(text)

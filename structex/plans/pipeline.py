@@ -15,9 +15,9 @@ from structex.functions import account
 from structex.functions.jsonx import at
 from structex.functions.schema import VERDICT, Judged, Schema
 from structex.functions.validate import coerce, issues, plain_json, reask_text, unwrap_items
-from structex.operators import chunk, cite, judge, merge, modes, retry
+from structex.operators import chunk, cite, inorder, judge, merge, modes, retry
 from structex.plans.durable import durable
-from structex.sources.clients import CallClient, ModelClient, with_timeout
+from structex.sources.clients import CallClient, ModelClient, ReplayClient, RuleClient, with_timeout
 
 
 @dataclass(frozen=True)
@@ -205,11 +205,17 @@ def run_chunks(
 ) -> DataFrame:
     """The outcome of each chunk, OUTCOME_COLUMNS; every chunk is a call with its own retries and budget.
 
-    Chunks run side by side. Where a document may have to stop (a token budget, or abort on a
-    failed chunk) they go in waves: the n-th chunks of all documents that are still open. Chunks
-    that were never asked come back as not_asked.
+    Chunks run side by side, unless their document may have to stop (a token budget, abort on a
+    failed chunk, a timeout, which is each document's own). Then a live client's calls go one after
+    another in the task that has the document; replies that cost nothing (of rules or records)
+    are all read; other clients, and schemas that a task can't decide by itself (see
+    inorder.decidable), go in waves of the n-th chunks of all open documents. Chunks that were never
+    asked come back as not_asked.
     """
     mode = options.mode or client.default_mode
+    stops = options.token_budget is not None or options.on_chunk_error == "abort"
+    if isinstance(client, CallClient) and (stops or options.timeout is not None) and inorder.decidable(schema):
+        return _run_in_order(chunks, schema, client, instruction, options, mode, model, sampling)
     if options.timeout is not None and isinstance(client, CallClient):
         client = with_timeout(client, options.timeout, client.deadline)
     windows = ("doc_id", "chunk_index", "start_index", "end_index", "chunk_text")
@@ -227,7 +233,7 @@ def run_chunks(
         last = attempts.filter("is_last_attempt").withColumn("tokens", F.when(F.col("accounted"), F.col("spent")))
         return last.withColumn("value", F.when(F.col("status") == "ok", plain)).select(*OUTCOME_COLUMNS)
 
-    if options.token_budget is None and options.on_chunk_error == "skip":
+    if not stops or isinstance(client, (RuleClient, ReplayClient)):
         return ask(chunks)
     chunks = durable(chunks.select(*windows))
     open_ = chunks.select("doc_id").distinct()
@@ -236,12 +242,12 @@ def run_chunks(
     for number in range(0 if last is None else last + 1):
         wave = durable(ask(chunks.filter(F.col("chunk_index") == number).join(open_, "doc_id")))
         done = wave if done is None else done.unionByName(wave)
-        stops = F.lit(False)
+        ends = F.lit(False)
         if options.on_chunk_error == "abort":
-            stops |= F.bool_or(F.col("status") != "ok")
+            ends |= F.bool_or(F.col("status") != "ok")
         if options.token_budget is not None:
-            stops |= (F.coalesce(F.sum("tokens"), F.lit(0)) >= options.token_budget) | ~F.bool_and(F.col("tokens").isNotNull())
-        open_ = durable(done.groupBy("doc_id").agg(stops.alias("stops"), F.max("chunk_index").alias("at")).filter(~F.col("stops") & (F.col("at") == number)).select("doc_id"))
+            ends |= (F.coalesce(F.sum("tokens"), F.lit(0)) >= options.token_budget) | ~F.bool_and(F.col("tokens").isNotNull())
+        open_ = durable(done.groupBy("doc_id").agg(ends.alias("stops"), F.max("chunk_index").alias("at")).filter(~F.col("stops") & (F.col("at") == number)).select("doc_id"))
         if open_.isEmpty():
             break
     if done is None:
@@ -252,6 +258,23 @@ def run_chunks(
     return done.unionByName(rest.select(*windows[:4], *[F.lit(v).cast(kinds[c]).alias(c) for c, v in missing.items()]))
 
 
+def _run_in_order(
+    chunks: DataFrame, schema: Schema, client: CallClient, instruction: str, options: Options, mode: str, model: str, sampling: dict[str, Column] | None
+) -> DataFrame:
+    """run_chunks by one pass over documents: each chunk is asked in its task, and its last reply read by columns."""
+    messages = F.array(modes.text_message("user", modes.chunk_prompt(instruction, F.col("chunk_text"))))
+    context = F.col("chunk_text") if cite.is_cited(schema) else F.lit(None).cast("string")
+    body = modes.encode(mode, schema, F.lit(model), messages, sampling)
+    asked = chunks.select("doc_id", "chunk_index", "start_index", "end_index", body.alias("body"), context.alias("context"))
+    limits = inorder.Limits(options.max_retries, options.token_budget, options.chunk_token_budget, options.on_chunk_error == "abort", options.timeout, client.deadline)
+    # replies are paid for once: they are written before they are read
+    rows = durable(inorder.run(asked, schema, mode, client.sender, limits).drop("body"))
+    read = read_replies(rows, schema, mode, context=F.col("context") if cite.is_cited(schema) else None)
+    status = F.when(F.col("asked"), F.col("status")).otherwise(F.lit("not_asked"))
+    plain = F.parse_json(plain_json(schema, F.col("value")))
+    return read.withColumns({"status": status, "value": F.when(F.col("asked") & (F.col("status") == "ok"), plain)}).select(*OUTCOME_COLUMNS)
+
+
 def extract_documents(
     docs: DataFrame,
     schema: Schema,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from structex.functions import schema as S
 from structex.functions.jsonx import is_blank
 from structex.operators import chunk, cite, merge, modes, retry
 from structex.plans import pipeline
-from structex.sources.clients import RuleClient
+from structex.sources.clients import CallClient, RuleClient
 
 SIZE, OVERLAP = 2000, 100
 
@@ -428,6 +430,40 @@ SELECT doc_id, 'all-chunks-failed' AS reason FROM o GROUP BY doc_id HAVING bool_
 UNION ALL SELECT -doc_id - 1, 'empty-document' FROM documents"""
 
 
+def _sizing_model():
+    """A model in the place of a live one: it answers with the length of what it is shown and spends
+    as many tokens, which it doesn't always report; some of its answers are wrong once, some always."""
+
+    def send(body: dict) -> dict:
+        n = len(body["messages"][0]["content"].split("\n\n---\n\n", 1)[1])
+        wrong = n % 7 == 5 or (n % 7 == 3 and len(body["messages"]) == 1)
+        usage = {"prompt_tokens": n, "completion_tokens": 0} if n % 11 != 4 else {}
+        return {"choices": [{"message": {"content": json.dumps({"size": "?" if wrong else n})}}], "usage": usage}
+
+    return send
+
+
+def doc_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Live calls in the order of chunks: what fails twice aborts its document, and so does the budget."""
+    options = pipeline.Options(chunk_size=SIZE, overlap=OVERLAP, chunker=chunk.fixed, max_retries=1, token_budget=BUDGET, on_chunk_error="abort")
+    rows = pipeline.extract_documents(_docs(spark, sf_dir), TOTALS_SCHEMA, CallClient(_sizing_model, modes.JSON_SCHEMA), "How long is this?", options=options)
+    return _outcome_columns(rows).join(rows.select("doc_id", "reason"), "doc_id")
+
+
+DOC_LOOP_SQL = f"""
+WITH {CHUNKS_SQL}, n AS (SELECT doc_id, chunk_index, end_index - start_index AS n FROM chunks),
+o AS (SELECT *, n % 7 = 5 AS bad, CASE WHEN n % 11 <> 4 THEN n * CASE WHEN n % 7 IN (3, 5) THEN 2 ELSE 1 END END AS tokens FROM n),
+s AS (SELECT *, coalesce(sum(coalesce(tokens, 0)) OVER w, 0) AS spent, coalesce(bool_and(tokens IS NOT NULL) OVER w, true) AS known, coalesce(bool_or(bad) OVER w, false) AS failed FROM o
+  WINDOW w AS (PARTITION BY doc_id ORDER BY chunk_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT *, failed OR NOT known OR spent >= {BUDGET} AS stopped FROM s),
+g AS (SELECT doc_id, count(*) FILTER (NOT stopped) AS chunks, count(*) FILTER (NOT stopped AND bad) AS failed, sum(tokens) FILTER (NOT stopped) AS tokens,
+  bool_and(tokens IS NOT NULL) FILTER (NOT stopped) AS available, bool_or(stopped) AS stopped, min_by(known, chunk_index) FILTER (stopped) AS known, min_by(n, chunk_index) AS size FROM t GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN g.doc_id IS NULL THEN 'no_data' WHEN failed > 0 THEN 'chunk_error' WHEN stopped THEN 'interrupted' ELSE 'merged' END AS status,
+  CASE WHEN g.doc_id IS NULL THEN 'empty-document' WHEN failed = 0 AND stopped THEN CASE WHEN known THEN 'token-budget' ELSE 'usage-unavailable' END END AS reason,
+  CAST(CASE WHEN failed = 0 AND NOT stopped THEN size END AS BIGINT) AS size, coalesce(chunks, 0) AS chunks, coalesce(failed, 0) AS failed, CAST(coalesce(tokens, 0) AS BIGINT) AS tokens,
+  coalesce(available, true) AS usage_available FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN g ON d.doc_id = g.doc_id"""
+
+
 # -- the whole plan -------------------------------------------------------------------
 
 FACTS = S.obj(hint=S.string().nullable(), ips=S.array(S.string()), numbers=S.array(S.string()))
@@ -491,7 +527,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         chunk_fixed, chunk_widen, chunk_recursive, blank_docs, window_overlap, chunk_meta, chunk_prompt, join_pages, page_of_offset,
-        dedupe_overlap, dedupe_none, dedupe_fold, merge_concat, cited_exact, cited_nested, cited_norm, doc_budget, chunk_budget, chunk_skip, chunk_abort, partial_merge, no_data, doc_pipeline,
+        dedupe_overlap, dedupe_none, dedupe_fold, merge_concat, cited_exact, cited_nested, cited_norm, doc_budget, doc_loop, chunk_budget, chunk_skip, chunk_abort, partial_merge, no_data, doc_pipeline,
     )
 }
 SQL = {
@@ -509,6 +545,7 @@ SQL = {
     "merge_concat": DEDUPE_NONE_SQL,
     "cited_exact": CITED_EXACT_SQL,
     "cited_nested": CITED_NESTED_SQL,
+    "doc_loop": DOC_LOOP_SQL,
     "cited_norm": CITED_NORM_SQL,
     "doc_budget": DOC_BUDGET_SQL,
     "chunk_budget": CHUNK_BUDGET_SQL,

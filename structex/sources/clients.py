@@ -88,6 +88,11 @@ class CallClient:
     #: Wall-clock time (time.time()) after which no further call starts: one deadline for all.
     deadline: float | None = None
 
+    def sender(self) -> Callable[[dict], tuple[str | None, str | None]]:
+        """Built in a task: sends a body and returns (raw, error)."""
+        send, defaults = self.make(), self.defaults
+        return lambda body: _sdk_call(defaults | body, send)
+
     def ask(self, requests: DataFrame) -> DataFrame:
         make, names, deadline, defaults = self.make, requests.columns, self.deadline, self.defaults
         schema = T.StructType([*requests.schema.fields, T.StructField("raw", T.StringType()), T.StructField("error", T.StringType())])
