@@ -122,10 +122,11 @@ def issues(schema: Schema, value: Column, path: Column | None = None) -> Column:
             checked = scalar(schema, value)
             body = F.when(checked.isNull(), _issue(path, wrong)).otherwise(_none())
     if schema.checks:
-        # refinements see values of the right shape only
+        # refinements see values of the right shape only, whatever other refinements say of their parts
         failed = lambda c: checked.isNotNull() & ~F.coalesce(c.predicate(checked), F.lit(False))
         broken = _all([F.when(failed(c), _issue(reduce(_join, c.path, path), c.message)).otherwise(_none()) for c in schema.checks])
-        body = F.when(F.size(body) > 0, body).otherwise(broken)
+        misshapen = issues(schema.shape(), value, path) if schema.refined_within() else body
+        body = F.concat(body, F.when(F.size(misshapen) == 0, broken).otherwise(_none()))
     absent = _none() if schema.is_optional or schema.has_default else _issue(path, "Required")
     body = F.when(kind == "missing", absent).otherwise(body)
     return F.when(kind == "null", _none()).otherwise(body) if schema.is_nullable else body

@@ -169,8 +169,10 @@ def problems(schema: Schema, value: Any, path: str = "") -> list[tuple[str, str]
             found = [] if any(not problems(o, value, path) for o in schema.options) else wrong
         case _:
             found = [] if _fits(schema, value, kind) else wrong
-    # refinements see values of the right shape only
-    return found or [(".".join([*filter(None, [path]), *c.path]), c.message) for c in schema.checks if not _keeps(c, value)]
+    # refinements see values of the right shape only, whatever other refinements say of their parts
+    if not schema.checks or (problems(schema.shape(), value, path) if schema.refined_within() else found):
+        return found
+    return found + [(".".join([*filter(None, [path]), *c.path]), c.message) for c in schema.checks if not _keeps(c, value)]
 
 
 def _keeps(check: Check, value: Any) -> bool:
