@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import Column
@@ -13,6 +14,15 @@ from pyspark.sql import functions as F
 BLANK = r"(?U)[\s\x{FEFF}]"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is made once, however often body names it.
+
+    A Column that stands in an expression twice is computed twice, and nested ones multiply. An array
+    of one binds it.
+    """
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
 def is_blank(text: Column) -> Column:
     return F.regexp_replace(text, BLANK, "") == ""
 
@@ -27,10 +37,12 @@ def strict_json(text: Column) -> Column:
     The VARIANT parser stops after the first value, so what a JSON text may end with is checked:
     a value re-read with a closing bracket around it must still be one value.
     """
-    wrapped = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    alone = F.try_parse_json(text)
-    one = F.size(F.try_variant_get(wrapped, "$", "array<variant>")) == 1
-    return F.when(F.coalesce(one, F.lit(False)) & alone.isNotNull(), alone)
+    def read(t: Column) -> Column:
+        wrapped = F.try_parse_json(F.concat(F.lit("["), t, F.lit("]")))
+        one = F.size(F.try_variant_get(wrapped, "$", "array<variant>")) == 1
+        return F.when(F.coalesce(one, F.lit(False)), F.try_parse_json(t))
+
+    return let(text, read)
 
 
 def at(value: Column, path: str, kind: str = "variant") -> Column:
@@ -38,35 +50,36 @@ def at(value: Column, path: str, kind: str = "variant") -> Column:
     return F.try_variant_get(value, path, kind)
 
 
+#: What the name of a VARIANT's type begins with, and the kind it is.
+_KINDS = {"VOID": "null", "STRING": "string", "BOOLEAN": "boolean", "ARRAY": "array", "OBJECT": "object"}
+
+
 def kind_of(value: Column) -> Column:
-    """missing, null, string, boolean, number, array or object."""
-    name = F.schema_of_variant(value)
-    return (
-        F.when(value.isNull(), F.lit("missing"))
-        .when(F.is_variant_null(value), F.lit("null"))
-        .when(name == "STRING", F.lit("string"))
-        .when(name == "BOOLEAN", F.lit("boolean"))
-        .when(name.startswith("ARRAY"), F.lit("array"))
-        .when(name.startswith("OBJECT"), F.lit("object"))
-        .otherwise(F.lit("number"))
-    )
+    """missing, null, string, boolean, number, array or object.
+
+    The type is asked for once: this stands in most expressions, several times in some.
+    """
+    known = F.create_map(*[F.lit(x) for pair in _KINDS.items() for x in pair])
+    found = F.try_element_at(known, F.substring_index(F.schema_of_variant(value), "<", 1))
+    return F.coalesce(found, F.when(value.isNull(), F.lit("missing")).otherwise(F.lit("number")))
+
+
+def _of_kind(value: Column, path: str, kind: str, typed: str) -> Column:
+    return let(at(value, path), lambda found: F.when(kind_of(found) == kind, F.try_variant_get(found, "$", typed)))
 
 
 def text_at(value: Column, path: str) -> Column:
     """The string at a path; null if there is none or something else."""
-    found = at(value, path)
-    return F.when(kind_of(found) == "string", F.try_variant_get(found, "$", "string"))
+    return _of_kind(value, path, "string", "string")
 
 
 def number_at(value: Column, path: str) -> Column:
-    found = at(value, path)
-    return F.when(kind_of(found) == "number", F.try_variant_get(found, "$", "double"))
+    return _of_kind(value, path, "number", "double")
 
 
 def items_at(value: Column, path: str) -> Column:
     """The array at a path as ARRAY<VARIANT>; null for anything else."""
-    found = at(value, path)
-    return F.when(kind_of(found) == "array", F.try_variant_get(found, "$", "array<variant>"))
+    return F.try_variant_get(value, path, "array<variant>")
 
 
 # -- Python side: used inside Arrow functions and the streaming operators -----------

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from structex.functions.jsonx import at, kind_of
+from structex.functions.jsonx import at, kind_of, let
 from structex.functions.schema import Schema
 
 ISSUES = "array<struct<path:string,message:string>>"
@@ -94,7 +94,7 @@ def issues(schema: Schema, value: Column, path: Column | None = None) -> Column:
     wrong = F.concat(F.lit(f"Expected {expected(schema)}, received "), kind)
     match schema.kind:
         case "object":
-            fields = [issues(f, at(value, f"$.{k}"), _join(path, k)) for k, f in schema.fields]
+            fields = [let(at(value, f"$.{k}"), lambda v, k=k, f=f: issues(f, v, _join(path, k))) for k, f in schema.fields]
             body = F.when(kind == "object", _all(fields)).otherwise(_issue(path, wrong))
             checked = F.when(kind == "object", coerce(schema, value)) if schema.checks else None
         case "array":
@@ -136,7 +136,7 @@ def coerce(schema: Schema, value: Column) -> Column:
     """The typed value: undeclared keys go, defaults fill what is missing (never what is null)."""
     match schema.kind:
         case "object":
-            typed = F.struct(*[coerce(f, at(value, f"$.{k}")).alias(k) for k, f in schema.fields])
+            typed = F.struct(*[let(at(value, f"$.{k}"), lambda v, f=f: coerce(f, v)).alias(k) for k, f in schema.fields])
             out = F.when(kind_of(value) == "object", typed)
         case "array":
             items = F.try_variant_get(value, "$", "array<variant>")

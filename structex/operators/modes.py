@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from structex.functions.jsonx import at, is_blank, items_at, kind_of, last_span, strict_json, text_at
+from structex.functions.jsonx import at, is_blank, items_at, kind_of, last_span, let, strict_json, text_at
 from structex.functions.schema import Schema, dumps, strict_check
 
 # Fixed values of the wire formats.
@@ -218,26 +218,24 @@ def chunk_prompt(instruction: str, text: Column) -> Column:
 
 def _parsed(value: Column, error: Column) -> Column:
     """STRUCT<value VARIANT, error STRING>: the error is null exactly if there is a value."""
-    return F.struct(value.alias("value"), F.when(value.isNull(), error).alias("error"))
+    return let(value, lambda v: F.struct(v.alias("value"), F.when(v.isNull(), error).alias("error")))
 
 
 def _parse_tools(v: Column) -> Column:
     args = text_at(v, f"{_CHOICE}.tool_calls[0].function.arguments")
     missing = F.lit("Response has no tool call arguments")
-    return _parsed(strict_json(args), F.when(args.isNull(), missing).otherwise(F.lit("Tool call arguments are not valid JSON")))
+    return let(args, lambda a: _parsed(strict_json(a), F.when(a.isNull(), missing).otherwise(F.lit("Tool call arguments are not valid JSON"))))
 
 
 def _content(v: Column) -> Column:
-    text = text_at(v, f"{_CHOICE}.content")
-    return F.when(~is_blank(text), text)
+    return let(text_at(v, f"{_CHOICE}.content"), lambda text: F.when(~is_blank(text), text))
 
 
 _NO_CONTENT, _NOT_JSON = "Response has no JSON content", "Message content is not valid JSON"
 
 
 def _parse_json_schema(v: Column) -> Column:
-    text = _content(v)
-    return _parsed(strict_json(text), F.when(text.isNull(), F.lit(_NO_CONTENT)).otherwise(F.lit(_NOT_JSON)))
+    return let(_content(v), lambda text: _parsed(strict_json(text), F.when(text.isNull(), F.lit(_NO_CONTENT)).otherwise(F.lit(_NOT_JSON))))
 
 
 @F.pandas_udf(T.StringType())
@@ -252,9 +250,12 @@ _last_json_span = _last_json_span.asNondeterministic()
 
 def _parse_md_json(v: Column) -> Column:
     text = _content(v)
-    span = _last_json_span(text)
-    value = F.coalesce(F.try_parse_json(span), strict_json(text))
-    return _parsed(value, F.when(text.isNull(), F.lit(_NO_CONTENT)).otherwise(F.lit(_NOT_JSON)))
+
+    def read(x: Column) -> Column:
+        value = F.coalesce(F.try_parse_json(x["span"]), strict_json(x["text"]))
+        return _parsed(value, F.when(x["text"].isNull(), F.lit(_NO_CONTENT)).otherwise(F.lit(_NOT_JSON)))
+
+    return let(F.struct(text.alias("text"), _last_json_span(text).alias("span")), read)
 
 
 def _tool_use(v: Column) -> Column:
@@ -267,28 +268,29 @@ def _tool_use(v: Column) -> Column:
 
 
 def _parse_anthropic(v: Column) -> Column:
-    block = _tool_use(v)
-    given = at(block, "$.input")
-    text = text_at(block, "$.input")
-    value = F.when(text.isNotNull(), strict_json(text)).otherwise(given)
-    error = (
-        F.when(block.isNull(), F.lit("Response has no tool_use block"))
-        .when(given.isNull(), F.lit("tool_use input is missing"))
-        .otherwise(F.lit("tool_use input is not valid JSON"))
-    )
-    return _parsed(value, error)
+    def read(block: Column, text: Column) -> Column:
+        given = at(block, "$.input")
+        value = F.when(text.isNotNull(), strict_json(text)).otherwise(given)
+        error = (
+            F.when(block.isNull(), F.lit("Response has no tool_use block"))
+            .when(given.isNull(), F.lit("tool_use input is missing"))
+            .otherwise(F.lit("tool_use input is not valid JSON"))
+        )
+        return _parsed(value, error)
+
+    return let(_tool_use(v), lambda block: let(text_at(block, "$.input"), lambda text: read(block, text)))
 
 
 def gemini_text(v: Column) -> Column:
     direct = text_at(v, "$.text")
     parts = F.transform(items_at(v, "$.candidates[0].content.parts"), lambda p: F.coalesce(text_at(p, "$.text"), F.lit("")))
-    joined = F.array_join(parts, "")
-    return F.coalesce(F.when(~is_blank(direct), direct), F.when(~is_blank(joined), joined))
+    solid = lambda text: let(text, lambda t: F.when(~is_blank(t), t))
+    return F.coalesce(solid(direct), solid(F.array_join(parts, "")))
 
 
 def _parse_gemini(v: Column) -> Column:
-    text = gemini_text(v)
-    return _parsed(strict_json(text), F.when(text.isNull(), F.lit("Gemini response has no JSON text")).otherwise(F.lit(_NOT_JSON)))
+    missing = F.lit("Gemini response has no JSON text")
+    return let(gemini_text(v), lambda text: _parsed(strict_json(text), F.when(text.isNull(), missing).otherwise(F.lit(_NOT_JSON))))
 
 
 _PARSERS: dict[str, Callable[[Column], Column]] = {
@@ -302,15 +304,16 @@ _PARSERS: dict[str, Callable[[Column], Column]] = {
 
 def parse(mode: str, raw: Column) -> Column:
     """A raw reply (JSON text) to STRUCT<value VARIANT, error STRING>."""
-    return _PARSERS[mode](F.try_parse_json(raw))
+    if mode == MD_JSON:  # Python functions can't stand in a lambda
+        return _parse_md_json(F.try_parse_json(raw))
+    return let(F.try_parse_json(raw), _PARSERS[mode])
 
 
 def parse_by(mode: Column, raw: Column) -> Column:
     """The same where the mode is a column."""
-    v = F.try_parse_json(raw)
     out = None
-    for name, parser in _PARSERS.items():
-        out = F.when(mode == name, parser(v)) if out is None else out.when(mode == name, parser(v))
+    for name in _PARSERS:
+        out = F.when(mode == name, parse(name, raw)) if out is None else out.when(mode == name, parse(name, raw))
     return out
 
 
@@ -325,7 +328,7 @@ def tool_calls(v: Column) -> Column:
         ),
     )
     whole = F.filter(found, lambda c: c["id"].isNotNull() & c["function"]["name"].isNotNull() & c["function"]["arguments"].isNotNull())
-    return F.when(F.size(whole) > 0, whole)
+    return let(whole, lambda calls: F.when(F.size(calls) > 0, calls))
 
 
 def _assistant(v: Column) -> Column:
@@ -336,15 +339,19 @@ def _assistant(v: Column) -> Column:
 
 def reask(mode: str, messages: Column, raw: Column, error_text: Column) -> Column:
     """The messages of the next attempt: what the model said, and what was wrong with it."""
-    v = F.try_parse_json(raw)
+    return F.concat(messages, let(F.try_parse_json(raw), lambda v: _follow_up(mode, v, error_text)))
+
+
+def _follow_up(mode: str, v: Column, error_text: Column) -> Column:
     if mode == TOOLS:
-        call_id = F.get(tool_calls(v), 0)["id"]
-        follow = F.when(call_id.isNotNull(), message("tool", variant(error_text), tool_call_id=call_id)).otherwise(
-            text_message("user", error_text)
-        )
-        return F.concat(messages, F.array(_assistant(v), follow))
+
+        def answered(call_id: Column) -> Column:
+            as_tool = message("tool", variant(error_text), tool_call_id=call_id)
+            return F.when(call_id.isNotNull(), as_tool).otherwise(text_message("user", error_text))
+
+        return F.array(_assistant(v), let(F.get(tool_calls(v), 0)["id"], answered))
     if mode in (JSON_SCHEMA, MD_JSON):
-        return F.concat(messages, F.array(_assistant(v), text_message("user", error_text)))
+        return F.array(_assistant(v), text_message("user", error_text))
     if mode == ANTHROPIC_TOOLS:
         keep = F.filter(
             items_at(v, "$.content"),
@@ -365,30 +372,31 @@ def reask(mode: str, messages: Column, raw: Column, error_text: Column) -> Colum
                 ),
             ).otherwise(F.to_variant_object(F.struct(F.lit("text").alias("type"), text_at(b, "$.text").alias("text")))),
         )
-        content = F.when(F.size(said) > 0, F.to_variant_object(said)).otherwise(F.parse_json(F.lit("null")))
-        use_id = text_at(_tool_use(v), "$.id")
-        result = F.struct(
-            F.lit("tool_result").alias("type"),
-            use_id.alias("tool_use_id"),
-            error_text.alias("content"),
-            F.lit(True).alias("is_error"),
-        )
-        follow = F.when(use_id.isNotNull(), F.to_variant_object(F.array(result))).otherwise(variant(error_text))
-        return F.concat(messages, F.array(message("assistant", content), message("user", follow)))
+        content = let(said, lambda s: F.when(F.size(s) > 0, F.to_variant_object(s)).otherwise(F.parse_json(F.lit("null"))))
+
+        def result(use_id: Column) -> Column:
+            block = F.struct(
+                F.lit("tool_result").alias("type"),
+                use_id.alias("tool_use_id"),
+                error_text.alias("content"),
+                F.lit(True).alias("is_error"),
+            )
+            return F.when(use_id.isNotNull(), F.to_variant_object(F.array(block))).otherwise(variant(error_text))
+
+        return F.array(message("assistant", content), message("user", let(text_at(_tool_use(v), "$.id"), result)))
     if mode == GEMINI_JSON:
         said = F.coalesce(gemini_text(v), F.lit(""))
-        return F.concat(messages, F.array(text_message("assistant", said), text_message("user", error_text)))
+        return F.array(text_message("assistant", said), text_message("user", error_text))
     raise ValueError(mode)
 
 
 def delta(mode: str, raw: Column) -> Column:
     """The text that one stream chunk adds."""
-    v = F.try_parse_json(raw)
     found = {
-        TOOLS: lambda: text_at(v, "$.choices[0].delta.tool_calls[0].function.arguments"),
-        JSON_SCHEMA: lambda: text_at(v, "$.choices[0].delta.content"),
-        MD_JSON: lambda: text_at(v, "$.choices[0].delta.content"),
-        ANTHROPIC_TOOLS: lambda: text_at(v, "$.delta.partial_json"),
-        GEMINI_JSON: lambda: gemini_text(v),
-    }[mode]()
-    return F.coalesce(found, F.lit(""))
+        TOOLS: lambda v: text_at(v, "$.choices[0].delta.tool_calls[0].function.arguments"),
+        JSON_SCHEMA: lambda v: text_at(v, "$.choices[0].delta.content"),
+        MD_JSON: lambda v: text_at(v, "$.choices[0].delta.content"),
+        ANTHROPIC_TOOLS: lambda v: text_at(v, "$.delta.partial_json"),
+        GEMINI_JSON: lambda v: gemini_text(v),
+    }[mode]
+    return F.coalesce(let(F.try_parse_json(raw), found), F.lit(""))

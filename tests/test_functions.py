@@ -538,3 +538,12 @@ def test_clients_build_their_sdk_once_and_google_gets_its_shape():
     shaped = clients.gemini_rest(body)
     assert shaped == {"contents": [1], "systemInstruction": {"parts": []}, "generationConfig": {"maxOutputTokens": 5, "responseMimeType": "application/json"}}
     assert clients.from_provider("google/g").make.shape is clients.gemini_rest
+
+
+def test_a_reply_is_parsed_once_a_mode(spark):
+    """What an expression names several times is bound, not computed anew."""
+    rows = spark.createDataFrame([("TOOLS", "{}")], "mode string, raw string")
+    plan = lambda c: rows.select(c)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(modes.parse_by(F.col("mode"), F.col("raw"))).count("raw#") <= 2 * len(modes.MODES)
+    for mode in modes.MODES:
+        assert plan(modes.reask(mode, F.array(modes.text_message("user", F.lit("go"))), F.col("raw"), F.lit("no"))).count("raw#") <= 3
