@@ -6,20 +6,22 @@ saw are kept once. Only ids and values are shuffled, never document texts.
 
 Overlap dedupe is a greedy matching: an item is absorbed by the first open earlier occurrence of
 the same key in another chunk whose window meets its own; the absorber is used up and the item
-becomes open. Where no two windows but neighbours meet, that equals: the r-th occurrence of a key
-in a chunk is kept exactly if the chunk before, when it overlaps, has fewer than r. That is one
-window function. Documents in which other windows meet go through the fold instead.
+becomes open. Spark brings a document's chunks together in order; a task walks over them once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections import defaultdict, deque
+from collections.abc import Iterator, Sequence
+from itertools import groupby
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from structex.functions.jsonx import at, items_at, kind_of
+from structex.functions.jsonx import at, items_at, kind_of, let
 from structex.functions.schema import Schema
 from structex.functions.validate import coerce, issues, scalar
 
@@ -35,14 +37,17 @@ def struct_key(value: Column, schema: Schema | None = None) -> Column:
     Types are tagged and texts carry their length; object keys are sorted; -0 and 0 differ;
     numbers compare as doubles, dates by instant, where the schema says what is what.
     """
-    kind = kind_of(value)
+    return let(kind_of(value), lambda kind: _struct_key(value, kind, schema))
+
+
+def _struct_key(value: Column, kind: Column, schema: Schema | None) -> Column:
     if schema is None:
         number = F.try_variant_get(value, "$", "double").cast("string")
         plain = F.concat(F.lit("j"), F.to_json(value))
         return F.when(kind == "missing", F.lit("u")).when(kind == "number", F.concat(F.lit("n"), number)).otherwise(plain)
     match schema.kind:
         case "object":
-            parts = [F.concat(F.lit(f"{len(k)}:{k}="), struct_key(at(value, f"$.{k}"), f)) for k, f in sorted(schema.fields)]
+            parts = [F.concat(F.lit(f"{len(k)}:{k}="), let(at(value, f"$.{k}"), lambda v, f=f: struct_key(v, f))) for k, f in sorted(schema.fields)]
             body = F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
         case "array":
             body = F.concat(
@@ -64,114 +69,94 @@ def struct_key(value: Column, schema: Schema | None = None) -> Column:
 def entity_key(value: Column, names: Sequence[str], schema: Schema | None = None) -> Column:
     """The key fields if all are there and not null, else the structural key; never equal to it."""
     fields = dict(schema.fields) if schema is not None and schema.kind == "object" else {}
-    parts = [at(value, f"$.{n}") for n in names]
-    whole = None
-    for p in parts:
-        there = p.isNotNull() & ~F.is_variant_null(p)
-        whole = there if whole is None else whole & there
     structural = F.concat(F.lit("value:"), struct_key(value, schema))
-    if whole is None:
+    if not names:
         return structural
-    keyed = F.concat_ws(",", *[struct_key(p, fields.get(n)) for n, p in zip(names, parts, strict=True)])
-    return F.when(F.coalesce(whole, F.lit(False)), F.concat(F.lit("entity:"), keyed)).otherwise(structural)
-
-
-# -- arrays -------------------------------------------------------------------
-
 
-def rank_chunks(values: DataFrame, doc_col: str = "doc_id") -> DataFrame:
-    """Add each present chunk's rank, whether the one before overlaps, and whether a farther one does."""
-    w = Window.partitionBy(doc_col).orderBy("chunk_index")
-    far = Window.partitionBy(doc_col).orderBy("chunk_index").rowsBetween(Window.unboundedPreceding, -2)
-    every = Window.partitionBy(doc_col)
-    ranked = values.withColumn("chunk_rank", F.row_number().over(w)).withColumn(
-        "prev_overlaps", F.coalesce((F.lag("start_index").over(w) < F.col("end_index")) & (F.col("start_index") < F.lag("end_index").over(w)), F.lit(False))
-    )
-    return ranked.withColumn("_far", F.coalesce(F.max("end_index").over(far) > F.col("start_index"), F.lit(False))).withColumn(
-        "needs_fold", F.max("_far").over(every)
-    ).drop("_far")
-
-
-def mark_kept(items: DataFrame, doc_col: str = "doc_id") -> DataFrame:
-    """Add kept to (doc, chunk_rank, pos, key, prev_overlaps) by the closed form."""
-    mine = Window.partitionBy(doc_col, "key", "chunk_rank").orderBy("pos")
-    before = Window.partitionBy(doc_col, "key").orderBy("chunk_rank").rangeBetween(-1, -1)
-    seen = F.when(F.col("prev_overlaps"), F.count("*").over(before)).otherwise(F.lit(0))
-    return items.withColumn("kept", F.row_number().over(mine) > seen)
+    def part(n: str) -> Column:
+        there = lambda p: p.isNotNull() & ~F.coalesce(F.is_variant_null(p), F.lit(True))
+        return let(at(value, f"$.{n}"), lambda p: F.when(there(p), struct_key(p, fields.get(n))))
 
+    # null where a part is
+    keyed = F.array(*[part(n) for n in names])
+    return let(keyed, lambda k: F.when(F.forall(k, lambda p: p.isNotNull()), F.concat(F.lit("entity:"), F.array_join(k, ","))).otherwise(structural))
 
-def mark_kept_fold(items: DataFrame, doc_col: str = "doc_id") -> DataFrame:
-    """Add kept by the greedy matching itself, for any windows: a fold over a key's occurrences."""
-    entry = F.struct("chunk_rank", "pos", "start_index", "end_index")
-    start = F.struct(
-        F.array().cast("array<struct<chunk_rank:int,pos:int,start_index:int,end_index:int>>").alias("open"),
-        F.array().cast("array<struct<chunk_rank:int,pos:int>>").alias("kept"),
-    )
 
-    def step(acc: Column, x: Column) -> Column:
-        meets = F.transform(
-            acc["open"],
-            lambda o: (o["chunk_rank"] != x["chunk_rank"]) & (o["start_index"] < x["end_index"]) & (x["start_index"] < o["end_index"]),
-        )
-        found = F.array_position(meets, F.lit(True))
-        rest = F.filter(acc["open"], lambda _, i: i + 1 != found)
-        name = F.struct(x["chunk_rank"].alias("chunk_rank"), x["pos"].alias("pos"))
-        return F.struct(
-            F.concat(rest, F.array(x)).alias("open"),
-            F.when(found == 0, F.concat(acc["kept"], F.array(name))).otherwise(acc["kept"]).alias("kept"),
-        )
+# -- arrays -------------------------------------------------------------------
 
-    typed = items.withColumns({c: F.col(c).cast("int") for c in ("chunk_rank", "pos", "start_index", "end_index")})
-    ordered = F.array_sort(F.collect_list(entry))
-    kept = (
-        typed.groupBy(doc_col, "key")
-        .agg(F.aggregate(ordered, start, step)["kept"].alias("k"))
-        .select(F.col(doc_col).alias("_d"), F.col("key").alias("_k"), F.explode("k").alias("k"))
-    )
-    on = (
-        (F.col(doc_col) == F.col("_d")) & (F.col("key") == F.col("_k")) & (F.col("chunk_rank") == F.col("k.chunk_rank")) & (F.col("pos") == F.col("k.pos"))
-    )
-    return typed.join(kept, on, "left").withColumn("kept", F.col("k").isNotNull()).drop("_d", "_k", "k")
 
+def _swept(dedupe: str, by: bool, names: Sequence[str], doc_col: str):
+    """Chunk rows, sorted by document and chunk, to one row (doc, items) per document.
 
-def array_items(values: DataFrame, items: Column, key, doc_col: str = "doc_id") -> DataFrame:
-    """One row per array item, with its key; values that aren't arrays are skipped."""
-    present = values.withColumn("_items", items).filter(F.col("_items").isNotNull())
-    exploded = rank_chunks(present, doc_col).select(
-        doc_col, "chunk_index", "chunk_rank", "start_index", "end_index", "prev_overlaps", "needs_fold", F.posexplode("_items").alias("pos", "item")
-    )
-    return exploded.withColumn("key", key(F.col("item")))
+    An item is absorbed by the first open earlier occurrence of its key in another chunk whose window
+    meets its own. Occurrences that one chunk leaves open stand as one entry with their number, and
+    entries that no later window can meet go; so the time is linear, and the state is the keys of
+    the open document.
+    """
 
-
-def dedupe_items(items: DataFrame, dedupe: str = "overlap", doc_col: str = "doc_id") -> DataFrame:
-    """Mark the items that stay: all of them, or those that overlap dedupe keeps."""
-    if dedupe == "none":
-        return items.withColumn("kept", F.lit(True))
-    if dedupe != "overlap":
-        raise ValueError("dedupe is 'overlap' or 'none'")
-    close = mark_kept(items.filter(~F.col("needs_fold")), doc_col)
-    return close.unionByName(mark_kept_fold(items.filter("needs_fold"), doc_col))
-
-
-def fold_entities(marked: DataFrame, fields: Sequence[str], doc_col: str = "doc_id") -> DataFrame:
-    """Kept items; the first of each entity key takes missing fields from what was dropped."""
-    order = F.struct("chunk_rank", "pos")
-    rank = Window.partitionBy(doc_col, "key").orderBy(F.col("kept").desc(), "chunk_rank", "pos")
-    first = marked.withColumn("_first", F.col("kept") & (F.row_number().over(rank) == 1))
-    entity = F.col("key").startswith("entity:")
-    source = F.col("_first") | ~F.col("kept")
-    whole = Window.partitionBy(doc_col, "key")
-    # most keys occur once: nothing is printed or parsed for them
-    out = first.withColumn("_n", F.count("*").over(whole))
-    several = entity & (F.col("_n") > 1)
-    for name in fields:
-        own = at(F.col("item"), f"$.{name}")
-        usable = several & source & own.isNotNull() & ~F.coalesce(F.is_variant_null(own), F.lit(True))
-        out = out.withColumn(f"_t_{name}", F.min_by(F.when(usable, F.to_json(own)), F.when(usable, order)).over(whole))
-    for name in fields:
-        own, filled = at(F.col("item"), f"$.{name}"), F.col(f"_t_{name}")
-        out = out.withColumn(f"_f_{name}", F.when(F.col("_first") & filled.isNotNull(), F.parse_json(filled)).otherwise(own))
-    return out.filter("kept")
+    def absorbed(pool: deque, chunk: int, start: int, end: int, ordered: bool) -> bool:
+        while ordered and pool and pool[0][2] <= start:
+            pool.popleft()
+        found = next((o for o in pool if o[0] != chunk and o[1] < end and start < o[2]), None)
+        if found is not None:
+            found[3] -= 1
+            if not found[3]:
+                pool.remove(found)
+        if pool and pool[-1][0] == chunk:
+            pool[-1][3] += 1
+        else:
+            pool.append([chunk, start, end, 1])
+        return found is not None
+
+    def plain_key(text: str) -> str:
+        """The JSON of a scalar tells its type and value, but for numbers written in two ways."""
+        return repr(float(text)) if text[0] in "-0123456789" else text
+
+    def said(fields: Sequence[str | None]) -> str:
+        return "{" + ",".join(f"{json.dumps(n, ensure_ascii=False)}:{t}" for n, t in zip(names, fields, strict=True) if t is not None) + "}"
+
+    def of(rows: Iterator[tuple]) -> list[str]:
+        out, open_, first = [], defaultdict(deque), {}
+        arrays = (r for r in rows if r[-1] is not None)
+        for chunk, (_, _, start, end, disordered, keys, texts) in enumerate(arrays):
+            for key, text in zip(map(plain_key, texts) if keys is None else keys, texts, strict=True):
+                kept = dedupe == "none" or not absorbed(open_[key], chunk, start, end, not disordered)
+                if kept:
+                    out.append(text)
+                if by and key.startswith("entity:"):
+                    if key not in first:  # the first occurrence of a key is always kept
+                        first[key] = text
+                    elif not kept:
+                        for n, (mine, other) in enumerate(zip(first[key], text, strict=True)):
+                            if mine in (None, "null") and other not in (None, "null"):
+                                first[key][n] = other
+        return [said(t) for t in out] if by else out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = None
+
+        def rows() -> Iterator[tuple]:
+            nonlocal kind
+            for b in batches:
+                kind = b.schema.field(0).type
+                yield from zip(*(c.to_pylist() for c in b.columns), strict=True)
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(docs, kind), pa.array(items, pa.list_(pa.string()))], [doc_col, "items"])
+
+        docs, items, held = [], [], 0
+        for doc, group in groupby(rows(), key=lambda r: r[0]):
+            found = of(group)
+            docs.append(doc)
+            items.append(found)
+            held += len(found)
+            if held > 100_000 or len(docs) >= 1_000:
+                yield batch()
+                docs, items, held = [], [], 0
+        if docs:
+            yield batch()
+
+    return run
 
 
 # -- objects ------------------------------------------------------------------
@@ -255,18 +240,34 @@ def merge_documents(
 
 
 def merge_array(values: DataFrame, items: Column, element: Schema, dedupe: str, by: Sequence[str], doc_col: str = "doc_id") -> DataFrame:
-    """(doc, items ARRAY<STRING of JSON>) in chunk order, then order within the chunk."""
-    key = (lambda v: entity_key(v, by, element)) if by else (lambda v: F.concat(F.lit("value:"), struct_key(v, element)))
-    marked = dedupe_items(array_items(values, items, key, doc_col), dedupe, doc_col)
-    if by and element.kind == "object":
-        names = [k for k, _ in element.fields]
-        kept = fold_entities(marked, names, doc_col)
-        # to_json of a struct leaves out what is missing and keeps JSON nulls
-        text = F.to_json(F.struct(*[F.col(f"_f_{n}").alias(n) for n in names]))
+    """(doc, items ARRAY<STRING of JSON>) in chunk order, then order within the chunk.
+
+    Chunks of a document come together with the keys and JSON of their items; values that aren't arrays
+    are skipped. With entity keys the first item of each takes missing fields from what was dropped.
+    """
+    if dedupe not in ("overlap", "none"):
+        raise ValueError("dedupe is 'overlap' or 'none'")
+    entities = bool(by) and element.kind == "object"
+    names = [k for k, _ in element.fields] if entities else []
+    present = values.withColumn("_items", items)
+    if dedupe == "none" and not entities:
+        texts = F.coalesce(F.transform("_items", lambda v: F.to_json(v)), F.array().cast("array<string>"))
+        ordered = F.array_sort(F.collect_list(F.struct("chunk_index", texts.alias("j"))))
+        return present.groupBy(doc_col).agg(F.flatten(F.transform(ordered, lambda x: x["j"])).alias("items"))
+    if not by and element.kind in ("string", "enum", "boolean", "number", "int", "literal"):
+        keys = F.lit(None).cast("array<string>")
     else:
-        kept, text = marked.filter("kept"), F.to_json(F.col("item"))
-    ordered = F.array_sort(F.collect_list(F.struct("chunk_rank", "pos", text.alias("j"))))
-    return kept.groupBy(doc_col).agg(F.transform(ordered, lambda x: x["j"]).alias("items"))
+        keys = F.transform("_items", (lambda v: entity_key(v, by, element)) if by else (lambda v: F.concat(F.lit("value:"), struct_key(v, element))))
+    text = (lambda v: F.array(*[F.to_json(at(v, f"$.{n}")) for n in names])) if entities else (lambda v: F.to_json(v))
+    before = Window.partitionBy(doc_col).orderBy("chunk_index").rowsBetween(Window.unboundedPreceding, -1)
+    late = F.coalesce(F.max("start_index").over(before) > F.col("start_index"), F.lit(False))
+    chunks = present.select(
+        doc_col, "chunk_index", F.col("start_index").cast("long"), F.col("end_index").cast("long"), keys.alias("keys"), F.transform("_items", text).alias("texts")
+    )
+    chunks = chunks.repartition(doc_col).withColumn("_late", late).withColumn("disordered", F.max("_late").over(Window.partitionBy(doc_col)))
+    ready = chunks.select(doc_col, "chunk_index", "start_index", "end_index", "disordered", "keys", "texts").sortWithinPartitions(doc_col, "chunk_index")
+    kind = dict(ready.dtypes)[doc_col]
+    return ready.mapInArrow(_swept(dedupe, entities, names, doc_col), f"`{doc_col}` {kind}, items array<string>")
 
 
 def merge_into(values: DataFrame, schema: Schema, **options) -> DataFrame:

@@ -547,3 +547,27 @@ def test_a_reply_is_parsed_once_a_mode(spark):
     assert plan(modes.parse_by(F.col("mode"), F.col("raw"))).count("raw#") <= 2 * len(modes.MODES)
     for mode in modes.MODES:
         assert plan(modes.reask(mode, F.array(modes.text_message("user", F.lit("go"))), F.col("raw"), F.lit("no"))).count("raw#") <= 3
+
+
+def test_overlap_dedupe_is_linear_in_a_key(spark):
+    """A key at 20,000 places of windows that meet beyond their neighbours, in one pass; numbers written in two ways are one key."""
+    import time
+
+    from structex.operators import merge
+
+    rows = spark.range(20_000).select(
+        F.lit(1).alias("doc_id"), F.col("id").cast("int").alias("chunk_index"), (F.col("id") * 10).alias("start_index"), (F.col("id") * 10 + 25).alias("end_index"),
+        F.parse_json(F.when(F.col("id") % 2 == 0, F.lit('{"items":[7,7]}')).otherwise(F.lit('{"items":[7.0]}'))).alias("value"),
+    )
+    schema, begin = S.obj(items=S.array(S.number())), time.monotonic()
+    got = merge.merge_documents(rows, schema).select(F.size(F.try_variant_get("value", "$.items", "array<variant>"))).collect()
+    open_, kept = [], 0
+    for chunk_ in range(20_000):
+        for _ in range(2 - chunk_ % 2):
+            found = next((o for o in open_ if o != chunk_ and chunk_ - o <= 2), None)
+            kept += found is None
+            if found is not None:
+                open_.remove(found)
+            open_.append(chunk_)
+        open_ = [o for o in open_ if chunk_ - o <= 3]
+    assert got == [(kept,)] and time.monotonic() - begin < 60
