@@ -6,24 +6,27 @@ saw are kept once. Only ids and values are shuffled, never document texts.
 
 Overlap dedupe is a greedy matching: an item is absorbed by the first open earlier occurrence of
 the same key in another chunk whose window meets its own; the absorber is used up and the item
-becomes open. Spark brings a document's chunks together in order; a task walks over them once.
+becomes open. Spark gathers a document's arrays in order, as JSON; a task walks over them once.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections import defaultdict, deque
-from collections.abc import Iterator, Sequence
-from itertools import groupby
+from collections.abc import Callable, Sequence
+from itertools import pairwise
+from typing import Any
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from structex.functions.jsonx import at, items_at, kind_of, let
 from structex.functions.schema import Schema
 from structex.functions.validate import coerce, issues, scalar
+from structex.operators import nested
 
 ROOT = "(root)"
 
@@ -85,14 +88,106 @@ def entity_key(value: Column, names: Sequence[str], schema: Schema | None = None
 # -- arrays -------------------------------------------------------------------
 
 
-def _swept(dedupe: str, by: bool, names: Sequence[str], doc_col: str):
-    """Chunk rows, sorted by document and chunk, to one row (doc, items) per document.
+class _Number(str):
+    """A number as its JSON says it."""
+
+
+class _GONE:
+    """What a field that isn't there has."""
+
+
+_QUOTED = json.encoder.encode_basestring
+_SCALAR = re.compile(r'"(?:[^"\\]|\\.)*"|[^,"]+')
+_DECODER = json.JSONDecoder(parse_int=_Number, parse_float=_Number)
+
+
+def _load(text: str) -> Any:
+    return _DECODER.decode(text)
+
+
+def _text(value: Any) -> str:
+    """Compact JSON of a value read by _load."""
+    if type(value) is _Number:
+        return value
+    if isinstance(value, str):
+        return _QUOTED(value)
+    if isinstance(value, dict):
+        return "{" + ",".join(f"{_QUOTED(k)}:{_text(v)}" for k, v in value.items()) + "}"
+    if isinstance(value, list):
+        return "[" + ",".join(map(_text, value)) + "]"
+    return "null" if value is None else "true" if value else "false"
+
+
+def _scalar_key(text: str) -> str:
+    """The JSON of a scalar tells its type and value, but for numbers written in two ways."""
+    return repr(float(text)) if text[0] in "-0123456789" else text
+
+
+def _plain_key(schema: Schema) -> Callable[[Any], Any]:
+    """struct_key of values read by _load; dates have none."""
+
+    def of_scalar(value: Any) -> Any:
+        return value if value is None or value is _GONE else _scalar_key(_text(value))
+
+    if schema.kind == "object":
+        fields = [(k, _plain_key(f)) for k, f in sorted(schema.fields)]
+
+        def of_object(value: Any) -> Any:
+            if value is None or value is _GONE:
+                return value
+            known = value if isinstance(value, dict) else {}
+            return ("{", *[key(known.get(k, _GONE)) for k, key in fields])
+
+        return of_object
+    if schema.kind == "array":
+        inner = _plain_key(schema.element)
+        return lambda value: ("[", *map(inner, value)) if isinstance(value, list) else of_scalar(value)
+
+    return of_scalar
+
+
+def _reader(element: Schema, by: Sequence[str]) -> Callable[[str], tuple[list, list]]:
+    """JSON of an array to the keys of its items and the items: texts, or with entity keys lists of
+    the texts of declared fields. Entity keys are ("entity", ...)."""
+    key = None if nested.within(element, lambda s: s.kind == "date") else _plain_key(element)
+    if element.kind != "object" or not by:
+        flat = element.kind in ("string", "enum", "boolean", "number", "int", "literal")
+
+        def plain(array: str) -> tuple[list, list]:
+            if flat and "{" not in array and "[" not in array[1:]:
+                texts = _SCALAR.findall(array, 1, len(array) - 1)
+                return list(map(_scalar_key, texts)), texts
+            items = _load(array)
+            return [] if key is None else list(map(key, items)), list(map(_text, items))
+
+        return plain
+    names = [k for k, _ in element.fields]
+    fields = dict(element.fields)
+    parts = [] if key is None else [(n, _plain_key(fields[n]) if n in fields else lambda v: _text(v)) for n in by]
+
+    def entities(array: str) -> tuple[list, list]:
+        keys, items = [], []
+        for item in _load(array):
+            known = item if isinstance(item, dict) else {}
+            items.append([None if (v := known.get(n, _GONE)) is _GONE else _text(v) for n in names])
+            if key is not None:
+                there = all(known.get(n) is not None for n in by)
+                keys.append(("entity", *[part(known[n]) for n, part in parts]) if there else key(item))
+        return keys, items
+
+    return entities
+
+
+def _swept(element: Schema, by: Sequence[str], dedupe: str):
+    """A document's arrays, as (start, end, JSON, keys) in chunk order, to the JSON of one array.
 
     An item is absorbed by the first open earlier occurrence of its key in another chunk whose window
     meets its own. Occurrences that one chunk leaves open stand as one entry with their number, and
-    entries that no later window can meet go; so the time is linear, and the state is the keys of
-    the open document.
+    entries that no later window can meet go; so the time is linear, and the state is one document's.
     """
+    entities = bool(by) and element.kind == "object"
+    read = _reader(element, by)
+    heads = [f"{_QUOTED(k)}:" for k, _ in element.fields] if entities else []
 
     def absorbed(pool: deque, chunk: int, start: int, end: int, ordered: bool) -> bool:
         while ordered and pool and pool[0][2] <= start:
@@ -108,55 +203,47 @@ def _swept(dedupe: str, by: bool, names: Sequence[str], doc_col: str):
             pool.append([chunk, start, end, 1])
         return found is not None
 
-    def plain_key(text: str) -> str:
-        """The JSON of a scalar tells its type and value, but for numbers written in two ways."""
-        return repr(float(text)) if text[0] in "-0123456789" else text
+    def said(fields: list[str | None]) -> str:
+        return "{" + ",".join([h + t for h, t in zip(heads, fields, strict=True) if t is not None]) + "}"
 
-    def said(fields: Sequence[str | None]) -> str:
-        return "{" + ",".join(f"{json.dumps(n, ensure_ascii=False)}:{t}" for n, t in zip(names, fields, strict=True) if t is not None) + "}"
+    def is_entity(key: Any) -> bool:
+        return key[0] == "entity" if isinstance(key, tuple) else isinstance(key, str) and key.startswith("entity:")
 
-    def of(rows: Iterator[tuple]) -> list[str]:
+    def of(starts: list[int], ends: list[int], arrays: list[str], given: list[list[str]] | None) -> str:
         out, open_, first = [], defaultdict(deque), {}
-        arrays = (r for r in rows if r[-1] is not None)
-        for chunk, (_, _, start, end, disordered, keys, texts) in enumerate(arrays):
-            for key, text in zip(map(plain_key, texts) if keys is None else keys, texts, strict=True):
-                kept = dedupe == "none" or not absorbed(open_[key], chunk, start, end, not disordered)
+        ordered = all(a <= b for a, b in pairwise(starts))
+        for chunk, (start, end, array) in enumerate(zip(starts, ends, arrays, strict=True)):
+            keys, items = read(array)
+            if len(arrays) == 1:
+                out = items
+                break
+            for key, item in zip(keys if given is None else given[chunk], items, strict=True):
+                kept = dedupe == "none" or not absorbed(open_[key], chunk, start, end, ordered)
                 if kept:
-                    out.append(text)
-                if by and key.startswith("entity:"):
+                    out.append(item)
+                if entities and is_entity(key):
                     if key not in first:  # the first occurrence of a key is always kept
-                        first[key] = text
+                        first[key] = item
                     elif not kept:
-                        for n, (mine, other) in enumerate(zip(first[key], text, strict=True)):
+                        for n, (mine, other) in enumerate(zip(first[key], item, strict=True)):
                             if mine in (None, "null") and other not in (None, "null"):
                                 first[key][n] = other
-        return [said(t) for t in out] if by else out
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = None
+        return "[" + ",".join(map(said, out) if entities else out) + "]"
 
-        def rows() -> Iterator[tuple]:
-            nonlocal kind
-            for b in batches:
-                kind = b.schema.field(0).type
-                yield from zip(*(c.to_pylist() for c in b.columns), strict=True)
+    @F.arrow_udf("string")
+    def run(chunks: pa.Array) -> pa.Array:
+        flat = chunks.flatten()
+        starts, ends, texts = (flat.field(n).to_pylist() for n in ("start", "end", "j"))
+        keys = flat.field("keys").to_pylist() if flat.type.get_field_index("keys") >= 0 else None
+        out, at_ = [], 0
+        for n in pc.list_value_length(chunks).to_pylist():
+            upto = at_ + (n or 0)
+            out.append(of(starts[at_:upto], ends[at_:upto], texts[at_:upto], None if keys is None else keys[at_:upto]) if n else None)
+            at_ = upto
+        return pa.array(out, pa.string())
 
-        def batch() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(docs, kind), pa.array(items, pa.list_(pa.string()))], [doc_col, "items"])
-
-        docs, items, held = [], [], 0
-        for doc, group in groupby(rows(), key=lambda r: r[0]):
-            found = of(group)
-            docs.append(doc)
-            items.append(found)
-            held += len(found)
-            if held > 100_000 or len(docs) >= 1_000:
-                yield batch()
-                docs, items, held = [], [], 0
-        if docs:
-            yield batch()
-
-    return run
+    # evaluated once, in a step of its own
+    return run.asNondeterministic()
 
 
 # -- objects ------------------------------------------------------------------
@@ -169,17 +256,6 @@ def first_value(value: Column, order: Column | str = "chunk_index") -> Column:
     return F.min_by(F.to_json(value), F.when(there, order))
 
 
-def said_null(value: Column) -> Column:
-    """Whether a chunk said null: it survives where no chunk has a value."""
-    return F.coalesce(F.bool_or(F.is_variant_null(value)), F.lit(False))
-
-
-def distinct_values(value: Column, schema: Schema | None = None) -> Column:
-    """How many structurally different values there are besides null and missing."""
-    there = value.isNotNull() & ~F.coalesce(F.is_variant_null(value), F.lit(False))
-    return F.count_distinct(F.when(there, struct_key(value, schema)))
-
-
 def merge_documents(
     values: DataFrame,
     schema: Schema,
@@ -193,81 +269,92 @@ def merge_documents(
     Object roots merge field by field, array roots join, any other root takes the first value.
     With on_conflict='error' conflicts names the fields with different values; 'first' skips
     looking for them.
+
+    Values are read once: each row's fields become JSON texts, one grouping gathers them, arrays as
+    lists in chunk order, and what needs a walk over a document's items gets its list only.
     """
     if on_conflict not in ("first", "error"):
         raise ValueError("on_conflict is 'first' or 'error'")
+    if dedupe not in ("overlap", "none"):
+        raise ValueError("dedupe is 'overlap' or 'none'")
     by = [dedupe_by] if isinstance(dedupe_by, str) else list(dedupe_by)
-    root = schema.root_kind()
-    if root == "array":
-        merged = merge_array(values, F.when(kind_of(F.col("value")) == "array", F.try_variant_get("value", "$", "array<variant>")), schema.element, dedupe, by, doc_col)
-        docs = values.select(doc_col).distinct()
-        joined = docs.join(merged, doc_col, "left")
-        empty = F.array().cast("array<string>")
-        text = F.concat(F.lit("["), F.array_join(F.coalesce("items", empty), ","), F.lit("]"))
-        return joined.select(doc_col, F.parse_json(text).alias("value"), empty.alias("conflicts"))
-    fields = schema.fields if schema.kind == "object" else ((ROOT, schema),)
+    whole = schema.root_kind() == "array" or schema.kind != "object"
+    fields = ((ROOT, schema),) if whole else schema.fields
     at_field = lambda k: F.col("value") if k == ROOT else at(F.col("value"), f"$.{k}")
-    aggregates = []
+    texts, aggregates = [], []
     for i, (k, f) in enumerate(fields):
-        v = at_field(k)
-        aggregates += [first_value(v).alias(f"_v{i}"), said_null(v).alias(f"_n{i}")]
+        t = F.col(f"_t{i}")
+        there = t.isNotNull() & (t != "null")
+        texts.append(F.to_json(at_field(k)).alias(f"_t{i}"))
+        aggregates.append(F.coalesce(F.bool_or(t == "null"), F.lit(False)).alias(f"_n{i}"))
         if f.root_kind() == "array":
-            there = v.isNotNull() & ~F.coalesce(F.is_variant_null(v), F.lit(False))
-            aggregates.append(F.coalesce(F.bool_and(F.when(there, kind_of(v) == "array")), F.lit(False)).alias(f"_a{i}"))
+            gathered, more = _gathered(t, at_field(k), f, dedupe, by, i)
+            texts += more
+            aggregates.append(F.sort_array(F.collect_list(F.when(there, gathered))).alias(f"_c{i}"))
+            aggregates.append(F.coalesce(F.bool_and(F.when(there, t.startswith("["))), F.lit(False)).alias(f"_a{i}"))
+        else:
+            aggregates.append(F.min_by(t, F.when(there, F.col("chunk_index"))).alias(f"_v{i}"))
         if on_conflict == "error":
-            aggregates.append(distinct_values(v, f).alias(f"_d{i}"))
-    out = values.groupBy(doc_col).agg(*aggregates)
+            texts.append(_different(at_field(k), f).alias(f"_k{i}"))
+            aggregates.append((F.min(f"_k{i}") != F.max(f"_k{i}")).alias(f"_d{i}"))
+    places = [c for c in ("chunk_index", "start_index", "end_index") if c in values.columns]
+    out = values.select(doc_col, *places, *texts).groupBy(doc_col).agg(*aggregates)
+    if schema.root_kind() == "array":
+        arrays = F.filter("_c0", lambda c: c["other"].isNull())
+        text = F.coalesce(_joined(F.when(F.size(arrays) > 0, arrays), schema, dedupe, by), F.lit("[]"))
+        return out.select(doc_col, F.parse_json(text).alias("value"), F.array().cast("array<string>").alias("conflicts"))
     parts, conflicts = [], []
     for i, (k, f) in enumerate(fields):
-        text = F.coalesce(F.col(f"_v{i}"), F.when(F.col(f"_n{i}"), F.lit("null")))
-        is_array = F.lit(False)
+        found, is_array = F.col(f"_v{i}"), F.lit(False)
         if f.root_kind() == "array":
-            merged = merge_array(values, items_at(F.col("value"), f"$.{k}"), f.element, dedupe, by, doc_col)
-            out = out.join(merged.withColumnRenamed("items", f"_items{i}"), doc_col, "left")
-            is_array = F.col(f"_a{i}")
-            joined = F.concat(F.lit("["), F.array_join(F.coalesce(f"_items{i}", F.array().cast("array<string>")), ","), F.lit("]"))
-            text = F.when(is_array, joined).otherwise(text)
-        parts.append((k, text))
+            is_array, of = F.col(f"_a{i}"), F.col(f"_c{i}")
+            out = out.withColumn(f"_j{i}", _joined(F.when(is_array, of), f, dedupe, by))
+            first = F.get(of, F.lit(0))
+            said = F.concat(F.lit("["), F.coalesce(first["j"], F.lit("")), F.lit("]")) if _is_plain(f, dedupe, by) else first["j"]
+            found = F.coalesce(F.col(f"_j{i}"), first["other"], F.when(F.size(of) > 0, said))
+        parts.append((k, F.coalesce(found, F.when(F.col(f"_n{i}"), F.lit("null")))))
         if on_conflict == "error":
-            conflicts.append(F.when(~is_array & (F.col(f"_d{i}") > 1), F.lit(k)))
+            conflicts.append(F.when(~is_array & F.col(f"_d{i}"), F.lit(k)))
     if schema.kind == "object":
         body = F.concat_ws(",", *[F.concat(F.to_json(F.lit(k).cast("variant")), F.lit(":"), t) for k, t in parts])
         value = F.parse_json(F.concat(F.lit("{"), body, F.lit("}")))
     else:
         value = F.parse_json(parts[0][1])
-    found = F.filter(F.array(*conflicts), lambda c: c.isNotNull()) if conflicts else F.array().cast("array<string>")
-    return out.select(doc_col, value.alias("value"), found.alias("conflicts"))
+    differ = F.filter(F.array(*conflicts), lambda c: c.isNotNull()) if conflicts else F.array().cast("array<string>")
+    return out.select(doc_col, value.alias("value"), differ.alias("conflicts"))
 
 
-def merge_array(values: DataFrame, items: Column, element: Schema, dedupe: str, by: Sequence[str], doc_col: str = "doc_id") -> DataFrame:
-    """(doc, items ARRAY<STRING of JSON>) in chunk order, then order within the chunk.
+def _is_plain(schema: Schema, dedupe: str, by: Sequence[str]) -> bool:
+    """Whether arrays are only joined."""
+    return dedupe == "none" and not (by and schema.element.kind == "object")
 
-    Chunks of a document come together with the keys and JSON of their items; values that aren't arrays
-    are skipped. With entity keys the first item of each takes missing fields from what was dropped.
-    """
-    if dedupe not in ("overlap", "none"):
-        raise ValueError("dedupe is 'overlap' or 'none'")
-    entities = bool(by) and element.kind == "object"
-    names = [k for k, _ in element.fields] if entities else []
-    present = values.withColumn("_items", items)
-    if dedupe == "none" and not entities:
-        texts = F.coalesce(F.transform("_items", lambda v: F.to_json(v)), F.array().cast("array<string>"))
-        ordered = F.array_sort(F.collect_list(F.struct("chunk_index", texts.alias("j"))))
-        return present.groupBy(doc_col).agg(F.flatten(F.transform(ordered, lambda x: x["j"])).alias("items"))
-    if not by and element.kind in ("string", "enum", "boolean", "number", "int", "literal"):
-        keys = F.lit(None).cast("array<string>")
-    else:
-        keys = F.transform("_items", (lambda v: entity_key(v, by, element)) if by else (lambda v: F.concat(F.lit("value:"), struct_key(v, element))))
-    text = (lambda v: F.array(*[F.to_json(at(v, f"$.{n}")) for n in names])) if entities else (lambda v: F.to_json(v))
-    before = Window.partitionBy(doc_col).orderBy("chunk_index").rowsBetween(Window.unboundedPreceding, -1)
-    late = F.coalesce(F.max("start_index").over(before) > F.col("start_index"), F.lit(False))
-    chunks = present.select(
-        doc_col, "chunk_index", F.col("start_index").cast("long"), F.col("end_index").cast("long"), keys.alias("keys"), F.transform("_items", text).alias("texts")
-    )
-    chunks = chunks.repartition(doc_col).withColumn("_late", late).withColumn("disordered", F.max("_late").over(Window.partitionBy(doc_col)))
-    ready = chunks.select(doc_col, "chunk_index", "start_index", "end_index", "disordered", "keys", "texts").sortWithinPartitions(doc_col, "chunk_index")
-    kind = dict(ready.dtypes)[doc_col]
-    return ready.mapInArrow(_swept(dedupe, entities, names, doc_col), f"`{doc_col}` {kind}, items array<string>")
+
+def _different(value: Column, schema: Schema) -> Column:
+    """The structural key of a value that is there; null if none is."""
+    return F.when(value.isNotNull() & ~F.coalesce(F.is_variant_null(value), F.lit(False)), struct_key(value, schema))
+
+
+def _gathered(t: Column, value: Column, schema: Schema, dedupe: str, by: Sequence[str], i: int) -> tuple[Column, list[Column]]:
+    """What of a chunk's array goes to its document (other: what isn't an array), and columns that this needs."""
+    other = F.when(~t.startswith("["), t).alias("other")
+    if _is_plain(schema, dedupe, by):
+        inner = F.substring(t, F.lit(2), F.length(t) - 2)
+        return F.struct("chunk_index", other, F.when(t.startswith("[") & (inner != ""), inner).alias("j")), []
+    parts = [F.col("chunk_index"), F.col("start_index").cast("long").alias("start"), F.col("end_index").cast("long").alias("end"), other]
+    parts.append(F.when(t.startswith("["), t).alias("j"))
+    if not nested.within(schema.element, lambda s: s.kind == "date"):
+        return F.struct(*parts), []
+    # dates are equal by instant, which columns tell
+    items = items_at(value, "$")
+    key = (lambda v: entity_key(v, by, schema.element)) if by else (lambda v: F.concat(F.lit("value:"), struct_key(v, schema.element)))
+    return F.struct(*parts, F.col(f"_keys{i}").alias("keys")), [F.transform(items, key).alias(f"_keys{i}")]
+
+
+def _joined(gathered: Column, schema: Schema, dedupe: str, by: Sequence[str]) -> Column:
+    """The JSON of a document's array: its chunks' arrays joined, without what two chunks saw."""
+    if _is_plain(schema, dedupe, by):
+        return F.when(gathered.isNotNull(), F.concat(F.lit("["), F.array_join(gathered["j"], ","), F.lit("]")))
+    return _swept(schema.element, by, dedupe)(gathered)
 
 
 def merge_into(values: DataFrame, schema: Schema, **options) -> DataFrame:
