@@ -15,13 +15,13 @@ import json
 import re
 from collections import defaultdict, deque
 from collections.abc import Callable, Sequence
-from itertools import pairwise
 from typing import Any
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from structex.functions.jsonx import at, items_at, kind_of, let
 from structex.functions.schema import Schema
@@ -146,9 +146,18 @@ def _plain_key(schema: Schema) -> Callable[[Any], Any]:
     return of_scalar
 
 
-def _reader(element: Schema, by: Sequence[str]) -> Callable[[str], tuple[list, list]]:
-    """JSON of an array to the keys of its items and the items: texts, or with entity keys lists of
-    the texts of declared fields. Entity keys are ("entity", ...)."""
+def _loaded(arrays: list[str]) -> list[list]:
+    return _load("[" + ",".join(arrays) + "]")
+
+
+def _undescribed(value: Any) -> str:
+    """The key of a field that no schema describes."""
+    return _text(value)
+
+
+def _reader(element: Schema, by: Sequence[str]) -> Callable[[list[str]], list[tuple[list, list]]]:
+    """The JSON of arrays to the keys of each one's items and the items: texts, or with entity keys
+    lists of the texts of declared fields. Entity keys are ("entity", ...)."""
     key = None if nested.within(element, lambda s: s.kind == "date") else _plain_key(element)
     if element.kind != "object" or not by:
         flat = element.kind in ("string", "enum", "boolean", "number", "int", "literal")
@@ -156,26 +165,31 @@ def _reader(element: Schema, by: Sequence[str]) -> Callable[[str], tuple[list, l
         def plain(array: str) -> tuple[list, list]:
             if flat and "{" not in array and "[" not in array[1:]:
                 texts = _SCALAR.findall(array, 1, len(array) - 1)
-                return list(map(_scalar_key, texts)), texts
+                return [t if t[0] == '"' else _scalar_key(t) for t in texts], texts
             items = _load(array)
             return [] if key is None else list(map(key, items)), list(map(_text, items))
 
-        return plain
+        return lambda arrays: list(map(plain, arrays))
     names = [k for k, _ in element.fields]
     fields = dict(element.fields)
-    parts = [] if key is None else [(n, _plain_key(fields[n]) if n in fields else lambda v: _text(v)) for n in by]
+    parts = [] if key is None else [(n, _plain_key(fields[n]) if n in fields else _undescribed) for n in by]
+    one = parts[0] if len(parts) == 1 else None
 
-    def entities(array: str) -> tuple[list, list]:
+    def entities(array: list) -> tuple[list, list]:
         keys, items = [], []
-        for item in _load(array):
+        for item in array:
             known = item if isinstance(item, dict) else {}
-            items.append([None if (v := known.get(n, _GONE)) is _GONE else _text(v) for n in names])
-            if key is not None:
-                there = all(known.get(n) is not None for n in by)
-                keys.append(("entity", *[part(known[n]) for n, part in parts]) if there else key(item))
+            values = [known.get(n, _GONE) for n in names]
+            items.append([v if v.__class__ is _Number else "null" if v is None else None if v is _GONE else _text(v) for v in values])
+            if one is not None:
+                v = known.get(one[0])
+                keys.append(key(item) if v is None else ("entity", one[1](v)))
+            elif parts:
+                said = [known.get(n) for n, _ in parts]
+                keys.append(key(item) if None in said else ("entity", *[part(v) for v, (_, part) in zip(said, parts, strict=True)]))
         return keys, items
 
-    return entities
+    return lambda arrays: list(map(entities, _loaded(arrays)))
 
 
 def _swept(element: Schema, by: Sequence[str], dedupe: str):
@@ -192,11 +206,14 @@ def _swept(element: Schema, by: Sequence[str], dedupe: str):
     def absorbed(pool: deque, chunk: int, start: int, end: int, ordered: bool) -> bool:
         while ordered and pool and pool[0][2] <= start:
             pool.popleft()
-        found = next((o for o in pool if o[0] != chunk and o[1] < end and start < o[2]), None)
-        if found is not None:
-            found[3] -= 1
-            if not found[3]:
-                pool.remove(found)
+        found = None
+        for o in pool:
+            if o[0] != chunk and o[1] < end and start < o[2]:
+                found = o
+                o[3] -= 1
+                break
+        if found is not None and not found[3]:
+            pool.remove(found)
         if pool and pool[-1][0] == chunk:
             pool[-1][3] += 1
         else:
@@ -204,19 +221,19 @@ def _swept(element: Schema, by: Sequence[str], dedupe: str):
         return found is not None
 
     def said(fields: list[str | None]) -> str:
-        return "{" + ",".join([h + t for h, t in zip(heads, fields, strict=True) if t is not None]) + "}"
+        return "{" + ",".join([h + t for h, t in zip(heads, fields) if t is not None]) + "}"  # noqa: B905
 
     def is_entity(key: Any) -> bool:
         return key[0] == "entity" if isinstance(key, tuple) else isinstance(key, str) and key.startswith("entity:")
 
     def of(starts: list[int], ends: list[int], arrays: list[str], given: list[list[str]] | None) -> str:
+        chunks = read(arrays)
+        if len(arrays) == 1:
+            items = chunks[0][1]
+            return "[" + ",".join(map(said, items) if entities else items) + "]"
         out, open_, first = [], defaultdict(deque), {}
-        ordered = all(a <= b for a, b in pairwise(starts))
-        for chunk, (start, end, array) in enumerate(zip(starts, ends, arrays, strict=True)):
-            keys, items = read(array)
-            if len(arrays) == 1:
-                out = items
-                break
+        ordered = starts == sorted(starts)
+        for chunk, (start, end, (keys, items)) in enumerate(zip(starts, ends, chunks, strict=True)):
             for key, item in zip(keys if given is None else given[chunk], items, strict=True):
                 kept = dedupe == "none" or not absorbed(open_[key], chunk, start, end, ordered)
                 if kept:
@@ -230,7 +247,7 @@ def _swept(element: Schema, by: Sequence[str], dedupe: str):
                                 first[key][n] = other
         return "[" + ",".join(map(said, out) if entities else out) + "]"
 
-    @F.arrow_udf("string")
+    @F.arrow_udf(T.StringType())
     def run(chunks: pa.Array) -> pa.Array:
         flat = chunks.flatten()
         starts, ends, texts = (flat.field(n).to_pylist() for n in ("start", "end", "j"))

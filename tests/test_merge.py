@@ -55,7 +55,7 @@ def test_keys_of_tasks_equal_struct_keys(spark):
             df = spark.createDataFrame([("[" + ",".join(items) + "]",)], "t string").select(F.parse_json("t").alias("v"))
             key = (lambda v: merge.entity_key(v, by, element)) if by else (lambda v: merge.struct_key(v, element))  # noqa: B023
             row = df.select(F.transform(F.try_variant_get("v", "$", "array<variant>"), key).alias("k"), F.to_json("v").alias("j")).first()
-            keys, _ = merge._reader(element, by)(row.j)
+            keys, _ = merge._reader(element, by)([row.j])[0]
             pairs = [(a, b) for a in range(len(items)) for b in range(a)]
             assert [(items[a], items[b]) for a, b in pairs if (row.k[a] == row.k[b]) != (keys[a] == keys[b])] == [], (element.kind, by)
 
