@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,20 +19,32 @@ SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.Str
 _SPACE = re.compile(r"[\s﻿]+")
 
 
-@lru_cache(maxsize=64)
-def _normal(text: str) -> tuple[str, list[int]]:
-    """Lower case with single spaces, and the original place of each character (and of the end)."""
-    out, places, at = [], [], 0
-    for m in _SPACE.finditer(text + " "):
-        for i in range(at, m.start()):
-            low = text[i].lower()
-            out.append(low)
-            places += [i] * len(low)
-        if m.start() < len(text):
-            out.append(" ")
-            places.append(m.start())
-        at = m.end()
-    return "".join(out), [*places, len(text)]
+@lru_cache(maxsize=1)
+def _normal(text: str) -> str:
+    """Lower case, character by character, with single spaces."""
+    flat = _SPACE.sub(" ", text)
+    # a capital sigma is the only letter whose lower case depends on what stands around it
+    return "".join(map(str.lower, flat)) if "Σ" in flat else flat.lower()
+
+
+def _place(text: str, wanted: int) -> int:
+    """The original place of a character of _normal(text)."""
+    grows = "İ" in text  # the only letter whose lower case is longer
+    seen = at = 0
+    for m in _SPACE.finditer(text):
+        size = m.start() - at
+        if grows:
+            size = len(text[at : m.start()].lower())
+        if wanted < seen + size:
+            break
+        if wanted == seen + size:
+            return m.start()
+        seen, at = seen + size + 1, m.end()
+    if not grows:
+        return at + wanted - seen
+    while (seen := seen + len(text[at].lower())) <= wanted:
+        at += 1
+    return at
 
 
 def locate(quote: str, source: str) -> tuple[int, int] | None:
@@ -42,20 +54,22 @@ def locate(quote: str, source: str) -> tuple[int, int] | None:
         return None
     if (at := source.find(wanted)) >= 0:
         return at, at + len(wanted)
-    text, places = _normal(source)
     plain = _SPACE.sub(" ", wanted).lower()
-    if (at := text.find(plain)) < 0:
+    if (at := _normal(source).find(plain)) < 0:
         return None
-    return places[at], places[at + len(plain) - 1] + 1
+    return _place(source, at), _place(source, at + len(plain) - 1) + 1
 
 
-@F.pandas_udf(SPANS)
-def _spans(quotes: pd.Series, sources: pd.Series) -> pd.Series:
-    def one(qs, source):
+@F.arrow_udf(SPANS)
+def _spans(quotes: pa.Array, sources: pa.Array) -> pa.Array:
+    """One text at a time: a batch is held once, as Arrow has it."""
+
+    def one(qs: list[str], source: str) -> list[dict | None]:
         found = [locate(q, source) for q in qs]
         return [{"start": f[0], "end": f[1]} if f else None for f in found]
 
-    return pd.Series([None if q is None or s is None else one(q, s) for q, s in zip(quotes, sources, strict=True)])
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    return pa.array((one(q.as_py(), s.as_py()) if q.is_valid and s.is_valid else None for q, s in zip(quotes, sources, strict=True)), kind)
 
 
 # evaluated once, in a step of its own
