@@ -85,13 +85,18 @@ def items_at(value: Column, path: str) -> Column:
 # -- Python side: used inside Arrow functions and the streaming operators -----------
 
 
-def loads(text: str) -> Any:
-    """Strict JSON: no NaN or infinities, no trailing text."""
+def _refuse(name: str) -> None:
+    raise ValueError(name)
+
 
-    def refuse(name: str) -> None:
-        raise ValueError(name)
+_STRICT = json.JSONDecoder(parse_constant=_refuse)
 
-    return json.loads(text, parse_constant=refuse)
+
+def loads(text: str) -> Any:
+    """Strict JSON: no NaN or infinities, no trailing text."""
+    if text.startswith("\ufeff"):
+        raise ValueError("a byte order mark")
+    return _STRICT.decode(text)
 
 
 _CLOSER = {"{": "}", "[": "]"}

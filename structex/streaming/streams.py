@@ -14,6 +14,7 @@ from hashlib import blake2b
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -91,13 +92,16 @@ def _seen(state: dict[str, Any], reader: Reader, schema: Schema, items: bool) ->
 
 
 def _rows(frame: pd.DataFrame) -> list[dict[str, Any]]:
-    columns = [frame[c].astype(object).where(frame[c].notna(), None).tolist() for c in IN_COLUMNS]
+    columns = [c.astype(object).where(c.notna(), None).tolist() if c.hasnans else c.tolist() for c in (frame[name] for name in IN_COLUMNS)]
     return [dict(zip(IN_COLUMNS, row, strict=True)) for row in zip(*columns, strict=True)]
 
 
 _KINDS = {"seq": "Int64", "kind": "object", "body": "object", "input_tokens": "Int64", "output_tokens": "Int64", "total_tokens": "Int64", "attempts": "Int32"}
 
 
+_ARROW_KINDS = {"seq": pa.int64(), "kind": pa.string(), "body": pa.string(), "input_tokens": pa.int64(), "output_tokens": pa.int64(), "total_tokens": pa.int64(), "attempts": pa.int32()}
+
+
 def _frame(said: list[dict[str, Any]], stream_id: int) -> pd.DataFrame:
     columns = {name: pd.Series([row.get(name) for row in said], dtype=kind) for name, kind in _KINDS.items()}
     return pd.DataFrame({"stream_id": pd.Series([stream_id] * len(said), dtype="int64"), **columns})
@@ -150,7 +154,10 @@ def replay(deltas: DataFrame, schema: Schema, items: bool | None) -> DataFrame:
     """The same over a finished table (items None: usage and end only); a stream's rows come
     together, as its buffer must."""
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        return _frame(feed(fresh(), _rows(frame), schema, items), frame["stream_id"].iloc[0])
+    def run(table: pa.Table) -> pa.Table:
+        columns = [table.column(c).to_pylist() for c in IN_COLUMNS]
+        said = feed(fresh(), [dict(zip(IN_COLUMNS, row, strict=True)) for row in zip(*columns, strict=True)], schema, items)
+        stream = pa.array([columns[0][0]] * len(said), pa.int64())
+        return pa.table([stream, *(pa.array([row.get(name) for row in said], kind) for name, kind in _ARROW_KINDS.items())], ["stream_id", *_ARROW_KINDS])
 
-    return deltas.select(*IN_COLUMNS).groupBy("stream_id").applyInPandas(run, OUT_SCHEMA)
+    return deltas.select(*IN_COLUMNS).groupBy("stream_id").applyInArrow(run, OUT_SCHEMA)
