@@ -23,8 +23,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
 
 
+#: Anything else.
+_SOLID = r"(?U)[^\s\x{FEFF}]"
+
+
 def is_blank(text: Column) -> Column:
-    return F.regexp_replace(text, BLANK, "") == ""
+    return ~text.rlike(_SOLID)
 
 
 def trim_text(text: Column) -> Column:
@@ -101,6 +105,8 @@ def loads(text: str) -> Any:
 
 _CLOSER = {"{": "}", "[": "]"}
 _OPENER, _MARK = re.compile(r"[{\[]"), re.compile(r'[{}\[\]"]')
+#: What a JSON object or array begins with, and failures to read one after which the decoder rests.
+_JSON_BEGINS, _FAILURES = re.compile(r'\{[ \t\r\n]*["}]|\[[ \t\r\n]*["{\[\]\-0-9tfn]'), 16
 _REST_OF_STRING = re.compile(r'[^"\\]*(?:\\.[^"\\]*)*', re.DOTALL)
 
 
@@ -110,15 +116,32 @@ def spans(text: str) -> list[tuple[int, int]]:
     Brackets inside strings don't count. An opener that never closes is stepped over; what was
     learned of the text behind it is kept, so that no mark is read on from twice.
     """
-    found, at_, ends, inside = [], 0, {}, {}
+    return [(a, b) for a, b, _ in _spans(text)]
+
+
+def _spans(text: str) -> list[tuple[int, int, bool]]:
+    """spans(), each with whether it is known to be JSON.
+
+    The decoder goes first where JSON may begin. Each failure may read on to the text's end, so after
+    some the brackets alone are read.
+    """
+    found, at_, ends, inside, failed = [], 0, {}, {}, 0
     while (opener := _OPENER.search(text, at_)) is not None:
         start = opener.start()
         if start not in ends:
+            if failed < _FAILURES and _JSON_BEGINS.match(text, start):
+                try:
+                    at_ = _STRICT.raw_decode(text, start)[1]
+                except (ValueError, RecursionError):
+                    failed += 1
+                else:
+                    found.append((start, at_, True))
+                    continue
             _close(text, start, ends, inside)
         if ends[start] is None:
             at_ = start + 1
         else:
-            found.append((start, ends[start]))
+            found.append((start, ends[start], False))
             at_ = ends[start]
     return found
 
@@ -161,9 +184,10 @@ def _close(text: str, start: int, ends: dict[int, int | None], inside: dict[int,
 
 def last_span(text: str) -> str | None:
     """The last balanced span that is JSON."""
-    for a, b in reversed(spans(text)):
+    for a, b, is_json in reversed(_spans(text)):
         try:
-            loads(text[a:b])
+            if not is_json:
+                loads(text[a:b])
         except ValueError:
             continue
         return text[a:b]

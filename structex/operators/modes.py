@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -238,10 +238,14 @@ def _parse_json_schema(v: Column) -> Column:
     return let(_content(v), lambda text: _parsed(strict_json(text), F.when(text.isNull(), F.lit(_NO_CONTENT)).otherwise(F.lit(_NOT_JSON))))
 
 
-@F.pandas_udf(T.StringType())
-def _last_json_span(texts: pd.Series) -> pd.Series:
-    """A bracket stack isn't regular, so this one scan is Python; batches come through Arrow."""
-    return texts.map(last_span, na_action="ignore")
+@F.arrow_udf(T.StructType().add("text", "string").add("span", "string"))
+def _last_json_span(texts: pa.Array) -> pa.Array:
+    """A bracket stack isn't regular, so this one scan is Python; batches come through Arrow.
+
+    The text comes back beside its span, or else the plan makes it again behind this step.
+    """
+    found = pa.array([None if text is None else last_span(text) for text in texts.to_pylist()], pa.string())
+    return pa.StructArray.from_arrays([texts, found], names=["text", "span"])
 
 
 # so that plans evaluate it once, in a step of its own, and don't copy it into every expression that uses the value
@@ -249,13 +253,11 @@ _last_json_span = _last_json_span.asNondeterministic()
 
 
 def _parse_md_json(v: Column) -> Column:
-    text = _content(v)
-
     def read(x: Column) -> Column:
         value = F.coalesce(F.try_parse_json(x["span"]), strict_json(x["text"]))
         return _parsed(value, F.when(x["text"].isNull(), F.lit(_NO_CONTENT)).otherwise(F.lit(_NOT_JSON)))
 
-    return let(F.struct(text.alias("text"), _last_json_span(text).alias("span")), read)
+    return let(_last_json_span(_content(v)), read)
 
 
 def _tool_use(v: Column) -> Column:

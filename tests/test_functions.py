@@ -549,6 +549,22 @@ def test_a_reply_is_parsed_once_a_mode(spark):
         assert plan(modes.reask(mode, F.array(modes.text_message("user", F.lit("go"))), F.col("raw"), F.lit("no"))).count("raw#") <= 3
 
 
+def test_md_json_content_is_made_once(spark):
+    """The content of a reply goes through the Python step and isn't made again behind it."""
+    rows = spark.createDataFrame(
+        [
+            (1, json.dumps({"choices": [{"message": {"content": c}}]}))
+            for c in ('a {"x": 1} b [2]', ' "{}" ', "7", '{"x": 1, "x": 2}', "{x}", "\ufeff\u00a0\n", '{"' * 40 + '{"y": 3}', '["\\"]", {"b": 1}] {')
+        ],
+        "k int, raw string",
+    )
+    got = rows.withColumn("p", modes.parse(modes.MD_JSON, F.col("raw")))
+    assert got.select("p.value", "p.error")._jdf.queryExecution().executedPlan().toString().count("message.content") == 1
+    none, bad = "Response has no JSON content", "Message content is not valid JSON"
+    expected = [("[2]", None), ("{}", None), ("7", None), (None, bad), (None, bad), (None, none), ('{"y":3}', None), ('["\\"]",{"b":1}]', None)]
+    assert [tuple(r) for r in got.select(F.to_json("p.value"), "p.error").collect()] == expected
+
+
 def test_overlap_dedupe_is_linear_in_a_key(spark):
     """A key at 20,000 places of windows that meet beyond their neighbours, in one pass; numbers written in two ways are one key."""
     import time
